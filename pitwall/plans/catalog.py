@@ -223,7 +223,7 @@ def commentary_dedupe(spark, sf):
 
 
 def envelope_json(spark, sf):
-    env = sinks.envelope(_enriched(spark, sf), "anomaly", sinks.ANOMALY_ENVELOPE_FIELDS)
+    env = sinks.envelope(_enriched(spark, sf), "anomaly", sinks.anomaly_envelope_fields())
     return sinks.parse_envelope(env, sinks.ANOMALY_ENVELOPE_SCHEMA)
 
 

@@ -303,6 +303,15 @@ WHERE forecast IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY key, ts_ms ORDER BY arrival DESC) = 1"""
     q["vector_topk"] = f"WITH {CENTROIDS} SELECT * FROM topk"
     q["vector_topk_limit5"] = f"WITH {CENTROIDS} SELECT * FROM topk ORDER BY query_id, rank LIMIT 5"
+    # streaming queries: the stream must equal the batch semantics on the same input
+    q["stream_leaderboard"] = q["leaderboard_latest"]
+    q["stream_bounded"] = q["leaderboard_bounded10"]
+    up = ("SELECT key, make_timestamp(ts_ms * 1000) AS ts, team_name, engine_temperature, is_anomaly FROM {t} "
+          "WHERE is_anomaly = TRUE QUALIFY row_number() OVER (PARTITION BY key, ts_ms ORDER BY arrival DESC) = 1")
+    q["stream_anomaly"] = f"WITH {_gauss_cte()} " + up.format(t="gauss")
+    q["stream_anomaly_ar1"] = f"WITH {_ar1_cte()} " + up.format(t="ar1")
+    q["stream_dedupe"] = f"WITH {POSITIONS}, {GENERATED} SELECT DISTINCT id, driver_name FROM generated"
+    q["stream_lifecycle"] = q["race_lifecycle"]
     return q
 
 

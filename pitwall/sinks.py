@@ -15,16 +15,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ANOMALY_ENVELOPE_FIELDS: list[tuple[str, Column]] = [
-    ("team_name", F.coalesce(F.col("team_name"), F.lit(""))),
-    ("driver_name", F.coalesce(F.col("driver_name"), F.lit(""))),
-    ("race_id", F.coalesce(F.col("key"), F.lit(""))),
-    ("timestamp", F.col("timestamp").cast("long")),
-    ("metric_name", F.coalesce(F.col("metric_name"), F.lit(""))),
-    ("metric_value", F.coalesce(F.col("metric_value"), F.lit(0.0))),
-    ("confidence_score", F.coalesce(F.col("confidence_score"), F.lit(0.0))),
-    ("severity", F.coalesce(F.col("severity"), F.lit("info"))),
-]
+def anomaly_envelope_fields() -> list[tuple[str, Column]]:
+    """Alert notification fields with their defaults ('' / 0.0 / 'info')."""
+    return [
+        ("team_name", F.coalesce(F.col("team_name"), F.lit(""))),
+        ("driver_name", F.coalesce(F.col("driver_name"), F.lit(""))),
+        ("race_id", F.coalesce(F.col("key"), F.lit(""))),
+        ("timestamp", F.col("timestamp").cast("long")),
+        ("metric_name", F.coalesce(F.col("metric_name"), F.lit(""))),
+        ("metric_value", F.coalesce(F.col("metric_value"), F.lit(0.0))),
+        ("confidence_score", F.coalesce(F.col("confidence_score"), F.lit(0.0))),
+        ("severity", F.coalesce(F.col("severity"), F.lit("info"))),
+    ]
 
 ANOMALY_ENVELOPE_SCHEMA = T.StructType([
     T.StructField("type", T.StringType()),
@@ -40,12 +42,14 @@ ANOMALY_ENVELOPE_SCHEMA = T.StructType([
     ])),
 ])
 
-COMMENTARY_ENVELOPE_FIELDS: list[tuple[str, Column]] = [
-    ("id", F.col("id")),
-    ("message", F.col("message")),
-    ("timestamp", F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
-    ("type", F.coalesce(F.col("type"), F.lit("info"))),
-]
+def commentary_envelope_fields() -> list[tuple[str, Column]]:
+    """Commentary notification fields: ISO time, default type 'info'."""
+    return [
+        ("id", F.col("id")),
+        ("message", F.col("message")),
+        ("timestamp", F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
+        ("type", F.coalesce(F.col("type"), F.lit("info"))),
+    ]
 
 
 def envelope(df: DataFrame, kind: str, fields: Sequence[tuple[str, Column]]) -> DataFrame:
@@ -70,7 +74,7 @@ def upsert_batch(path: str, keys: Sequence[str], order: str, cols: Sequence[str]
     """``foreachBatch`` writer for keyed upsert. Rows are hash-partitioned by the key
     (as the sink table is distributed by it) before writing."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = latest_per_key(batch, keys, order, cols).withColumn("_order", F.lit(batch_id).cast("long"))
+        out = latest_per_key(batch, keys, order, cols)
         out = out.repartition(partitions, *keys) if partitions else out.repartition(*keys)
         out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     return write

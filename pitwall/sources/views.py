@@ -50,7 +50,11 @@ def _events(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(arrival, ts, race_id, driver_name, position, team_name, speed)."""
     e = _events(spark, sf_dir, "event_id", "ts", "user_id", "event_type", "value")
-    ro = roster(spark, sf_dir)
+    return positions_from(e, roster(spark, sf_dir))
+
+
+def positions_from(e: DataFrame, ro: DataFrame) -> DataFrame:
+    """The positions mapping over any events frame (batch or streaming)."""
     return e.join(ro, (e.user_id % N_DRIVERS) == ro.id).select(
         F.col("event_id").alias("arrival"),
         F.col("ts"),
@@ -65,7 +69,11 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(arrival, key, ts, team_name, engine_temperature)."""
     e = _events(spark, sf_dir, "event_id", "ts", "user_id", "event_type", "value")
-    ro = roster(spark, sf_dir)
+    return metrics_from(e, roster(spark, sf_dir))
+
+
+def metrics_from(e: DataFrame, ro: DataFrame) -> DataFrame:
+    """The metrics mapping over any events frame (batch or streaming)."""
     return e.join(ro, (e.user_id % N_DRIVERS) == ro.id).select(
         F.col("event_id").alias("arrival"),
         F.col("event_type").alias("key"),
@@ -84,7 +92,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return c.select(
         "conv_id", "turn",
-        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
         F.col("text").alias("message"),
         (F.col("conv_id") * 1000 + F.col("turn")).cast("double").alias("timestamp"),
         F.when(F.col("role") == "system", F.lit("highlight"))
