@@ -26,8 +26,12 @@ def _parsed(df: DataFrame, schema: T.StructType) -> Column:
 
 
 def split_corrupt(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(parsed rows with a ``_v`` struct, dead letters with the raw value)."""
-    p = df.where(F.col("value").isNotNull()).withColumn("_v", _parsed(df, schema))
+    """(parsed rows with a ``_v`` struct, dead letters with the raw value).
+
+    The parsed struct is produced by a one-element ``explode``: filters on it then stay
+    above the Generate, so each value is parsed once (a plain projection would be
+    inlined into every pushed-down predicate and parsed again there)."""
+    p = df.where(F.col("value").isNotNull()).select("*", F.explode(F.array(_parsed(df, schema))).alias("_v"))
     if CORRUPT in p.schema["_v"].dataType.fieldNames():
         bad = F.col("_v").isNull() | F.col(f"_v.{CORRUPT}").isNotNull()
         return p.where(~bad), p.where(bad).drop("_v")
