@@ -9,8 +9,9 @@ A model is a ``ModelSpec``. Two kinds of implementation are accepted:
   when a task is retried, so services with side effects should be idempotent.
 
 The lateral ``AI_COMPLETE`` / ``ML_PREDICT`` table-function forms map to
-``register_sql_functions`` (a pandas UDF usable in ``LATERAL``-free SQL projections) and
-to the DataFrame functions below.
+``register_table_functions`` (Arrow Python UDTFs for ``LATERAL`` in SQL), to
+``register_sql_functions`` (pandas UDFs for SQL projections) and to the DataFrame
+functions ``complete`` / ``embed`` below (the fast path).
 """
 
 from __future__ import annotations
@@ -140,3 +141,34 @@ def register_sql_functions(spark: SparkSession, completion: ModelSpec = COMMENTA
 
 def commentary_prompt(df: DataFrame, name_col: str = "driver_name", pos_col: str = "position") -> Column:
     return X.commentary_prompt(name_col, pos_col)
+
+
+def register_table_functions(spark: SparkSession, completion: ModelSpec = COMMENTARY_MODEL,
+                             embedding: ModelSpec = EMBED_MODEL) -> None:
+    """The lateral table-function forms for SQL (J1, J2, B8):
+
+    ``SELECT ... FROM positions, LATERAL ai_complete_tf(prompt) AS ai_result(commentary)``
+    ``SELECT query, embedding FROM queries, LATERAL ml_predict_tf(query)``
+
+    Arrow-batched Python UDTFs; a row whose call yields nothing drops (inner lateral).
+    The DataFrame functions ``complete`` / ``embed`` are the faster path.
+    """
+    comp = completion.batch_fn or template_completion_batch
+    emb = embedding.batch_fn
+
+    @F.udtf(returnType="commentary: string", useArrow=True)
+    class AiCompleteTF:
+        def eval(self, prompt):
+            out = comp([prompt])[0]
+            if out is not None:
+                yield (out,)
+
+    @F.udtf(returnType="embedding: array<float>", useArrow=True)
+    class MlPredictTF:
+        def eval(self, text):
+            out = emb([text])[0]
+            if out is not None:
+                yield ([float(x) for x in out],)
+
+    spark.udtf.register("ai_complete_tf", AiCompleteTF)
+    spark.udtf.register("ml_predict_tf", MlPredictTF)

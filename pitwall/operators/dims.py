@@ -1,9 +1,11 @@
 """Small dimensions: roster helpers, teams, first driver per team.
 
-``bounded_broadcast`` is the only place that hints a broadcast. It proves the size bound
-with a cheap counting job (``limit(bound + 1).count()``) once per session and key; when
-the bound does not hold the frame is returned unhinted and Spark plans a shuffle join
-(AQE may still switch to a broadcast from real shuffle sizes).
+``bounded_broadcast`` is the only place that hints a broadcast. It is used for dimension
+tables (roster, teams) and proves the size bound with a cheap counting job
+(``limit(bound + 1).count()``) once per session and plan; when the bound does not hold
+the frame is returned unhinted and Spark plans a shuffle join. Sides derived from the
+data (per-race aggregates) are not hinted: adaptive execution measures their real
+shuffle size and switches to a broadcast join only below its threshold.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ _checked: dict = {}
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int, key=None) -> DataFrame:
+    """Hint a broadcast only after proving ``rows <= max_rows``; memoised per session and
+    plan (``key`` or the plan's semantic hash), so a dimension is counted once."""
     spark = df.sparkSession
-    memo_key = (id(spark), key) if key is not None else None
-    ok = _checked.get(memo_key) if memo_key is not None else None
+    memo_key = (id(spark), key if key is not None else df.semanticHash(), max_rows)
+    ok = _checked.get(memo_key)
     if ok is None:
         ok = df.limit(max_rows + 1).count() <= max_rows
-        if memo_key is not None:
-            _checked[memo_key] = ok
+        _checked[memo_key] = ok
     return F.broadcast(df) if ok else df
 
 

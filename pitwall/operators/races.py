@@ -71,9 +71,9 @@ def lifecycle(race_df: DataFrame) -> DataFrame:
 
 
 def _with_race(positions: DataFrame, race_df: DataFrame) -> DataFrame:
-    # one row per race: a dimension-sized side, broadcast when its size bound holds
-    r = bounded_broadcast(race_df.select("race_id", F.col("start_time").alias("_start"),
-                                         F.col("duration").alias("_dur")), 1_000_000)
+    # one row per race, derived from the data: no hint, adaptive execution broadcasts it
+    # from its measured size (and keeps the shuffle join when it is large)
+    r = race_df.select("race_id", F.col("start_time").alias("_start"), F.col("duration").alias("_dur"))
     return positions.join(r, "race_id")
 
 

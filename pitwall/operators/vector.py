@@ -104,3 +104,10 @@ def limit_overall(result: DataFrame, n: int = 5) -> DataFrame:
 def similarity(df: DataFrame, a: str, b: str, out: str = "similarity") -> DataFrame:
     """Cosine similarity of two array columns of the same row (JVM expression)."""
     return df.withColumn(out, X.cosine(a, b))
+
+
+def queries_from(spark, rows: list[tuple], with_vectors: bool = False) -> DataFrame:
+    """Inline query rows (``INSERT ... VALUES``): (query) or (query_id, vector)."""
+    if with_vectors:
+        return spark.createDataFrame(rows, "query_id string, vector array<double>")
+    return spark.createDataFrame(rows, "query string")

@@ -104,3 +104,12 @@ def bounded_history(df: DataFrame, keys: Sequence[str], order: Sequence[str], n:
     most ``n`` rows per key in each task before the shuffle)."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def to_table(df: DataFrame, table: str, checkpoint: str | None = None, mode: str = "append"):
+    """K5: continuous ``INSERT INTO table SELECT ...`` (streaming) or a batch insert."""
+    if df.isStreaming:
+        return (df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+                .toTable(table))
+    df.write.mode(mode).saveAsTable(table) if mode == "overwrite" else df.write.insertInto(table)
+    return None

@@ -55,3 +55,12 @@ def lifecycle(positions: DataFrame, duration_s: int = DURATION_S, delay: str = "
     res = p.groupBy("race_id").applyInPandasWithState(
         _lifecycle_fn(duration_s), LIFECYCLE_OUT, LIFECYCLE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return res.select("race_id", "status", F.timestamp_micros("at_us").alias("at"))
+
+
+def with_event_time(df: DataFrame, ms_col: str | None = None, ts_col: str = "ts", delay: str = "1 minute") -> DataFrame:
+    """H1: event time from epoch milliseconds (when ``ms_col`` is given) plus a watermark
+    of ``delay``; rows later than the watermark are dropped by stateful operators and
+    counted in the query progress (``numRowsDroppedByWatermark``)."""
+    if ms_col:
+        df = df.withColumn(ts_col, F.timestamp_millis(ms_col))
+    return df.withWatermark(ts_col, delay)

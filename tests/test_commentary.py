@@ -91,3 +91,18 @@ def test_embed_whole_text_normalised(spark):
     expect = ai.hashed_bow([long_text])[0]
     assert max(abs(a - b) for a, b in zip(v, expect)) == 0     # the last word counts too
     assert got[2] is None
+
+
+def test_sql_lateral_forms(spark):
+    ai.register_table_functions(spark)
+    spark.createDataFrame([("Ada Quill", 1), ("Ben Marsh", 4)], "driver_name string, position int") \
+        .createOrReplaceTempView("lateral_positions")
+    got = spark.sql("""
+        SELECT driver_name, ai_result.commentary FROM lateral_positions,
+        LATERAL ai_complete_tf(CONCAT('Driver: ', driver_name, ', Position: ', CAST(position AS STRING),
+                                      '. Generate exciting F1 commentary. Keep it under 80 characters.')) AS ai_result
+    """).collect()
+    assert sorted((r.driver_name, r.commentary) for r in got) == [
+        ("Ada Quill", "Ada Quill is running P1!"), ("Ben Marsh", "Ben Marsh is running P4!")]
+    emb = spark.sql("SELECT q, embedding FROM VALUES ('Comments about a driver') AS t(q), LATERAL ml_predict_tf(q)")
+    assert len(emb.collect()[0].embedding) == ai.EMBED_DIM
