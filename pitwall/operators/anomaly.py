@@ -82,7 +82,7 @@ def ar1(metrics: DataFrame, value_col: str = "engine_temperature", team_col: str
     df = _prepare(metrics, value_col)
     chunk = sequence.time_chunk("ts_ms", chunk_ms)
     order = ["ts_ms", "arrival"]
-    df = sequence.previous(df, [team_col], order, chunk, ["_v"])
+    df = sequence.previous(df, [team_col], order, chunk, ["_v"], keep_parts=True)
     x, y = F.col("prev__v"), F.col("_v")
     ok = x.isNotNull() & y.isNotNull()
 

@@ -6,12 +6,17 @@ task. Here every key's sequence is cut into chunks (a column the caller derives
 ordering value: an offset range or a time bucket), the window runs per (key, chunk) in
 parallel, and the chunk boundaries are fixed with a small per-(key, chunk) summary table:
 
-1. per-row values inside the chunk (window over key + chunk);
-2. one summary row per (key, chunk) (partial aggregation before its shuffle);
+1. per-row values inside the chunk (window over key + chunk: the one shuffle of rows);
+2. one summary row per (key, chunk) by a partial aggregation over a column-pruned
+   second read of the input: only one row per (key, chunk) and map task is shuffled
+   (reusing step 1's shuffle output instead would re-read every row);
 3. a window over the summary table per key, ordered by chunk (few rows per key);
 4. an equi-join of the summary back onto the rows on (key, chunk). The row side is
    already hash-partitioned on exactly these columns by step 1, so only the summary moves.
 
+With ``keep_parts=True`` the partitioning columns stay in the output, and a following
+call on the same keys and chunks reuses the partitioning instead of shuffling again.
+
 Keys may be null; they are replaced by (coalesced value, is-null flag) column pairs so
 that a plain equi-join (which keeps the step-1 partitioning) still matches null keys.
 """
@@ -35,37 +40,51 @@ def _default_for(dt: T.DataType) -> Column:
     return F.lit(None).cast(dt)
 
 
-def _norm_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+PART_COLS = ("_kv", "_kn", "_chunk")
+
+
+def _norm_keys(df: DataFrame, keys: Sequence[str], chunk: Column) -> tuple[DataFrame, list[str]]:
+    """Add the (value, is-null) key pairs and ``_chunk`` unless a previous helper call
+    left them in place (then its partitioning is reused and no new shuffle is needed)."""
+    names = [n for i in range(len(keys)) for n in (f"_kv{i}", f"_kn{i}")]
+    if all(n in df.columns for n in names) and "_chunk" in df.columns:
+        return df, names
     types = {f.name: f.dataType for f in df.schema.fields}
-    cols, names = [], []
+    cols = []
     for i, k in enumerate(keys):
         cols.append(F.coalesce(F.col(k), _default_for(types[k])).alias(f"_kv{i}"))
         cols.append(F.col(k).isNull().alias(f"_kn{i}"))
-        names += [f"_kv{i}", f"_kn{i}"]
-    return df.select("*", *cols), names
+    return df.select("*", *cols, chunk.alias("_chunk")), names
+
+
+def _out_cols(df: DataFrame, keep_parts: bool) -> list[str]:
+    return [c for c in df.columns if keep_parts or not c.startswith(PART_COLS)]
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-             cols: Sequence[str], prefix: str = "prev_") -> DataFrame:
+             cols: Sequence[str], prefix: str = "prev_", keep_parts: bool = False) -> DataFrame:
     """Add ``prefix + c`` = value of ``c`` on the previous row of the same key by
-    ``order`` (null on the key's first row)."""
-    base, kn = _norm_keys(df, keys)
-    base = base.withColumn("_chunk", chunk)
+    ``order`` (null on the key's first row). ``keep_parts`` leaves the partitioning
+    columns for a following helper call on the same keys and chunks."""
+    base, kn = _norm_keys(df, keys, chunk)
     part = [*kn, "_chunk"]
     w = Window.partitionBy(*part).orderBy(*order)
     row = F.struct(*[F.col(c) for c in cols])
     local = base.select("*", F.lag(row).over(w).alias("_lag"),
                         (F.row_number().over(w) == 1).alias("_first"))
+    # per-chunk summary: the chunk's last row, by a partial aggregation (one row per
+    # (key, chunk) and map task crosses the shuffle)
     last = base.groupBy(*part).agg(F.max_by(row, F.struct(*order)).alias("_last"))
     carry = last.select(*part, F.lag("_last").over(
         Window.partitionBy(*kn).orderBy("_chunk")).alias("_carry"))
     joined = local.join(carry, part, "inner")
     prev = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))
-    return joined.select(*df.columns, *[prev.getField(c).alias(prefix + c) for c in cols])
+    keep = [c for c in _out_cols(base, keep_parts)]
+    return joined.select(*keep, *[prev.getField(c).alias(prefix + c) for c in cols])
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-                sums: dict[str, Column], range_order: bool = False) -> DataFrame:
+                sums: dict[str, Column], range_order: bool = False, keep_parts: bool = False) -> DataFrame:
     """Add one exact exclusive prefix sum per entry of ``sums`` (name -> integral column).
 
     ``range_order=False``: rows strictly before the current row by ``order`` (a total
@@ -76,8 +95,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
     Results are DECIMAL(38,0): chunk totals are summed as decimals so that the running
     value cannot overflow however many rows a key holds.
     """
-    base, kn = _norm_keys(df, keys)
-    base = base.withColumn("_chunk", chunk)
+    base, kn = _norm_keys(df, keys, chunk)
     part = [*kn, "_chunk"]
     w = Window.partitionBy(*part).orderBy(*order)
     frame = (w.rangeBetween(Window.unboundedPreceding, -1) if range_order
@@ -85,12 +103,14 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
     dec = T.DecimalType(38, 0)
     local = base.select("*", *[F.coalesce(F.sum(c).over(frame), F.lit(0)).cast(dec).alias(f"_l_{n}")
                                for n, c in sums.items()])
+    # per-chunk totals by a partial aggregation (one row per (key, chunk) and map task
+    # crosses the shuffle)
     tot = base.groupBy(*part).agg(*[F.sum(c).cast(dec).alias(f"_t_{n}") for n, c in sums.items()])
     wo = Window.partitionBy(*kn).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*part, *[F.coalesce(F.sum(f"_t_{n}").over(wo), F.lit(0)).cast(dec).alias(f"_o_{n}")
                               for n in sums])
     joined = local.join(off, part, "inner")
-    return joined.select(*df.columns,
+    return joined.select(*_out_cols(base, keep_parts),
                          *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).cast(dec).alias(n) for n in sums])
 
 

@@ -75,10 +75,10 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, q_id: str = "query_
     query; ties broken by the smaller corpus id; zero/missing vectors never match."""
     spark = corpus.sparkSession
     qs = queries.select(F.col(q_id).alias("query_id"), F.col(q_vec).alias("vector"))
-    n_q = qs.limit(max_queries + 1).count()
-    if n_q > max_queries:
+    rows = qs.limit(max_queries + 1).collect()          # bounded: at most max_queries + 1 rows
+    if len(rows) > max_queries:
         raise ValueError(f"more than {max_queries} query vectors; split the query set into batches")
-    rows = [r for r in qs.collect() if r["vector"] is not None]
+    rows = [r for r in rows if r["vector"] is not None]
     q_type = qs.schema["query_id"].dataType.simpleString()
     if not rows:
         return spark.createDataFrame([], f"query_id {q_type}, vec_id long, rank int, similarity double")

@@ -31,8 +31,22 @@ def with_instant_time(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+# Declared schemas of the tables the operators read: no schema inference job per read
+# (at scale, no footer discovery across many files either).
+SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return with_instant_time(spark.read.parquet(path(sf_dir, name)))
+    r = spark.read
+    if name in SCHEMAS:
+        r = r.schema(SCHEMAS[name])
+    return with_instant_time(r.parquet(path(sf_dir, name)))
 
 
 def register_all(spark: SparkSession, sf_dir: str) -> None:

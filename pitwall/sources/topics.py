@@ -42,7 +42,8 @@ def demux(frames: DataFrame, topic: str) -> DataFrame:
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """A given table as a file stream (replay of a topic); times cast as in batch."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
+    from pitwall.sources.tables import SCHEMAS
+    schema = SCHEMAS.get(name) or spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
