@@ -44,26 +44,25 @@ class ModelSpec:
     params: dict[str, Any] = dataclasses.field(default_factory=dict)
 
 
-_PROMPT_RE = r"^Driver: (.*), Position: ([0-9]+)\."
-
-
 def template_completion(prompt: Column) -> Column:
-    """Offline text generation: reads the driver and position back from the prompt."""
-    name = F.regexp_extract(prompt, _PROMPT_RE, 1)
-    pos = F.regexp_extract(prompt, _PROMPT_RE, 2)
+    """Offline text generation: reads the driver and position back from the prompt
+    (plain substring scans: the name between 'Driver: ' and ', Position: ', the position
+    up to the next '.')."""
+    name = F.substring_index(F.substring_index(prompt, X.PROMPT_MID, 1), X.PROMPT_HEAD, -1)
+    pos = F.substring_index(F.substring_index(prompt, X.PROMPT_MID, -1), ".", 1)
     return F.substring(F.concat(name, F.lit(" is running P"), pos, F.lit("!")), 1, COMPLETION_MAX_CHARS)
 
 
-_PROMPT_PY = re.compile(_PROMPT_RE)
-
-
 def template_completion_batch(prompts: list) -> list:
     """The same template for the SQL function form (Python batches)."""
     out = []
     for p in prompts:
-        m = _PROMPT_PY.match(p) if p is not None else None
-        name, pos = (m.group(1), m.group(2)) if m else ("", "")
-        out.append(None if p is None else f"{name} is running P{pos}!"[:COMPLETION_MAX_CHARS])
+        if p is None:
+            out.append(None)
+            continue
+        name = p.split(X.PROMPT_MID, 1)[0].rsplit(X.PROMPT_HEAD, 1)[-1]
+        pos = p.rsplit(X.PROMPT_MID, 1)[-1].split(".", 1)[0]
+        out.append(f"{name} is running P{pos}!"[:COMPLETION_MAX_CHARS])
     return out
 
 

@@ -187,8 +187,8 @@ decoded AS (
 
 GENERATED = """generated AS (
   SELECT 'comment-' || CAST(epoch_us(ts) // 1000000 AS VARCHAR) || '-' || replace(driver_name, ' ', '_') AS id,
-         left(regexp_extract(p, '^Driver: (.*), Position: ([0-9]+)\\.', 1) || ' is running P'
-              || regexp_extract(p, '^Driver: (.*), Position: ([0-9]+)\\.', 2) || '!', 80) AS message,
+         left(split_part(split_part(p, ', Position: ', 1), 'Driver: ', 2) || ' is running P'
+              || split_part(split_part(p, ', Position: ', 2), '.', 1) || '!', 80) AS message,
          (epoch_us(ts) // 1000) AS timestamp,
          CASE WHEN position = 1 THEN 'highlight' WHEN position <= 3 THEN 'warning' ELSE 'info' END AS type,
          arrival, race_id, driver_name
