@@ -192,6 +192,11 @@ def anomaly_dedupe(spark, sf):
     return ntz(anomaly.dedupe(_enriched(spark, sf)))
 
 
+def anomaly_feed50(spark, sf):
+    """The alert feed: deduplicated, newest first, capped at 50."""
+    return ntz(anomaly.recent(anomaly.dedupe(_enriched(spark, sf)), 50))
+
+
 def teams_distinct(spark, sf):
     return dims.teams(V.metrics(spark, sf))
 
@@ -222,6 +227,11 @@ def commentary_dedupe(spark, sf):
     return commentary.dedupe(_generated(spark, sf))
 
 
+def commentary_feed50(spark, sf):
+    """The commentary feed: deduplicated by id, newest first, capped at 50."""
+    return commentary.recent(commentary.dedupe(_generated(spark, sf)), 50)
+
+
 def envelope_json(spark, sf):
     env = sinks.envelope(_enriched(spark, sf), "anomaly", sinks.anomaly_envelope_fields())
     return sinks.parse_envelope(env, sinks.ANOMALY_ENVELOPE_SCHEMA)
@@ -260,8 +270,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         races_evicted, race_lifecycle, race_lap, race_history, driver_validate_semi,
         driver_validate_anti, avg_speed, avg_speed_tumbling, anomaly_gaussian, anomaly_ar1,
         anomaly_enriched, anomaly_severity, anomaly_recent100, anomaly_last20, anomaly_dedupe,
-        teams_distinct, team_lead, commentary_generate, commentary_decode, commentary_mentions,
-        commentary_recent50, commentary_dedupe, envelope_json, upsert_latest, embed_queries,
-        vector_topk, vector_topk_limit5,
+        anomaly_feed50, teams_distinct, team_lead, commentary_generate, commentary_decode,
+        commentary_mentions, commentary_recent50, commentary_dedupe, commentary_feed50,
+        envelope_json, upsert_latest, embed_queries, vector_topk, vector_topk_limit5,
     ]
 }

@@ -280,6 +280,13 @@ top AS (SELECT {ALERT_COLS} FROM alerts ORDER BY ts_ms DESC, arrival DESC LIMIT
 SELECT *, CAST(row_number() OVER (ORDER BY ts_ms, arrival) AS INTEGER) AS seq FROM top"""
     q["anomaly_dedupe"] = (f"{_alerts_flagged()} SELECT {ALERT_COLS} FROM alerts "
                            f"QUALIFY row_number() OVER (PARTITION BY timestamp, team_name, metric_name ORDER BY arrival) = 1")
+    q["anomaly_feed50"] = f"""{_alerts_flagged()},
+d AS (SELECT {ALERT_COLS} FROM alerts
+      QUALIFY row_number() OVER (PARTITION BY timestamp, team_name, metric_name ORDER BY arrival) = 1)
+SELECT * FROM d ORDER BY ts_ms DESC, arrival DESC LIMIT 50"""
+    q["commentary_feed50"] = f"""WITH {POSITIONS}, {GENERATED},
+d AS (SELECT * FROM generated QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrival) = 1)
+SELECT * FROM d ORDER BY arrival DESC LIMIT 50"""
     q["teams_distinct"] = f"WITH {METRICS} SELECT DISTINCT team_name FROM metrics WHERE team_name IS NOT NULL"
     q["team_lead"] = (f"WITH {POSITIONS} SELECT team, arg_min(name, id) AS lead_driver FROM roster "
                       f"WHERE name IN (SELECT driver_name FROM positions) GROUP BY team")
