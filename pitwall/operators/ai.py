@@ -138,10 +138,6 @@ def register_sql_functions(spark: SparkSession, completion: ModelSpec = COMMENTA
     spark.udf.register("ml_predict", ml_predict)
 
 
-def commentary_prompt(df: DataFrame, name_col: str = "driver_name", pos_col: str = "position") -> Column:
-    return X.commentary_prompt(name_col, pos_col)
-
-
 def register_table_functions(spark: SparkSession, completion: ModelSpec = COMMENTARY_MODEL,
                              embedding: ModelSpec = EMBED_MODEL) -> None:
     """The lateral table-function forms for SQL (J1, J2, B8):

@@ -61,12 +61,11 @@ def _fifo_fold(cap: int):
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur_race, is_null_race, slots = None, None, []
-        out_r, out_n, out_d, out_s = [], [], [], []
+        out_r, out_d, out_s = [], [], []
 
         def flush():
             for i, d in enumerate(slots):
                 out_r.append(cur_race)
-                out_n.append(is_null_race)
                 out_d.append(d)
                 out_s.append(i + 1)
 
@@ -97,21 +96,36 @@ def _fifo_fold(cap: int):
 def bounded(positions: DataFrame, cap: int = CAP) -> DataFrame:
     """The per-race list capped at ``cap`` entries with FIFO eviction of slots.
 
-    Which drivers survive depends on the whole arrival order of the race (a FIFO cache
-    is not decomposable), so the membership fold runs per race: the rows are hash
-    partitioned by race and sorted by arrival, then folded in one streaming pass holding
-    only ``cap`` names per race. The values of the survivors are their latest messages,
-    taken from the parallel ``latest`` aggregate and joined on (race, driver).
+    * A race with at most ``cap`` distinct drivers never evicts: its list is every
+      driver's latest message, in order of first arrival. This is computed from one
+      partial aggregation per (race, driver) and a window over those few rows per race,
+      so a hot race costs no more than any aggregate.
+    * Only races with more than ``cap`` distinct drivers need the arrival order: which
+      drivers survive depends on the whole sequence (a FIFO cache is not decomposable),
+      so their membership is one streaming fold per race. Their (race, driver, arrival)
+      rows are hash-partitioned by race, sorted by arrival and folded holding only
+      ``cap`` names per race (the group is never collected); the survivors' values come
+      from the same aggregate.
     """
+    rest = [c for c in positions.columns if c not in KEYS]
+    stats = (positions.groupBy(*KEYS)
+             .agg(F.max_by(F.struct(*rest), F.col("arrival")).alias("_m"), F.min("arrival").alias("_first")))
+    per_race = Window.partitionBy("race_id")
+    stats = stats.withColumn("_drivers", F.count(F.lit(1)).over(per_race))
+    small = (stats.where(F.col("_drivers") <= cap)
+             .withColumn("slot", F.row_number().over(per_race.orderBy("_first")).cast("int"))
+             .select(*KEYS, "slot", "_m.*"))
+    crowded = stats.where(F.col("_drivers") > cap).select(F.col("race_id").alias("_race")).distinct()
     slim = positions.select("race_id", "driver_name", "arrival")
+    slim = slim.join(crowded, slim.race_id.eqNullSafe(crowded._race), "left_semi")
     members = (slim.repartition("race_id")
                .sortWithinPartitions("race_id", "arrival")
                .mapInPandas(_fifo_fold(cap), "race_id string, driver_name string, slot int"))
-    last = latest(positions)
+    last = stats.where(F.col("_drivers") > cap).select(*KEYS, "_m.*")
     cond = (members.race_id.eqNullSafe(last.race_id)) & (members.driver_name == last.driver_name)
-    return members.join(last, cond, "inner").select(
-        members.race_id, members.driver_name, "slot",
-        *[last[c] for c in last.columns if c not in KEYS])
+    big = members.join(last, cond, "inner").select(
+        members.race_id, members.driver_name, "slot", *[last[c] for c in rest])
+    return small.unionByName(big)
 
 
 def enrich(board: DataFrame, roster: DataFrame, selected_driver: str | None = None) -> DataFrame:

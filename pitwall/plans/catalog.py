@@ -237,6 +237,11 @@ def envelope_json(spark, sf):
     return sinks.parse_envelope(env, sinks.ANOMALY_ENVELOPE_SCHEMA)
 
 
+def commentary_envelope(spark, sf):
+    env = sinks.envelope(_decoded_comments(spark, sf), "commentary", sinks.commentary_envelope_fields())
+    return sinks.parse_envelope(env, sinks.COMMENTARY_ENVELOPE_SCHEMA)
+
+
 def upsert_latest(spark, sf):
     d = _gauss(spark, sf).where(F.col("forecast").isNotNull())
     return ntz(sinks.latest_per_key(d.withColumn("ts", F.timestamp_millis("ts_ms")),
@@ -272,6 +277,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         anomaly_enriched, anomaly_severity, anomaly_recent100, anomaly_last20, anomaly_dedupe,
         anomaly_feed50, teams_distinct, team_lead, commentary_generate, commentary_decode,
         commentary_mentions, commentary_recent50, commentary_dedupe, commentary_feed50,
-        envelope_json, upsert_latest, embed_queries, vector_topk, vector_topk_limit5,
+        envelope_json, commentary_envelope, upsert_latest, embed_queries, vector_topk,
+        vector_topk_limit5,
     ]
 }

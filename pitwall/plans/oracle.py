@@ -299,11 +299,14 @@ SELECT * FROM d ORDER BY arrival DESC LIMIT 50"""
     q["commentary_dedupe"] = (f"WITH {POSITIONS}, {GENERATED} SELECT * FROM generated "
                               f"QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrival) = 1")
     q["envelope_json"] = f"""{_alerts_flagged()}
-SELECT 'anomaly' AS type, coalesce(team_name, '') AS team_name, coalesce(driver_name, '') AS driver_name,
+SELECT 'anomaly' AS kind, coalesce(team_name, '') AS team_name, coalesce(driver_name, '') AS driver_name,
        coalesce(key, '') AS race_id, timestamp, coalesce(metric_name, '') AS metric_name,
        coalesce(metric_value, 0.0::DOUBLE) AS metric_value, coalesce(confidence_score, 0.0::DOUBLE) AS confidence_score,
        coalesce(severity, 'info') AS severity
 FROM alerts"""
+    q["commentary_envelope"] = f"""WITH {COMMENTS}
+SELECT 'commentary' AS kind, id, message, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp,
+       coalesce(type, 'info') AS type FROM decoded"""
     q["upsert_latest"] = f"""WITH {_gauss_cte()}
 SELECT key, make_timestamp(ts_ms * 1000) AS ts, team_name, engine_temperature, is_anomaly FROM gauss
 WHERE forecast IS NOT NULL

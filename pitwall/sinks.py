@@ -42,6 +42,17 @@ ANOMALY_ENVELOPE_SCHEMA = T.StructType([
     ])),
 ])
 
+COMMENTARY_ENVELOPE_SCHEMA = T.StructType([
+    T.StructField("type", T.StringType()),
+    T.StructField("data", T.StructType([
+        T.StructField("id", T.StringType()),
+        T.StructField("message", T.StringType()),
+        T.StructField("timestamp", T.StringType()),
+        T.StructField("type", T.StringType()),
+    ])),
+])
+
+
 def commentary_envelope_fields() -> list[tuple[str, Column]]:
     """Commentary notification fields: ISO time, default type 'info'."""
     return [
@@ -59,8 +70,9 @@ def envelope(df: DataFrame, kind: str, fields: Sequence[tuple[str, Column]]) ->
 
 
 def parse_envelope(env: DataFrame, schema: T.StructType) -> DataFrame:
+    """Envelope JSON -> (kind = envelope type, data fields...)."""
     p = env.select(F.from_json("message", schema).alias("_e"))
-    return p.select(F.col("_e.type").alias("type"), "_e.data.*")
+    return p.select(F.col("_e.type").alias("kind"), "_e.data.*")
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str]) -> DataFrame:

@@ -105,10 +105,6 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
 
 
-def ts_ms(df: DataFrame, c: str = "ts") -> DataFrame:
-    return df.withColumn(c + "_ms", X.ts_to_ms(c))
-
-
 def register_views(spark: SparkSession, sf_dir: str) -> None:
     """The canonical inputs as SQL temp views (roster, positions, metrics, comments,
     corpus), so the same operators can be written as SQL over them."""

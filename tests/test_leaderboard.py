@@ -132,3 +132,22 @@ def test_avg_speed_exact(spark):
     rows = [_row(1, "r", "a", 1, speed=0.1), _row(2, "r", "a", 1, speed=0.2), _row(3, "r", "a", 1, speed=None)]
     r = lb.avg_speed(_pos(spark, rows)).collect()[0]
     assert r.n == 2 and r.avg_speed == 0.15
+
+
+def test_hot_race_without_eviction_and_crowded_race(spark):
+    rng = random.Random(13)
+    rows, seqs, arrival = [], {"hot": [], "crowded": []}, 0
+    for _ in range(600):                              # hot race: 6 drivers, many messages
+        d = f"h{rng.randrange(6)}"
+        rows.append(_row(arrival, "hot", d, rng.randrange(1, 11)))
+        seqs["hot"].append(d)
+        arrival += 1
+    for _ in range(80):                               # crowded race: 15 drivers
+        d = f"c{rng.randrange(15)}"
+        rows.append(_row(arrival, "crowded", d, rng.randrange(1, 11)))
+        seqs["crowded"].append(d)
+        arrival += 1
+    got = {}
+    for r in lb.bounded(_pos(spark, rows)).orderBy("slot").collect():
+        got.setdefault(r.race_id, []).append(r.driver_name)
+    assert got == {k: fifo(v, 10) for k, v in seqs.items()}
