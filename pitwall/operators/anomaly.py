@@ -13,7 +13,8 @@ a one-step forecast is made, and the row is flagged when its value leaves the tw
 The moments are exact: the two-decimal measure is taken as integer cents and all sums
 are integers (decimal(38,0) once they are combined), so every engine derives the same
 doubles from them. Running sums per team use ``sequence.prefix_sums``: the series is cut
-into event-time chunks so that one hot team spreads over many tasks.
+into event-time chunks sized per team (about ``CHUNK_ROWS`` rows each), so one hot team
+spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pitwall.operators.dims import bounded_broadcast, team_lead
 CONFIDENCE_PCT = 90.0        # fixed values of the detector options
 MIN_TRAINING = 16
 HORIZON = 1
-CHUNK_MS = 86_400_000        # event-time chunk for running sums (1 day)
+CHUNK_ROWS = 1_000_000       # target rows per event-time chunk of one team (running sums)
 
 
 def z_value(confidence_pct: float = CONFIDENCE_PCT) -> float:
@@ -46,14 +47,21 @@ def _prepare(metrics: DataFrame, value_col: str) -> DataFrame:
     return metrics.withColumn("ts_ms", X.ts_to_ms("ts")).withColumn("_v", F.round(F.col(value_col) * 100).cast("long"))
 
 
+def _chunked(df: DataFrame, team_col: str, chunk_ms: int | None, chunk_rows: int):
+    """Event-time chunks: fixed width when ``chunk_ms`` is given, else sized per team."""
+    if chunk_ms:
+        return df, sequence.time_chunk("ts_ms", chunk_ms)
+    return sequence.balanced_time_chunk(df, [team_col], "ts_ms", chunk_rows), F.col("_tchunk")
+
+
 def gaussian(metrics: DataFrame, value_col: str = "engine_temperature", team_col: str = "team_name",
              confidence_pct: float = CONFIDENCE_PCT, min_training: int = MIN_TRAINING,
-             chunk_ms: int = CHUNK_MS) -> DataFrame:
+             chunk_ms: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     z = z_value(confidence_pct)
-    df = _prepare(metrics, value_col)
+    df, chunk = _chunked(_prepare(metrics, value_col), team_col, chunk_ms, chunk_rows)
     v = F.col("_v")
     s = sequence.prefix_sums(
-        df, [team_col], ["ts_ms"], sequence.time_chunk("ts_ms", chunk_ms),
+        df, [team_col], ["ts_ms"], chunk,
         {"_n": F.when(v.isNotNull(), F.lit(1)).otherwise(F.lit(0)),
          "_s1": F.coalesce(v, F.lit(0)), "_s2": F.coalesce(v * v, F.lit(0))},
         range_order=True)
@@ -77,10 +85,9 @@ def gaussian(metrics: DataFrame, value_col: str = "engine_temperature", team_col
 
 def ar1(metrics: DataFrame, value_col: str = "engine_temperature", team_col: str = "team_name",
         confidence_pct: float = CONFIDENCE_PCT, min_training: int = MIN_TRAINING,
-        chunk_ms: int = CHUNK_MS) -> DataFrame:
+        chunk_ms: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     z = z_value(confidence_pct)
-    df = _prepare(metrics, value_col)
-    chunk = sequence.time_chunk("ts_ms", chunk_ms)
+    df, chunk = _chunked(_prepare(metrics, value_col), team_col, chunk_ms, chunk_rows)
     order = ["ts_ms", "arrival"]
     df = sequence.previous(df, [team_col], order, chunk, ["_v"], keep_parts=True)
     x, y = F.col("prev__v"), F.col("_v")

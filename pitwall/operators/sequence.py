@@ -114,6 +114,46 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
                          *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).cast(dec).alias(n) for n in sums])
 
 
+def balanced_time_chunk(df: DataFrame, keys: Sequence[str], ms_col: str,
+                        target_rows: int = 1_000_000, out: str = "_tchunk",
+                        max_keys: int = 100_000) -> DataFrame:
+    """Add ``out``: per key, event-time buckets sized so that one bucket holds about
+    ``target_rows`` rows at the key's average rate (a hot key gets narrow buckets, a cold
+    one a single bucket). The bucket is a function of (key, event time), so peers with
+    equal time always share a bucket.
+
+    The sizes come from one small aggregate per key (count, first and last time; a
+    column-pruned scan with map-side partial aggregation). Up to ``max_keys`` keys it is
+    broadcast as a local relation (bounded, checked by the ``limit``); beyond that one
+    global width is used instead (no join at all).
+    """
+    spark = df.sparkSession
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"), F.min(ms_col).alias("_t0"),
+                                  F.max(ms_col).alias("_t1"))
+    rows = stats.limit(max_keys + 1).collect()
+
+    def width(cnt, t0, t1):
+        return F.greatest(F.lit(1), F.ceil((t1 - t0 + 1) * F.lit(target_rows) / cnt)).cast("long")
+
+    if len(rows) > max_keys:
+        g = df.agg(F.count(F.lit(1)).alias("c"), F.min(ms_col).alias("a"), F.max(ms_col).alias("b")).collect()[0]
+        w = width(F.lit(g["c"]), F.lit(g["a"]), F.lit(g["b"]))
+        bucket = F.floor((F.col(ms_col) - F.lit(g["a"])) / w).cast("long")
+        return df.withColumn(out, F.coalesce(bucket, F.lit(-1).cast("long")))
+    local = spark.createDataFrame(rows, stats.schema)
+    local = local.select(*[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)], "_t0",
+                         width(F.col("_cnt"), F.col("_t0"), F.col("_t1")).alias("_w"))
+    local = F.broadcast(local)
+    cond = None
+    for i, k in enumerate(keys):
+        c = df[k].eqNullSafe(local[f"_sk{i}"])
+        cond = c if cond is None else cond & c
+    j = df.join(local, cond, "left")
+    bucket = F.floor((F.col(ms_col) - F.col("_t0")) / F.col("_w")).cast("long")
+    return j.withColumn(out, F.coalesce(bucket, F.lit(-1).cast("long"))).drop(
+        *[f"_sk{i}" for i in range(len(keys))], "_t0", "_w")
+
+
 def offset_chunk(offset_col: str, width: int) -> Column:
     """Chunk by dense offsets: at most ``width`` rows per chunk and key."""
     return F.floor(F.col(offset_col) / F.lit(width)).cast("long")

@@ -139,3 +139,15 @@ def test_hot_team_chunking_does_not_change_results(spark, method):
     a = {r.arrival: (r.n, r.is_anomaly, r.forecast) for r in fn(df, chunk_ms=5_000).collect()}
     b = {r.arrival: (r.n, r.is_anomaly, r.forecast) for r in fn(df, chunk_ms=10 ** 12).collect()}
     assert a == b
+
+
+def test_balanced_chunks_give_the_same_flags(spark):
+    rng = random.Random(21)
+    rows = _series("HOT", [round(rng.uniform(70, 110), 2) for _ in range(400)], step_s=1)
+    rows += _series("cold", [round(rng.uniform(70, 110), 2) for _ in range(30)], start=1000, step_s=11)
+    rows.append((5000, "race", rows[100][2], "HOT", 88.8))                 # a peer of row 100
+    df = _m(spark, rows)
+    for fn in (anomaly.gaussian, anomaly.ar1):
+        a = {r.arrival: (r.n, r.is_anomaly, r.forecast) for r in fn(df, chunk_rows=37).collect()}
+        b = {r.arrival: (r.n, r.is_anomaly, r.forecast) for r in fn(df, chunk_ms=10 ** 12).collect()}
+        assert a == b
