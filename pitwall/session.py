@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -41,9 +42,38 @@ def get_session(master: str | None = None, app: str = "pitwall",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_utc(spark)
+    ship_package(spark)
     return spark
 
 
+_shipped: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``pitwall`` importable in the Python workers of this application.
+
+    UDFs and stateful functions refer to module-level helpers, which workers import by
+    name; the package source is zipped once and added with ``addPyFile`` (distributed to
+    every executor by Spark), so jobs do not depend on the workers' ``PYTHONPATH``.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _shipped:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    fd, zpath = tempfile.mkstemp(prefix="pitwall-src-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _shipped.add(app)
+
+
 def ensure_utc(spark: SparkSession) -> None:
     """Event time is epoch based; pin the session zone so casts are zone-free."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
