@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pitwall.functions import exprs as X
 from pitwall.operators import sequence
 from pitwall.operators.dims import bounded_broadcast
+from pitwall.session import checkpoint_root
 
 KEYS = ("race_id", "driver_name")
 CAP = 10                      # entries kept per race (fixed value of the behaviour)
@@ -93,19 +94,77 @@ def _fifo_fold(cap: int):
     return run
 
 
-def bounded(positions: DataFrame, cap: int = CAP) -> DataFrame:
+SPEC_CHUNK = 1 << 20          # offsets per speculative chunk of a crowded race
+SPEC_LOOKBACK = 1 << 16       # offsets replayed before a chunk to guess its starting list
+
+
+def _fold(names, slots: list, cap: int) -> list:
+    for d in names:
+        if d in slots:
+            continue
+        slots.append(d)
+        if len(slots) > cap:
+            del slots[0]
+    return slots
+
+
+def _speculate(cap: int):
+    """One (race, chunk) group: replay the lookback rows from an empty list to guess the
+    list at the chunk start, then fold the chunk's own rows. The group holds at most
+    chunk + lookback offsets of one race."""
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("arrival", kind="stable")
+        own = pdf[~pdf["_lb"]]
+        if own.empty:
+            return pd.DataFrame({"race_id": pd.Series([], dtype=object), "_chunk": pd.Series([], dtype="int64"),
+                                 "guess": pd.Series([], dtype=object), "end": pd.Series([], dtype=object)})
+        guess = _fold(pdf[pdf["_lb"]]["driver_name"].tolist(), [], cap)
+        end = _fold(own["driver_name"].tolist(), list(guess), cap)
+        return pd.DataFrame({"race_id": [key[0]], "_chunk": [key[1]], "guess": [guess], "end": [end]})
+    return run
+
+
+def _members_speculative(slim: DataFrame, cap: int, chunk: int, lookback: int) -> tuple[DataFrame, DataFrame]:
+    """(verified members, races whose speculation failed) for crowded races."""
+    c = F.floor(F.col("arrival") / F.lit(chunk)).cast("long")
+    own = slim.select("race_id", "driver_name", "arrival", c.alias("_chunk"), F.lit(False).alias("_lb"))
+    tail = (slim.where(F.col("arrival") >= (c + 1) * F.lit(chunk) - F.lit(lookback))
+            .select("race_id", "driver_name", "arrival", (c + 1).alias("_chunk"), F.lit(True).alias("_lb")))
+    spec = own.unionByName(tail).groupBy("race_id", "_chunk").applyInPandas(
+        _speculate(cap), "race_id string, _chunk long, guess array<string>, end array<string>")
+    w = Window.partitionBy("race_id").orderBy("_chunk")
+    prev = F.lag("end").over(w)
+    ok = F.when(prev.isNull(), F.size("guess") == 0).otherwise(F.col("guess") == prev)
+    per_race = (spec.withColumn("_ok", ok.cast("int")).groupBy("race_id")
+                .agg(F.min("_ok").alias("_all_ok"), F.max_by("end", "_chunk").alias("_final")))
+    # one small row per crowded race, written to the shared checkpoint folder so that the
+    # speculation runs once for both branches below (and survives executor loss)
+    checkpoint_root(slim.sparkSession)
+    per_race = per_race.checkpoint(eager=True)
+    verified = (per_race.where(F.col("_all_ok") == 1)
+                .select("race_id", F.posexplode("_final").alias("_pos", "driver_name"))
+                .select("race_id", "driver_name", (F.col("_pos") + 1).cast("int").alias("slot")))
+    failed = per_race.where(F.col("_all_ok") != 1).select(F.col("race_id").alias("_race"))
+    return verified, failed
+
+
+def bounded(positions: DataFrame, cap: int = CAP, chunk_offsets: int = SPEC_CHUNK,
+            lookback_offsets: int = SPEC_LOOKBACK) -> DataFrame:
     """The per-race list capped at ``cap`` entries with FIFO eviction of slots.
 
     * A race with at most ``cap`` distinct drivers never evicts: its list is every
       driver's latest message, in order of first arrival. This is computed from one
       partial aggregation per (race, driver) and a window over those few rows per race,
       so a hot race costs no more than any aggregate.
-    * Only races with more than ``cap`` distinct drivers need the arrival order: which
-      drivers survive depends on the whole sequence (a FIFO cache is not decomposable),
-      so their membership is one streaming fold per race. Their (race, driver, arrival)
-      rows are hash-partitioned by race, sorted by arrival and folded holding only
-      ``cap`` names per race (the group is never collected); the survivors' values come
-      from the same aggregate.
+    * A race with more drivers needs its arrival order (a FIFO cache is not
+      decomposable). It is cut into offset chunks processed in parallel: each chunk
+      guesses its starting list by replaying a lookback window from an empty list, then
+      folds its own rows; the guesses are verified as a chain (each guess must equal the
+      previous chunk's computed end). A race whose chain verifies takes the last chunk's
+      end, exactly; only a race whose speculation fails is folded sequentially (rows
+      hash-partitioned by race, sorted by arrival, streamed through ``mapInPandas``
+      holding ``cap`` names; the group is never collected).
+    The values of the listed drivers come from the same per-(race, driver) aggregate.
     """
     rest = [c for c in positions.columns if c not in KEYS]
     stats = (positions.groupBy(*KEYS)
@@ -118,9 +177,12 @@ def bounded(positions: DataFrame, cap: int = CAP) -> DataFrame:
     crowded = stats.where(F.col("_drivers") > cap).select(F.col("race_id").alias("_race")).distinct()
     slim = positions.select("race_id", "driver_name", "arrival")
     slim = slim.join(crowded, slim.race_id.eqNullSafe(crowded._race), "left_semi")
-    members = (slim.repartition("race_id")
-               .sortWithinPartitions("race_id", "arrival")
-               .mapInPandas(_fifo_fold(cap), "race_id string, driver_name string, slot int"))
+    verified, failed = _members_speculative(slim, cap, chunk_offsets, lookback_offsets)
+    rest_rows = slim.join(failed, slim.race_id.eqNullSafe(failed._race), "left_semi")
+    folded = (rest_rows.repartition("race_id")
+              .sortWithinPartitions("race_id", "arrival")
+              .mapInPandas(_fifo_fold(cap), "race_id string, driver_name string, slot int"))
+    members = verified.unionByName(folded)
     last = stats.where(F.col("_drivers") > cap).select(*KEYS, "_m.*")
     cond = (members.race_id.eqNullSafe(last.race_id)) & (members.driver_name == last.driver_name)
     big = members.join(last, cond, "inner").select(

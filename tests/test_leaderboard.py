@@ -151,3 +151,23 @@ def test_hot_race_without_eviction_and_crowded_race(spark):
     for r in lb.bounded(_pos(spark, rows)).orderBy("slot").collect():
         got.setdefault(r.race_id, []).append(r.driver_name)
     assert got == {k: fifo(v, 10) for k, v in seqs.items()}
+
+
+def test_speculative_chunks_equal_sequential_fold(spark):
+    rng = random.Random(17)
+    rows, seqs, arrival = [], {}, 0
+    for race in ["a", "b", None]:
+        seqs[race] = []
+    for _ in range(900):
+        race = rng.choice(["a", "a", "b", None])
+        d = f"d{rng.randrange(16)}"
+        rows.append(_row(arrival, race, d, rng.randrange(1, 11)))
+        seqs[race].append(d)
+        arrival += 1
+    expect = {k: fifo(v, 10) for k, v in seqs.items()}
+    for chunk, lookback in [(64, 48), (64, 2), (10 ** 9, 1)]:       # long, too-short and no chunking
+        got = {}
+        for r in lb.bounded(_pos(spark, rows), chunk_offsets=chunk, lookback_offsets=lookback) \
+                .orderBy("slot").collect():
+            got.setdefault(r.race_id, []).append(r.driver_name)
+        assert got == expect, (chunk, lookback)
