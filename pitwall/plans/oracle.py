@@ -322,6 +322,7 @@ QUALIFY row_number() OVER (PARTITION BY key, ts_ms ORDER BY arrival DESC) = 1"""
     q["stream_anomaly_ar1"] = f"WITH {_ar1_cte()} " + up.format(t="ar1")
     q["stream_dedupe"] = f"WITH {POSITIONS}, {GENERATED} SELECT DISTINCT id, driver_name FROM generated"
     q["stream_lifecycle"] = q["race_lifecycle"]
+    q["stream_avg_speed"] = q["avg_speed"]
     return q
 
 
