@@ -152,3 +152,43 @@ def test_lifecycle_timer(spark, tmp_dir):
     # the watermark (200 s - 10 s) has passed the ends of r1 (60 s) and r2 (90 s) only
     assert got == [("r1", "finished"), ("r1", "in_progress"), ("r2", "finished"), ("r2", "in_progress"),
                    ("r3", "in_progress")]
+
+
+def test_detector_state_expires_after_ttl(spark, tmp_dir):
+    import time
+    src, out, ck = f"{tmp_dir}/src", f"{tmp_dir}/out", f"{tmp_dir}/ck"
+    first = [(i, "race", T0 + dt.timedelta(seconds=i), "A", 90.0 + (i % 3)) for i in range(20)]
+    _write_files(src, first, M_SCHEMA, 1)
+    stream = topics.files_stream(spark, src, _spark_schema(spark, src))
+    det = sanom.detect(stream, "gaussian", ttl_ms=1000)
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    def seen():
+        try:
+            return {r.arrival: r.n for r in spark.read.parquet(out).collect()}
+        except Exception:  # noqa: BLE001 - a batch folder may be mid-write
+            return {}
+
+    def wait_for(keys, limit=90):
+        deadline = time.time() + limit
+        while time.time() < deadline:
+            got = seen()
+            if all(k in got for k in keys):
+                return got
+            time.sleep(0.5)
+        raise AssertionError(f"rows {keys} not written in time")
+
+    # a processing-time timeout keeps scheduling batches, so poll instead of waiting for idle
+    q = runner.start_foreach(det, write, ck, "append", trigger={"processingTime": "300 milliseconds"})
+    try:
+        wait_for(range(20))
+        time.sleep(3)                                   # no data for longer than the TTL
+        later = [(100 + i, "race", T0 + dt.timedelta(seconds=100 + i), "A", 90.0) for i in range(3)]
+        _write_files(src, later, M_SCHEMA, 1, start=1)
+        got = wait_for([100, 101, 102])
+    finally:
+        q.stop()
+    assert got[19] == 19
+    assert [got[100], got[101], got[102]] == [0, 1, 2]  # the team's state started afresh
