@@ -11,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwall.functions import exprs as X
 from pitwall.operators import sequence
 from pitwall.operators.dims import bounded_broadcast
-from pitwall.session import checkpoint_root
 
 KEYS = ("race_id", "driver_name")
 CAP = 10                      # entries kept per race (fixed value of the behaviour)
@@ -96,6 +96,7 @@ def _fifo_fold(cap: int):
 
 SPEC_CHUNK = 1 << 20          # offsets per speculative chunk of a crowded race
 SPEC_LOOKBACK = 1 << 16       # offsets replayed before a chunk to guess its starting list
+SPEC_MIN_ROWS = 1 << 20       # crowded races with fewer messages are folded directly
 
 
 def _fold(names, slots: list, cap: int) -> list:
@@ -137,10 +138,9 @@ def _members_speculative(slim: DataFrame, cap: int, chunk: int, lookback: int) -
     ok = F.when(prev.isNull(), F.size("guess") == 0).otherwise(F.col("guess") == prev)
     per_race = (spec.withColumn("_ok", ok.cast("int")).groupBy("race_id")
                 .agg(F.min("_ok").alias("_all_ok"), F.max_by("end", "_chunk").alias("_final")))
-    # one small row per crowded race, written to the shared checkpoint folder so that the
-    # speculation runs once for both branches below (and survives executor loss)
-    checkpoint_root(slim.sparkSession)
-    per_race = per_race.checkpoint(eager=True)
+    # one small row per speculated race, read by both branches below: persisted (lazily,
+    # memory and disk) so the speculation runs once; lost blocks recompute from lineage
+    per_race = per_race.persist(StorageLevel.MEMORY_AND_DISK)
     verified = (per_race.where(F.col("_all_ok") == 1)
                 .select("race_id", F.posexplode("_final").alias("_pos", "driver_name"))
                 .select("race_id", "driver_name", (F.col("_pos") + 1).cast("int").alias("slot")))
@@ -149,7 +149,7 @@ def _members_speculative(slim: DataFrame, cap: int, chunk: int, lookback: int) -
 
 
 def bounded(positions: DataFrame, cap: int = CAP, chunk_offsets: int = SPEC_CHUNK,
-            lookback_offsets: int = SPEC_LOOKBACK) -> DataFrame:
+            lookback_offsets: int = SPEC_LOOKBACK, spec_min_rows: int = SPEC_MIN_ROWS) -> DataFrame:
     """The per-race list capped at ``cap`` entries with FIFO eviction of slots.
 
     * A race with at most ``cap`` distinct drivers never evicts: its list is every
@@ -163,22 +163,32 @@ def bounded(positions: DataFrame, cap: int = CAP, chunk_offsets: int = SPEC_CHUN
       previous chunk's computed end). A race whose chain verifies takes the last chunk's
       end, exactly; only a race whose speculation fails is folded sequentially (rows
       hash-partitioned by race, sorted by arrival, streamed through ``mapInPandas``
-      holding ``cap`` names; the group is never collected).
+      holding ``cap`` names; the group is never collected). Crowded races with fewer
+      than ``spec_min_rows`` messages are folded directly (one task folds them in well
+      under a second; speculation would only add stages).
     The values of the listed drivers come from the same per-(race, driver) aggregate.
     """
     rest = [c for c in positions.columns if c not in KEYS]
     stats = (positions.groupBy(*KEYS)
-             .agg(F.max_by(F.struct(*rest), F.col("arrival")).alias("_m"), F.min("arrival").alias("_first")))
+             .agg(F.max_by(F.struct(*rest), F.col("arrival")).alias("_m"), F.min("arrival").alias("_first"),
+                  F.count(F.lit(1)).alias("_rows")))
     per_race = Window.partitionBy("race_id")
-    stats = stats.withColumn("_drivers", F.count(F.lit(1)).over(per_race))
+    stats = (stats.withColumn("_drivers", F.count(F.lit(1)).over(per_race))
+             .withColumn("_race_rows", F.sum("_rows").over(per_race)))
     small = (stats.where(F.col("_drivers") <= cap)
              .withColumn("slot", F.row_number().over(per_race.orderBy("_first")).cast("int"))
              .select(*KEYS, "slot", "_m.*"))
-    crowded = stats.where(F.col("_drivers") > cap).select(F.col("race_id").alias("_race")).distinct()
+    crowded = stats.where(F.col("_drivers") > cap)
     slim = positions.select("race_id", "driver_name", "arrival")
-    slim = slim.join(crowded, slim.race_id.eqNullSafe(crowded._race), "left_semi")
-    verified, failed = _members_speculative(slim, cap, chunk_offsets, lookback_offsets)
-    rest_rows = slim.join(failed, slim.race_id.eqNullSafe(failed._race), "left_semi")
+
+    def races(cond):
+        r = crowded.where(cond).select(F.col("race_id").alias("_race")).distinct()
+        return slim.join(r, slim.race_id.eqNullSafe(r._race), "left_semi")
+
+    verified, failed = _members_speculative(races(F.col("_race_rows") >= spec_min_rows), cap,
+                                            chunk_offsets, lookback_offsets)
+    rest_rows = races(F.col("_race_rows") < spec_min_rows).unionByName(
+        slim.join(failed, slim.race_id.eqNullSafe(failed._race), "left_semi"))
     folded = (rest_rows.repartition("race_id")
               .sortWithinPartitions("race_id", "arrival")
               .mapInPandas(_fifo_fold(cap), "race_id string, driver_name string, slot int"))
