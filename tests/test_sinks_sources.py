@@ -71,3 +71,16 @@ def test_commentary_envelope_roundtrip(spark):
                                                   "timestamp": "2024-01-01T00:00:01.500000", "type": "info"}}
     back = sinks.parse_envelope(env, sinks.COMMENTARY_ENVELOPE_SCHEMA).collect()[0]
     assert back.kind == "commentary" and back.type == "info"
+
+
+def test_encode_metrics_defaults_and_roundtrip(spark):
+    df = spark.createDataFrame([
+        ("race-1", "Lyra", dt.datetime(2024, 1, 1, 0, 0, 0, 250000), 91.5, 1),
+        ("race-1", None, None, None, 2),
+    ], "key string, team_name string, ts timestamp, engine_temperature double, arrival long")
+    wire = decode.encode_metrics(df, "key", asof_ms=1_704_067_200_000)
+    vals = {r.arrival: json.loads(r.value) for r in wire.collect()}
+    assert vals[2] == {"team_name": "", "timestamp": 1_704_067_200_000, "engine_temperature": 0.0}
+    back = {r.arrival: r for r in decode.metrics(wire).collect()}
+    assert back[1].key == "race-1" and back[1].ts == dt.datetime(2024, 1, 1, 0, 0, 0, 250000)
+    assert back[2].team_name == "" and back[2].engine_temperature == 0.0
