@@ -179,16 +179,16 @@ def bounded(positions: DataFrame, cap: int = CAP, chunk_offsets: int = SPEC_CHUN
              .withColumn("slot", F.row_number().over(per_race.orderBy("_first")).cast("int"))
              .select(*KEYS, "slot", "_m.*"))
     crowded = stats.where(F.col("_drivers") > cap)
+    # one row per crowded race with its path: speculative chunks (large) or direct fold
+    kinds = crowded.select(F.col("race_id").alias("_race"),
+                           (F.col("_race_rows") >= spec_min_rows).alias("_spec")).distinct()
     slim = positions.select("race_id", "driver_name", "arrival")
-
-    def races(cond):
-        r = crowded.where(cond).select(F.col("race_id").alias("_race")).distinct()
-        return slim.join(r, slim.race_id.eqNullSafe(r._race), "left_semi")
-
-    verified, failed = _members_speculative(races(F.col("_race_rows") >= spec_min_rows), cap,
+    tagged = slim.join(kinds, slim.race_id.eqNullSafe(kinds._race), "inner").drop("_race")
+    verified, failed = _members_speculative(tagged.where(F.col("_spec")).drop("_spec"), cap,
                                             chunk_offsets, lookback_offsets)
-    rest_rows = races(F.col("_race_rows") < spec_min_rows).unionByName(
-        slim.join(failed, slim.race_id.eqNullSafe(failed._race), "left_semi"))
+    spec_rows = tagged.where(F.col("_spec")).drop("_spec")
+    rest_rows = tagged.where(~F.col("_spec")).drop("_spec").unionByName(
+        spec_rows.join(failed, spec_rows.race_id.eqNullSafe(failed._race), "left_semi"))
     folded = (rest_rows.repartition("race_id")
               .sortWithinPartitions("race_id", "arrival")
               .mapInPandas(_fifo_fold(cap), "race_id string, driver_name string, slot int"))
