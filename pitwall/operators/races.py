@@ -22,9 +22,13 @@ STATUSES = ("not_started", "in_progress", "finished")
 
 
 def _ts_lit(asof) -> F.Column:
+    """An as-of instant as a literal. Naive values are UTC wall clock; the literal is
+    built from text in the session zone (UTC), never from the Python process's zone."""
     if isinstance(asof, str):
         asof = dt.datetime.fromisoformat(asof)
-    return F.lit(asof).cast("timestamp")
+    if asof.tzinfo is not None:
+        asof = asof.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    return F.lit(asof.isoformat(sep=" ")).cast("timestamp")
 
 
 def races(positions: DataFrame, duration_s: int = DURATION_S) -> DataFrame:
