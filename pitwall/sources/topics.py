@@ -15,6 +15,16 @@ from pyspark.sql import types as T
 from pitwall.sources.tables import with_instant_time
 
 
+def subscribed_topics(positions: str, commentary: str, anomalies: str | None = None,
+                      anomalies_enabled: bool = False) -> list[str]:
+    """A1: positions and commentary always; the anomalies topic only when the feature is
+    enabled and a topic name is configured."""
+    topics = [positions, commentary]
+    if anomalies_enabled and anomalies:
+        topics.append(anomalies)
+    return topics
+
+
 def kafka_options(bootstrap: str, topics: list[str], starting: str = "latest",
                   max_offsets_per_trigger: int | None = None, extra: dict | None = None) -> dict:
     """Subscribe options for several topics at once (A1)."""

@@ -32,6 +32,9 @@ def test_sql_views_and_demux(spark):
     assert n == spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'signup'").count()
     frames = spark.createDataFrame([("a", 1), ("b", 2)], "topic string, offset long")
     assert [r.offset for r in topics.demux(frames, "b").collect()] == [2]
+    assert topics.subscribed_topics("p", "c", "a") == ["p", "c"]
+    assert topics.subscribed_topics("p", "c", None, anomalies_enabled=True) == ["p", "c"]
+    assert topics.subscribed_topics("p", "c", "a", anomalies_enabled=True) == ["p", "c", "a"]
     opts = topics.kafka_options("broker:9092", ["positions", "commentary"], max_offsets_per_trigger=500)
     assert opts["subscribe"] == "positions,commentary" and opts["startingOffsets"] == "latest"
 
