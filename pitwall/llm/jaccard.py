@@ -34,6 +34,8 @@ from pitwall.llm import common as C
 from pitwall.llm.components import connected_components
 
 BITS = 1024
+#: Of a shingle's hash; a row number of a slice (below 4,096) and the hash sort as one integer.
+HASH_BITS = 52
 _HOT_BUCKETS = 1 << 20
 _SIG = "kind int, doc_id long, n long, s1 long, s2 long, parity array<long>, bucket long, seen long"
 
@@ -52,7 +54,7 @@ class Params:
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of each text's distinct shingles, in order of row and hash."""
+    """(row, hash) of each text's distinct shingles, in order of row and hash (at most 4,096 rows)."""
     start, end, row = C.words(buf, off)
     h = C.span_hashes(buf, start, end, lower=True)
     n = np.bincount(row, minlength=len(off) - 1)
@@ -68,11 +70,11 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
         with np.errstate(over="ignore"):
             whole = np.array([C.mix(C.word_windows(h[first[i]:first[i + 1]], int(n[i])) + np.uint64(n[i]))[0] for i in short], np.uint64)
         some, rows = np.concatenate([some, whole]), np.concatenate([rows, short])
-    order = np.lexsort((some, rows))
-    some, rows = some[order], rows[order]
-    new = np.ones(len(some), bool)
-    new[1:] = (some[1:] != some[:-1]) | (rows[1:] != rows[:-1])
-    return rows[new], some[new]
+    both = np.sort((rows.astype(np.uint64) << np.uint64(HASH_BITS)) | (some >> np.uint64(64 - HASH_BITS)))
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    both = both[new]
+    return (both >> np.uint64(HASH_BITS)).astype(np.int64), both & np.uint64((1 << HASH_BITS) - 1)
 
 
 def _sums(values: np.ndarray, first: np.ndarray, n: np.ndarray, op) -> np.ndarray:
@@ -91,9 +93,9 @@ def _signatures(batches, p: Params):
             row, h = shingle_sets(buf, off, p.words)
             n = np.bincount(row, minlength=hi - lo)
             first = np.concatenate([[0], np.cumsum(n)])
-            seen += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=_HOT_BUCKETS)
+            seen += np.bincount((h >> np.uint64(HASH_BITS - 20)).astype(np.int64), minlength=_HOT_BUCKETS)
             with np.errstate(over="ignore"):
-                s1, s2 = _sums(h, first, n, np.add), _sums(C.mix(h ^ np.uint64(0x1B873593CC9E2D51)), first, n, np.add)
+                s1, s2 = _sums(C.mix(h), first, n, np.add), _sums(C.mix(h ^ np.uint64(0x1B873593CC9E2D51)), first, n, np.add)
             bits = np.zeros((hi - lo) * BITS, np.uint8)
             flip = np.bincount(row * BITS + (h % np.uint64(BITS)).astype(np.int64), minlength=len(bits))
             bits[:] = flip & 1
@@ -127,7 +129,7 @@ def listed_segments(row: np.ndarray, h: np.ndarray, hot: np.ndarray, p: Params)
     band[n > 0] = np.floor(np.log2(n[n > 0])).astype(np.int64)
     reach = n * 100 // p.threshold
     out_row, out_key = [], []
-    is_hot = hot[(h >> np.uint64(44)).astype(np.int64)]
+    is_hot = hot[(h >> np.uint64(HASH_BITS - 20)).astype(np.int64)]
     for above in (0, 1):
         # once in its own band, and in the next if its partner may belong there
         at = band + above
@@ -143,22 +145,18 @@ def listed_segments(row: np.ndarray, h: np.ndarray, hot: np.ndarray, p: Params)
         seg = (C.mix(x ^ np.uint64(0x2545F4914F6CDD1D)) % count[r].astype(np.uint64)).astype(np.int64)
         flat = first[r] + seg
         sig = np.zeros(first[-1], np.uint64)
-        order = np.argsort(flat, kind="stable")
-        f = flat[order]
-        cut = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-        sig[f[cut]] = np.bitwise_xor.reduceat(x[order], cut)
-        rare = np.zeros(first[-1], bool)
-        rare[flat[~is_hot[take]]] = True
+        np.bitwise_xor.at(sig, flat, C.mix(x))
+        common = np.ones(first[-1], np.uint64)
+        common[flat[~is_hot[take]]] = 0
         who = np.repeat(np.arange(m), count)
         number = np.arange(first[-1]) - first[who]
         with np.errstate(over="ignore"):
             key = C.mix(sig + (number * 64 + at[who]).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-        rank = np.lexsort((key, ~rare, who))
-        place = np.empty(len(rank), np.int64)
-        place[rank] = np.arange(len(rank)) - first[who[rank]]
-        chosen = place < need[who]
+        # one integer sorts by set, rare segments first, then key
+        key = np.sort((who.astype(np.uint64) << np.uint64(52)) | (common << np.uint64(51)) | (key >> np.uint64(13)))
+        chosen = number < need[who]
         out_row.append(who[chosen])
-        out_key.append(key[chosen])
+        out_key.append(key[chosen] & np.uint64((1 << 51) - 1))
     if not out_row:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(out_row), np.concatenate(out_key)

@@ -171,9 +171,9 @@ def test_listed_segments_meet():
     p = jaccard.Params()
     for n in [1, 2, 4, 5, 8, 9, 15, 16, 17, 31, 33, 60, 64, 100, 127, 128, 129, 200, 255, 256, 300]:
         for _ in range(20):
-            own = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            own = np.unique(rng.integers(0, 2**jaccard.HASH_BITS, n, dtype=np.uint64))
             d = rng.integers(0, n // 4 + 1)
-            other = np.unique(np.concatenate([own[rng.permutation(len(own))[int(rng.integers(0, d + 1)):]], rng.integers(0, 2**63, d, dtype=np.uint64)]))
+            other = np.unique(np.concatenate([own[rng.permutation(len(own))[int(rng.integers(0, d + 1)):]], rng.integers(0, 2**jaccard.HASH_BITS, d, dtype=np.uint64)]))
             both = len(np.intersect1d(own, other))
             if 100 * both < 80 * (len(own) + len(other) - both):
                 continue
