@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from pitwall.llm import common as C
 
-_RUN = "anchor long, seg long, doc long, th long, at long, n int"
+_RUN = "anchor long, seg long, doc long, th long, at array<long>, n int"
 _FOUND = "anchor long, seg long, later array<int>, every array<int>"
 _FIRST_ID = -(2**63)
 
@@ -46,7 +46,8 @@ _FIRST_ID = -(2**63)
 class Params:
     length: int = 400
     gram: int = 128
-    most_runs: int = 512
+    #: Suffixes of so many runs (about 140 windows each) are sorted at once at most: some 250 MB.
+    most_runs: int = 4096
     block_suffixes: int = 40_000
 
 
@@ -123,10 +124,12 @@ def sorted_suffixes(data: np.ndarray, start: np.ndarray, length: int) -> tuple[n
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rows = np.lib.stride_tricks.sliding_window_view(data, length)[start]
     order = pc.array_sort_indices(pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(start), [None, pa.py_buffer(rows)])).to_numpy().astype(np.int64)
-    sorted_rows = rows[order]
-    differ = sorted_rows[1:] != sorted_rows[:-1]
-    lcp = np.where(differ.any(1), differ.argmax(1), length)
-    return order, np.append(0, lcp)
+    lcp = np.zeros(len(start), np.int64)
+    for lo in range(1, len(start), 8192):
+        some = rows[order[lo - 1:lo + 8192]]
+        differ = some[1:] != some[:-1]
+        lcp[lo:lo + len(differ)] = np.where(differ.any(1), differ.argmax(1), length)
+    return order, lcp
 
 
 def _ranges(flag: np.ndarray) -> list[int]:
@@ -192,13 +195,18 @@ def repeated_spans(docs: DataFrame, keep: str = "first", p: Params = Params()) -
             for lo, hi, buf, off in C.text_slices(b.column(2)):
                 row, at, n, anchor, seg = runs(buf, off, p)
                 if len(row):
-                    take = pa.array(row)
+                    # equal runs of one text (it repeats itself) are one row
+                    order = np.lexsort((at, anchor, seg, row))
+                    r, a, s = row[order], anchor[order], seg[order]
+                    cut_at = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (a[1:] != a[:-1]) | (s[1:] != s[:-1])]))
+                    take = pa.array(r[cut_at])
+                    places = pa.ListArray.from_arrays(np.append(cut_at, len(r)).astype(np.int32), at[order])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor), pa.array(seg), b.column(0).slice(lo, hi - lo).take(take), b.column(1).slice(lo, hi - lo).take(take),
-                         pa.array(at), pa.array(n.astype(np.int32))], ["anchor", "seg", "doc", "th", "at", "n"])
+                        [pa.array(a[cut_at]), pa.array(s[cut_at]), b.column(0).slice(lo, hi - lo).take(take), b.column(1).slice(lo, hi - lo).take(take),
+                         places, pa.array(n[order][cut_at].astype(np.int32))], ["anchor", "seg", "doc", "th", "at", "n"])
 
     every = C.stored(docs.select("doc", "th", "text").mapInArrow(cut, _RUN), "runs")
-    segs = every.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "at", "th")).alias("first"), F.first("n").alias("n"))
+    segs = every.groupBy("anchor", "seg").agg(F.sum(F.size("at").cast("long")).alias("copies"), F.min(F.struct("doc", F.col("at")[0].alias("at"), "th")).alias("first"), F.first("n").alias("n"))
     segs = C.stored(segs, "segments")
     anchors = segs.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).filter("total > 1")
     shared = C.stored(segs.join(anchors.select("anchor", "kinds"), "anchor"), "shared-segments")
@@ -252,13 +260,13 @@ def repeated_spans(docs: DataFrame, keep: str = "first", p: Params = Params()) -
     whole = F.array(F.lit(0), F.col("n"))
     none = F.array().cast("array<int>")
     if keep == "none":
-        some = F.when(F.col("copies") > 1, whole).otherwise(F.coalesce("every", none))
+        some = lambda at: F.when(F.col("copies") > 1, whole).otherwise(F.coalesce("every", none))
     elif keep == "first":
-        is_first = (F.col("first.doc") == F.col("doc")) & (F.col("first.th") == F.col("th")) & (F.col("first.at") == F.col("at"))
-        some = F.when(is_first, F.coalesce("later", none)).otherwise(whole)
+        some = lambda at: F.when((F.col("first.doc") == F.col("doc")) & (F.col("first.th") == F.col("th")) & (F.col("first.at") == at),
+                                 F.coalesce("later", none)).otherwise(whole)
     else:
         raise ValueError("keep is 'first' or 'none'")
-    return (hits.select("doc", "th", F.transform(some, lambda x: x + F.col("at")).alias("s")).filter(F.size("s") > 0)
+    return (hits.select("doc", "th", F.flatten(F.transform("at", lambda at: F.transform(some(at), lambda x: x + at))).alias("s")).filter(F.size("s") > 0)
             .groupBy("doc", "th").agg(F.flatten(F.collect_list("s")).alias("spans")))
 
 
