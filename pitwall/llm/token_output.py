@@ -2,7 +2,8 @@
 
 Documents are range-partitioned by id; each task encodes its range and writes one shard:
 
-* ``NNNNN.bin``  token ids, unsigned 32-bit little-endian, documents one after another
+* ``NNNNN.u16``  token ids, unsigned little-endian, documents one after another (``.u32`` where the
+  vocabulary has more than 65,536 ids)
 * ``NNNNN.len``  ids per document, 64-bit
 * ``NNNNN.doc``  document ids, 64-bit (a null id is the smallest 64-bit integer)
 * ``NNNNN.idx``  ids of all documents of all shards before each document, 64-bit, and the end
@@ -20,6 +21,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,29 +37,57 @@ READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 NULL_ID = -(2**63)
 #: White space between two other characters begins a new piece in the tokenizer, so texts part there.
 _PART = re.compile(r"(?<=\S) (?=\S)")
-_CACHE = 1_000_000
+_PIECES = re.compile(r"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,])")
 
 
 class CachedEncoder:
-    """Ids of a text by the tokenizers library; parts between single spaces are encoded once each and kept."""
+    """Ids of a text by the tokenizers library; its parts are encoded once each and remembered.
 
-    def __init__(self, path: str):
+    Parts end where the tokenizer's own pattern always ends a piece: before a single space or
+    around a single line feed between other characters, and between a Latin letter and a comma
+    or full stop. Memory is two generations of at most ``keep`` parts."""
+
+    def __init__(self, path: str, keep: int = 700_000):
         from tokenizers import Tokenizer
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.kind = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, found: set[str]) -> None:
+        if len(self.young) > self.keep:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        split: dict[str, list[str]] = {}
+        new = set()
+        for part in found:
+            if part in young:
+                continue
+            if part in old:
+                young[part] = old[part]
+                continue
+            pieces = _PIECES.split(part)
+            if len(pieces) > 1:
+                split[part] = pieces
+                new.update(x for x in pieces if x not in young)
+            else:
+                new.add(part)
+        new = list(new)
+        for i in range(0, len(new), 20_000):
+            some = new[i:i + 20_000]
+            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                young[part] = array(self.kind, e.ids).tobytes()
+        for part, pieces in split.items():
+            young[part] = b"".join([young[x] for x in pieces])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids, as unsigned 16-bit integers where the vocabulary allows it, else 32-bit."""
         parts = []
         for t in texts:
             p = _PART.split(t)
             parts.append(p[:1] + [" " + x for x in p[1:]] if t else [])
-        if len(self.ids) > _CACHE:
-            self.ids.clear()
-        new = list(set().union(*parts) - self.ids.keys()) if parts else []
-        for i in range(0, len(new), 20_000):
-            some = new[i:i + 20_000]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.ids[part] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.ids.__getitem__, p)) for p in parts]
+        self._learn(set().union(*parts) if parts else set())
+        return [b"".join(map(self.young.__getitem__, p)) for p in parts]
 
 
 _encoders: dict[str, CachedEncoder] = {}
@@ -98,17 +128,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str | None = None, end_i
     fs, base = _store(root)
     fs.create_dir(base, recursive=True)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
         shard, out, n_docs, n_ids = TaskContext.get().partitionId(), None, 0, 0
+        enc = encoder(tokenizer)
+        end, ids_file = array(enc.kind, [end_id]).tobytes(), "u16" if enc.kind == "H" else "u32"
         for b in batches:
             col = b.column(1)
             for lo in range(0, len(col), 256):
-                out = out or _Files(root, shard, ("bin", "len", "doc"))
-                ids = encoder(tokenizer).encode([t or "" for t in col.slice(lo, 256).to_pylist()])
-                sizes = np.array([len(x) // 4 + 1 for x in ids], "<i8")
-                out.open["bin"].write(b"".join(x + end for x in ids))
+                out = out or _Files(root, shard, (ids_file, "len", "doc"))
+                ids = enc.encode([t or "" for t in col.slice(lo, 256).to_pylist()])
+                sizes = np.array([len(x) // len(end) + 1 for x in ids], "<i8")
+                out.open[ids_file].write(b"".join(x + end for x in ids))
                 out.open["len"].write(sizes.tobytes())
                 out.open["doc"].write(np.array(b.column(0).slice(lo, 256).fill_null(NULL_ID).to_numpy(), "<i8").tobytes())
                 n_docs, n_ids = n_docs + len(ids), n_ids + int(sizes.sum())
@@ -157,20 +187,22 @@ def _read(root: str, shard: int, kind: str):
 def read_tokens(spark: SparkSession, root: str) -> DataFrame:
     """One row per document, from the files: READ_SCHEMA."""
     fs, base = _store(root)
-    found = [int(m[1]) for x in fs.get_file_info(pafs.FileSelector(base)) if (m := re.fullmatch(r"(\d+)\.idx", x.base_name))]
+    files = [x.base_name for x in fs.get_file_info(pafs.FileSelector(base))]
+    found = [int(m[1]) for x in files if (m := re.fullmatch(r"(\d+)\.idx", x))]
+    width = 2 if any(x.endswith(".u16") for x in files) else 4
     if not found:
         return spark.createDataFrame([], READ_SCHEMA)
 
     def run(batches):
         for b in batches:
             for shard in b.column(0).to_pylist():
-                ids = memoryview(_read(root, shard, "bin"))
+                ids = np.frombuffer(_read(root, shard, f"u{8 * width}"), f"<u{width}")
                 at = np.frombuffer(_read(root, shard, "idx"), "<i8")
                 doc = np.frombuffer(_read(root, shard, "doc"), "<i8")
                 for lo in range(0, len(doc), 4096):
                     some, cut = doc[lo:lo + 4096], at[lo:lo + 4097]
-                    byte = (cut - at[0]) * 4
-                    crc = [zlib.crc32(ids[i:j]) for i, j in zip(byte[:-1].tolist(), byte[1:].tolist())]
+                    here = (cut - at[0]).tolist()
+                    crc = [zlib.crc32(ids[i:j].astype("<u4")) for i, j in zip(here[:-1], here[1:])]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(some, mask=some == NULL_ID), pa.array(cut[:-1]), pa.array(np.diff(cut)), pa.array(crc, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"])
