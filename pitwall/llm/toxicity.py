@@ -59,56 +59,73 @@ def _counted(seen: Counter) -> pa.RecordBatch:
 
 
 class Lexicon:
-    """Trie of terms, searched by the Levenshtein automaton of a word."""
+    """Trie of terms, searched by the Levenshtein automaton of a word (one edit).
+
+    The automaton's states are (letters of the word read, edits made). Without an edit it follows
+    the word down the trie; at each node on that path it may substitute, insert or delete one
+    letter, after which it accepts only the rest as it stands."""
 
     def __init__(self, terms):
         self.terms = sorted(set(terms))
+        self.exact = set(self.terms)
         self.root: dict = {}
-        self.halves: set[str] = set()
+        self.heads, self.tails = set(), set()
         for t in self.terms:
-            at = self.root
-            for ch in t:
-                at = at.setdefault(ch, {})
-            at[""] = t
             if self.edits(t):
-                # one edit leaves the first or the last half of a term as it is
-                self.halves.add("<" + t[:len(t) // 2])
-                self.halves.add(">" + t[len(t) // 2:])
-        self.sizes = sorted({(h[0], len(h) - 1) for h in self.halves})
+                at = self.root
+                for ch in t:
+                    at = at.setdefault(ch, {})
+                at[""] = t
+                # one edit leaves the first three or the last three letters of a term as they are
+                self.heads.add(t[:3])
+                self.tails.add(t[-3:])
 
     @staticmethod
     def edits(term: str) -> int:
         return 1 if len(term) >= 6 else 0
 
     def may_match(self, word: str) -> bool:
-        return any(("<" + word[:k] if side == "<" else ">" + word[-k:]) in self.halves for side, k in self.sizes)
-
-    def search(self, word: str, most: int = 1) -> tuple[str, int] | None:
-        """(term, distance) of the nearest accepted term, the first in order among equals.
+        return word[:3] in self.heads or word[-3:] in self.tails
 
-        The automaton's state is a row of edit distances between the trie path and every prefix
-        of the word; a branch ends as soon as no entry is within ``most``."""
-        best: tuple[int, str] | None = None
-        stack = [(self.root, list(range(len(word) + 1)))]
-        while stack:
-            node, row = stack.pop()
+    @staticmethod
+    def _rest(node: dict, word: str, i: int) -> str | None:
+        for ch in word[i:]:
+            node = node.get(ch)
+            if node is None:
+                return None
+        return node.get("")
+
+    def search(self, word: str) -> tuple[str, int] | None:
+        """(term, distance) of the nearest accepted term, the first in order among equals."""
+        if word in self.exact:
+            return word, 0
+        found: str | None = None
+        node, n = self.root, len(word)
+        for i in range(n + 1):
             for ch, child in node.items():
                 if ch == "":
-                    if row[-1] <= min(most, self.edits(child)) and (best is None or (row[-1], child) < best):
-                        best = (row[-1], child)
-                    continue
-                new = [row[0] + 1]
-                for j, c in enumerate(word):
-                    new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (c != ch)))
-                if min(new) <= most:
-                    stack.append((child, new))
-        return (best[1], best[0]) if best else None
+                    got = child if n - i == 1 else None           # the word's last letter is one too many
+                elif i < n and ch == word[i]:
+                    got = self._rest(child, word, i)              # the term's letter is missing here, and the word goes on with its twin
+                else:
+                    got = self._rest(child, word, i + 1) if i < n else None
+                    other = self._rest(child, word, i)
+                    got = other if got is None or (other is not None and other < got) else got
+                if got is not None and (found is None or got < found):
+                    found = got
+            got = self._rest(node, word, i + 1) if i < n else None
+            if got is not None and (found is None or got < found):
+                found = got
+            if i == n or word[i] not in node:
+                break
+            node = node[word[i]]
+        return (found, 1) if found is not None else None
 
 
 class Matcher:
     """Hits of words, each distinct word searched once and remembered (bounded)."""
 
-    def __init__(self, terms, keep: int = 500_000):
+    def __init__(self, terms, keep: int = 2_000_000):
         self.stems = {t[:-1] for t in terms if t.endswith("*")}
         self.lexicon, self.keep = Lexicon(t for t in terms if not t.endswith("*")), keep
         self.hit = {t: (t, 0) for t in self.lexicon.terms}
@@ -117,7 +134,9 @@ class Matcher:
     def look(self, found: set[str]) -> None:
         if len(self.none) > self.keep:
             self.none.clear()
-        for w in found - self.none - self.hit.keys():
+        for w in found - self.none:
+            if w in self.hit:
+                continue
             stem = next((w[:k] for k in STEMS if len(w) > k and w[:k] in self.stems), None)
             got = (stem + "*", 0) if stem else self.lexicon.search(w) if self.lexicon.may_match(w) else None
             if got:
@@ -131,7 +150,7 @@ class Matcher:
         ws = _WORD.findall(text)
         distinct = set(ws)
         self.look(distinct)
-        hits = distinct & self.hit.keys()
+        hits = {w for w in distinct if w in self.hit}
         groups: list[set[str]] = [set(), set(), set(), set()]
         n = 0
         if hits:
