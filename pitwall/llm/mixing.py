@@ -72,7 +72,7 @@ def word_buckets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def labelled(docs: DataFrame, labels: DataFrame, domain) -> DataFrame:
     """(text, domain) of every labelled document."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain")).filter("doc_id is not null and domain is not null")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marked, "doc_id").select("domain", "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marked.hint("merge"), "doc_id").select("domain", "text")
 
 
 def quality_toxic():
