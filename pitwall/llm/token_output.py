@@ -35,59 +35,73 @@ from pitwall.session import scratch_path
 
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 NULL_ID = -(2**63)
-#: White space between two other characters begins a new piece in the tokenizer, so texts part there.
+#: A single space between other characters begins a new piece in the tokenizer, so texts part there.
 _PART = re.compile(r"(?<=\S) (?=\S)")
-_PIECES = re.compile(r"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,])")
+#: Texts without these part at plain spaces and line feeds.
+_ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_LATIN = frozenset(chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7))
 
 
-class CachedEncoder:
-    """Ids of a text by the tokenizers library; its parts are encoded once each and remembered.
+class _Memory:
+    """Ids of parts, in two generations of at most ``keep`` parts each."""
 
-    Parts end where the tokenizer's own pattern always ends a piece: before a single space or
-    around a single line feed between other characters, and between a Latin letter and a comma
-    or full stop. Memory is two generations of at most ``keep`` parts."""
+    def __init__(self, lead: str, keep: int):
+        self.lead, self.keep, self.young, self.old = lead, keep, {}, {}
 
-    def __init__(self, path: str, keep: int = 700_000):
-        from tokenizers import Tokenizer
-        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self.kind = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, found: set[str]) -> None:
+    def learn(self, found: set[str], encode) -> None:
         if len(self.young) > self.keep:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        split: dict[str, list[str]] = {}
-        new = set()
-        for part in found:
-            if part in young:
-                continue
-            if part in old:
-                young[part] = old[part]
-                continue
-            pieces = _PIECES.split(part)
-            if len(pieces) > 1:
-                split[part] = pieces
-                new.update(x for x in pieces if x not in young)
+        missing = [x for x in found if x not in young]
+        new, marked = set(), []
+        for x in missing:
+            if x in old:
+                young[x] = old[x]
+            elif x[-1:] in (".", ",") and x[-2:-1] in _LATIN:
+                # a piece of letters ends before a comma or full stop
+                marked.append(x)
+                if x[:-1] not in young:
+                    new.add(x[:-1])
             else:
-                new.add(part)
+                new.add(x)
         new = list(new)
         for i in range(0, len(new), 20_000):
             some = new[i:i + 20_000]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                young[part] = array(self.kind, e.ids).tobytes()
-        for part, pieces in split.items():
-            young[part] = b"".join([young[x] for x in pieces])
+            young.update(zip(some, encode([self.lead + x for x in some])))
+        if marked:
+            sign = dict(zip(".,", encode([".", ","])))
+            for x in marked:
+                young[x] = young[x[:-1]] + sign[x[-1]]
+
+
+class CachedEncoder:
+    """Ids of a text by the tokenizers library; its parts are encoded once each and remembered.
+
+    Parts end where the tokenizer's own pattern always ends a piece: before a single space, and
+    around a single line feed, between other characters."""
+
+    def __init__(self, path: str, keep: int = 700_000):
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.kind = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+        self.spaced, self.first = _Memory(" ", keep), _Memory("", keep // 4)
+        self.feed = self._ids(["\n"])[0]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as unsigned 16-bit integers where the vocabulary allows it, else 32-bit."""
-        parts = []
+        parted = []
         for t in texts:
-            p = _PART.split(t)
-            parts.append(p[:1] + [" " + x for x in p[1:]] if t else [])
-        self._learn(set().union(*parts) if parts else set())
-        return [b"".join(map(self.young.__getitem__, p)) for p in parts]
+            if _ODD.search(t) or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[:1] in (" ", "\n") or t[-1:] in (" ", "\n"):
+                parted.append([_PART.split(t)])
+            else:
+                parted.append([line.split(" ") for line in t.split("\n")] if t else [])
+        self.first.learn({line[0] for lines in parted for line in lines}, self._ids)
+        self.spaced.learn(set().union(*(line[1:] for lines in parted for line in lines)), self._ids)
+        first, spaced = self.first.young, self.spaced.young.__getitem__
+        return [self.feed.join([first[line[0]] + b"".join(map(spaced, line[1:])) for line in lines]) for lines in parted]
 
 
 _encoders: dict[str, CachedEncoder] = {}

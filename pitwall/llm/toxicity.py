@@ -43,6 +43,7 @@ class Fit:
     z: float = 2.3
     max_candidates: int = 100_000
     max_terms: int = 20_000
+    misspelled: int = 300
     max_train: int = 20_000
     window: int = 3
     threshold: float = 0.3
@@ -125,10 +126,12 @@ class Lexicon:
 class Matcher:
     """Hits of words, each distinct word searched once and remembered (bounded)."""
 
-    def __init__(self, terms, keep: int = 2_000_000):
+    def __init__(self, terms: list[str], misspelled: int = 300, keep: int = 2_000_000):
+        """``terms`` in order of confidence; the first ``misspelled`` words are also found with an edit."""
         self.stems = {t[:-1] for t in terms if t.endswith("*")}
-        self.lexicon, self.keep = Lexicon(t for t in terms if not t.endswith("*")), keep
-        self.hit = {t: (t, 0) for t in self.lexicon.terms}
+        plain = [t for t in terms if not t.endswith("*")]
+        self.lexicon, self.keep = Lexicon(plain[:misspelled]), keep
+        self.hit = {t: (t, 0) for t in plain}
         self.none: set[str] = set()
 
     def look(self, found: set[str]) -> None:
@@ -144,16 +147,21 @@ class Matcher:
             else:
                 self.none.add(w)
 
-    def features(self, text: str, window: int) -> list[float]:
-        """Distinct terms (capped by log) by exact/misspelled x used/quoted, hits per word, 1."""
-        text = text.lower()
-        ws = _WORD.findall(text)
-        distinct = set(ws)
-        self.look(distinct)
-        hits = {w for w in distinct if w in self.hit}
-        groups: list[set[str]] = [set(), set(), set(), set()]
-        n = 0
-        if hits:
+    def features(self, texts: list[str], window: int) -> np.ndarray:
+        """Rows of: distinct terms (log) by exact/misspelled x used/quoted, hits per 100 words, 1."""
+        texts = [t.lower() for t in texts]
+        listed = [_WORD.findall(t) for t in texts]
+        every = set().union(*listed) if listed else set()
+        self.look(every)
+        here = {w for w in every if w in self.hit}
+        out = np.zeros((len(texts), FEATURES))
+        out[:, -1] = 1
+        for row, (text, ws) in enumerate(zip(texts, listed)):
+            hits = here.intersection(ws)
+            if not hits:
+                continue
+            groups: list[set[str]] = [set(), set(), set(), set()]
+            n = 0
             spans = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
             for i, (a, z, w) in enumerate(spans):
                 if w in hits:
@@ -164,7 +172,9 @@ class Matcher:
                     quoted = (any(q in before for q in _QUOTES) and any(q in after for q in _QUOTES)) or \
                         any(x[2] in REPORTING for x in spans[max(0, i - window):i])
                     groups[2 * quoted + (d > 0)].add(term)
-        return [*(np.log1p(len(g)) for g in groups), 100.0 * n / (len(ws) + 20), 1.0]
+            out[row, :4] = np.log1p([len(g) for g in groups])
+            out[row, 4] = 100.0 * n / (len(ws) + 20)
+        return out
 
 
 @dataclass
@@ -179,7 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
     marked = labels.filter(~C.held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     texts = docs.filter(~C.held_out() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    train = C.stored(texts.join(marked, "doc_id"), "toxicity-train")
+    # labels grow with the corpus, so their side is never broadcast
+    train = C.stored(texts.join(marked.hint("merge"), "doc_id"), "toxicity-train")
 
     def count(batches, known: set[str] | None):
         """Documents that hold each unit (of the known ones, if given)."""
@@ -217,10 +228,11 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
     some = train.filter(F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1_000_003)) < 1_000_003 * min(1.0, how.max_train / total))
 
     def rows(batches):
-        matcher = Matcher(terms)
+        matcher = Matcher(terms, how.misspelled)
         for b in batches:
-            x = [matcher.features(t or "", how.window) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"y": b.column(2), "x": pa.array(x, pa.list_(pa.float64()))})
+            for lo in range(0, b.num_rows, 256):
+                x = matcher.features([t or "" for t in b.column(1).slice(lo, 256).to_pylist()], how.window)
+                yield pa.RecordBatch.from_pydict({"y": b.column(2).slice(lo, 256), "x": pa.array(x.tolist(), pa.list_(pa.float64()))})
 
     got = some.select("doc_id", "text", "toxic").mapInArrow(rows, "y int, x array<double>").collect()
     if len({r.y for r in got}) < 2:
@@ -260,14 +272,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     terms, weights, how = model.terms, model.weights, model.fit
 
     def run(batches):
-        matcher = Matcher(terms)
+        matcher = Matcher(terms, how.misspelled)
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                x = np.array([matcher.features(t or "", how.window) for t in b.column(1).slice(lo, 512).to_pylist()])
+            for lo in range(0, b.num_rows, 256):
+                x = matcher.features([t or "" for t in b.column(1).slice(lo, 256).to_pylist()], how.window)
                 s = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
                 size = np.rint(np.expm1(x[:, :4])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, 512), b.column(2).slice(lo, 512), pa.array(s), pa.array((s >= how.threshold).astype(np.int32)),
+                    [b.column(0).slice(lo, 256), b.column(2).slice(lo, 256), pa.array(s), pa.array((s >= how.threshold).astype(np.int32)),
                      pa.array(size.sum(1, dtype=np.int32)), pa.array(size[:, 1] + size[:, 3]), pa.array(size[:, 2] + size[:, 3])],
                     ["doc_id", "held_out", "score", "predicted", "n_hits", "n_misspelled", "n_quoted"])
 

@@ -88,7 +88,7 @@ def test_parts_encode_like_whole_texts():
     t, rng = Tokenizer.from_file(path), random.Random(5)
     texts = ["".join(rng.choice(["a", "b", "it's", " ", "  ", "\n", " \n", "é", " ", " ", "1", "<|endoftext|>", "!", ".", ",", ".\n", "É", "...", "²", "'", "\t", "日"]) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
     enc = token_output.CachedEncoder(path)
-    enc.keep = 50
+    enc.spaced.keep = enc.first.keep = 50
     for i in range(0, len(texts), 80):
         assert enc.encode(texts[i:i + 80]) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in texts[i:i + 80]]
 
