@@ -36,7 +36,7 @@ _POWERS = (0.01, 0.03, 0.1, 0.2, 0.4, 0.7, 1.0)
 
 @dataclass(frozen=True)
 class Fit:
-    targets: dict[str, float] = field(default_factory=lambda: {"q1t0": 0.94, "q0t0": 0.05, "q1t1": 0.01})
+    targets: dict[str, float] = field(default_factory=lambda: {"q1t0": 0.99, "q0t0": 0.005, "q1t1": 0.005})
     tokens: float | None = None
     pull: float = 1e-3
     steps: int = 60
