@@ -20,18 +20,15 @@ def tmp_dir(tmp_path):
     return str(tmp_path)
 
 
+# teams of one, two and three drivers; ids with gaps, teams in no order of name
 ROSTER_ROWS = [
-    # invented roster: 10 drivers, 6 teams (four teams with two drivers)
-    (1, "Ada Quill", "Orion", "#112233"),
-    (2, "Ben Marsh", "Vega", "#223344"),
-    (3, "Cy Rowe", "Lyra", "#334455"),
-    (4, "Dee Vance", "Lyra", "#334455"),
-    (5, "Eli Stone", "Nova", "#445566"),
-    (6, "Fay Holt", "Nova", "#445566"),
-    (7, "Gus Penn", "Orion", "#112233"),
-    (8, "Hal Reed", "Rigel", "#556677"),
-    (9, "Ivy Cole", "Rigel", "#556677"),
-    (10, "Jo Lark", "Deneb", "#667788"),
+    (12, "Jo Lark", "Deneb", "#667788"),
+    (15, "Cy Rowe", "Lyra", "#334455"),
+    (16, "Kim Oda", "Vega", "#223344"),
+    (21, "Ada Quill", "Orion", "#112233"),
+    (30, "Lou Fenn", "Lyra", "#334455"),
+    (31, "Ben Marsh", "Orion", "#112233"),
+    (44, "Mo Tell", "Lyra", "#334455"),
 ]
 
 
