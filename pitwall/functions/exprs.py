@@ -70,15 +70,9 @@ def commentary_prompt(driver_name, position) -> Column:
 def mentions(message, driver_name) -> Column:
     """Case-insensitive: message contains the last token, and the first token too when the
     name has several tokens. True when either input is empty or missing."""
-    m = F.lower(col(message))
-    parts = F.split(F.lower(col(driver_name)), " ", -1)
-    first = F.element_at(parts, 1)
-    last = F.element_at(parts, -1)
-    has_last = m.contains(last)
-    has_first = (first == last) | m.contains(first)
-    blank = (col(driver_name).isNull() | (col(driver_name) == "")
-             | col(message).isNull() | (col(message) == ""))
-    return F.when(blank, F.lit(True)).otherwise(has_last & ((F.size(parts) == 1) | has_first))
+    text, name = (F.lower(F.coalesce(col(c), F.lit(""))) for c in (message, driver_name))
+    ends = (F.substring_index(name, " ", 1), F.substring_index(name, " ", -1))
+    return (text == "") | (name == "") | (text.contains(ends[0]) & text.contains(ends[1]))
 
 
 def badge(position) -> Column:
