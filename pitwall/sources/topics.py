@@ -57,8 +57,8 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trig
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    # a glob: the file source lists a pattern (a bare file path is not a directory)
-    return with_instant_time(r.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet*"))
+    # the file source takes a pattern where a bare file path would not do; this one matches the exact name only
+    return with_instant_time(r.parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]"))
 
 
 def files_stream(spark: SparkSession, directory: str, schema: T.StructType, fmt: str = "parquet",

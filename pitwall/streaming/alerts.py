@@ -5,7 +5,8 @@
   at the 50 rows it still held).
 * ``lifecycle``: per race an event-time timer: the first message of a race emits
   ``in_progress`` at its event time and arms a timeout at start + duration; when the
-  watermark passes it, ``finished`` is emitted and the race state is dropped.
+  watermark passes it, ``finished`` is emitted. The finished race is remembered until the
+  eviction age has passed, so late messages do not open it again.
 """
 
 from __future__ import annotations
@@ -25,25 +26,36 @@ def dedupe(df: DataFrame, keys: list[str], event_time: str = "ts", delay: str =
 
 
 LIFECYCLE_OUT = "race_id string, status string, at_us long"
-LIFECYCLE_STATE = "start_us long"
+LIFECYCLE_STATE = "start_us long, finished boolean"
+EVICT_AFTER_S = 3600
 
 
 def _lifecycle_fn(duration_s: int):
     dur_us = duration_s * 1_000_000
+    keep_ms = EVICT_AFTER_S * 1000
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        race = key[0]
-        if state.hasTimedOut:
-            start = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"race_id": [race], "status": [STATUSES[2]], "at_us": [start + dur_us]})
-            return
-        first = min(int(p["ts_us"].min()) for p in pdfs if len(p))
-        if state.exists:
-            return
-        state.update((first,))
-        state.setTimeoutTimestamp((first + dur_us) // 1000)
-        yield pd.DataFrame({"race_id": [race], "status": [STATUSES[1]], "at_us": [first]})
+        out = []
+        known = state.exists
+        if known:
+            start, finished = state.get
+        else:
+            start, finished = min(int(p["ts_us"].min()) for p in pdfs if len(p)), False
+            out.append((key[0], STATUSES[1], start))
+        now = state.getCurrentWatermarkMs()
+        end_ms = (start + dur_us) // 1000
+        if not finished and (state.hasTimedOut or end_ms <= now):
+            finished = True
+            out.append((key[0], STATUSES[2], start + dur_us))
+        if finished and end_ms + keep_ms <= now:
+            if known:
+                state.remove()
+        else:
+            # a timeout has to be set again in every call
+            state.update((start, finished))
+            state.setTimeoutTimestamp(end_ms + keep_ms if finished else end_ms)
+        if out:
+            yield pd.DataFrame(out, columns=["race_id", "status", "at_us"])
     return fn
 
 

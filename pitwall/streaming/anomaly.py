@@ -88,6 +88,7 @@ _INIT = {"gaussian": [0, 0, 0, None, 0, 0, 0], "ar1": [0, 0, 0, 0, 0, 0, None, F
 def _fn(method: str, z: float, min_training: int, ttl_ms: int):
     step = _gaussian_step if method == "gaussian" else _ar1_step
     cols = ["arrival", "key", "ts_us", "team_name", "engine_temperature", "ts_ms", "_v"]
+    whole = (0, 2, 5, 6)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -104,6 +105,8 @@ def _fn(method: str, z: float, min_training: int, ttl_ms: int):
         last_ms = st[3] if method == "gaussian" else st[8]
         for r in batch[cols].itertuples(index=False, name=None):
             r = [_none(x) for x in r]
+            # a null makes pandas hold the column's integers as floats
+            r = [int(x) if i in whole and x is not None else x for i, x in enumerate(r)]
             ts_ms, v = r[5], r[6]
             if last_ms is not None and ts_ms < last_ms:
                 late += 1
@@ -123,7 +126,8 @@ def detect(metrics: DataFrame, method: str = "gaussian", confidence_pct: float =
            min_training: int = MIN_TRAINING, ttl_ms: int | None = None) -> DataFrame:
     """Streaming detector over (arrival, key, ts, team_name, engine_temperature)."""
     z = z_value(confidence_pct)
-    m = metrics.select("arrival", "key", F.unix_micros("ts").alias("ts_us"), "team_name", "engine_temperature",
+    # a row without event time has no place in the order
+    m = metrics.where(F.col("ts").isNotNull()).select("arrival", "key", F.unix_micros("ts").alias("ts_us"), "team_name", "engine_temperature",
                        F.unix_millis("ts").alias("ts_ms"),
                        F.round(F.col("engine_temperature") * 100).cast("long").alias("_v"))
     res = m.groupBy("team_name").applyInPandasWithState(

@@ -73,7 +73,7 @@ def _bounded_fn(cap: int):
         out = pd.DataFrame(slots, columns=cols)
         out.insert(0, "race_id", race)
         out.insert(2, "slot", range(1, len(slots) + 1))
-        yield out.astype({"slot": "int32", "position": "int32", "arrival": "int64", "ts_us": "int64"})
+        yield out.astype({"slot": "int32", "position": "Int32", "arrival": "int64", "ts_us": "int64"})
     return fn
 
 

@@ -32,9 +32,12 @@ def start_files(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet",
 
 
 def finish(q: StreamingQuery, timeout_s: float = 600.0) -> None:
-    """Wait for an ``availableNow`` query; stop it if it does not end in time."""
+    """Wait for an ``availableNow`` query; one that does not end in time is stopped and raises,
+    so that a sink with only part of the input is never taken for the result."""
     done = q.awaitTermination(timeout_s)
     if not done:
         q.stop()
     if q.exception() is not None:
         raise q.exception()
+    if not done:
+        raise TimeoutError(f"the streaming query did not end within {timeout_s:g} s; its output is incomplete")

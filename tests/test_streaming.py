@@ -6,6 +6,7 @@ import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from pitwall import sinks
@@ -192,3 +193,28 @@ def test_detector_state_expires_after_ttl(spark, tmp_dir):
         q.stop()
     assert got[19] == 19
     assert [got[100], got[101], got[102]] == [0, 1, 2]  # the team's state started afresh
+
+
+def test_lifecycle_over_many_batches_finishes_each_race_once(spark, tmp_dir):
+    rows = [(i, T0 + dt.timedelta(seconds=7 * i), f"r{i % 3}", "d", 1, None, None) for i in range(120)]
+    src, out, ck = f"{tmp_dir}/src", f"{tmp_dir}/out", f"{tmp_dir}/ck"
+    _write_files(src, rows, P_SCHEMA, 6)
+    stream = topics.files_stream(spark, src, _spark_schema(spark, src), max_files_per_trigger=1)
+    runner.finish(runner.start_files(alerts.lifecycle(stream, delay="10 seconds"), out, ck))
+    got = sorted((r.race_id, r.status) for r in spark.read.parquet(out).collect())
+    assert got == sorted((f"r{i}", s) for i in range(3) for s in ("in_progress", "finished"))
+
+
+def test_detector_state_survives_nulls_across_batches(spark, tmp_dir):
+    rows = [r[:4] + (None,) if i % 7 == 3 else r for i, r in enumerate(_metrics_rows(80, seed=5))]
+    src, out, ck = f"{tmp_dir}/src", f"{tmp_dir}/out", f"{tmp_dir}/ck"
+    _write_files(src, rows, M_SCHEMA, 4)
+    _run_detector(spark, src, out, ck)
+    assert {r.arrival for r in spark.read.parquet(out).collect()} == {r[0] for r in rows}
+
+
+def test_finish_raises_when_a_query_does_not_end(spark, tmp_dir):
+    q = spark.readStream.format("rate").load().writeStream.format("noop").option("checkpointLocation", f"{tmp_dir}/ck").start()
+    with pytest.raises(TimeoutError):
+        runner.finish(q, timeout_s=1.0)
+    assert not q.isActive
