@@ -39,7 +39,7 @@ class Fit:
     min_share: float = 0.08
     rounds: int = 12
     quantile: float = 0.999
-    slack: float = 0.05
+    slack: float = 0.15
     #: Sharpness of the score.
     sharpness: float = 25.0
 
