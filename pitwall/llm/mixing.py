@@ -1,8 +1,9 @@
 """Mixing to target weights (operator 5): soft membership and projected-gradient least squares.
 
 Domains are the classes of a labelled table. A multinomial naive Bayes over hashed words (counts of
-all labelled rows, added up on the executors) gives every document a posterior over domains; one
-exponent, chosen by the log loss over all labelled rows, softens it. Nonnegative rates per
+all labelled rows, added up on the executors) gives every document a posterior over domains; its
+log likelihoods are divided by the root of the text's words, since words of one text are not
+independent, and one exponent, chosen by the log loss over all labelled rows, softens them. Nonnegative rates per
 document are then fitted: the expected domain token totals, sum of rate x tokens x posterior,
 shall equal target weight x total. The least squares (relative to each domain's present size, with
 a small pull to rate 1) is solved by accelerated projected gradients. A document's rate
@@ -31,12 +32,12 @@ from pyspark.sql import types as T
 from pitwall.llm import common as C
 
 _BUCKETS = 1 << 14
-_POWERS = (0.01, 0.03, 0.1, 0.2, 0.4, 0.7, 1.0)
+_POWERS = (0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
 
 
 @dataclass(frozen=True)
 class Fit:
-    targets: dict[str, float] = field(default_factory=lambda: {"q1t0": 0.99, "q0t0": 0.005, "q1t1": 0.005})
+    targets: dict[str, float] = field(default_factory=lambda: {"q1t0": 0.90, "q0t0": 0.06, "q1t1": 0.04})
     tokens: float | None = None
     pull: float = 1e-3
     steps: int = 60
@@ -51,12 +52,12 @@ class Classifier:
     power: float = 1.0
 
     def likelihoods(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(words, log likelihood relative to the first domain) of each text."""
+        """(words, log likelihood relative to the first domain over the root of the words) of each text."""
         m = len(off) - 1
         bucket, row = word_buckets(buf, off)
         n = np.bincount(row, minlength=m)
         rel = np.stack([np.bincount(row, self.logs[d][bucket], minlength=m) for d in range(len(self.domains))], 1)
-        return n, rel
+        return n, rel / np.sqrt(np.maximum(n, 1))[:, None]
 
     def posterior(self, rel: np.ndarray, power: float | None = None) -> np.ndarray:
         z = self.prior + (self.power if power is None else power) * rel
