@@ -101,7 +101,8 @@ def complete(df: DataFrame, prompt_col: str, out_col: str = "commentary",
         def call(s: pd.Series) -> pd.Series:
             return pd.Series(fn(s.tolist()), dtype=object)
 
-        res = df.withColumn(out_col, call(F.col(prompt_col)))
+        # nondeterministic: the null filter below must not call the model once more
+        res = df.withColumn(out_col, call.asNondeterministic()(F.col(prompt_col)))
     return res.where(F.col(out_col).isNotNull())
 
 
@@ -116,26 +117,35 @@ def embed(df: DataFrame, text_col: str, out_col: str = "embedding",
     def call(s: pd.Series) -> pd.Series:
         return pd.Series(fn(s.tolist()), dtype=object)
 
-    return df.withColumn(out_col, call(F.col(text_col)))
+    return df.withColumn(out_col, call.asNondeterministic()(F.col(text_col)))
+
+
+def _batches(model: ModelSpec) -> Callable[[list], list]:
+    """The Python form of a model for SQL functions."""
+    if model.batch_fn is not None:
+        return model.batch_fn
+    if model.column_fn is template_completion:
+        return template_completion_batch
+    raise ValueError(f"model {model.name} is a column expression only; SQL functions need a batch_fn")
 
 
 def register_sql_functions(spark: SparkSession, completion: ModelSpec = COMMENTARY_MODEL,
                            embedding: ModelSpec = EMBED_MODEL) -> None:
     """Expose the models to SQL as ``ai_complete(prompt)`` and ``ml_predict(text)``."""
-    comp = completion.batch_fn or template_completion_batch
+    comp = _batches(completion)
 
     @F.pandas_udf(T.StringType())
     def ai_complete(s: pd.Series) -> pd.Series:
         return pd.Series(comp(s.tolist()), dtype=object)
 
-    emb = embedding.batch_fn
+    emb = _batches(embedding)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def ml_predict(s: pd.Series) -> pd.Series:
         return pd.Series(emb(s.tolist()), dtype=object)
 
-    spark.udf.register("ai_complete", ai_complete)
-    spark.udf.register("ml_predict", ml_predict)
+    spark.udf.register("ai_complete", ai_complete.asNondeterministic())
+    spark.udf.register("ml_predict", ml_predict.asNondeterministic())
 
 
 def register_table_functions(spark: SparkSession, completion: ModelSpec = COMMENTARY_MODEL,
@@ -148,8 +158,8 @@ def register_table_functions(spark: SparkSession, completion: ModelSpec = COMMEN
     Arrow-batched Python UDTFs; a row whose call yields nothing drops (inner lateral).
     The DataFrame functions ``complete`` / ``embed`` are the faster path.
     """
-    comp = completion.batch_fn or template_completion_batch
-    emb = embedding.batch_fn
+    comp = _batches(completion)
+    emb = _batches(embedding)
 
     @F.udtf(returnType="commentary: string", useArrow=True)
     class AiCompleteTF:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pitwall.functions import exprs as X
 from pitwall.operators import sequence
-from pitwall.operators.dims import bounded_broadcast, team_lead
+from pitwall.operators.dims import team_lead
 
 CONFIDENCE_PCT = 90.0        # fixed values of the detector options
 MIN_TRAINING = 16
@@ -144,7 +144,7 @@ def enrich(anoms: DataFrame, roster: DataFrame, confidence_col: str | None = Non
     """J4 + B14-B17: first driver of the team (else the team name), metric name and value
     defaults, confidence (flag -> 0.95 unless a real confidence column is given), severity.
     The alert time is the event time in ms (kept from the input, not the wall clock)."""
-    leads = bounded_broadcast(team_lead(roster).select(F.col("team").alias("_team"), "lead_driver"), 1_000_000)
+    leads = team_lead(roster).select(F.col("team").alias("_team"), "lead_driver")
     j = anoms.join(leads, anoms.team_name == leads._team, "left")
     conf = F.col(confidence_col) if confidence_col else X.flag_confidence("is_anomaly")
     out = j.select(
@@ -164,12 +164,12 @@ def dedupe(alerts: DataFrame, keys=("timestamp", "team_name", "metric_name"), or
     return alerts.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_f")).select(*keys, "_f.*")
 
 
-def recent(df: DataFrame, n: int, order=("ts_ms", "arrival")) -> DataFrame:
-    """Newest ``n`` rows (top-n per partition, then one merge)."""
+def recent(df: DataFrame, n: int, order=("arrival",)) -> DataFrame:
+    """The last ``n`` rows to arrive, newest first (top-n per partition, then one merge)."""
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 
-def last_n_oldest_first(df: DataFrame, n: int, order=("ts_ms", "arrival")) -> DataFrame:
+def last_n_oldest_first(df: DataFrame, n: int, order=("arrival",)) -> DataFrame:
     """The newest ``n`` rows, numbered oldest -> newest (``seq``)."""
     from pyspark.sql import Window
     top = recent(df, n, order)

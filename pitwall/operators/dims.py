@@ -1,11 +1,8 @@
-"""Small dimensions: roster helpers, teams, first driver per team.
+"""Small dimensions: teams, first driver per team.
 
-``bounded_broadcast`` is the only place that hints a broadcast. It is used for dimension
-tables (roster, teams) and proves the size bound once per application and plan (a
-``limit(bound + 1)`` read); small dimensions become a local snapshot; when the bound does
-not hold the frame is returned unhinted and Spark plans a shuffle join. Sides derived from the
-data (per-race aggregates) are not hinted: adaptive execution measures their real
-shuffle size and switches to a broadcast join only below its threshold.
+Dimension joins carry no hint. Spark broadcasts a side only below its threshold, from the
+file sizes it reads with each plan or from the sizes adaptive execution measures, and
+shuffles it otherwise; a dimension that changes or grows is read anew by the next query.
 """
 
 from __future__ import annotations
@@ -13,36 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_checked: dict = {}
-
-
-SNAPSHOT_ROWS = 10_000      # dimensions up to this size are kept as a local snapshot
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int, key=None) -> DataFrame:
-    """Hint a broadcast only after proving ``rows <= max_rows``; memoised per application
-    and plan (``key`` or the plan's semantic hash), so a dimension is checked once.
-
-    A dimension of at most ``SNAPSHOT_ROWS`` rows is snapshotted once per application
-    into a local relation (its broadcast then needs no Spark job in each query); a larger
-    one within the bound is broadcast from its plan; beyond the bound it is returned
-    unhinted (shuffle join).
-    """
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    memo_key = (app, key if key is not None else df.semanticHash(), max_rows)
-    got = _checked.get(memo_key)
-    if got is None:
-        rows = df.limit(min(max_rows, SNAPSHOT_ROWS) + 1).collect()
-        if len(rows) <= SNAPSHOT_ROWS:
-            got = spark.createDataFrame(rows, df.schema)
-        else:
-            got = df.limit(max_rows + 1).count() <= max_rows
-        _checked[memo_key] = got
-    if isinstance(got, DataFrame):
-        return F.broadcast(got)
-    return F.broadcast(df) if got else df
-
 
 def teams(df: DataFrame, team_col: str = "team_name") -> DataFrame:
     """Distinct teams (partial aggregation before the shuffle)."""

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from pitwall.functions import exprs as X
 from pitwall.operators import sequence
-from pitwall.operators.dims import bounded_broadcast
 
 KEYS = ("race_id", "driver_name")
 CAP = 10                      # entries kept per race (fixed value of the behaviour)
@@ -202,8 +201,8 @@ def bounded(positions: DataFrame, cap: int = CAP, chunk_offsets: int = SPEC_CHUN
 
 def enrich(board: DataFrame, roster: DataFrame, selected_driver: str | None = None) -> DataFrame:
     """J5 + B18 + B25: roster lookup with display defaults, badge, selected flag."""
-    ro = bounded_broadcast(roster.select(F.col("name").alias("_rname"), F.col("team").alias("_rteam"),
-                                         F.col("team_color").alias("_rcolor")), 1_000_000)
+    ro = roster.select(F.col("name").alias("_rname"), F.col("team").alias("_rteam"),
+                       F.col("team_color").alias("_rcolor"))
     j = board.join(ro, board.driver_name == ro._rname, "left")
     return j.select(
         *board.columns,
@@ -236,13 +235,14 @@ def baseline_delta(positions: DataFrame) -> DataFrame:
             .withColumn("direction", X.change_direction("change")))
 
 
-def final_positions(board: DataFrame, cap: int = CAP) -> DataFrame:
-    """Final classification per race from the capped list.
+def final_positions(board: DataFrame, finished: DataFrame, cap: int = CAP) -> DataFrame:
+    """Final classification per finished race (``race_id`` of ``finished``) from the
+    capped list.
 
     ``valid``: exactly ``cap`` rows, all positions in 1..cap (duplicates not checked, as in
     the behaviour reproduced); ``valid_strict`` also requires distinct positions.
     """
-    b = board.where(F.col("race_id").isNotNull())
+    b = board.join(finished.select("race_id"), "race_id", "left_semi")
     w = Window.partitionBy("race_id")
     in_range = F.col("position").between(1, cap)
     out = (b.withColumn("n", F.count(F.lit(1)).over(w))

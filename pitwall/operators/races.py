@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from pitwall.functions import exprs as X
 from pitwall.operators import sequence
-from pitwall.operators.dims import bounded_broadcast
 
 DURATION_S = 60            # default race length (fixed value of the behaviour)
 EVICT_AFTER = "1 hour"     # finished races older than this are dropped
@@ -60,10 +59,15 @@ def status(race_df: DataFrame, asof) -> DataFrame:
         "duration", "start_time", "end_time")
 
 
+def finished(status_df: DataFrame) -> DataFrame:
+    """The finished races."""
+    return status_df.where(F.col("status") == STATUSES[2])
+
+
 def evicted(status_df: DataFrame, asof, ttl: str = EVICT_AFTER) -> DataFrame:
     """H4: finished races whose end is older than ``ttl`` before ``asof``."""
     cutoff = _ts_lit(asof) - F.expr(f"INTERVAL {ttl}")
-    return status_df.where((F.col("status") == STATUSES[2]) & (F.col("end_time") < cutoff))
+    return finished(status_df).where(F.col("end_time") < cutoff)
 
 
 def lifecycle(race_df: DataFrame) -> DataFrame:
@@ -105,6 +109,6 @@ def history(positions: DataFrame, race_df: DataFrame, chunk_rows: int = 1 << 20)
 
 def validate(requests: DataFrame, roster: DataFrame, name_col: str = "driver_name"):
     """(known, unknown) requests by driver name: left semi / left anti joins."""
-    ro = bounded_broadcast(roster.select(F.col("name").alias("_n")), 1_000_000)
+    ro = roster.select(F.col("name").alias("_n"))
     cond = F.col(name_col) == F.col("_n")
     return requests.join(ro, cond, "left_semi"), requests.join(ro, cond, "left_anti")

@@ -124,8 +124,8 @@ def balanced_time_chunk(df: DataFrame, keys: Sequence[str], ms_col: str,
 
     The sizes come from one small aggregate per key (count, first and last time; a
     column-pruned scan with map-side partial aggregation). Up to ``max_keys`` keys it is
-    broadcast as a local relation (bounded, checked by the ``limit``); beyond that one
-    global width is used instead (no join at all).
+    broadcast as a local relation (bounded, checked by the ``limit``); beyond that the same
+    widths reach the rows by a plain join.
     """
     spark = df.sparkSession
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"), F.min(ms_col).alias("_t0"),
@@ -135,15 +135,11 @@ def balanced_time_chunk(df: DataFrame, keys: Sequence[str], ms_col: str,
     def width(cnt, t0, t1):
         return F.greatest(F.lit(1), F.ceil((t1 - t0 + 1) * F.lit(target_rows) / cnt)).cast("long")
 
-    if len(rows) > max_keys:
-        g = df.agg(F.count(F.lit(1)).alias("c"), F.min(ms_col).alias("a"), F.max(ms_col).alias("b")).collect()[0]
-        w = width(F.lit(g["c"]), F.lit(g["a"]), F.lit(g["b"]))
-        bucket = F.floor((F.col(ms_col) - F.lit(g["a"])) / w).cast("long")
-        return df.withColumn(out, F.coalesce(bucket, F.lit(-1).cast("long")))
-    local = spark.createDataFrame(rows, stats.schema)
+    small = len(rows) <= max_keys
+    local = spark.createDataFrame(rows, stats.schema) if small else stats
     local = local.select(*[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)], "_t0",
                          width(F.col("_cnt"), F.col("_t0"), F.col("_t1")).alias("_w"))
-    local = F.broadcast(local)
+    local = F.broadcast(local) if small else local
     cond = None
     for i, k in enumerate(keys):
         c = df[k].eqNullSafe(local[f"_sk{i}"])

@@ -1,11 +1,11 @@
 """Exact cosine top-k search of query vectors against a corpus.
 
-Plan: the query set is small (checked against ``max_queries``), so its normalised matrix
-is broadcast once; the corpus is scanned in Arrow batches where one matrix product
-scores each batch against every query and only the batch's ``k`` best rows per query
-leave the task. A final ``row_number() <= k`` per query (Spark adds a partial
-WindowGroupLimit before its shuffle) picks the global top-k. Every corpus row is scored,
-so the result is exact; no pair table is ever materialised.
+Plan: the queries are taken in blocks of about ``block_queries``; each block's normalised
+matrix is broadcast, and one scan of the corpus scores its Arrow batches by matrix products.
+A task keeps the ``k`` best rows per query over all its batches and emits them once. A final
+``row_number() <= k`` per query (Spark adds a partial WindowGroupLimit before its shuffle)
+picks the global top-k. Every corpus row is scored, so the result is exact; no pair table is
+ever materialised.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pitwall.functions import exprs as X
 
-MAX_QUERIES = 10_000        # broadcast bound for the query matrix
+BLOCK_QUERIES = 2_000       # query vectors broadcast with one scan of the corpus
 QUANT = 1_000_000           # centroid components are exact sums of 1e-6 units
 
 
@@ -36,60 +36,65 @@ def centroids(corpus: DataFrame, label_col: str = "label", vec_col: str = "embed
     return g.select(F.col(label_col).alias("query_id"), vec.alias("vector"))
 
 
+def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (ids, sims), ties by the smaller id."""
+    if len(ids) > k:
+        at = np.flatnonzero(sims >= np.partition(sims, len(sims) - k)[len(sims) - k])
+        ids, sims = ids[at], sims[at]
+    order = np.lexsort((ids, -sims))[:k]
+    return ids[order], sims[order]
+
+
 def _score(bq, k: int, c_id: str, c_vec: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q_mat = bq.value
+        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in q_ids]
         for b in batches:
-            if len(b) == 0:
-                continue
-            ids = b[c_id].to_numpy()
             vecs = b[c_vec].tolist()
-            d = q_mat.shape[1]
-            ok = np.array([v is not None and len(v) == d for v in vecs], dtype=bool)
+            ok = np.array([v is not None and len(v) == q_mat.shape[1] for v in vecs], dtype=bool)
             if not ok.any():
                 continue
-            ids = ids[ok]
+            ids = b[c_id].to_numpy()[ok]
             m = np.vstack([np.asarray(v, dtype=np.float64) for v, o in zip(vecs, ok) if o])
             norms = np.sqrt((m * m).sum(axis=1))
             nz = norms > 0
-            ids, m, norms = ids[nz], m[nz], norms[nz]
-            if len(ids) == 0:
-                continue
-            sims = (m @ q_mat.T) / norms[:, None]
-            keep = min(k, len(ids))
-            out_q, out_i, out_s = [], [], []
-            for j, qid in enumerate(q_ids):
-                order = np.lexsort((ids, -sims[:, j]))[:keep]
-                out_q.extend([qid] * keep)
-                out_i.append(ids[order])
-                out_s.append(sims[order, j])
-            yield pd.DataFrame({"query_id": out_q, "vec_id": np.concatenate(out_i),
-                                "similarity": np.concatenate(out_s)})
+            ids, sims = ids[nz], (m[nz] @ q_mat.T) / norms[nz, None]
+            for j, (old_ids, old_sims) in enumerate(best):
+                new = sims[:, j]
+                at = np.flatnonzero(new >= old_sims[-1]) if len(old_sims) == k else np.arange(len(new))
+                best[j] = _best(np.concatenate([old_ids, ids[at]]), np.concatenate([old_sims, new[at]]), k)
+        yield pd.DataFrame({"query_id": [q for q, (i, _) in zip(q_ids, best) for _ in i],
+                            "vec_id": np.concatenate([i for i, _ in best]),
+                            "similarity": np.concatenate([s for _, s in best])})
     return run
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, q_id: str = "query_id", q_vec: str = "vector",
-          c_id: str = "vec_id", c_vec: str = "embedding", max_queries: int = MAX_QUERIES,
+          c_id: str = "vec_id", c_vec: str = "embedding", block_queries: int = BLOCK_QUERIES,
           digits: int | None = 6) -> DataFrame:
     """(query_id, vec_id, rank, similarity) for the ``k`` most similar corpus rows per
     query; ties broken by the smaller corpus id; zero/missing vectors never match."""
     spark = corpus.sparkSession
-    qs = queries.select(F.col(q_id).alias("query_id"), F.col(q_vec).alias("vector"))
-    rows = qs.limit(max_queries + 1).collect()          # bounded: at most max_queries + 1 rows
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} query vectors; split the query set into batches")
-    rows = [r for r in rows if r["vector"] is not None]
+    qs = queries.select(F.col(q_id).alias("query_id"), F.col(q_vec).alias("vector")).where(F.col("vector").isNotNull())
     q_type = qs.schema["query_id"].dataType.simpleString()
-    if not rows:
-        return spark.createDataFrame([], f"query_id {q_type}, vec_id long, rank int, similarity double")
-    q_mat = np.array([np.asarray(r["vector"], dtype=np.float64) for r in rows])
-    qn = np.sqrt((q_mat * q_mat).sum(axis=1))
-    good = qn > 0
-    q_ids = [r["query_id"] for r, g in zip(rows, good) if g]
-    q_mat = q_mat[good] / qn[good][:, None]
-    bq = spark.sparkContext.broadcast((q_ids, q_mat))
-    cand = corpus.select(F.col(c_id).cast("long").alias(c_id), F.col(c_vec)).mapInPandas(
-        _score(bq, k, c_id, c_vec), f"query_id {q_type}, vec_id long, similarity double")
+    out = f"query_id {q_type}, vec_id long, similarity double"
+    blocks = max(1, -(-qs.count() // block_queries))
+    block = F.pmod(F.xxhash64("query_id", "vector"), F.lit(blocks))
+    slim = corpus.select(F.col(c_id).cast("long").alias(c_id), F.col(c_vec))
+    cand = spark.createDataFrame([], out)
+    for i in range(blocks):
+        rows = qs.where(block == i).collect()          # one block of queries
+        if not rows:
+            continue
+        q_mat = np.array([np.asarray(r["vector"], dtype=np.float64) for r in rows])
+        qn = np.sqrt((q_mat * q_mat).sum(axis=1))
+        good = qn > 0
+        q_ids = [r["query_id"] for r, g in zip(rows, good) if g]
+        if not q_ids:
+            continue
+        bq = spark.sparkContext.broadcast((q_ids, q_mat[good] / qn[good][:, None]))
+        found = slim.mapInPandas(_score(bq, k, c_id, c_vec), out)
+        cand = found if i == 0 else cand.unionByName(found)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("vec_id").asc())
     top = cand.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
     sim = F.round("similarity", digits) if digits is not None else F.col("similarity")

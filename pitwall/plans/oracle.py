@@ -68,7 +68,7 @@ FINAL = """final AS (
     (count(*) OVER w = 10 AND min(CASE WHEN position BETWEEN 1 AND 10 THEN 1 ELSE 0 END) OVER w = 1
        AND count(DISTINCT position) OVER w = 10) AS valid_strict,
     CAST(row_number() OVER (PARTITION BY race_id ORDER BY position, driver_name) AS INTEGER) AS rank
-  FROM bounded WHERE race_id IS NOT NULL
+  FROM bounded WHERE race_id IN (SELECT race_id FROM status WHERE status = 'finished')
   WINDOW w AS (PARTITION BY race_id))"""
 
 RACES = """races AS (
@@ -215,6 +215,9 @@ topk AS (
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["positions_decode"] = f"WITH {POSITIONS} SELECT driver_name, position, {MS.format(c='ts')} AS ts, race_id, arrival FROM positions"
+    q["positions_decode_damaged"] = q["positions_decode"] + " WHERE arrival % 7 NOT IN (0, 1, 2)"
+    q["decode_dead_letters"] = (f"WITH {POSITIONS} SELECT race_id AS key, arrival, CASE WHEN arrival % 7 = 1 THEN "
+                                f"'{{\"driver_name\": \"cut' || arrival ELSE '' END AS value FROM positions WHERE arrival % 7 IN (1, 2)")
     q["metrics_decode"] = f"WITH {METRICS} SELECT key, team_name, {MS.format(c='ts')} AS ts, engine_temperature, arrival FROM metrics"
     q["leaderboard_latest"] = f"WITH {POSITIONS}, {LATEST}, {RANKED} SELECT * FROM ranked"
     q["leaderboard_snapshot_race"] = (f"WITH {POSITIONS}, {LATEST}, {RANKED} SELECT * FROM ranked "
@@ -239,9 +242,9 @@ b AS (SELECT race_id, driver_name, arg_min(position, arrival) AS baseline_positi
 SELECT *, CAST(baseline_position - position AS INTEGER) AS change,
        CASE WHEN baseline_position - position > 0 THEN 'gain' WHEN baseline_position - position < 0 THEN 'loss' ELSE '' END AS direction
 FROM b"""
-    q["final_positions"] = f"WITH RECURSIVE {POSITIONS}, {LATEST}, {BOUNDED}, {FINAL} SELECT * FROM final"
-    q["race_winner"] = f"WITH RECURSIVE {POSITIONS}, {LATEST}, {BOUNDED}, {FINAL} SELECT * FROM final WHERE position = 1"
-    q["driver_result"] = (f"WITH RECURSIVE {POSITIONS}, {LATEST}, {BOUNDED}, {FINAL} SELECT * FROM final "
+    q["final_positions"] = f"WITH RECURSIVE {POSITIONS}, {LATEST}, {BOUNDED}, {RACES}, {_status(C.EVICT_ASOF)}, {FINAL} SELECT * FROM final"
+    q["race_winner"] = f"WITH RECURSIVE {POSITIONS}, {LATEST}, {BOUNDED}, {RACES}, {_status(C.EVICT_ASOF)}, {FINAL} SELECT * FROM final WHERE position = 1"
+    q["driver_result"] = (f"WITH RECURSIVE {POSITIONS}, {LATEST}, {BOUNDED}, {RACES}, {_status(C.EVICT_ASOF)}, {FINAL} SELECT * FROM final "
                           f"WHERE driver_name = '{C.RESULT_DRIVER}'")
     q["race_status"] = f"WITH {POSITIONS}, {RACES}, {_status(C.STATUS_ASOF)} SELECT * FROM status"
     q["races_evicted"] = (f"WITH {POSITIONS}, {RACES}, {_status(C.EVICT_ASOF)} SELECT * FROM status "
@@ -274,16 +277,16 @@ FROM b GROUP BY race_id, driver_name, window_start"""
     q["anomaly_severity"] = ("WITH " + _gauss_cte() + ",\nready AS (SELECT * FROM gauss WHERE forecast IS NOT NULL),\n"
                              + ENRICH.format(cols=_gcols(), conf=REAL_CONF, src="ready")
                              + f" SELECT {ALERT_COLS} FROM alerts")
-    q["anomaly_recent100"] = f"{_alerts_flagged()} SELECT {ALERT_COLS} FROM alerts ORDER BY ts_ms DESC, arrival DESC LIMIT 100"
+    q["anomaly_recent100"] = f"{_alerts_flagged()} SELECT {ALERT_COLS} FROM alerts ORDER BY arrival DESC LIMIT 100"
     q["anomaly_last20"] = f"""{_alerts_flagged()},
-top AS (SELECT {ALERT_COLS} FROM alerts ORDER BY ts_ms DESC, arrival DESC LIMIT 20)
-SELECT *, CAST(row_number() OVER (ORDER BY ts_ms, arrival) AS INTEGER) AS seq FROM top"""
+top AS (SELECT {ALERT_COLS} FROM alerts ORDER BY arrival DESC LIMIT 20)
+SELECT *, CAST(row_number() OVER (ORDER BY arrival) AS INTEGER) AS seq FROM top"""
     q["anomaly_dedupe"] = (f"{_alerts_flagged()} SELECT {ALERT_COLS} FROM alerts "
                            f"QUALIFY row_number() OVER (PARTITION BY timestamp, team_name, metric_name ORDER BY arrival) = 1")
     q["anomaly_feed50"] = f"""{_alerts_flagged()},
 d AS (SELECT {ALERT_COLS} FROM alerts
       QUALIFY row_number() OVER (PARTITION BY timestamp, team_name, metric_name ORDER BY arrival) = 1)
-SELECT * FROM d ORDER BY ts_ms DESC, arrival DESC LIMIT 50"""
+SELECT * FROM d ORDER BY arrival DESC LIMIT 50"""
     q["commentary_feed50"] = f"""WITH {POSITIONS}, {GENERATED},
 d AS (SELECT * FROM generated QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrival) = 1)
 SELECT * FROM d ORDER BY arrival DESC LIMIT 50"""

@@ -38,6 +38,13 @@ def split_corrupt(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataF
     return p, p.limit(0).drop("_v")
 
 
+def dead_letters(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The records that a decoder leaves out because their value can't be parsed, with
+    the raw value; tombstones are none."""
+    bad = split_corrupt(df, schema)[1]
+    return bad.withColumn("key", F.col("key").cast("string")).withColumn("value", F.col("value").cast("string"))
+
+
 def _passthrough(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in ("key", "value", "_v")]
 

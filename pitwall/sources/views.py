@@ -19,28 +19,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitwall.functions import exprs as X
-from pitwall.operators.dims import bounded_broadcast
 from pitwall.sources.tables import load
 
 # --- Fixed values of the mapping ---------------------------------------------------------
 N_DRIVERS = 25            # driver code = user_id % N_DRIVERS (one driver per nation row)
 NO_RACE_EVENT = "signup"  # events of this type carry no race id
 N_POSITIONS = 10          # position = 1 + event_id % N_POSITIONS
-MAX_ROSTER_ROWS = 100_000  # broadcast bound for the roster dimension
 # -----------------------------------------------------------------------------------------
 
 
 def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = load(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = load(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    r = bounded_broadcast(r, MAX_ROSTER_ROWS, key=("region", sf_dir))
-    out = n.join(r, n.n_regionkey == r.r_regionkey).select(
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(
         F.col("n_nationkey").cast("int").alias("id"),
         F.col("n_name").alias("name"),
         F.col("r_name").alias("team"),
         F.concat(F.lit("#"), F.substring(F.md5(F.col("r_name")), 1, 6)).alias("team_color"),
     )
-    return bounded_broadcast(out, MAX_ROSTER_ROWS, key=("roster", sf_dir))
 
 
 def _events(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:

@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitwall.functions import exprs as X
 from pitwall.operators import ai, commentary
@@ -106,3 +107,21 @@ def test_sql_lateral_forms(spark):
         ("Ada Quill", "Ada Quill is running P1!"), ("Ben Marsh", "Ben Marsh is running P4!")]
     emb = spark.sql("SELECT q, embedding FROM VALUES ('Comments about a driver') AS t(q), LATERAL ml_predict_tf(q)")
     assert len(emb.collect()[0].embedding) == ai.EMBED_DIM
+
+
+def test_model_is_called_once_a_row(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def fn(xs):
+        calls.add(len(xs))
+        return [None if x.endswith("2") else x for x in xs]
+
+    df = spark.createDataFrame([(f"p{i}",) for i in range(20)], "prompt string").repartition(2)
+    model = ai.ModelSpec("m", "text_generation", T.StringType(), batch_fn=fn)
+    assert len(ai.complete(df, "prompt", "out", model).collect()) == 18 and calls.value == 20
+
+
+def test_sql_form_refuses_a_model_it_cannot_run(spark):
+    model = ai.ModelSpec("m", "text_generation", T.StringType(), column_fn=F.upper)
+    with pytest.raises(ValueError):
+        ai.register_sql_functions(spark, model)

@@ -103,7 +103,9 @@ def test_final_positions_validity(spark):
     dup = [_row(100 + i, "dup", f"d{i}", min(i, 9)) for i in range(1, 11)]
     out_of_range = [_row(200 + i, "bad", f"d{i}", i - 1) for i in range(1, 11)]
     short = [_row(300 + i, "short", f"d{i}", i) for i in range(1, 10)]
-    final = lb.final_positions(lb.bounded(_pos(spark, full + dup + out_of_range + short)))
+    running = [_row(400 + i, "running", f"d{i}", i) for i in range(1, 11)]
+    done = spark.createDataFrame([("ok",), ("dup",), ("bad",), ("short",)], "race_id string")
+    final = lb.final_positions(lb.bounded(_pos(spark, full + dup + out_of_range + short + running)), done)
     flags = {(r.race_id, r.valid, r.valid_strict) for r in final.collect()}
     assert flags == {("ok", True, True), ("dup", True, False), ("bad", False, False), ("short", False, False)}
     assert [r.driver_name for r in lb.winner(final).where("race_id = 'ok'").collect()] == ["d1"]

@@ -43,3 +43,12 @@ def test_prefix_sums_rows_and_range(spark):
 
     assert norm(got_rows) == norm(ref(fr))
     assert norm(got_range) == norm(ref(fg))
+
+
+def test_time_chunks_do_not_depend_on_the_number_of_keys(spark):
+    rows = [(k, t * 10) for k, n in (("hot", 200), ("cold", 5), (None, 3)) for t in range(n)]
+    df = spark.createDataFrame(rows, "k string, ms long")
+    few = sequence.balanced_time_chunk(df, ["k"], "ms", 20)
+    many = sequence.balanced_time_chunk(df, ["k"], "ms", 20, max_keys=1)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    assert few.where("k = 'hot'").select("_tchunk").distinct().count() >= 10

@@ -48,11 +48,11 @@ def test_fewer_rows_than_k(spark):
     assert [r.vec_id for r in got] == [1, 2]
 
 
-def test_query_bound_is_enforced(spark):
-    cdf = spark.createDataFrame([(1, [1.0, 0.0])], CS)
-    qdf = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(5)], QS)
-    with pytest.raises(ValueError):
-        vector.top_k(qdf, cdf, 1, max_queries=3)
+def test_more_queries_than_a_block(spark):
+    cdf = spark.createDataFrame([(i, [1.0, i / 7.0]) for i in range(40)], CS)
+    qdf = spark.createDataFrame([(i, [1.0, i / 5.0]) for i in range(11)] + [(11, [0.0, 0.0]), (12, None)], QS)
+    one = sorted(map(tuple, vector.top_k(qdf, cdf, 3).collect()))
+    assert len(one) == 33 and sorted(map(tuple, vector.top_k(qdf, cdf, 3, block_queries=2).collect())) == one
 
 
 def test_centroids_exact(spark):
