@@ -1,10 +1,11 @@
 """Mixing to target weights (operator 5): soft membership and projected-gradient least squares.
 
-Domains are the classes of a labelled table. A multinomial naive Bayes over hashed words (counts of
-all labelled rows, added up on the executors) gives every document a posterior over domains; its
-log likelihoods are divided by the root of the text's words, since words of one text are not
-independent, and one exponent, chosen by the log loss over all labelled rows, softens them. Nonnegative rates per
-document are then fitted: the expected domain token totals, sum of rate x tokens x posterior,
+Domains are the classes of a labelled table. Hashed words are counted by domain, over all labelled
+rows but a fifth (texts that hold a word, and places). A text's log likelihoods come from all its
+words, over the root of their number since words of one text are not independent, and from the
+telling words alone, whose texts in a domain differ from their expected number by four standard
+deviations or more. A softmax regression over these, the number of words and that of different
+words, fitted on about ``max_fit`` rows of the fifth left out, makes them a posterior over domains. Nonnegative rates per document are then fitted: the expected domain token totals, sum of rate x tokens x posterior,
 shall equal target weight x total. The least squares (relative to each domain's present size, with
 a small pull to rate 1) is solved by accelerated projected gradients. A document's rate
 depends on its posterior and on the few numbers per domain that each step broadcasts, so a step is
@@ -13,7 +14,7 @@ one scan that adds up one total per domain; rates are never gathered.
 By default the total is the largest that needs no domain to be repeated. ``resample`` turns rates
 into whole copies: floor(rate + a hash of the id in [0, 1)).
 
-Null or empty texts have no tokens and get the posterior of the prior; null labels are not
+Null or empty texts have no tokens and get the labels' shares as posterior; null labels are not
 learned; repeated ids are documents of their own, extra columns stay. Domains without a target
 weigh 0; targets of domains that no label has are left out (the rest is scaled up). Without labels
 or tokens all rates are 1.
@@ -31,8 +32,8 @@ from pyspark.sql import types as T
 
 from pitwall.llm import common as C
 
-_BUCKETS = 1 << 14
-_POWERS = (0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
+_BUCKETS = 1 << 16
+_DEVIATIONS = 4.0
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,7 @@ class Fit:
     pull: float = 1e-3
     steps: int = 60
     tolerance: float = 1e-4
+    max_fit: int = 20_000
 
 
 @dataclass
@@ -49,20 +51,52 @@ class Classifier:
     domains: list[str]
     prior: np.ndarray
     logs: np.ndarray
-    power: float = 1.0
+    told: np.ndarray
+    weights: np.ndarray
 
-    def likelihoods(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(words, log likelihood relative to the first domain over the root of the words) of each text."""
+    def features(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, features) of each text; the last three: log of words and of different words, 1."""
         m = len(off) - 1
         bucket, row = word_buckets(buf, off)
         n = np.bincount(row, minlength=m)
-        rel = np.stack([np.bincount(row, self.logs[d][bucket], minlength=m) for d in range(len(self.domains))], 1)
-        return n, rel / np.sqrt(np.maximum(n, 1))[:, None]
-
-    def posterior(self, rel: np.ndarray, power: float | None = None) -> np.ndarray:
-        z = self.prior + (self.power if power is None else power) * rel
-        e = np.exp(z - z.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
+        every = np.stack([np.bincount(row, logs[bucket], minlength=m) for logs in self.logs], 1) / np.sqrt(np.maximum(n, 1))[:, None]
+        bucket, row = held(bucket, row)
+        told = np.stack([np.bincount(row, logs[bucket], minlength=m) for logs in self.told], 1)
+        sizes = np.stack([np.log1p(n), np.log1p(np.bincount(row, minlength=m)), np.ones(m)], 1)
+        return n, np.concatenate([np.arcsinh(told), every, sizes], 1)
+
+    def posterior(self, x: np.ndarray) -> np.ndarray:
+        out = softmax(x @ self.weights)
+        out[x[:, -3] == 0] = np.exp(self.prior)
+        return out
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def regression(x: np.ndarray, who: np.ndarray, prior: np.ndarray, ridge: float = 1e-4, steps: int = 1500) -> np.ndarray:
+    """Weights of a softmax regression by accelerated gradients, from the prior on."""
+    w = np.zeros((x.shape[1], len(prior)))
+    w[-1] = prior
+    if not len(x):
+        return w
+    width = np.maximum(x.std(0), 1e-9)
+    width[-1] = 1
+    mid = np.append(x[:, :-1].mean(0), 0)
+    z = (x - mid) / width
+    y = np.eye(len(prior))[who]
+    step = 1 / (0.5 * np.linalg.eigvalsh(z.T @ z / len(z))[-1] + ridge)
+    free = np.append(np.ones(x.shape[1] - 1), 0)[:, None]
+    ahead, t = w, 1.0
+    for _ in range(steps):
+        new = ahead - step * (z.T @ (softmax(z @ ahead) - y) / len(z) + ridge * free * ahead)
+        u = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead, w, t = new + (t - 1) / u * (new - w), new, u
+    w = w / width[:, None]
+    w[-1] -= mid @ w
+    return w
 
 
 def word_buckets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,10 +104,26 @@ def word_buckets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (C.span_hashes(buf, start, end, lower=True) % np.uint64(_BUCKETS)).astype(np.int64), row
 
 
+def held(bucket: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each (bucket, row) once."""
+    both = np.unique(row * _BUCKETS + bucket)
+    return both % _BUCKETS, both // _BUCKETS
+
+
+def telling(seen: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Log likelihood ratio of each word, by domain, to that over all domains; 0 where chance could make it."""
+    share = (size / max(size.sum(), 1))[:, None]
+    held_by = seen.sum(0)
+    expected = held_by * share
+    far = np.abs(seen - expected) >= _DEVIATIONS * np.sqrt(expected * (1 - share) + 1)
+    ratio = np.log((seen + 0.5) / (size + 1)[:, None]) - np.log((held_by + 0.5) / (size.sum() + 1))
+    return np.where(far, ratio, 0.0)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, domain) -> DataFrame:
-    """(text, domain) of every labelled document."""
+    """(domain, text, part) of every labelled document; part is a hash of the id."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain")).filter("doc_id is not null and domain is not null")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marked.hint("merge"), "doc_id").select("domain", "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marked.hint("merge"), "doc_id").select("domain", "text", F.xxhash64(F.lit("mixing fit"), "doc_id").alias("part"))
 
 
 def quality_toxic():
@@ -81,44 +131,48 @@ def quality_toxic():
     return F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string"))
 
 
-def classify(train: DataFrame) -> Classifier | None:
-    """Naive Bayes over (domain, text) rows."""
+def classify(train: DataFrame, how: Fit = Fit()) -> Classifier | None:
+    """The classifier of (domain, text, part) rows."""
     train = C.stored(train, "labelled")
     names = sorted(r.domain for r in train.select("domain").distinct().collect())  # domains, not documents
     if not names:
         return None
-    number = {d: i for i, d in enumerate(names)}
+    number, k = {d: i for i, d in enumerate(names)}, len(names)
+    fifth = F.pmod("part", F.lit(5)) == 0
+
+    def who(b, lo, hi):
+        return np.array([number[d] for d in b.column(0).slice(lo, hi - lo).to_pylist()])
 
     def count(batches):
-        out, n = np.zeros((len(names), _BUCKETS), np.int64), np.zeros(len(names), np.int64)
+        out, n = np.zeros((2, k, _BUCKETS), np.int64), np.zeros(k, np.int64)
         for b in batches:
             for lo, hi, buf, off in C.text_slices(b.column(1)):
-                who = np.array([number[d] for d in b.column(0).slice(lo, hi - lo).to_pylist()])
+                kind = who(b, lo, hi)
                 bucket, row = word_buckets(buf, off)
-                out += np.bincount(who[row] * _BUCKETS + bucket, minlength=out.size).reshape(out.shape)
-                n += np.bincount(who, minlength=len(names))
+                for j, (w, r) in enumerate(((bucket, row), held(bucket, row))):
+                    out[j] += np.bincount(kind[r] * _BUCKETS + w, minlength=out[j].size).reshape(out[j].shape)
+                n += np.bincount(kind, minlength=k)
         at = np.flatnonzero(out)
-        yield pa.RecordBatch.from_pydict({"i": np.concatenate([at, out.size + np.arange(len(names))]), "n": np.concatenate([out.ravel()[at], n])})
+        yield pa.RecordBatch.from_pydict({"i": np.concatenate([at, out.size + np.arange(k)]), "n": np.concatenate([out.ravel()[at], n])})
 
-    flat = np.zeros(len(names) * (_BUCKETS + 1))
-    for r in train.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a bounded table of counts
-        flat[r.i] = r.n
-    seen, size = flat[:-len(names)].reshape(len(names), -1), flat[-len(names):]
-    logs = np.log((seen + 0.5) / (seen.sum(1, keepdims=True) + 0.5 * _BUCKETS))
-    model = Classifier(names, np.log((size + 1) / (size + 1).sum()), logs - logs[:1])
+    counts = np.zeros(2 * k * _BUCKETS + k)
+    for r in train.filter(~fifth).mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a bounded table of counts
+        counts[r.i] = r.n
+    (places, texts), size = counts[:-k].reshape(2, k, -1), counts[-k:]
+    logs = np.log((places + 0.5) / (places.sum(1, keepdims=True) + 0.5 * _BUCKETS))
+    prior = np.log((size + 1) / (size + 1).sum())
+    model = Classifier(names, prior, logs - logs.mean(0), telling(texts, size), np.zeros((2 * k + 3, k)))
 
-    def losses(batches):
-        out = np.zeros(len(_POWERS))
+    def describe(batches):
         for b in batches:
             for lo, hi, buf, off in C.text_slices(b.column(1)):
-                who = np.array([number[d] for d in b.column(0).slice(lo, hi - lo).to_pylist()])
-                rel = model.likelihoods(buf, off)[1]
-                for j, power in enumerate(_POWERS):
-                    out[j] -= np.log(np.maximum(model.posterior(rel, power)[np.arange(hi - lo), who], 1e-12)).sum()
-        yield pa.RecordBatch.from_pydict({"i": np.arange(len(_POWERS)), "loss": out})
-
-    loss = {r.i: r.loss for r in train.mapInArrow(losses, "i long, loss double").groupBy("i").agg(F.sum("loss").alias("loss")).collect()}
-    model.power = _POWERS[min(loss, key=lambda i: (round(loss[i], 6), i))]
+                n, x = model.features(buf, off)
+                yield pa.RecordBatch.from_pydict({"who": who(b, lo, hi)[n > 0], "x": list(x[n > 0])})
+
+    left = train.filter(fifth)
+    parts = max(1, -(-left.count() // how.max_fit))
+    rows = left.filter(F.pmod(F.floor(F.col("part") / 5), F.lit(parts)) == 0).mapInArrow(describe, "who long, x array<double>").orderBy("who", "x").collect()  # about max_fit rows
+    model.weights = regression(np.array([r.x for r in rows]).reshape(-1, 2 * k + 3), np.array([r.who for r in rows], np.int64), prior)
     return model
 
 
@@ -128,8 +182,8 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     def run(batches):
         for b in batches:
             for lo, hi, buf, off in C.text_slices(b.column(1)):
-                n, rel = model.likelihoods(buf, off)
-                post = model.posterior(rel)
+                n, x = model.features(buf, off)
+                post = model.posterior(x)
                 k = post.shape[1]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)),
                                                   pa.ListArray.from_arrays(np.arange(0, (hi - lo + 1) * k, k, dtype=np.int32), post.ravel())], ["doc_id", "n_tokens", "posterior"])
@@ -196,9 +250,9 @@ def _copies(rate, ids, tag: str):
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, posterior (by domain, in order), rate, copies."""
-    model = classify(labelled(docs, labels, quality_toxic()))
+    model = classify(labelled(docs, labels, quality_toxic()), how)
     if model is None:
-        model = Classifier(["none"], np.zeros(1), np.zeros((1, _BUCKETS)))
+        model = Classifier(["none"], np.zeros(1), np.zeros((1, _BUCKETS)), np.zeros((1, _BUCKETS)), np.zeros((5, 1)))
     members = C.stored(memberships(docs, model), "memberships")
     rates, k = fit_rates(members, model.domains, how), len(model.domains)
 
@@ -212,7 +266,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> DataFr
 
 def resample(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> DataFrame:
     """``docs`` with every row as often as its copies say, all columns as they were."""
-    model = classify(labelled(docs, labels, quality_toxic()))
+    model = classify(labelled(docs, labels, quality_toxic()), how)
     if model is None:
         return docs
     rates = fit_rates(C.stored(memberships(docs, model), "memberships"), model.domains, how)
@@ -222,7 +276,7 @@ def resample(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> DataFrame:
     def run(batches):
         for b in batches:
             for lo, hi, buf, off in C.text_slices(b.column(at)):
-                rate = rates.trace(model.posterior(model.likelihoods(buf, off)[1]))[0]
+                rate = rates.trace(model.posterior(model.features(buf, off)[1]))[0]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns), pa.array(rate)], [*names, "__rate"])
 
     rated = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__rate", T.DoubleType())]))
