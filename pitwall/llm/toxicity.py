@@ -1,8 +1,8 @@
 """Toxicity (operator 8): a lexicon trie searched by Levenshtein automata, scored in context.
 
 Learning (labelled rows that are not held out): a word, or a stem of 4 to 6 letters, joins the
-lexicon when the lower confidence bound of its toxic share (document counts over all those rows)
-exceeds ``min_share``; a stem stands for every word that begins with it.
+lexicon when the lower confidence bound of its toxic share (counts over the different texts of
+those rows) exceeds ``min_share``; a stem stands for every word that begins with it.
 Scoring: a word hits when the automaton of the word, intersected with the trie of the lexicon,
 accepts a term; short terms must match exactly, longer ones within one edit. A hit's context
 window tells quotation (quote marks around it, or a reporting verb before it) from use. A logistic
@@ -10,7 +10,8 @@ model over hit counts by (exact or misspelled) x (used or quoted) gives the scor
 on ``max_train`` labelled rows (expected; chosen by a hash of the id).
 
 Null and empty texts have no hits and get the score of a text without hits. Null labels are not
-learned. Repeated label rows count as often as they come; repeated ids are scored each. Without
+learned. The lexicon counts equal texts once for each kind of label; the model's weights count
+every row. Repeated ids are scored each. Without
 labels of both kinds the score is the toxic share (0 without labels). Extra columns are ignored.
 """
 
@@ -43,7 +44,6 @@ class Fit:
     z: float = 2.3
     max_candidates: int = 100_000
     max_terms: int = 20_000
-    misspelled: int = 300
     max_train: int = 20_000
     window: int = 3
     threshold: float = 0.3
@@ -70,23 +70,30 @@ class Lexicon:
         self.terms = sorted(set(terms))
         self.exact = set(self.terms)
         self.root: dict = {}
-        self.heads, self.tails = set(), set()
+        self.halves: dict[int, tuple[set[str], set[str]]] = {}
         for t in self.terms:
             if self.edits(t):
                 at = self.root
                 for ch in t:
                     at = at.setdefault(ch, {})
                 at[""] = t
-                # one edit leaves the first three or the last three letters of a term as they are
-                self.heads.add(t[:3])
-                self.tails.add(t[-3:])
+                # one edit leaves the first or the second half of a term as it is
+                heads, tails = self.halves.setdefault(len(t), (set(), set()))
+                heads.add(t[:len(t) // 2])
+                tails.add(t[len(t) // 2:])
 
     @staticmethod
     def edits(term: str) -> int:
         return 1 if len(term) >= 6 else 0
 
     def may_match(self, word: str) -> bool:
-        return word[:3] in self.heads or word[-3:] in self.tails
+        m = len(word)
+        for n in (m - 1, m, m + 1):
+            if n in self.halves:
+                heads, tails = self.halves[n]
+                if word[:n // 2] in heads or word[m - n + n // 2:] in tails:
+                    return True
+        return False
 
     @staticmethod
     def _rest(node: dict, word: str, i: int) -> str | None:
@@ -126,21 +133,22 @@ class Lexicon:
 class Matcher:
     """Hits of words, each distinct word searched once and remembered (bounded)."""
 
-    def __init__(self, terms: list[str], misspelled: int = 300, keep: int = 2_000_000):
-        """``terms`` in order of confidence; the first ``misspelled`` words are also found with an edit."""
+    def __init__(self, terms: list[str], keep: int = 2_000_000):
         self.stems = {t[:-1] for t in terms if t.endswith("*")}
         plain = [t for t in terms if not t.endswith("*")]
-        self.lexicon, self.keep = Lexicon(plain[:misspelled]), keep
+        self.lexicon, self.keep = Lexicon(plain), keep
         self.hit = {t: (t, 0) for t in plain}
         self.none: set[str] = set()
 
     def look(self, found: set[str]) -> None:
         if len(self.none) > self.keep:
             self.none.clear()
-        for w in found - self.none:
-            if w in self.hit:
-                continue
-            stem = next((w[:k] for k in STEMS if len(w) > k and w[:k] in self.stems), None)
+        for w in found - self.none - self.hit.keys():
+            stem = ""
+            for k in STEMS:
+                if w[:k] in self.stems and len(w) > k:
+                    stem = w[:k]
+                    break
             got = (stem + "*", 0) if stem else self.lexicon.search(w) if self.lexicon.may_match(w) else None
             if got:
                 self.hit[w] = got
@@ -207,10 +215,12 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
     def counts(rows: DataFrame, known: set[str] | None) -> DataFrame:
         return rows.select("text").mapInArrow(lambda it: count(it, known), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
+    # many copies of one text are one witness
+    different = train.withColumn("h", F.xxhash64("text")).withColumn("size", F.length("text")).dropDuplicates(["toxic", "h", "size"]).select("toxic", "text")
     # units of toxic texts first; only those can become terms, so only they are counted elsewhere
-    bad = counts(train.filter("toxic = 1"), None).filter(F.col("n") >= how.min_docs).orderBy(F.col("n").desc(), "unit").limit(how.max_candidates)
+    bad = counts(different.filter("toxic = 1"), None).filter(F.col("n") >= how.min_docs).orderBy(F.col("n").desc(), "unit").limit(how.max_candidates)
     bad = {r.unit: r.n for r in bad.collect()}
-    good = {r.unit: r.n for r in counts(train.filter("toxic = 0"), set(bad)).collect()} if bad else {}
+    good = {r.unit: r.n for r in counts(different.filter("toxic = 0"), set(bad)).collect()} if bad else {}
     z2 = how.z * how.z
 
     def bound(k, n):
@@ -228,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
     some = train.filter(F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1_000_003)) < 1_000_003 * min(1.0, how.max_train / total))
 
     def rows(batches):
-        matcher = Matcher(terms, how.misspelled)
+        matcher = Matcher(terms)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 x = matcher.features([t or "" for t in b.column(1).slice(lo, 256).to_pylist()], how.window)
@@ -272,7 +282,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     terms, weights, how = model.terms, model.weights, model.fit
 
     def run(batches):
-        matcher = Matcher(terms, how.misspelled)
+        matcher = Matcher(terms)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 x = matcher.features([t or "" for t in b.column(1).slice(lo, 256).to_pylist()], how.window)

@@ -227,3 +227,20 @@ def test_toxicity_edges(spark, make):
     none = toxicity.fit(docs, labels.filter("false"))
     assert toxicity.score(docs, none).filter("predicted = 1").count() == 0
     assert toxicity.score(make([]), model).count() == 0
+
+
+def test_every_plain_term_is_found_with_an_edit():
+    rng = random.Random(2)
+    terms = sorted({"".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(900)})
+    matcher = toxicity.Matcher(terms)
+    wrong = {t: t[:4] + "x" + t[5:] for t in terms}
+    matcher.look(set(wrong.values()))
+    assert len(terms) > 800 and all(matcher.hit[w] == (t, 1) for t, w in wrong.items())
+
+
+def test_copies_of_a_text_are_one_witness(spark, make):
+    copied = "ordinary words about gardens and weather"
+    docs = make([(i, copied) for i in range(60)] + [(100 + i, f"you scoundrel number {i}") for i in range(60)] + [(200 + i, f"a fine day it is number {i}") for i in range(60)])
+    labels = spark.createDataFrame([(i, 1, int(i < 200)) for i in range(260)], "doc_id long, quality int, toxic int")
+    terms = toxicity.fit(docs, labels).terms
+    assert "scoundrel" in terms and not set(terms) & toxicity.units(copied)
