@@ -42,8 +42,6 @@ class Fit:
     min_docs: int = 6
     min_share: float = 0.5
     z: float = 2.3
-    max_candidates: int = 100_000
-    max_terms: int = 20_000
     max_train: int = 20_000
     window: int = 3
     threshold: float = 0.3
@@ -55,8 +53,9 @@ def units(text: str) -> set[str]:
     return found | {w[:k] + "*" for w in found for k in STEMS if len(w) > k}
 
 
-def _counted(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"unit": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
+def _counted(toxic: Counter, clean: Counter) -> pa.RecordBatch:
+    names = list(toxic.keys() | clean.keys())
+    return pa.RecordBatch.from_pydict({"unit": pa.array(names, pa.string()), "toxic": pa.array([toxic[u] for u in names], pa.int64()), "clean": pa.array([clean[u] for u in names], pa.int64())})
 
 
 class Lexicon:
@@ -200,34 +199,26 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
     # labels grow with the corpus, so their side is never broadcast
     train = C.stored(texts.join(marked.hint("merge"), "doc_id"), "toxicity-train")
 
-    def count(batches, known: set[str] | None):
-        """Documents that hold each unit (of the known ones, if given)."""
-        seen: Counter = Counter()
+    def count(batches):
+        """Toxic and clean texts that hold each unit."""
+        toxic, clean = Counter(), Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                found = units(t or "")
-                seen.update(found if known is None else found & known)
-            if len(seen) > 1_000_000:
-                yield _counted(seen)
-                seen = Counter()
-        yield _counted(seen)
-
-    def counts(rows: DataFrame, known: set[str] | None) -> DataFrame:
-        return rows.select("text").mapInArrow(lambda it: count(it, known), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                (toxic if y == 1 else clean).update(units(t or ""))
+                if len(toxic) + len(clean) > 1_000_000:
+                    yield _counted(toxic, clean)
+                    toxic, clean = Counter(), Counter()
+        yield _counted(toxic, clean)
 
     # many copies of one text are one witness
-    different = train.withColumn("h", F.xxhash64("text")).withColumn("size", F.length("text")).dropDuplicates(["toxic", "h", "size"]).select("toxic", "text")
-    # units of toxic texts first; only those can become terms, so only they are counted elsewhere
-    bad = counts(different.filter("toxic = 1"), None).filter(F.col("n") >= how.min_docs).orderBy(F.col("n").desc(), "unit").limit(how.max_candidates)
-    bad = {r.unit: r.n for r in bad.collect()}
-    good = {r.unit: r.n for r in counts(different.filter("toxic = 0"), set(bad)).collect()} if bad else {}
-    z2 = how.z * how.z
-
-    def bound(k, n):
-        return (k / n + z2 / (2 * n) - how.z * np.sqrt(k / n * (1 - k / n) / n + z2 / (4 * n * n))) / (1 + z2 / n)
-
-    lower = {u: bound(k, k + good.get(u, 0)) for u, k in bad.items()}
-    terms = sorted((u for u, x in lower.items() if x > how.min_share), key=lambda u: (-lower[u], u))[:how.max_terms]
+    different = train.filter("toxic in (0, 1)").withColumn("h", F.xxhash64("text")).withColumn("size", F.length("text")).dropDuplicates(["toxic", "h", "size"]).select("text", "toxic")
+    counts = different.mapInArrow(count, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    z2, n = how.z * how.z, F.col("toxic") + F.col("clean")
+    share = F.col("toxic") / n
+    lower = (share + z2 / (2 * n) - how.z * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    # every candidate is judged in Spark; only terms are collected
+    terms = counts.filter(F.col("toxic") >= how.min_docs).withColumn("lower", lower).filter(F.col("lower") > how.min_share)
+    terms = [r.unit for r in terms.orderBy(F.col("lower").desc(), "unit").select("unit").collect()]
     both = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(both.values())
     base = np.zeros(FEATURES)

@@ -244,3 +244,13 @@ def test_copies_of_a_text_are_one_witness(spark, make):
     labels = spark.createDataFrame([(i, 1, int(i < 200)) for i in range(260)], "doc_id long, quality int, toxic int")
     terms = toxicity.fit(docs, labels).terms
     assert "scoundrel" in terms and not set(terms) & toxicity.units(copied)
+
+
+def test_rare_insults_stay_beside_many_ordinary_words(spark, make):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    # 110,000 ordinary words (too short for stems) in eight toxic and sixteen clean texts, an insult in seven toxic ones
+    everyday = " ".join([a + b + c + d for a in letters for b in letters for c in letters for d in letters][:110_000])
+    ids = [k for k in range(100) if zlib.crc32(str(k).encode()) % 4 != 2][:24]
+    docs = make([(k, f"{everyday} {'zzscoundrel' if i < 7 else ''} {i}") for i, k in enumerate(ids)])
+    labels = spark.createDataFrame([(k, 1, int(i < 8)) for i, k in enumerate(ids)], "doc_id long, quality int, toxic int")
+    assert "zzscoundrel" in toxicity.fit(docs, labels).terms
