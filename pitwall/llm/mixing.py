@@ -11,7 +11,9 @@ a small pull to rate 1) is solved by accelerated projected gradients. A document
 depends on its posterior and on the few numbers per domain that each step broadcasts, so a step is
 one scan that adds up one total per domain; rates are never gathered.
 
-By default the total is the largest that needs no domain to be repeated. ``resample`` turns rates
+By default the total is the one at which the domain with the largest target (the anchor) keeps its
+tokens: others shrink to their share of it, scarce ones are repeated, and documents that are most
+likely of the anchor have a rate of 1 or more. ``resample`` turns rates
 into whole copies: floor(rate + a hash of the id in [0, 1)).
 
 Null or empty texts have no tokens and get the labels' shares as posterior; null labels are not
@@ -197,13 +199,15 @@ class Rates:
 
     pull: float
     forces: list[np.ndarray] = field(default_factory=list)
+    anchor: int | None = None
 
     def trace(self, post: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rate, point of the next gradient) after all steps so far."""
         rate = ahead = np.ones(len(post))
+        least = 0.0 if self.anchor is None else (post[:, self.anchor] >= post.max(1, initial=0)).astype(float)
         t = 1.0
         for force in self.forces:
-            new = np.maximum(0, ahead - (post @ force + self.pull * (ahead - 1)) / (1 + self.pull))
+            new = np.maximum(least, ahead - (post @ force + self.pull * (ahead - 1)) / (1 + self.pull))
             u = (1 + np.sqrt(1 + 4 * t * t)) / 2
             ahead, rate, t = new + (t - 1) / u * (new - rate), new, u
         return rate, ahead
@@ -232,7 +236,9 @@ def fit_rates(members: DataFrame, domains: list[str], how: Fit = Fit()) -> Rates
     if not want.sum() or not have.sum():
         return rates
     want = want / want.sum()
-    total = how.tokens or (have[want > 0] / want[want > 0]).min()
+    if how.tokens is None:
+        rates.anchor = int(want.argmax())
+    total = have[want.argmax()] / want.max() if how.tokens is None else how.tokens
     goal, scale = want * total, np.maximum(have, 1e-9 * have.sum())
     at = have
     for _ in range(how.steps):

@@ -277,6 +277,16 @@ def test_mixing_edges(spark, make):
     assert mixing.mixing_rates(make([]), labels).count() == 0 and mixing.resample(make([]), labels).count() == 0
 
 
+@pytest.mark.parametrize("rare", ["toxic", "poor"])
+def test_scarce_domains_cost_no_clean_document(spark, make, rare):
+    rng = random.Random(5)
+    kinds = ["clean"] * 510 + ["poor"] * (84 if rare == "toxic" else 6) + ["toxic"] * (6 if rare == "toxic" else 84)
+    docs = make([(i, " ".join(f"{kind}{rng.randrange(20)}" for _ in range(40))) for i, kind in enumerate(kinds)])
+    labels = spark.createDataFrame([(i, int(k != "poor"), int(k == "toxic")) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    left = {r.doc_id for r in mixing.resample(docs, labels).select("doc_id").distinct().collect()}
+    assert set(range(510)) <= left
+
+
 # --- packing
 
 
