@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitwall.llm import ann, common, jaccard, langid, mixing, packing, quality, suffix_dedup, token_count, token_output, toxicity
+from pitwall.llm import ann, common, exact_dedup, jaccard, langid, mixing, packing, quality, suffix_dedup, token_count, token_output, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark_duplicates(_docs(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_token_output, op4_nearest_neighbours, op5_mixing, op6_packing,
-                                   op7_jaccard_join, op8_toxicity, op9_quality_rules, op10_language_id)}
-ORACLE: dict[str, str] = {}
+                                   op7_jaccard_join, op8_toxicity, op9_quality_rules, op10_language_id, op11_exact_dedup)}
+ORACLE: dict[str, str] = {"op11_exact_dedup": exact_dedup.SQL}
