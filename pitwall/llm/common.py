@@ -155,3 +155,26 @@ def code_points(buf: np.ndarray) -> np.ndarray:
 
 def white(buf: np.ndarray) -> np.ndarray:
     return _WS[buf]
+
+
+def attach(rows: DataFrame, keys: list[str], table: DataFrame, size: str, most: int = 1000) -> DataFrame:
+    """``rows`` with the struct ``found``: the row of ``table`` with the same ``keys`` (null where there is none).
+
+    ``table`` has one row a key, and ``size`` says how many rows have it. Fewer than ``most`` keys can hold more
+    than a share of 1 / ``most`` of all: those are broadcast. The others meet their rows in a join in which
+    no key has more rows than that share; rows that are served already go there under keys that spread them."""
+    table = table.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(size).alias("size"), F.struct(*(c for c in table.columns if c not in keys)).alias("hit"))
+    total = table.agg(F.sum("size")).first()[0] or 0
+    hot = F.col("size") > max(1, total // most)
+    names = [f"k{i}" for i in range(len(keys))]
+    large = F.broadcast(table.filter(hot).select(*names, F.col("hit").alias("hot")))
+    given = rows.select(F.struct("*").alias("row"), *(F.col(k).alias(f"j{i}") for i, k in enumerate(keys)))
+    match = F.lit(True)
+    for i in range(len(keys)):
+        match = match & (F.col(f"j{i}") == F.col(f"k{i}"))
+    given = given.join(large, match, "left").drop(*names)
+    served = F.col("hot").isNotNull()
+    given = given.withColumn("served", F.when(served, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long")))
+    rest = table.filter(~hot).select(*names, F.col("hit").alias("cold"), F.lit(-1).cast("long").alias("open"))
+    both = given.join(rest, match & (F.col("served") == F.col("open")), "left")
+    return both.select("row.*", F.coalesce("hot", "cold").alias("found"))
