@@ -178,3 +178,8 @@ def attach(rows: DataFrame, keys: list[str], table: DataFrame, size: str, most:
     rest = table.filter(~hot).select(*names, F.col("hit").alias("cold"), F.lit(-1).cast("long").alias("open"))
     both = given.join(rest, match & (F.col("served") == F.col("open")), "left")
     return both.select("row.*", F.coalesce("hot", "cold").alias("found"))
+
+
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return _LOWER[buf]

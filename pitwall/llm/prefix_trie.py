@@ -151,9 +151,9 @@ def subtree_totals(tree: DataFrame, values: list[str]) -> DataFrame:
     while live.filter("pa is not null").limit(1).count():
         raked = live.filter(leaf)
         left = applied(live.filter(~leaf), [raked.select(*change(pa_, pb_, -1, -a, -b, held=True))], "trie-raked")
-        lot = lambda x, y: F.xxhash64(x.cast("long"), y.cast("long"), F.lit(len(rounds)))
+        lot = lambda x, y: F.xxhash64(x.try_cast("long"), y.try_cast("long"), F.lit(len(rounds)))
         goes = F.coalesce((F.col("kids") == 1) & pa_.isNotNull() & (lot(a, b) < lot(pa_, pb_)) & (lot(a, b) < lot(F.col("ka"), F.col("kb"))), F.lit(False))
-        gone = left.filter(goes).withColumns({"ca": F.col("ka").cast("long"), "cb": F.col("kb").cast("long")})
+        gone = left.filter(goes).withColumns({"ca": F.col("ka").try_cast("long"), "cb": F.col("kb").try_cast("long")})
         live = applied(left.filter(~goes), [gone.select(*change(F.col("ca"), F.col("cb"), 0, zero, zero, pa_, pb_)),
                                             gone.select(*change(pa_, pb_, 0, F.col("ka") - a, F.col("kb") - b, held=True))], "trie-live")
         rounds.append((raked.select("a", "b", *values), gone.select("a", "b", "ca", "cb", *values)))

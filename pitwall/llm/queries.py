@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitwall.llm import ann, common, exact_dedup, jaccard, langid, mixing, packing, prefix_trie, quality, suffix_dedup, token_count, token_output, toxicity
+from pitwall.llm import ann, common, exact_dedup, jaccard, langid, mixing, packing, phrases, prefix_trie, quality, suffix_dedup, token_count, token_output, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(common.table(spark, sf_dir, "conversations"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_collocations(_docs(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_token_output, op4_nearest_neighbours, op5_mixing, op6_packing,
-                                   op7_jaccard_join, op8_toxicity, op9_quality_rules, op10_language_id, op11_exact_dedup, op12_prefix_trie)}
-ORACLE: dict[str, str] = {"op11_exact_dedup": exact_dedup.SQL, "op12_prefix_trie": prefix_trie.SQL}
+                                   op7_jaccard_join, op8_toxicity, op9_quality_rules, op10_language_id, op11_exact_dedup, op12_prefix_trie, op13_phrases)}
+ORACLE: dict[str, str] = {"op11_exact_dedup": exact_dedup.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_phrases": phrases.SQL}
