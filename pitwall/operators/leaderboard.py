@@ -8,18 +8,14 @@ Input columns (see ``pitwall.sources.views.positions``): arrival (offset), ts, r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwall.functions import exprs as X
-from pitwall.operators import sequence
+from pitwall.operators import capped, sequence
 
 KEYS = ("race_id", "driver_name")
-CAP = 10                      # entries kept per race (fixed value of the behaviour)
+CAP = capped.CAP
 OFFSET_CHUNK = 1 << 20        # offsets per chunk for ordered per-key work
 
 
@@ -51,152 +47,9 @@ def ranked(board: DataFrame) -> DataFrame:
     return board.withColumn("rank", F.row_number().over(w).cast("int"))
 
 
-def _fifo_fold(cap: int):
-    """Per-race FIFO list of at most ``cap`` drivers.
-
-    An update of a listed driver keeps its slot; a new driver is appended; when the list
-    exceeds ``cap`` the oldest slot is dropped. Rows arrive sorted by (race, arrival);
-    only the current race's list (<= cap names) is held, the rows stream through in Arrow
-    batches.
-    """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_race, is_null_race, slots = None, None, []
-        out_r, out_d, out_s = [], [], []
-
-        def flush():
-            for i, d in enumerate(slots):
-                out_r.append(cur_race)
-                out_d.append(d)
-                out_s.append(i + 1)
-
-        started = False
-        for b in batches:
-            races = b["race_id"].tolist()
-            nulls = b["race_id"].isna().tolist()
-            drivers = b["driver_name"].tolist()
-            for r, isn, d in zip(races, nulls, drivers):
-                key_changed = (not started) or isn != is_null_race or (not isn and r != cur_race)
-                if key_changed:
-                    if started:
-                        flush()
-                    cur_race, is_null_race, slots, started = (None if isn else r), isn, [], True
-                if d in slots:
-                    continue
-                slots.append(d)
-                if len(slots) > cap:
-                    del slots[0]
-        if started:
-            flush()
-        if out_d:
-            yield pd.DataFrame({"race_id": out_r, "driver_name": out_d,
-                                "slot": pd.array(out_s, dtype="int32")})
-    return run
-
-
-SPEC_CHUNK = 1 << 20          # offsets per speculative chunk of a crowded race
-SPEC_LOOKBACK = 1 << 16       # offsets replayed before a chunk to guess its starting list
-SPEC_MIN_ROWS = 1 << 20       # crowded races with fewer messages are folded directly
-
-
-def _fold(names, slots: list, cap: int) -> list:
-    for d in names:
-        if d in slots:
-            continue
-        slots.append(d)
-        if len(slots) > cap:
-            del slots[0]
-    return slots
-
-
-def _speculate(cap: int):
-    """One (race, chunk) group: replay the lookback rows from an empty list to guess the
-    list at the chunk start, then fold the chunk's own rows. The group holds at most
-    chunk + lookback offsets of one race."""
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("arrival", kind="stable")
-        own = pdf[~pdf["_lb"]]
-        if own.empty:
-            return pd.DataFrame({"race_id": pd.Series([], dtype=object), "_chunk": pd.Series([], dtype="int64"),
-                                 "guess": pd.Series([], dtype=object), "end": pd.Series([], dtype=object)})
-        guess = _fold(pdf[pdf["_lb"]]["driver_name"].tolist(), [], cap)
-        end = _fold(own["driver_name"].tolist(), list(guess), cap)
-        return pd.DataFrame({"race_id": [key[0]], "_chunk": [key[1]], "guess": [guess], "end": [end]})
-    return run
-
-
-def _members_speculative(slim: DataFrame, cap: int, chunk: int, lookback: int) -> tuple[DataFrame, DataFrame]:
-    """(verified members, races whose speculation failed) for crowded races."""
-    c = F.floor(F.col("arrival") / F.lit(chunk)).cast("long")
-    own = slim.select("race_id", "driver_name", "arrival", c.alias("_chunk"), F.lit(False).alias("_lb"))
-    tail = (slim.where(F.col("arrival") >= (c + 1) * F.lit(chunk) - F.lit(lookback))
-            .select("race_id", "driver_name", "arrival", (c + 1).alias("_chunk"), F.lit(True).alias("_lb")))
-    spec = own.unionByName(tail).groupBy("race_id", "_chunk").applyInPandas(
-        _speculate(cap), "race_id string, _chunk long, guess array<string>, end array<string>")
-    w = Window.partitionBy("race_id").orderBy("_chunk")
-    prev = F.lag("end").over(w)
-    ok = F.when(prev.isNull(), F.size("guess") == 0).otherwise(F.col("guess") == prev)
-    per_race = (spec.withColumn("_ok", ok.cast("int")).groupBy("race_id")
-                .agg(F.min("_ok").alias("_all_ok"), F.max_by("end", "_chunk").alias("_final")))
-    # one small row per speculated race, read by both branches below: persisted (lazily,
-    # memory and disk) so the speculation runs once; lost blocks recompute from lineage
-    per_race = per_race.persist(StorageLevel.MEMORY_AND_DISK)
-    verified = (per_race.where(F.col("_all_ok") == 1)
-                .select("race_id", F.posexplode("_final").alias("_pos", "driver_name"))
-                .select("race_id", "driver_name", (F.col("_pos") + 1).cast("int").alias("slot")))
-    failed = per_race.where(F.col("_all_ok") != 1).select(F.col("race_id").alias("_race"))
-    return verified, failed
-
-
-def bounded(positions: DataFrame, cap: int = CAP, chunk_offsets: int = SPEC_CHUNK,
-            lookback_offsets: int = SPEC_LOOKBACK, spec_min_rows: int = SPEC_MIN_ROWS) -> DataFrame:
-    """The per-race list capped at ``cap`` entries with FIFO eviction of slots.
-
-    * A race with at most ``cap`` distinct drivers never evicts: its list is every
-      driver's latest message, in order of first arrival. This is computed from one
-      partial aggregation per (race, driver) and a window over those few rows per race,
-      so a hot race costs no more than any aggregate.
-    * A race with more drivers needs its arrival order (a FIFO cache is not
-      decomposable). It is cut into offset chunks processed in parallel: each chunk
-      guesses its starting list by replaying a lookback window from an empty list, then
-      folds its own rows; the guesses are verified as a chain (each guess must equal the
-      previous chunk's computed end). A race whose chain verifies takes the last chunk's
-      end, exactly; only a race whose speculation fails is folded sequentially (rows
-      hash-partitioned by race, sorted by arrival, streamed through ``mapInPandas``
-      holding ``cap`` names; the group is never collected). Crowded races with fewer
-      than ``spec_min_rows`` messages are folded directly (one task folds them in well
-      under a second; speculation would only add stages).
-    The values of the listed drivers come from the same per-(race, driver) aggregate.
-    """
-    rest = [c for c in positions.columns if c not in KEYS]
-    stats = (positions.groupBy(*KEYS)
-             .agg(F.max_by(F.struct(*rest), F.col("arrival")).alias("_m"), F.min("arrival").alias("_first"),
-                  F.count(F.lit(1)).alias("_rows")))
-    per_race = Window.partitionBy("race_id")
-    stats = (stats.withColumn("_drivers", F.count(F.lit(1)).over(per_race))
-             .withColumn("_race_rows", F.sum("_rows").over(per_race)))
-    small = (stats.where(F.col("_drivers") <= cap)
-             .withColumn("slot", F.row_number().over(per_race.orderBy("_first")).cast("int"))
-             .select(*KEYS, "slot", "_m.*"))
-    crowded = stats.where(F.col("_drivers") > cap)
-    # one row per crowded race with its path: speculative chunks (large) or direct fold
-    kinds = crowded.select(F.col("race_id").alias("_race"),
-                           (F.col("_race_rows") >= spec_min_rows).alias("_spec")).distinct()
-    slim = positions.select("race_id", "driver_name", "arrival")
-    tagged = slim.join(kinds, slim.race_id.eqNullSafe(kinds._race), "inner").drop("_race")
-    verified, failed = _members_speculative(tagged.where(F.col("_spec")).drop("_spec"), cap,
-                                            chunk_offsets, lookback_offsets)
-    spec_rows = tagged.where(F.col("_spec")).drop("_spec")
-    rest_rows = tagged.where(~F.col("_spec")).drop("_spec").unionByName(
-        spec_rows.join(failed, spec_rows.race_id.eqNullSafe(failed._race), "left_semi"))
-    folded = (rest_rows.repartition("race_id")
-              .sortWithinPartitions("race_id", "arrival")
-              .mapInPandas(_fifo_fold(cap), "race_id string, driver_name string, slot int"))
-    members = verified.unionByName(folded)
-    last = stats.where(F.col("_drivers") > cap).select(*KEYS, "_m.*")
-    cond = (members.race_id.eqNullSafe(last.race_id)) & (members.driver_name == last.driver_name)
-    big = members.join(last, cond, "inner").select(
-        members.race_id, members.driver_name, "slot", *[last[c] for c in rest])
-    return small.unionByName(big)
+def bounded(positions: DataFrame, cap: int = CAP, chunk_offsets: int = capped.CHUNK) -> DataFrame:
+    """The per-race list capped at ``cap`` entries with FIFO eviction of slots (see ``capped``)."""
+    return capped.bounded(positions, cap, chunk_offsets)
 
 
 def enrich(board: DataFrame, roster: DataFrame, selected_driver: str | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitwall import schemas, sinks
-from pitwall.operators import anomaly, commentary, dims, leaderboard as lb, races, vector, ai
+from pitwall.operators import anomaly, capped, commentary, dims, leaderboard as lb, races, vector, ai
 from pitwall.sources import decode, views as V
 
 # --- Query parameters --------------------------------------------------------------------
@@ -45,6 +45,10 @@ def _bounded(spark, sf):
     return lb.bounded(_pos(spark, sf))
 
 
+#: So few offsets a chunk that starting lists are guessed wrong and mended.
+REPAIR_CHUNK = 100
+
+
 def _race_df(spark, sf):
     return races.races(_pos(spark, sf), RACE_SECONDS)
 
@@ -117,6 +121,17 @@ def leaderboard_bounded10(spark, sf):
     return ntz(_bounded(spark, sf))
 
 
+def leaderboard_bounded_repair(spark, sf):
+    """G3 in chunks of a few messages a race, so that repair has to run."""
+    return ntz(lb.bounded(_pos(spark, sf), chunk_offsets=REPAIR_CHUNK))
+
+
+def leaderboard_list_log(spark, sf):
+    """K7: the whole list after every message."""
+    log = capped.list_log(_pos(spark, sf))
+    return log.select("race_id", "arrival", "driver_name", F.concat_ws(">", "slots").alias("slots"))
+
+
 def leaderboard_enriched(spark, sf):
     return ntz(lb.enrich(lb.ranked(_bounded(spark, sf)), V.roster(spark, sf), SELECTED_DRIVER))
 
@@ -291,7 +306,7 @@ def vector_topk_limit5(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in [
         positions_decode, positions_decode_damaged, decode_dead_letters, metrics_decode, leaderboard_latest, leaderboard_snapshot_race,
-        leaderboard_no_race, leaderboard_bounded10, leaderboard_enriched, position_changes,
+        leaderboard_no_race, leaderboard_bounded10, leaderboard_bounded_repair, leaderboard_list_log, leaderboard_enriched, position_changes,
         baseline_delta, final_positions, race_winner, driver_result, race_status,
         races_evicted, race_lifecycle, race_lap, race_history, driver_validate_semi,
         driver_validate_anti, avg_speed, avg_speed_tumbling, anomaly_gaussian, anomaly_ar1,

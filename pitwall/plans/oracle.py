@@ -224,6 +224,9 @@ def build() -> dict[str, str]:
                                       f"WHERE race_id = '{C.SNAPSHOT_RACE}'")
     q["leaderboard_no_race"] = f"WITH {POSITIONS}, {LATEST}, {RANKED} SELECT * FROM ranked WHERE race_id IS NULL"
     q["leaderboard_bounded10"] = f"WITH RECURSIVE {POSITIONS}, {LATEST}, {BOUNDED} SELECT * FROM bounded"
+    q["leaderboard_bounded_repair"] = q["leaderboard_bounded10"]
+    q["leaderboard_list_log"] = (f"WITH RECURSIVE {POSITIONS}, {LATEST}, {BOUNDED} SELECT seq.race_id, seq.arrival, seq.driver_name, "
+                                 f"array_to_string(fold.slots, '>') AS slots FROM fold JOIN seq ON seq.g = fold.g AND seq.i = fold.i")
     q["leaderboard_enriched"] = f"""WITH RECURSIVE {POSITIONS}, {LATEST}, {BOUNDED},
 rb AS (SELECT *, CAST(row_number() OVER (PARTITION BY race_id ORDER BY position, driver_name) AS INTEGER) AS rank FROM bounded)
 SELECT rb.*, coalesce(ro.name, 'Unknown Driver') AS driver_label, coalesce(ro.team, 'Unknown Team') AS team_label,

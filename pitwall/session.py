@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC event time (the wire carries epoch milliseconds),
 # adaptive execution for runtime re-planning (partition coalescing, skew-join split,
@@ -101,3 +102,18 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared checkpoint folder."""
     return "/".join([checkpoint_root(spark), *parts])
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back: a lineage cut that outlives executors."""
+    path = scratch_path(df.sparkSession, "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared checkpoint folder; a missing one is fine."""
+    if not path.startswith(checkpoint_root(spark) + "/"):
+        raise ValueError(f"not below the checkpoint folder: {path}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,9 +1,11 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from pitwall.operators import leaderboard as lb
+from pitwall.operators import capped, leaderboard as lb
 from pitwall.sources import decode
 
 SCHEMA = "arrival long, ts timestamp, race_id string, driver_name string, position int, team_name string, speed double"
@@ -155,21 +157,57 @@ def test_hot_race_without_eviction_and_crowded_race(spark):
     assert got == {k: fifo(v, 10) for k, v in seqs.items()}
 
 
-def test_speculative_chunks_equal_sequential_fold(spark):
-    rng = random.Random(17)
-    rows, seqs, arrival = [], {}, 0
-    for race in ["a", "b", None]:
-        seqs[race] = []
-    for _ in range(900):
+def _race_rows(seed, n, drivers):
+    rng = random.Random(seed)
+    rows, seqs = [], {"a": [], "b": [], None: []}
+    for arrival in range(n):
         race = rng.choice(["a", "a", "b", None])
-        d = f"d{rng.randrange(16)}"
+        d = f"d{rng.randrange(drivers)}"
         rows.append(_row(arrival, race, d, rng.randrange(1, 11)))
         seqs[race].append(d)
-        arrival += 1
+    return rows, seqs
+
+
+@pytest.mark.parametrize("chunk", [16, 64, 10 ** 9])
+@pytest.mark.parametrize("drivers", [7, 16])
+def test_chunks_with_repair_equal_the_fold(spark, chunk, drivers):
+    """Races with and without eviction, in chunks from a few messages to all."""
+    rows, seqs = _race_rows(17, 900, drivers)
     expect = {k: fifo(v, 10) for k, v in seqs.items()}
-    for chunk, lookback in [(64, 48), (64, 2), (10 ** 9, 1)]:       # long, too-short and no chunking
-        got = {}
-        for r in lb.bounded(_pos(spark, rows), chunk_offsets=chunk, lookback_offsets=lookback,
-                            spec_min_rows=0).orderBy("slot").collect():
-            got.setdefault(r.race_id, []).append(r.driver_name)
-        assert got == expect, (chunk, lookback)
+    got = {}
+    for r in lb.bounded(_pos(spark, rows), chunk_offsets=chunk).orderBy("slot").collect():
+        got.setdefault(r.race_id, []).append(r.driver_name)
+    assert got == expect
+
+
+def test_repair_mends_wrong_starts(spark):
+    """Re-entries inside chunks defeat the guesses; repair still gives every chunk's exact start."""
+    rows, seqs = _race_rows(5, 600, 13)
+    lists, rounds = capped.chunk_lists(_pos(spark, rows), 10, 80)
+    assert rounds > 0
+    got = {(r.rk, r.chunk): (r.start, r.end) for r in lists.collect()}
+    for race, rk in (("a", "ra"), ("b", "rb"), (None, "-")):
+        mine = [(r[0], r[3]) for r in rows if r[2] == race]
+        for (k, c), (start, end) in got.items():
+            if k == rk:
+                assert start == fifo([d for a, d in mine if a < c * 80], 10)
+                assert end == fifo([d for a, d in mine if a < (c + 1) * 80], 10)
+
+
+def test_list_after_every_message_and_initial_lists(spark):
+    rows, seqs = _race_rows(6, 200, 13)
+    pos = _pos(spark, rows)
+    log = {(r.race_id, r.arrival): r.slots for r in capped.list_log(pos, 10, 32).collect()}
+    names = {"a": [], "b": [], None: []}
+    for r in rows:
+        names[r[2]].append(r[3])
+        assert log[r[2], r[0]] == fifo(names[r[2]], 10)
+    first, rest = pos.where("arrival < 90"), pos.where("arrival >= 90")
+    lists, _ = capped.chunk_lists(first, 10, 16)
+    held = capped.members(lists).groupBy(capped.race_of(F.col("rk")).alias("race_id")).agg(F.expr("transform(sort_array(collect_list(struct(slot, driver_name))), x -> x.driver_name) slots"))
+    held = held.unionByName(spark.createDataFrame([("idle", ["x", "y"])], held.schema))
+    lists, _ = capped.chunk_lists(rest, 10, 16, held)
+    got = {}
+    for r in capped.members(lists, held).orderBy("slot").collect():
+        got.setdefault(r.rk, []).append(r.driver_name)
+    assert got == {"ra": fifo(seqs["a"], 10), "rb": fifo(seqs["b"], 10), "-": fifo(seqs[None], 10), "ridle": ["x", "y"]}
