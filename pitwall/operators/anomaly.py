@@ -54,17 +54,24 @@ def _chunked(df: DataFrame, team_col: str, chunk_ms: int | None, chunk_rows: int
     return sequence.balanced_time_chunk(df, [team_col], "ts_ms", chunk_rows), F.col("_tchunk")
 
 
+def gaussian_sums(v) -> dict[str, F.Column]:
+    return {"_n": F.when(v.isNotNull(), F.lit(1)).otherwise(F.lit(0)), "_s1": F.coalesce(v, F.lit(0)), "_s2": F.coalesce(v * v, F.lit(0))}
+
+
+def ar1_sums(x, y) -> dict[str, F.Column]:
+    ok = x.isNotNull() & y.isNotNull()
+    terms = {"_n": F.lit(1), "_sx": x, "_sy": y, "_sxx": x * x, "_syy": y * y, "_sxy": x * y}
+    return {k: F.when(ok, c).otherwise(F.lit(0)) for k, c in terms.items()}
+
+
 def gaussian(metrics: DataFrame, value_col: str = "engine_temperature", team_col: str = "team_name",
              confidence_pct: float = CONFIDENCE_PCT, min_training: int = MIN_TRAINING,
-             chunk_ms: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+             chunk_ms: int | None = None, chunk_rows: int = CHUNK_ROWS, carry: DataFrame | None = None) -> DataFrame:
+    """``carry`` (team, _n, _s1, _s2): the team's sums over history that is not in ``metrics``."""
     z = z_value(confidence_pct)
     df, chunk = _chunked(_prepare(metrics, value_col), team_col, chunk_ms, chunk_rows)
     v = F.col("_v")
-    s = sequence.prefix_sums(
-        df, [team_col], ["ts_ms"], chunk,
-        {"_n": F.when(v.isNotNull(), F.lit(1)).otherwise(F.lit(0)),
-         "_s1": F.coalesce(v, F.lit(0)), "_s2": F.coalesce(v * v, F.lit(0))},
-        range_order=True)
+    s = sequence.prefix_sums(df, [team_col], ["ts_ms"], chunk, gaussian_sums(v), range_order=True, carry=carry)
     n, s1, s2 = F.col("_n"), F.col("_s1"), F.col("_s2")
     nd = _d(n)
     mean_c = _d(s1) / nd
@@ -85,20 +92,14 @@ def gaussian(metrics: DataFrame, value_col: str = "engine_temperature", team_col
 
 def ar1(metrics: DataFrame, value_col: str = "engine_temperature", team_col: str = "team_name",
         confidence_pct: float = CONFIDENCE_PCT, min_training: int = MIN_TRAINING,
-        chunk_ms: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+        chunk_ms: int | None = None, chunk_rows: int = CHUNK_ROWS, carry: DataFrame | None = None) -> DataFrame:
+    """``carry`` (team, the six sums, _v): sums and last value of history that is not in ``metrics``."""
     z = z_value(confidence_pct)
     df, chunk = _chunked(_prepare(metrics, value_col), team_col, chunk_ms, chunk_rows)
     order = ["ts_ms", "arrival"]
-    df = sequence.previous(df, [team_col], order, chunk, ["_v"], keep_parts=True)
+    df = sequence.previous(df, [team_col], order, chunk, ["_v"], keep_parts=True, carry=carry)
     x, y = F.col("prev__v"), F.col("_v")
-    ok = x.isNotNull() & y.isNotNull()
-
-    def on(c):
-        return F.when(ok, c).otherwise(F.lit(0))
-
-    s = sequence.prefix_sums(df, [team_col], order, chunk,
-                             {"_n": on(F.lit(1)), "_sx": on(x), "_sy": on(y),
-                              "_sxx": on(x * x), "_syy": on(y * y), "_sxy": on(x * y)})
+    s = sequence.prefix_sums(df, [team_col], order, chunk, ar1_sums(x, y), carry=carry)
     n, sx, sy, sxx, syy, sxy = (F.col(c) for c in ("_n", "_sx", "_sy", "_sxx", "_syy", "_sxy"))
     nd = _d(n)
     dxx, dxy, dyy = n * sxx - sx * sx, n * sxy - sx * sy, n * syy - sy * sy
@@ -119,6 +120,27 @@ def ar1(metrics: DataFrame, value_col: str = "engine_temperature", team_col: str
     )
 
 
+def totals(metrics: DataFrame, method: str, value_col: str = "engine_temperature", team_col: str = "team_name",
+           chunk_ms: int | None = None, chunk_rows: int = CHUNK_ROWS, carry: DataFrame | None = None) -> DataFrame:
+    """One row per team of ``metrics`` or ``carry``: what the next piece of the series needs as its carry."""
+    df, chunk = _chunked(_prepare(metrics, value_col), team_col, chunk_ms, chunk_rows)
+    if method == "gaussian":
+        sums = gaussian_sums(F.col("_v"))
+        own = df.groupBy(team_col).agg(*[F.sum(c).cast("decimal(38,0)").alias(n) for n, c in sums.items()])
+        kept = [team_col, *sums]
+        return (own if carry is None else own.unionByName(carry.select(*kept))).groupBy(team_col).agg(
+            *[F.sum(n).cast("decimal(38,0)").alias(n) for n in sums])
+    order = ["ts_ms", "arrival"]
+    df = sequence.previous(df, [team_col], order, chunk, ["_v"], carry=carry)
+    sums = ar1_sums(F.col("prev__v"), F.col("_v"))
+    own = df.groupBy(team_col).agg(*[F.sum(c).cast("decimal(38,0)").alias(n) for n, c in sums.items()],
+                                   F.max_by(F.struct("_v"), F.struct(*order)).alias("_last"), F.lit(1).alias("_new"))
+    if carry is not None:
+        own = own.unionByName(carry.select(team_col, *sums, F.struct("_v").alias("_last"), F.lit(0).alias("_new")))
+    return own.groupBy(team_col).agg(*[F.sum(n).cast("decimal(38,0)").alias(n) for n in sums],
+                                     F.max_by("_last", "_new").alias("_last")).select(team_col, *sums, "_last._v")
+
+
 def detect(metrics: DataFrame, method: str = "gaussian", **kw) -> DataFrame:
     """W1 + B7: rows with their detector result; ``flagged`` keeps ``is_anomaly = TRUE``."""
     fn = {"gaussian": gaussian, "ar1": ar1}[method]

@@ -62,10 +62,12 @@ def _out_cols(df: DataFrame, keep_parts: bool) -> list[str]:
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-             cols: Sequence[str], prefix: str = "prev_", keep_parts: bool = False) -> DataFrame:
+             cols: Sequence[str], prefix: str = "prev_", keep_parts: bool = False,
+             carry: DataFrame | None = None) -> DataFrame:
     """Add ``prefix + c`` = value of ``c`` on the previous row of the same key by
     ``order`` (null on the key's first row). ``keep_parts`` leaves the partitioning
-    columns for a following helper call on the same keys and chunks."""
+    columns for a following helper call on the same keys and chunks. ``carry`` (keys and
+    cols, one row per key) holds the row before a key's first one."""
     base, kn = _norm_keys(df, keys, chunk)
     part = [*kn, "_chunk"]
     w = Window.partitionBy(*part).orderBy(*order)
@@ -75,16 +77,21 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Co
     # per-chunk summary: the chunk's last row, by a partial aggregation (one row per
     # (key, chunk) and map task crosses the shuffle)
     last = base.groupBy(*part).agg(F.max_by(row, F.struct(*order)).alias("_last"))
-    carry = last.select(*part, F.lag("_last").over(
+    carried = last.select(*part, F.lag("_last").over(
         Window.partitionBy(*kn).orderBy("_chunk")).alias("_carry"))
-    joined = local.join(carry, part, "inner")
+    if carry is not None:
+        before, _ = _norm_keys(carry, keys, F.lit(0))
+        carried = (carried.join(before.select(*kn, F.struct(*cols).alias("_start")), kn, "left")
+                   .select(*part, F.coalesce("_carry", "_start").alias("_carry")))
+    joined = local.join(carried, part, "inner")
     prev = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))
     keep = [c for c in _out_cols(base, keep_parts)]
     return joined.select(*keep, *[prev.getField(c).alias(prefix + c) for c in cols])
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-                sums: dict[str, Column], range_order: bool = False, keep_parts: bool = False) -> DataFrame:
+                sums: dict[str, Column], range_order: bool = False, keep_parts: bool = False,
+                carry: DataFrame | None = None) -> DataFrame:
     """Add one exact exclusive prefix sum per entry of ``sums`` (name -> integral column).
 
     ``range_order=False``: rows strictly before the current row by ``order`` (a total
@@ -92,6 +99,9 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
     (peers share one history, SQL RANGE semantics); ``chunk`` must then be a function of
     the order value so that peers never straddle a chunk boundary.
 
+    ``carry`` (keys and one column per sum, one row per key) holds the sums before a key's
+    first row.
+
     Results are DECIMAL(38,0): chunk totals are summed as decimals so that the running
     value cannot overflow however many rows a key holds.
     """
@@ -109,6 +119,11 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
     wo = Window.partitionBy(*kn).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*part, *[F.coalesce(F.sum(f"_t_{n}").over(wo), F.lit(0)).cast(dec).alias(f"_o_{n}")
                               for n in sums])
+    if carry is not None:
+        before, _ = _norm_keys(carry, keys, F.lit(0))
+        before = before.select(*kn, *[F.col(n).alias(f"_c_{n}") for n in sums])
+        off = off.join(before, kn, "left").select(
+            *part, *[(F.col(f"_o_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).cast(dec).alias(f"_o_{n}") for n in sums])
     joined = local.join(off, part, "inner")
     return joined.select(*_out_cols(base, keep_parts),
                          *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).cast(dec).alias(n) for n in sums])

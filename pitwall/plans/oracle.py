@@ -6,7 +6,7 @@ names and types are aliased to match the Spark results.
 
 from __future__ import annotations
 
-from pitwall.plans import catalog as C
+from pitwall.plans import catalog as C, streams as S
 from pitwall.operators.anomaly import z_value
 
 Z = repr(z_value())
@@ -326,6 +326,13 @@ QUALIFY row_number() OVER (PARTITION BY key, ts_ms ORDER BY arrival DESC) = 1"""
           "WHERE is_anomaly = TRUE QUALIFY row_number() OVER (PARTITION BY key, ts_ms ORDER BY arrival DESC) = 1")
     q["stream_anomaly"] = f"WITH {_gauss_cte()} " + up.format(t="gauss")
     q["stream_anomaly_ar1"] = f"WITH {_ar1_cte()} " + up.format(t="ar1")
+    q["stream_late_rows"] = f"""WITH {METRICS},
+came AS (SELECT team_name, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000 + (arrival * 7919) % {S.JITTER_MS} AS c FROM metrics),
+span AS (SELECT min(epoch_us(ts) // 1000 + (event_id * 7919) % {S.JITTER_MS}) AS lo, max(epoch_us(ts) // 1000 + (event_id * 7919) % {S.JITTER_MS}) AS hi FROM events),
+dealt AS (SELECT team_name, ms, (c - lo) * {S.REPLAY_SLOTS} // (hi - lo + 1) AS slot FROM came, span),
+marks AS (SELECT slot, max(max(ms)) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {S.SHORT_DELAY_MS} AS passed FROM dealt GROUP BY slot)
+SELECT team_name, CAST(count(*) FILTER (passed IS NOT NULL AND ms <= passed) AS BIGINT) AS late_rows,
+       CAST(count(*) FILTER (passed IS NULL OR ms > passed) AS BIGINT) AS scored_rows FROM dealt JOIN marks USING (slot) GROUP BY team_name"""
     q["stream_dedupe"] = f"WITH {POSITIONS}, {GENERATED} SELECT DISTINCT id, driver_name FROM generated"
     q["stream_lifecycle"] = q["race_lifecycle"]
     q["stream_avg_speed"] = q["avg_speed"]

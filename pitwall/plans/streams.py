@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pitwall import sinks
 from pitwall.operators import commentary, leaderboard as lb
 from pitwall.plans.catalog import RACE_SECONDS, ntz
-from pitwall.sources import topics, views as V
+from pitwall.sources import tables, topics, views as V
 from pitwall.streaming import alerts, anomaly as sanom, leaderboard as slb, runner
 
 
@@ -24,10 +24,6 @@ def _positions_stream(spark, sf):
     return V.positions_from(topics.table_stream(spark, sf, "events"), V.roster(spark, sf))
 
 
-def _metrics_stream(spark, sf):
-    return V.metrics_from(topics.table_stream(spark, sf, "events"), V.roster(spark, sf))
-
-
 def stream_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     out, ck = runner.locations(spark, "leaderboard")
     runner.finish(slb.start_latest(_positions_stream(spark, sf), out, ck))
@@ -36,27 +32,41 @@ def stream_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_bounded(spark: SparkSession, sf: str) -> DataFrame:
-    out, ck = runner.locations(spark, "bounded")
-    runner.finish(slb.start_bounded(_positions_stream(spark, sf), out, ck))
-    return ntz(slb.read_bounded(spark, out))
+    """G3 over several micro-batches of messages in arrival order, with any order inside a batch."""
+    e = tables.load(spark, sf, "events")
+    lo, hi = e.agg(F.min("event_id"), F.max("event_id")).first()
+    slot = F.floor((F.col("event_id") - F.lit(lo)) * REPLAY_SLOTS / F.lit((hi or 0) - (lo or 0) + 1))
+    stream = V.positions_from(topics.replay(spark, e, slot, REPLAY_SLOTS, "positions"), V.roster(spark, sf))
+    base, ck = runner.locations(spark, "bounded")
+    keeper = slb.BoundedLists(spark, base)
+    runner.finish(keeper.start(stream, ck))
+    return ntz(keeper.lists())
 
 
 ANOMALY_COLS = ["team_name", "engine_temperature", "is_anomaly", "arrival"]
+#: The replay of the detector's input: batches, how much later than its event time a row may come, and the watermark.
+REPLAY_SLOTS, JITTER_MS, SHORT_DELAY_MS = 4, 86_400_000, 6 * 3_600_000
 
 
-def _stream_anomaly(spark: SparkSession, sf: str, method: str) -> DataFrame:
-    out, ck = runner.locations(spark, f"anomaly-{method}")
-    det = sanom.detect(_metrics_stream(spark, sf), method)
-    upsert = sinks.upsert_batch(out, ["key", "ts"], "arrival", ANOMALY_COLS)
+def _shuffled_metrics(spark, sf):
+    """Events in several batches, by event time plus a delay of up to a day that differs from row to row."""
+    e = tables.load(spark, sf, "events")
+    came = F.unix_millis("ts") + (F.col("event_id") * 7919) % JITTER_MS
+    lo, hi = e.agg(F.min(came), F.max(came)).first()
+    slot = F.floor((came - F.lit(lo)) * REPLAY_SLOTS / F.lit((hi or 0) - (lo or 0) + 1))
+    return V.metrics_from(topics.replay(spark, e, slot, REPLAY_SLOTS, "events"), V.roster(spark, sf))
+
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        # the sink table holds flagged rows keyed by (key, ts at ms precision)
-        flagged = batch.where(F.col("is_anomaly") == F.lit(True)).withColumn("ts", F.timestamp_millis("ts_ms"))
-        upsert(flagged, batch_id)
+def _detector(spark, sf, method, delay_ms) -> sanom.Detector:
+    base, ck = runner.locations(spark, f"anomaly-{method}")
+    return sanom.run(sanom.Detector(spark, base, method, delay_ms), _shuffled_metrics(spark, sf), ck)
 
-    runner.finish(runner.start_foreach(det, write, ck, "append"))
-    state = sinks.read_upserted(spark, out, ["key", "ts"], ANOMALY_COLS)
-    return ntz(state.drop("arrival"))
+
+def _stream_anomaly(spark: SparkSession, sf: str, method: str) -> DataFrame:
+    scored = _detector(spark, sf, method, JITTER_MS).scored()
+    # the sink table holds flagged rows keyed by (key, ts at ms precision)
+    flagged = scored.where(F.col("is_anomaly") == F.lit(True)).withColumn("ts", F.timestamp_millis("ts_ms"))
+    return ntz(sinks.latest_per_key(flagged, ["key", "ts"], "arrival", ANOMALY_COLS).drop("arrival"))
 
 
 def stream_anomaly(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,6 +77,13 @@ def stream_anomaly_ar1(spark: SparkSession, sf: str) -> DataFrame:
     return _stream_anomaly(spark, sf, "ar1")
 
 
+def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """H6: rows per team that came after a watermark of a quarter of the largest delay had passed them, and rows scored."""
+    d = _detector(spark, sf, "gaussian", SHORT_DELAY_MS)
+    both = d.late().select("team_name", F.lit(1).alias("late")).unionByName(d.scored().select("team_name", F.lit(0).alias("late")))
+    return both.groupBy("team_name").agg(F.sum("late").cast("long").alias("late_rows"), F.sum(1 - F.col("late")).cast("long").alias("scored_rows"))
+
+
 def stream_avg_speed(spark: SparkSession, sf: str) -> DataFrame:
     """G7 running: average speed per (race, driver) as an update-mode aggregation, upserted
     per micro-batch; the final state equals the batch average."""
@@ -95,6 +112,6 @@ def stream_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in [stream_leaderboard, stream_bounded, stream_anomaly, stream_anomaly_ar1,
+    f.__name__: f for f in [stream_leaderboard, stream_bounded, stream_anomaly, stream_anomaly_ar1, stream_late_rows,
                             stream_avg_speed, stream_dedupe, stream_lifecycle]
 }

@@ -113,7 +113,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder below the shared checkpoint folder; a missing one is fine."""
-    if not path.startswith(checkpoint_root(spark) + "/"):
+    plain = lambda p: p.replace(":///", ":/")  # noqa: E731 - one folder, written either way
+    if not plain(path).startswith(plain(checkpoint_root(spark)) + "/"):
         raise ValueError(f"not below the checkpoint folder: {path}")
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

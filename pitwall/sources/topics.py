@@ -8,10 +8,13 @@ auto-commit; ``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger`` bound a micro-bat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitwall.session import scratch_path, stored
 from pitwall.sources.tables import with_instant_time
 
 
@@ -67,3 +70,25 @@ def files_stream(spark: SparkSession, directory: str, schema: T.StructType, fmt:
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return with_instant_time(r.load(directory))
+
+
+REPLAY_SLOT_ROWS = 100_000
+
+
+def replay(spark: SparkSession, rows: DataFrame, slot: Column, slots: int, name: str) -> DataFrame:
+    """``rows`` as a file stream in ``slots`` micro-batches, in the order of ``slot`` (0 to slots - 1).
+
+    Each slot is written in one go after the one before it; a trigger takes just the files of one slot,
+    so a batch holds what a topic would deliver in one poll."""
+    path = scratch_path(spark, "replays", f"{name}-{uuid.uuid4().hex[:12]}")
+    dealt = stored(rows.withColumn("slot", slot.cast("int")), f"replay-{name}")
+    files = max(1, min(200, dealt.count() // (slots * REPLAY_SLOT_ROWS)))
+    written = 0
+    for i in range(slots):
+        one = dealt.where(F.col("slot") == i).drop("slot")
+        if one.limit(1).count():
+            one.repartition(files).write.mode("append").parquet(path)
+            written += 1
+    if not written:
+        dealt.drop("slot").write.mode("append").parquet(path)
+    return files_stream(spark, path, rows.schema, max_files_per_trigger=files)

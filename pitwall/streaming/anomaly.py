@@ -1,136 +1,112 @@
-"""Streaming anomaly detector (W1 on streams, H1, H2, H6).
-
-Per team the state is O(1): exact integer sums (``gaussian``: n, sum v, sum v^2, plus
-the sums before the current event-time millisecond so that peers share one history;
-``ar1``: the pair sums and the previous value), never the raw history. Each micro-batch's
-rows of a team are processed in (ts, arrival) order; a row older than the newest
-millisecond already processed is late and is counted in the state instead of being
-scored (the stream then equals the batch operator for in-order input).
-
-The doubles are derived from the integer sums with the same operations as the batch
-operator, so the flags agree exactly. Keyed state expires after ``ttl`` of processing
-time without data when ``ttl_ms`` is given (the streaming-SQL state TTL was 24 h). A
-processing-time timeout keeps a query scheduling batches, so replays with
-``availableNow`` run without it.
+"""Streaming anomaly detector with a reorder buffer (W1 on streams, H1, H2, H6).
+
+Every micro-batch is scored by the batch operator, so a team that holds most of a batch spreads over many
+tasks and the doubles are those of the batch:
+
+* Rows wait in the *buffer* until the watermark (the newest event time seen, less ``delay_ms``)
+  has passed them; released rows are later than all that were released before, so peers of one
+  millisecond are scored together, whatever the batches were.
+* The *carry* table holds one row a team: the exact sums of everything released so far (AR(1): the last
+  value, too). The batch operator's prefix sums start from it.
+* A row that the watermark had passed when it came is *late*: it is not scored but written to the
+  late output, as is a row without event time. Nothing is dropped silently.
+
+A team without a released row for ``ttl_ms`` of processing time starts afresh (the streaming-SQL state TTL was 24 h).
+All tables are written per batch id (see ``batches``). ``drain`` scores what is still held when
+a bounded replay has ended; a query that goes on later takes the drained batch back.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+import time
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-from pitwall.operators.anomaly import CONFIDENCE_PCT, MIN_TRAINING, z_value
+from pitwall.functions import exprs as X
+from pitwall.operators import anomaly
+from pitwall.operators.anomaly import CONFIDENCE_PCT, MIN_TRAINING
+from pitwall.session import remove, stored
+from pitwall.streaming import runner
+from pitwall.streaming.batches import Carry
 
-OUT = ("arrival long, key string, ts_us long, team_name string, engine_temperature double, ts_ms long, "
-       "n long, forecast double, lower double, upper double, is_anomaly boolean")
-STATE = "sums string, late long"
 TTL_MS = 24 * 3600 * 1000
-
-
-def _none(v):
-    if v is None:
-        return None
-    if hasattr(v, "item"):
-        v = v.item()
-    if isinstance(v, float) and math.isnan(v):
-        return None
-    return v
-
-
-def _gaussian_step(st: list, ts_ms: int, v, z: float, min_training: int):
-    """st = [n, s1, s2, last_ms, bn, bs1, bs2]; returns (n, forecast, lower, upper, flag)."""
-    n, s1, s2, last_ms, bn, bs1, bs2 = st
-    if last_ms is None or ts_ms != last_ms:
-        bn, bs1, bs2, last_ms = n, s1, s2, ts_ms
-    res = (bn, None, None, None, None)
-    if bn >= min_training:
-        nd = float(bn)
-        mean_c = float(bs1) / nd
-        var_c = float(bn * bs2 - bs1 * bs1) / float(bn * (bn - 1))
-        half = z * math.sqrt(var_c) * math.sqrt(1.0 + 1.0 / nd)
-        flag = None if v is None else (float(v) < mean_c - half or float(v) > mean_c + half)
-        res = (bn, mean_c / 100.0, (mean_c - half) / 100.0, (mean_c + half) / 100.0, flag)
-    if v is not None:
-        n, s1, s2 = n + 1, s1 + v, s2 + v * v
-    st[:] = [n, s1, s2, last_ms, bn, bs1, bs2]
-    return res
-
-
-def _ar1_step(st: list, ts_ms: int, y, z: float, min_training: int):
-    """st = [n, sx, sy, sxx, syy, sxy, prev_y, seen, last_ms]."""
-    n, sx, sy, sxx, syy, sxy, x, seen, last_ms = st
-    x = x if seen else None
-    res = (n, None, None, None, None)
-    if n >= min_training and x is not None:
-        nd = float(n)
-        dxx, dxy, dyy = n * sxx - sx * sx, n * sxy - sx * sy, n * syy - sy * sy
-        b = 0.0 if dxx == 0 else float(dxy) / float(dxx)
-        a = (float(sy) - b * float(sx)) / nd
-        fc = a + b * float(x)
-        sse = (float(dyy) - b * float(dxy)) / nd
-        half = z * math.sqrt(max(sse, 0.0) / (nd - 2.0))
-        flag = None if y is None else (float(y) < fc - half or float(y) > fc + half)
-        res = (n, fc / 100.0, (fc - half) / 100.0, (fc + half) / 100.0, flag)
-    if x is not None and y is not None:
-        n, sx, sy, sxx, syy, sxy = n + 1, sx + x, sy + y, sxx + x * x, syy + y * y, sxy + x * y
-    st[:] = [n, sx, sy, sxx, syy, sxy, y, True, ts_ms]
-    return res
-
-
-_INIT = {"gaussian": [0, 0, 0, None, 0, 0, 0], "ar1": [0, 0, 0, 0, 0, 0, None, False, None]}
-
-
-def _fn(method: str, z: float, min_training: int, ttl_ms: int):
-    step = _gaussian_step if method == "gaussian" else _ar1_step
-    cols = ["arrival", "key", "ts_us", "team_name", "engine_temperature", "ts_ms", "_v"]
-    whole = (0, 2, 5, 6)
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            raw, late = state.get
-            st = [None if x == "" else int(x) if x not in ("True", "False") else x == "True"
-                  for x in raw.split(",")]
-        else:
-            st, late = list(_INIT[method]), 0
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_ms", "arrival"], kind="stable")
-        out = []
-        last_ms = st[3] if method == "gaussian" else st[8]
-        for r in batch[cols].itertuples(index=False, name=None):
-            r = [_none(x) for x in r]
-            # a null makes pandas hold the column's integers as floats
-            r = [int(x) if i in whole and x is not None else x for i, x in enumerate(r)]
-            ts_ms, v = r[5], r[6]
-            if last_ms is not None and ts_ms < last_ms:
-                late += 1
-                continue
-            n, fc, lo, hi, flag = step(st, ts_ms, v, z, min_training)
-            last_ms = ts_ms
-            out.append(r[:6] + [n, fc, lo, hi, flag])
-        state.update((",".join("" if x is None else str(x) for x in st), late))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
-        if out:
-            yield pd.DataFrame(out, columns=cols[:6] + ["n", "forecast", "lower", "upper", "is_anomaly"])
-    return fn
-
-
-def detect(metrics: DataFrame, method: str = "gaussian", confidence_pct: float = CONFIDENCE_PCT,
-           min_training: int = MIN_TRAINING, ttl_ms: int | None = None) -> DataFrame:
-    """Streaming detector over (arrival, key, ts, team_name, engine_temperature)."""
-    z = z_value(confidence_pct)
-    # a row without event time has no place in the order
-    m = metrics.where(F.col("ts").isNotNull()).select("arrival", "key", F.unix_micros("ts").alias("ts_us"), "team_name", "engine_temperature",
-                       F.unix_millis("ts").alias("ts_ms"),
-                       F.round(F.col("engine_temperature") * 100).cast("long").alias("_v"))
-    res = m.groupBy("team_name").applyInPandasWithState(
-        _fn(method, z, min_training, ttl_ms), OUT, STATE, "append",
-        GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
-    return res.withColumn("ts", F.timestamp_micros("ts_us")).drop("ts_us")
+DELAY_MS = 60_000
+ROW = "arrival long, key string, ts timestamp, team_name string, engine_temperature double"
+_SUMS = {"gaussian": "_n decimal(38,0), _s1 decimal(38,0), _s2 decimal(38,0)",
+         "ar1": "_n decimal(38,0), _sx decimal(38,0), _sy decimal(38,0), _sxx decimal(38,0), _syy decimal(38,0), _sxy decimal(38,0), _v long"}
+SCORED = ROW + ", ts_ms long, n long, forecast double, lower double, upper double, is_anomaly boolean"
+_COLUMNS = [c.split()[0] for c in SCORED.split(", ")]
+_FOREVER = 1 << 62
+
+
+class Detector:
+    """State and outputs of one detector below ``base``: scored, late, held, carry, mark."""
+
+    def __init__(self, spark: SparkSession, base: str, method: str = "gaussian", delay_ms: int = DELAY_MS,
+                 confidence_pct: float = CONFIDENCE_PCT, min_training: int = MIN_TRAINING, ttl_ms: int | None = TTL_MS):
+        self.spark, self.base, self.method, self.delay_ms, self.ttl_ms = spark, base, method, delay_ms, ttl_ms
+        self.options = {"confidence_pct": confidence_pct, "min_training": min_training}
+        self.held = Carry(spark, f"{base}/held", ROW)
+        self.carry = Carry(spark, f"{base}/carry", f"team_name string, {_SUMS[method]}, updated_ms long")
+        self.mark = Carry(spark, f"{base}/mark", "passed_ms long, batch_id long")
+        self.scored_path, self.late_path = f"{base}/scored", f"{base}/late"
+
+    def process(self, batch: DataFrame, batch_id: int, everything: bool = False) -> None:
+        """Score what the watermark lets go after ``batch``; ``everything``: also what is held."""
+        names = [c.split()[0] for c in ROW.split(", ")]
+        rows = stored(batch.select(*names), "detector-batch")
+        passed = self.mark.of(batch_id - 1).first()
+        passed = passed.passed_ms if passed else -_FOREVER
+        ms = X.ts_to_ms("ts")
+        late = F.coalesce(ms <= passed, F.lit(True))
+        rows.where(late).withColumn("passed_ms", F.lit(passed)).write.mode("overwrite").parquet(f"{self.late_path}/batch_id={batch_id}")
+        waiting = rows.where(~late).unionByName(self.held.of(batch_id - 1))
+        newest = waiting.agg(F.max(ms)).first()[0]
+        if newest is not None:
+            passed = max(passed, newest if everything else newest - self.delay_ms)
+        ready = stored(waiting.where(ms <= passed), "detector-ready")
+        now = int(time.time() * 1000)
+        before = self.carry.of(batch_id - 1)
+        if self.ttl_ms:
+            before = before.where(F.col("updated_ms") > now - self.ttl_ms)
+        scored = anomaly.detect(ready, self.method, carry=before, **self.options).select(*_COLUMNS)
+        scored.write.mode("overwrite").parquet(f"{self.scored_path}/batch_id={batch_id}")
+        after = anomaly.totals(ready, self.method, carry=before)
+        touched = ready.select("team_name").distinct().select(F.col("team_name").alias("t"))
+        stamps = before.select(F.col("team_name").alias("u"), "updated_ms")
+        after = (after.join(touched, F.col("team_name").eqNullSafe(F.col("t")), "left_semi").withColumn("updated_ms", F.lit(now))
+                 .unionByName(after.join(touched, F.col("team_name").eqNullSafe(F.col("t")), "left_anti")
+                              .join(stamps, F.col("team_name").eqNullSafe(F.col("u"))).drop("u")))
+        self.carry.write(after, batch_id)
+        self.held.write(waiting.where(ms > passed), batch_id)
+        self.mark.write(self.spark.createDataFrame([(passed, batch_id)], self.mark.schema), batch_id)
+        for table in (self.held, self.carry, self.mark):
+            table.forget(batch_id)
+        for used in (rows, ready):
+            for f in {f.rsplit("/", 1)[0] for f in used.inputFiles()}:
+                remove(self.spark, f)
+
+    def start(self, metrics: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+        """Streaming query over (arrival, key, ts, team_name, engine_temperature)."""
+        return runner.start_foreach(metrics, lambda batch, batch_id: self.process(batch, batch_id), checkpoint, "append", trigger)
+
+    def drain(self, batch_id: int) -> None:
+        """Score what is held after the last batch of a bounded input; ``batch_id`` is the one the query would use next."""
+        self.process(self.spark.createDataFrame([], ROW), batch_id, everything=True)
+
+    def scored(self) -> DataFrame:
+        return self.spark.read.schema(SCORED + ", batch_id long").parquet(self.scored_path).select(*_COLUMNS)
+
+    def late(self) -> DataFrame:
+        """Rows that were not scored, with the watermark that had passed them and their batch."""
+        return self.spark.read.schema(ROW + ", passed_ms long, batch_id long").parquet(self.late_path)
+
+
+def run(detector: Detector, metrics: DataFrame, checkpoint: str) -> Detector:
+    """Replay a bounded stream to its end."""
+    q = detector.start(metrics, checkpoint)
+    runner.finish(q)
+    detector.drain(runner.next_batch(q))
+    return detector

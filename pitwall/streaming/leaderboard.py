@@ -3,24 +3,18 @@
 * ``latest``: stateful aggregation ``max_by(row, arrival)`` per (race, driver) in update
   mode: each micro-batch emits the changed keys; state lives in the state store
   (RocksDB provider), recovered from the checkpoint after a restart.
-* ``bounded``: the capped FIFO list per race kept as keyed state
-  (``applyInPandasWithState``); each micro-batch emits the full current list of every
-  race it touched (the change notification of the reference, per batch).
+* ``BoundedLists``: the capped list per race, carried from batch to batch as a table.
 """
 
 from __future__ import annotations
 
-import json
-import math
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pitwall import sinks
-from pitwall.operators import leaderboard as lb
+from pitwall.operators import capped, leaderboard as lb
+from pitwall.session import stored
+from pitwall.streaming.batches import Carry
 
 LATEST_COLS = ["arrival", "ts", "position", "team_name", "speed"]
 
@@ -37,69 +31,46 @@ def start_latest(positions: DataFrame, out_path: str, checkpoint: str, trigger:
                          checkpoint, "update", trigger)
 
 
-BOUNDED_OUT = ("race_id string, driver_name string, slot int, arrival long, ts_us long, position int, "
-               "team_name string, speed double")
-BOUNDED_STATE = "slots string"
-
-
-def _py(v):
-    """numpy scalar / NaN -> plain Python value / None."""
-    if hasattr(v, "item"):
-        v = v.item()
-    if isinstance(v, float) and math.isnan(v):
-        return None
-    return v
-
-
-def _bounded_fn(cap: int):
-    cols = ["driver_name", "arrival", "ts_us", "position", "team_name", "speed"]
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        race = key[0]
-        slots = json.loads(state.get[0]) if state.exists else []
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values("arrival", kind="stable")
-        index = {s[0]: i for i, s in enumerate(slots)}
-        for tup in batch[cols].itertuples(index=False, name=None):
-            row = [_py(v) for v in tup]
-            d = row[0]
-            if d in index:
-                slots[index[d]] = row
-                continue
-            slots.append(row)
-            if len(slots) > cap:
-                slots.pop(0)
-            index = {s[0]: i for i, s in enumerate(slots)}
-        state.update((json.dumps(slots),))
-        out = pd.DataFrame(slots, columns=cols)
-        out.insert(0, "race_id", race)
-        out.insert(2, "slot", range(1, len(slots) + 1))
-        yield out.astype({"slot": "int32", "position": "Int32", "arrival": "int64", "ts_us": "int64"})
-    return fn
-
-
-def bounded(positions: DataFrame, cap: int = lb.CAP) -> DataFrame:
-    """Keyed state per race; rows of a race must reach the stream in arrival order
-    (one race key = one topic partition, as the producer keys messages by race)."""
-    p = positions.select("race_id", "driver_name", "arrival", F.unix_micros("ts").alias("ts_us"),
-                         "position", "team_name", "speed")
-    return p.groupBy("race_id").applyInPandasWithState(
-        _bounded_fn(cap), BOUNDED_OUT, BOUNDED_STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def start_bounded(positions: DataFrame, out_path: str, checkpoint: str, cap: int = lb.CAP,
-                  trigger: dict | None = None):
-    from pitwall.streaming.runner import start_foreach
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.repartition("race_id").write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-
-    return start_foreach(bounded(positions, cap), write, checkpoint, "update", trigger)
-
-
-def read_bounded(spark: SparkSession, out_path: str) -> DataFrame:
-    """Current lists: for every race the rows written by its newest batch."""
-    raw = spark.read.parquet(out_path)
-    w = Window.partitionBy("race_id")
-    cur = raw.withColumn("_newest", F.max("batch_id").over(w)).where(F.col("batch_id") == F.col("_newest"))
-    return cur.select("race_id", "driver_name", "slot", "arrival", F.timestamp_micros("ts_us").alias("ts"),
-                      "position", "team_name", "speed")
+ROW = "arrival long, ts timestamp, race_id string, driver_name string, position int, team_name string, speed double"
+_COLUMNS = [c.split()[0] for c in ROW.split(", ")]
+
+
+class BoundedLists:
+    """G3 over a stream: every race's capped list with the latest message of each listed driver.
+
+    A micro-batch is folded by the batch operator, in chunks that start from the lists carried over (at most
+    ``cap`` rows a race, see ``batches``), so a race that holds most of a batch spreads over many tasks.
+    Messages of a race must reach the stream in arrival order across batches (one race key is one topic
+    partition); inside a batch any order will do. A race without a message for ``idle_ms`` of event time is evicted (H4);
+    one that reports again starts with an empty list.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, cap: int = lb.CAP, chunk: int = capped.CHUNK, idle_ms: int | None = None):
+        self.spark, self.cap, self.chunk, self.idle_ms = spark, cap, chunk, idle_ms
+        self.carry = Carry(spark, f"{base}/lists", ROW + ", slot int")
+        self.mark = Carry(spark, f"{base}/mark", "newest timestamp, batch_id long")
+        self.last = -1
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        rows = stored(batch.select(*_COLUMNS), "bounded-batch")
+        before = self.carry.of(batch_id - 1)
+        initial = before.groupBy("race_id").agg(F.sort_array(F.collect_list(F.struct("slot", "driver_name"))).alias("s")).select("race_id", F.col("s.driver_name").alias("slots"))
+        lists, _ = capped.chunk_lists(rows, self.cap, self.chunk, initial)
+        after = capped.with_values(capped.members(lists, initial), rows.unionByName(before.drop("slot"))).select(*_COLUMNS, "slot")
+        if self.idle_ms is not None:
+            newest = rows.select(F.max("ts").alias("newest")).unionByName(self.mark.of(batch_id - 1).select("newest")).agg(F.max("newest").alias("newest"))
+            newest = self.mark.write(newest.select("newest", F.lit(batch_id).cast("long").alias("batch_id")), batch_id).first().newest
+            live = after.groupBy(capped.race_key().alias("rk")).agg(F.max("ts").alias("seen")).where(F.unix_millis("seen") >= F.unix_millis(F.lit(newest)) - self.idle_ms)
+            after = after.join(live, capped.race_key() == F.col("rk"), "left_semi")
+            self.mark.forget(batch_id)
+        self.carry.write(after, batch_id)
+        self.carry.forget(batch_id)
+        self.last = batch_id
+
+    def start(self, positions: DataFrame, checkpoint: str, trigger: dict | None = None):
+        from pitwall.streaming.runner import start_foreach
+        return start_foreach(positions, lambda batch, batch_id: self.process(batch, batch_id), checkpoint, "append", trigger)
+
+    def lists(self, batch_id: int | None = None) -> DataFrame:
+        """The lists after ``batch_id`` (the last one processed here)."""
+        return self.carry.of(self.last if batch_id is None else batch_id).select("race_id", "driver_name", "slot", "arrival", "ts", "position", "team_name", "speed")

@@ -41,3 +41,9 @@ def finish(q: StreamingQuery, timeout_s: float = 600.0) -> None:
         raise q.exception()
     if not done:
         raise TimeoutError(f"the streaming query did not end within {timeout_s:g} s; its output is incomplete")
+
+
+def next_batch(q: StreamingQuery) -> int:
+    """The batch id that ``q`` would use next: one more than its last (also when it found nothing new)."""
+    last = q.lastProgress
+    return int(last["batchId"]) + (1 if last["numInputRows"] else 0) if last else 0

@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 import random
+import uuid
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pitwall import sinks
 from pitwall.operators import anomaly, leaderboard as lb
+from pitwall.session import scratch_path
 from pitwall.sources import topics
 from pitwall.streaming import alerts, anomaly as sanom, leaderboard as slb, runner
 
@@ -55,50 +57,96 @@ def _spark_schema(spark, directory):
     return spark.read.parquet(directory).schema
 
 
-def _run_detector(spark, src, out, ck, method="gaussian"):
+def _detect(spark, src, base, method="gaussian", drain=True, **kw):
+    """Run the detector over the files of ``src``, one a batch."""
     stream = topics.files_stream(spark, src, _spark_schema(spark, src), max_files_per_trigger=1)
-    det = sanom.detect(stream, method)
+    d = sanom.Detector(spark, base, method, **kw)
+    q = d.start(stream, f"{base}/checkpoint")
+    runner.finish(q)
+    if drain:
+        d.drain(runner.next_batch(q))
+    return d
 
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    runner.finish(runner.start_foreach(det, write, ck, "append"))
+@pytest.fixture
+def base(spark):
+    return scratch_path(spark, "test-streams", uuid.uuid4().hex[:12])
 
 
-def test_detector_stream_equals_batch_over_random_splits(spark, tmp_dir):
-    rows = _metrics_rows()
+def _scored(d):
+    return {r.arrival: (r.n, r.is_anomaly, r.forecast, r.lower, r.upper) for r in d.scored().collect()}
+
+
+def _batch(spark, src, method="gaussian", where="true"):
+    rows = spark.read.parquet(src).where(where)
+    return {r.arrival: (r.n, r.is_anomaly, r.forecast, r.lower, r.upper) for r in anomaly.detect(rows, method).collect()}
+
+
+@pytest.mark.parametrize("method", ["gaussian", "ar1"])
+def test_detector_stream_equals_batch_out_of_order(spark, tmp_dir, base, method):
+    """Rows come up to 10 s after their time, across files, with nulls and a null team: results are those of one batch."""
+    rng = random.Random(1)
+    rows = [r[:4] + (None,) if i % 17 == 3 else r[:3] + (None,) + r[4:] if i % 11 == 5 else r for i, r in enumerate(_metrics_rows(400))]
+    rows.sort(key=lambda r: r[2] + dt.timedelta(milliseconds=rng.randrange(10_000)))
     src = f"{tmp_dir}/src"
-    _write_files(src, rows, M_SCHEMA, 7, rng=random.Random(1))
-    for method in ["gaussian", "ar1"]:
-        out, ck = f"{tmp_dir}/out-{method}", f"{tmp_dir}/ck-{method}"
-        _run_detector(spark, src, out, ck, method)
-        got = {r.arrival: (r.n, r.is_anomaly, r.forecast) for r in spark.read.parquet(out).collect()}
-        batch = getattr(anomaly, method)(spark.read.parquet(src))
-        exp = {r.arrival: (r.n, r.is_anomaly, r.forecast) for r in batch.collect()}
-        assert got == exp
+    _write_files(src, rows, M_SCHEMA, 5, rng=rng)
+    d = _detect(spark, src, base, method, delay_ms=10_000)
+    assert _scored(d) == _batch(spark, src, method)
+    assert d.late().count() == 0
+    kept = {t: sorted(x for x in os.listdir(f"{base.removeprefix('file:')}/{t}")) for t in ("held", "carry", "mark")}
+    assert all(len(v) == 2 for v in kept.values())
 
 
-def test_detector_restart_from_checkpoint(spark, tmp_dir):
+def test_detector_restart_from_checkpoint(spark, tmp_dir, base):
     rows = _metrics_rows(300, seed=9)
-    src, out, ck = f"{tmp_dir}/src", f"{tmp_dir}/out", f"{tmp_dir}/ck"
-    _write_files(src, rows[:150], M_SCHEMA, 3)
-    _run_detector(spark, src, out, ck)                       # first run stops after 3 files
-    _write_files(src, rows[150:], M_SCHEMA, 3, start=3)
-    _run_detector(spark, src, out, ck)                       # resumes with the stored sums
-    got = {r.arrival: r.is_anomaly for r in spark.read.parquet(out).collect()}
-    exp = {r.arrival: r.is_anomaly for r in anomaly.gaussian(spark.read.parquet(src)).collect()}
-    assert got == exp
+    src = f"{tmp_dir}/src"
+    _write_files(src, rows[:150], M_SCHEMA, 2)
+    _detect(spark, src, base)                                # drained, then taken back
+    _write_files(src, rows[150:], M_SCHEMA, 2, start=2)
+    assert _scored(_detect(spark, src, base)) == _batch(spark, src)
+
+
+def test_a_retried_batch_changes_nothing(spark, tmp_dir, base):
+    src = f"{tmp_dir}/src"
+    _write_files(src, _metrics_rows(200, seed=3), M_SCHEMA, 2)
+    parts = [spark.read.parquet(f"{src}/part-000{i}.parquet") for i in (0, 1)]
+    d = sanom.Detector(spark, base, delay_ms=5_000)
+    for batch_id in (0, 0, 1, 1):
+        d.process(parts[batch_id], batch_id)
+    d.drain(2)
+    assert _scored(d) == _batch(spark, src)
 
 
-def test_late_rows_are_not_scored(spark, tmp_dir):
+def test_late_rows_are_an_output(spark, tmp_dir, base):
     rows = _metrics_rows(60, seed=2)
-    late = (999, "race", T0, "A", 500.0)                      # older than everything processed
-    src, out, ck = f"{tmp_dir}/src", f"{tmp_dir}/out", f"{tmp_dir}/ck"
+    late = [(999, "race", T0, "A", 500.0), (1000, "race", None, "B", 1.0)]     # before all that was scored; without a time
+    src = f"{tmp_dir}/src"
     _write_files(src, rows, M_SCHEMA, 2)
-    _write_files(src, [late], M_SCHEMA, 1, start=2)
-    _run_detector(spark, src, out, ck)
-    got = {r.arrival for r in spark.read.parquet(out).collect()}
-    assert 999 not in got and len(got) == 60
+    _write_files(src, late, M_SCHEMA, 1, start=2)
+    d = _detect(spark, src, base, delay_ms=1_000)
+    assert _scored(d) == _batch(spark, src, where="arrival < 999")
+    assert sorted((r.arrival, r.team_name, r.batch_id) for r in d.late().collect()) == [(999, "A", 2), (1000, "B", 2)]
+
+
+def test_rows_wait_for_the_watermark(spark, tmp_dir, base):
+    rows = [(i, "race", T0 + dt.timedelta(seconds=i), "A", 90.0 + i % 3) for i in range(30)]
+    src = f"{tmp_dir}/src"
+    _write_files(src, rows, M_SCHEMA, 1)
+    d = _detect(spark, src, base, drain=False, delay_ms=9_500)
+    assert sorted(r.arrival for r in d.scored().collect()) == list(range(20))
+    assert sorted(r.arrival for r in d.held.of(0).collect()) == list(range(20, 30))
+
+
+def test_detector_state_expires_after_ttl(spark, tmp_dir, base):
+    import time
+    d = sanom.Detector(spark, base, delay_ms=0, ttl_ms=2_000)
+    row = lambda i, team="A": (i, "race", T0 + dt.timedelta(seconds=i), team, 90.0 + i % 3)
+    make = lambda rows: spark.createDataFrame(rows, sanom.ROW)
+    d.process(make([row(i) for i in range(20)]), 0)
+    time.sleep(2.5)                                              # no data for longer than the TTL
+    d.process(make([row(100 + i) for i in range(3)]), 1)
+    got = {r.arrival: r.n for r in d.scored().collect()}
+    assert got[19] == 19 and [got[100], got[101], got[102]] == [0, 1, 2]
 
 
 def _positions_rows(n=500, seed=6):
@@ -121,12 +169,34 @@ def test_leaderboard_streams_equal_batch(spark, tmp_dir):
     assert sorted(map(tuple, got.select(*key).collect()), key=str) == \
         sorted(map(tuple, lb.latest(batch_df).select(*key).collect()), key=str)
 
-    out, ck = f"{tmp_dir}/bounded", f"{tmp_dir}/ck2"
-    runner.finish(slb.start_bounded(topics.files_stream(spark, src, schema, max_files_per_trigger=1), out, ck))
-    key = ["race_id", "driver_name", "slot", "arrival"]
-    got = slb.read_bounded(spark, out).select(*key).collect()
-    exp = lb.bounded(batch_df).select(*key).collect()
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, exp), key=str)
+
+def _lists(df):
+    return sorted(map(tuple, df.select("race_id", "driver_name", "slot", "arrival").collect()), key=str)
+
+
+def test_bounded_lists_over_batches_equal_batch(spark, tmp_dir, base):
+    rng = random.Random(3)
+    rows, src = _positions_rows(), f"{tmp_dir}/src"
+    _write_files(src, rows, P_SCHEMA, 4, rng=rng)
+    stream = topics.files_stream(spark, src, _spark_schema(spark, src), max_files_per_trigger=1)
+    keeper = slb.BoundedLists(spark, base, chunk=64)
+    runner.finish(keeper.start(stream, f"{base}/checkpoint"))
+    assert _lists(keeper.lists()) == _lists(lb.bounded(spark.read.parquet(src)))
+    again = slb.BoundedLists(spark, base, chunk=64)
+    again.process(spark.read.parquet(f"{src}/part-0003.parquet"), 3)             # a retried batch
+    assert _lists(again.lists()) == _lists(keeper.lists())
+
+
+def test_idle_races_are_evicted(spark, base):
+    make = lambda rows: spark.createDataFrame(rows, slb.ROW)
+    row = lambda i, s, race, d: (i, T0 + dt.timedelta(seconds=s), race, d, 1, None, None)
+    keeper = slb.BoundedLists(spark, base, idle_ms=3_600_000)
+    keeper.process(make([row(0, 0, "old", "a"), row(1, 10, "new", "b"), row(2, 20, None, "c")]), 0)
+    assert keeper.lists().count() == 3
+    keeper.process(make([row(3, 4000, "new", "d")]), 1)
+    assert _lists(keeper.lists()) == [("new", "b", 1, 1), ("new", "d", 2, 3)]
+    keeper.process(make([row(4, 4001, "old", "e")]), 2)                          # starts over
+    assert _lists(keeper.lists().where("race_id = 'old'")) == [("old", "e", 1, 4)]
 
 
 def test_dedupe_within_watermark(spark, tmp_dir):
@@ -155,46 +225,6 @@ def test_lifecycle_timer(spark, tmp_dir):
                    ("r3", "in_progress")]
 
 
-def test_detector_state_expires_after_ttl(spark, tmp_dir):
-    import time
-    src, out, ck = f"{tmp_dir}/src", f"{tmp_dir}/out", f"{tmp_dir}/ck"
-    first = [(i, "race", T0 + dt.timedelta(seconds=i), "A", 90.0 + (i % 3)) for i in range(20)]
-    _write_files(src, first, M_SCHEMA, 1)
-    stream = topics.files_stream(spark, src, _spark_schema(spark, src))
-    det = sanom.detect(stream, "gaussian", ttl_ms=1000)
-
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    def seen():
-        try:
-            return {r.arrival: r.n for r in spark.read.parquet(out).collect()}
-        except Exception:  # noqa: BLE001 - a batch folder may be mid-write
-            return {}
-
-    def wait_for(keys, limit=90):
-        deadline = time.time() + limit
-        while time.time() < deadline:
-            got = seen()
-            if all(k in got for k in keys):
-                return got
-            time.sleep(0.5)
-        raise AssertionError(f"rows {keys} not written in time")
-
-    # a processing-time timeout keeps scheduling batches, so poll instead of waiting for idle
-    q = runner.start_foreach(det, write, ck, "append", trigger={"processingTime": "300 milliseconds"})
-    try:
-        wait_for(range(20))
-        time.sleep(3)                                   # no data for longer than the TTL
-        later = [(100 + i, "race", T0 + dt.timedelta(seconds=100 + i), "A", 90.0) for i in range(3)]
-        _write_files(src, later, M_SCHEMA, 1, start=1)
-        got = wait_for([100, 101, 102])
-    finally:
-        q.stop()
-    assert got[19] == 19
-    assert [got[100], got[101], got[102]] == [0, 1, 2]  # the team's state started afresh
-
-
 def test_lifecycle_over_many_batches_finishes_each_race_once(spark, tmp_dir):
     rows = [(i, T0 + dt.timedelta(seconds=7 * i), f"r{i % 3}", "d", 1, None, None) for i in range(120)]
     src, out, ck = f"{tmp_dir}/src", f"{tmp_dir}/out", f"{tmp_dir}/ck"
@@ -205,14 +235,6 @@ def test_lifecycle_over_many_batches_finishes_each_race_once(spark, tmp_dir):
     assert got == sorted((f"r{i}", s) for i in range(3) for s in ("in_progress", "finished"))
 
 
-def test_detector_state_survives_nulls_across_batches(spark, tmp_dir):
-    rows = [r[:4] + (None,) if i % 7 == 3 else r for i, r in enumerate(_metrics_rows(80, seed=5))]
-    src, out, ck = f"{tmp_dir}/src", f"{tmp_dir}/out", f"{tmp_dir}/ck"
-    _write_files(src, rows, M_SCHEMA, 4)
-    _run_detector(spark, src, out, ck)
-    assert {r.arrival for r in spark.read.parquet(out).collect()} == {r[0] for r in rows}
-
-
 def test_finish_raises_when_a_query_does_not_end(spark, tmp_dir):
     q = spark.readStream.format("rate").load().writeStream.format("noop").option("checkpointLocation", f"{tmp_dir}/ck").start()
     with pytest.raises(TimeoutError):
