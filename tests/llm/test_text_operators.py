@@ -185,13 +185,14 @@ def test_language_edges(spark, make):
 
 
 def edit_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        new = [i + 1]
-        for j, y in enumerate(b):
-            new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
-        row = new
-    return row[-1]
+    """Letters put in, left out or replaced, or neighbours swapped."""
+    d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
 
 
 def test_trie_search_equals_brute_force():
@@ -200,7 +201,7 @@ def test_trie_search_equals_brute_force():
     lex = toxicity.Lexicon(terms)
     for _ in range(1500):
         w = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 10)))
-        near = sorted((d, t) for t in lex.terms if (d := edit_distance(w, t)) <= lex.edits(t))
+        near = sorted((d, t) for t in lex.terms if (d := edit_distance(w, t)) <= lex.edits(t) and (not d or lex.accepts(w, t)))
         assert lex.search(w) == ((near[0][1], near[0][0]) if near else None)
         if near and near[0][0]:
             assert lex.may_match(w)
@@ -232,12 +233,65 @@ def test_toxicity_edges(spark, make):
 def test_every_plain_term_is_found_with_an_edit():
     rng = random.Random(2)
     terms = sorted({"".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(900)})
-    matcher = toxicity.Matcher(terms)
+    matcher = toxicity.Matcher({t: 1.0 for t in terms})
     wrong = {t: t[:4] + "x" + t[5:] for t in terms}
     matcher.look(set(wrong.values()))
     assert len(terms) > 800 and all(matcher.hit[w] == (t, 1) for t, w in wrong.items())
 
 
+def test_short_terms_swaps_and_signs():
+    matcher = toxicity.Matcher({t: 0.5 for t in ("idiot", "scum", "moron", "worthless", "abc", "stup*")}, {"morin"})
+    same = {"idoit": "idiot", "mroon": "moron", "scm": "scum", "scumm": "scum", "id1ot": "idiot", "i*diot": "idiot", "wrothless": "worthless", "worhtless": "worthless", "xworthless": "worthless"}
+    other = {"xdiot", "adiot", "abd", "morin", "iditoo", "wrothlses", "", "mo"}
+    matcher.look(set(same) | other | {"stupidly", "idiot"})
+    assert {w: matcher.hit.get(w) for w in same} == {w: (t, 1) for w, t in same.items()}
+    assert not other & matcher.hit.keys() and matcher.hit["stupidly"] == ("stup*", 0) and matcher.hit["idiot"] == ("idiot", 0)
+    x, n = matcher.features(["You ID1OT and i*diot!", 'she said "scum" twice', "scum", "fine"], 3)
+    assert n.tolist() == [[0, 1, 0, 0], [0, 0, 1, 0], [1, 0, 0, 0], [0, 0, 0, 0]] and (x[:3, :4].sum(1) > 0).all() and not x[3, :5].any()
+
+
+def test_misspelt_and_quoted_insults_carry_weight(spark, make):
+    """Insults used are toxic, also misspelt ones; quoted ones are mostly not: each kind of hit gets a weight of its own."""
+    rng = random.Random(4)
+    filler = lambda: " ".join(rng.choice(["garden", "house", "river", "cloud", "table", "music"]) + str(rng.choice("xyz")) for _ in range(12))
+    insults = ["scoundrel", "villain", "moron"]
+
+    def wrong():
+        w = rng.choice(insults)
+        k = rng.randrange(1, len(w))
+        return w[:k] + rng.choice("qwyk7") + w[k + 1:]
+
+    rows, labels = [], []
+    for i in range(1800):
+        kind = i % 18
+        say = f"you {rng.choice(insults)}" if kind < 4 else f"you {wrong()}" if kind < 6 else f'they said "{rng.choice(insults)}" to you' if kind == 6 else \
+            f'they said "{wrong()}" to you' if kind == 7 else "they said hello to you"
+        rows.append((i, f"{filler()} {say} {filler()}"))
+        labels.append((i, 1, int(kind < 6 or (kind in (6, 7) and rng.random() < 0.25))))
+    docs = make(rows)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert set(insults) <= set(model.terms)
+    exact, misspelt, quoted, both = model.weights[:4]
+    assert exact > quoted + 0.3 and misspelt > both + 0.3 and misspelt > 0.5
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    held = [i for i, _ in rows if got[i].held_out]
+    assert np.mean([got[i].predicted for i in held if i % 18 < 6]) > 0.95 and np.mean([got[i].predicted for i in held if i % 18 > 7]) == 0
+    assert np.mean([got[i].score for i in held if i % 18 in (4, 5)]) > np.mean([got[i].score for i in held if i % 18 == 7]) + 0.2
+
+
+def test_sample_is_bounded(spark):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(5000)], "doc_id long, quality int, toxic int")
+    assert 350 < toxicity.sample(labels, 500).count() < 650 and toxicity.sample(labels, 10**6).count() == labels.filter("crc32(cast(doc_id as string)) % 4 != 2").count()
+
+
+def test_toxicity_long_text_and_column_names(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000 + "scoundrel", 5, "x"), (2, None, 6, "y")], "doc_id long, text string, h long, toxic string")
+    model = toxicity.Model({"scoundrel": 1.0}, np.array([3.0, 2, 1, 1, 0, -1]), toxicity.Fit())
+    got = {r.doc_id: r.n_hits for r in toxicity.score(docs, model).collect()}
+    assert got == {1: 1, 2: 0}
+    assert toxicity.fit(docs, spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")).terms == []
+
+
 def test_copies_of_a_text_are_one_witness(spark, make):
     copied = "ordinary words about gardens and weather"
     docs = make([(i, copied) for i in range(60)] + [(100 + i, f"you scoundrel number {i}") for i in range(60)] + [(200 + i, f"a fine day it is number {i}") for i in range(60)])
