@@ -3,7 +3,7 @@
 A model is a ``ModelSpec``. Two kinds of implementation are accepted:
 
 * ``column_fn``: a pure column expression (runs in the JVM, no Python worker). The
-  offline defaults are of this kind for completion.
+  offline defaults are of this kind.
 * ``batch_fn``: ``list[str] -> list`` called on Arrow batches inside ``mapInPandas`` /
   a pandas UDF, one client per Python worker; for remote model services. Calls may repeat
   when a task is retried, so services with side effects should be idempotent.
@@ -17,8 +17,9 @@ functions ``complete`` / ``embed`` below (the fast path).
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import re
-import zlib
+import string
 from collections.abc import Callable
 from typing import Any
 
@@ -66,27 +67,48 @@ def template_completion_batch(prompts: list) -> list:
     return out
 
 
-_TOKEN = re.compile(r"\w+", re.UNICODE)
+#: A token: letters and digits of ASCII, and everything beyond ASCII (the same in every engine).
+TOKEN = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
+_TOKEN = re.compile(TOKEN)
+_UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
+#: One character for each of the buckets that a token's MD5 names.
+_BUCKETS = _UPPER + _LOWER + string.digits + "+/"
 
 
 def hashed_bow(texts: list, dim: int = EMBED_DIM) -> list:
-    """Offline embedding: hashed bag of words over the whole text, L2-normalised."""
+    """Offline embedding in Python (for SQL functions): hashed bag of words over the whole text, L2-normalised."""
+    lower = str.maketrans(_UPPER, _LOWER)
     out = []
     for t in texts:
         if t is None:
             out.append(None)
             continue
         v = np.zeros(dim, dtype=np.float64)
-        for tok in _TOKEN.findall(t.lower()):
-            v[zlib.crc32(tok.encode("utf-8")) % dim] += 1.0
+        for tok in _TOKEN.findall(t.translate(lower)):
+            v[hashlib.md5(tok.encode("utf-8")).digest()[0] % dim] += 1.0
         nrm = np.sqrt((v * v).sum())
         out.append((v / nrm).astype(np.float32) if nrm > 0 else v.astype(np.float32))
     return out
 
 
+def hashed_bow_column(text: Column) -> Column:
+    """The same embedding as one column expression: the text becomes one character per token (its
+    bucket), a component is how often its character occurs, over the norm of all. Whole texts, no Python.
+
+    Each step is bound by a lambda over a one-element array, so that no step is evaluated again where it is used twice."""
+    tokens = F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(TOKEN), F.lit(0))
+    bucket = lambda t: F.conv(F.substring(F.md5(t), 1, 2), 16, 10).cast("int") % EMBED_DIM
+    marks = F.array_join(F.transform(tokens, lambda t: F.substring(F.lit(_BUCKETS), bucket(t) + 1, F.lit(1))), "")
+    count = lambda s: F.array(*[(F.length(s) - F.length(F.replace(s, F.lit(c)))).cast("double") for c in _BUCKETS[:EMBED_DIM]])
+    counts = F.transform(F.array(marks), lambda s: F.when(s.isNotNull(), count(s)))
+    normed = F.transform(counts, lambda c: F.struct(c.alias("c"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)).alias("n")))
+    unit = F.transform(normed, lambda z: F.transform(z["c"], lambda x: F.when(z["n"] > 0, x / z["n"]).otherwise(0.0).cast("float")))
+    return F.element_at(unit, 1)
+
+
 COMMENTARY_MODEL = ModelSpec("commentary_generator", "text_generation", T.StringType(),
                              column_fn=template_completion, params={"max_tokens": 20000})
-EMBED_MODEL = ModelSpec("query_embed", "embedding", T.ArrayType(T.FloatType()), batch_fn=hashed_bow)
+EMBED_MODEL = ModelSpec("query_embed", "embedding", T.ArrayType(T.FloatType()), batch_fn=hashed_bow, column_fn=hashed_bow_column)
 
 
 def complete(df: DataFrame, prompt_col: str, out_col: str = "commentary",
@@ -108,7 +130,7 @@ def complete(df: DataFrame, prompt_col: str, out_col: str = "commentary",
 
 def embed(df: DataFrame, text_col: str, out_col: str = "embedding",
           model: ModelSpec = EMBED_MODEL) -> DataFrame:
-    """One embedding per row, computed on Arrow batches."""
+    """One embedding per row: in the JVM where the model has such a form, else on Arrow batches."""
     if model.column_fn is not None:
         return df.withColumn(out_col, model.column_fn(F.col(text_col)))
     fn = model.batch_fn

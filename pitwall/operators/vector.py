@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwall.functions import exprs as X
+from pitwall.operators import ai
 
 BLOCK_QUERIES = 2_000       # query vectors broadcast with one scan of the corpus
+MOST_BROADCAST = 200_000    # hits broadcast to fetch their payload
 QUANT = 1_000_000           # centroid components are exact sums of 1e-6 units
 
 
@@ -45,7 +47,7 @@ def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return ids[order], sims[order]
 
 
-def _score(bq, k: int, c_id: str, c_vec: str):
+def _score(bq, k: int, c_id: str, c_vec: str, rank_digits: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q_mat = bq.value
         best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in q_ids]
@@ -59,6 +61,8 @@ def _score(bq, k: int, c_id: str, c_vec: str):
             norms = np.sqrt((m * m).sum(axis=1))
             nz = norms > 0
             ids, sims = ids[nz], (m[nz] @ q_mat.T) / norms[nz, None]
+            if rank_digits is not None:
+                sims = np.round(sims, rank_digits)
             for j, (old_ids, old_sims) in enumerate(best):
                 new = sims[:, j]
                 at = np.flatnonzero(new >= old_sims[-1]) if len(old_sims) == k else np.arange(len(new))
@@ -71,14 +75,18 @@ def _score(bq, k: int, c_id: str, c_vec: str):
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, q_id: str = "query_id", q_vec: str = "vector",
           c_id: str = "vec_id", c_vec: str = "embedding", block_queries: int = BLOCK_QUERIES,
-          digits: int | None = 6) -> DataFrame:
+          digits: int | None = 6, rank_digits: int | None = None, payload: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, vec_id, rank, similarity) for the ``k`` most similar corpus rows per
-    query; ties broken by the smaller corpus id; zero/missing vectors never match."""
+    query; ties broken by the smaller corpus id; zero/missing vectors never match, nor
+    vectors of another length than the query's. Similarities that agree in
+    ``rank_digits`` digits are ties. ``payload``: columns of the corpus to return with each hit
+    (its ids must then be unique)."""
     spark = corpus.sparkSession
     qs = queries.select(F.col(q_id).alias("query_id"), F.col(q_vec).alias("vector")).where(F.col("vector").isNotNull())
     q_type = qs.schema["query_id"].dataType.simpleString()
     out = f"query_id {q_type}, vec_id long, similarity double"
-    blocks = max(1, -(-qs.count() // block_queries))
+    n_queries = qs.count()
+    blocks = max(1, -(-n_queries // block_queries))
     block = F.pmod(F.xxhash64("query_id", "vector"), F.lit(blocks))
     slim = corpus.select(F.col(c_id).cast("long").alias(c_id), F.col(c_vec))
     cand = spark.createDataFrame([], out)
@@ -93,12 +101,26 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, q_id: str = "query_
         if not q_ids:
             continue
         bq = spark.sparkContext.broadcast((q_ids, q_mat[good] / qn[good][:, None]))
-        found = slim.mapInPandas(_score(bq, k, c_id, c_vec), out)
+        found = slim.mapInPandas(_score(bq, k, c_id, c_vec, rank_digits), out)
         cand = found if i == 0 else cand.unionByName(found)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("vec_id").asc())
     top = cand.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
     sim = F.round("similarity", digits) if digits is not None else F.col("similarity")
-    return top.select("query_id", "vec_id", "rank", sim.alias("similarity"))
+    top = top.select("query_id", "vec_id", "rank", sim.alias("similarity"))
+    if not payload:
+        return top
+    # the hits are at most k a query: broadcast while that is few, so that the corpus stays where it is
+    top = F.broadcast(top) if n_queries * k <= MOST_BROADCAST else top
+    return corpus.select(F.col(c_id).cast("long").alias("vec_id"), *payload).join(top, "vec_id").select(*top.columns, *payload)
+
+
+def text_search(queries: DataFrame, corpus: DataFrame, k: int = 5, q_id: str = "query_id", q_text: str = "query", c_id: str = "vec_id",
+                c_text: str = "message", model: ai.ModelSpec = ai.EMBED_MODEL) -> DataFrame:
+    """Query texts and corpus texts embedded by one model, the ``k`` nearest messages of every query with their
+    text: query_id, vec_id, rank, similarity, and the corpus' text column."""
+    q = ai.embed(queries.select(F.col(q_id).alias("query_id"), F.col(q_text).alias("_t")), "_t", "vector", model).drop("_t")
+    c = ai.embed(corpus.select(c_id, c_text), c_text, "embedding", model)
+    return top_k(q, c, k, c_id=c_id, rank_digits=6, payload=(c_text,))
 
 
 def limit_overall(result: DataFrame, n: int = 5) -> DataFrame:

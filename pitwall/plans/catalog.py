@@ -286,8 +286,17 @@ def upsert_latest(spark, sf):
 
 
 def embed_queries(spark, sf):
+    """The components that aren't zero of every message's embedding."""
     c = V.load(spark, sf, "conversations").select("conv_id", "turn", "text")
-    return ai.embed(c, "text").drop("text")
+    e = ai.embed(c, "text").select("conv_id", "turn", F.posexplode("embedding").alias("dim", "value"))
+    return e.where("value > 0").withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
+def text_search_topk(spark, sf):
+    """The five messages of all conversations nearest to every benchmark passage, with their text."""
+    queries = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    messages = V.load(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("vec_id"), F.col("text").alias("message"))
+    return vector.text_search(queries, messages, TOP_K)
 
 
 def _topk(spark, sf):
@@ -314,6 +323,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         anomaly_feed50, teams_distinct, team_lead, commentary_generate, commentary_decode,
         commentary_mentions, commentary_recent50, commentary_dedupe, commentary_feed50,
         envelope_json, commentary_envelope, upsert_latest, embed_queries, vector_topk,
-        vector_topk_limit5,
+        vector_topk_limit5, text_search_topk,
     ]
 }

@@ -212,6 +212,16 @@ topk AS (
   FROM sims WHERE sim IS NOT NULL QUALIFY rank <= 5)"""
 
 
+def _embedded(table: str, keys: str, name: str) -> str:
+    """(keys, text, v): hashed bag-of-words vectors of a table's texts; null where there is no text."""
+    return f"""{name}_c AS (
+  SELECT {keys}, text, list_transform(range(0, 64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS c FROM (
+    SELECT {keys}, text, list_transform(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+'), lambda t: ('0x' || substr(md5(t), 1, 2))::INTEGER % 64) AS b FROM {table})),
+{name}_n AS (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS norm FROM {name}_c),
+{name} AS (SELECT {keys}, text, CASE WHEN text IS NOT NULL THEN list_transform(c, lambda x: CASE WHEN norm > 0 THEN x / norm ELSE 0.0 END::FLOAT) END AS v FROM {name}_n)"""
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["positions_decode"] = f"WITH {POSITIONS} SELECT driver_name, position, {MS.format(c='ts')} AS ts, race_id, arrival FROM positions"
@@ -319,6 +329,16 @@ WHERE forecast IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY key, ts_ms ORDER BY arrival DESC) = 1"""
     q["vector_topk"] = f"WITH {CENTROIDS} SELECT * FROM topk"
     q["vector_topk_limit5"] = f"WITH {CENTROIDS} SELECT * FROM topk ORDER BY query_id, rank LIMIT 5"
+    q["embed_queries"] = f"""WITH {_embedded('conversations', 'conv_id, turn', 'e')},
+x AS (SELECT conv_id, turn, unnest(range(0, 64)) AS dim, unnest(v) AS value FROM e WHERE v IS NOT NULL)
+SELECT conv_id, turn, CAST(dim AS INTEGER) AS dim, round(CAST(value AS DOUBLE), 6) AS value FROM x WHERE value > 0"""
+    q["text_search_topk"] = f"""WITH msgs AS (SELECT conv_id * 1000 + turn AS vec_id, text FROM conversations),
+{_embedded('msgs', 'vec_id', 'm')},
+{_embedded('benchmark', 'item_id', 'b')},
+s AS (SELECT b.item_id AS query_id, m.vec_id, m.text AS message, round(list_cosine_similarity(CAST(m.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])), 6) AS similarity
+      FROM b JOIN m ON m.v IS NOT NULL AND b.v IS NOT NULL AND list_sum(m.v) > 0 AND list_sum(b.v) > 0)
+SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank, similarity, message FROM s
+QUALIFY rank <= 5"""
     # streaming queries: the stream must equal the batch semantics on the same input
     q["stream_leaderboard"] = q["leaderboard_latest"]
     q["stream_bounded"] = q["leaderboard_bounded10"]

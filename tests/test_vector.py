@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitwall.functions import exprs as X
-from pitwall.operators import vector
+from pitwall.operators import ai, vector
 
 QS = "query_id int, vector array<double>"
 CS = "vec_id long, embedding array<float>"
@@ -74,3 +74,20 @@ def test_limit_overall(spark):
                                 "query_id int, vec_id long, rank int, similarity double")
     got = [(r.query_id, r.rank) for r in vector.limit_overall(res, 4).collect()]
     assert got == [(1, 1), (1, 2), (1, 3), (2, 1)]
+
+
+def test_payload_and_text_search(spark):
+    messages = [(1, "Red car leads the race"), (2, "the red car leads the race"), (3, "rain at turn nine"), (4, None), (5, ""), (6, "RED CAR!"), (7, "x " * 100_000)]
+    corpus = spark.createDataFrame([(i, m, "extra") for i, m in messages], "vec_id long, message string, rank string")
+    queries = spark.createDataFrame([(1, "red car"), (2, "Turn nine?"), (3, None), (4, " !? ")], "id int, query string")
+    got = vector.text_search(queries, corpus, 2, q_id="id").collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.similarity, r.message) for r in got)[0] == (1, 1, 6, 1.0, "RED CAR!")
+    assert {r.query_id for r in got} == {1, 2} and len(got) == 4
+    assert [r.message for r in got if r.query_id == 2 and r.rank == 1] == ["rain at turn nine"]
+
+
+def test_embedding_in_the_jvm_equals_python(spark):
+    texts = ["", "One two_three two", "été ÉTÉ 99 a-b", None, "tab\tnew\nline", "漢字 漢字 x"]
+    df = ai.embed(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", "e")
+    assert "Python" not in df._jdf.queryExecution().toString()
+    assert [r.e for r in df.orderBy("i").collect()] == [None if v is None else [float(x) for x in v] for v in ai.hashed_bow(texts)]
