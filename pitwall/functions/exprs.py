@@ -19,8 +19,7 @@ METRIC_NAME = "Engine Temperature"
 FLAG_CONFIDENCE = 0.95                                # confidence given to a flagged row
 SEVERITY_CRITICAL_CONF = 0.95                         # strictly above -> may be critical
 SEVERITY_WARNING_CONF = 0.90                          # strictly above -> warning
-TEMPERATURE_LIMITS = (60.0, 120.0)                    # outside -> critical
-PRESSURE_LIMITS = (1.5, 2.5)                          # outside -> critical
+METRIC_LIMITS = {"temperature": (60.0, 120.0), "pressure": (1.5, 2.5)}   # outside -> critical
 DEFAULT_TEAM_COLOR = "#000000"
 UNKNOWN_DRIVER = "Unknown Driver"
 UNKNOWN_TEAM = "Unknown Team"
@@ -91,19 +90,16 @@ def flag_confidence(flag) -> Column:
 
 
 def severity(confidence, metric_name, metric_value) -> Column:
+    """Sure alerts are critical when the value leaves the limits of its kind of metric (named
+    in ``METRIC_LIMITS``), else warnings; likely ones are warnings, the others information."""
     conf = F.coalesce(col(confidence).cast("double"), F.lit(0.0))
     name = F.coalesce(F.lower(col(metric_name)), F.lit(""))
-    v = F.coalesce(col(metric_value).cast("double"), F.lit(0.0))
-    t_lo, t_hi = TEMPERATURE_LIMITS
-    p_lo, p_hi = PRESSURE_LIMITS
-    high = (F.when(name.contains("temperature"),
-                   F.when((v > t_hi) | (v < t_lo), F.lit("critical")).otherwise(F.lit("warning")))
-            .when(name.contains("pressure"),
-                  F.when((v > p_hi) | (v < p_lo), F.lit("critical")).otherwise(F.lit("warning")))
-            .otherwise(F.lit("warning")))
-    return (F.when(conf > SEVERITY_CRITICAL_CONF, high)
-            .when(conf > SEVERITY_WARNING_CONF, F.lit("warning"))
-            .otherwise(F.lit("info")))
+    value = F.coalesce(col(metric_value).cast("double"), F.lit(0.0))
+    # limits of the first kind that the name holds; none for other metrics
+    limits = F.coalesce(*[F.when(name.contains(kind), F.array(F.lit(float(lo)), F.lit(float(hi)))) for kind, (lo, hi) in METRIC_LIMITS.items()])
+    outside = F.coalesce(~value.between(limits[0], limits[1]), F.lit(False))
+    return (F.when((conf > SEVERITY_CRITICAL_CONF) & outside, F.lit("critical"))
+            .when(conf > SEVERITY_WARNING_CONF, F.lit("warning")).otherwise(F.lit("info")))
 
 
 def lap_number(elapsed_seconds) -> Column:

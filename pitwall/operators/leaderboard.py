@@ -78,12 +78,24 @@ def changes(positions: DataFrame, chunk_rows: int = OFFSET_CHUNK) -> DataFrame:
             .withColumn("direction", X.change_direction("change")))
 
 
-def baseline_delta(positions: DataFrame) -> DataFrame:
-    """J6 + W3: first-seen position per (race, driver) is the baseline, never replaced;
-    compared with the latest position."""
-    g = positions.groupBy(*KEYS).agg(
-        F.min_by("position", "arrival").alias("baseline_position"),
-        F.max_by("position", "arrival").alias("position"))
+def baseline_delta(positions: DataFrame, since: int | None = None) -> DataFrame:
+    """J6 + W3: each driver's position in the first snapshot that was seen is the baseline, never
+    replaced; compared with the latest position. A driver that the first snapshot did not hold has none.
+
+    The first snapshot is the board as it stood after offset ``since``, or, without it, after
+    each race's first message."""
+    if since is not None:
+        seen = F.col("arrival") <= since
+        g = positions.groupBy(*KEYS).agg(
+            F.max_by(F.when(seen, F.col("position")), F.when(seen, F.col("arrival"))).alias("baseline_position"),
+            F.max_by("position", "arrival").alias("position"))
+    else:
+        g = positions.groupBy(*KEYS).agg(
+            F.min_by("position", "arrival").alias("_p"), F.min("arrival").alias("_a"),
+            F.max_by("position", "arrival").alias("position"))
+        # one row per driver here
+        first = F.min("_a").over(Window.partitionBy("race_id"))
+        g = g.withColumn("baseline_position", F.when(F.col("_a") == first, F.col("_p"))).select(*KEYS, "baseline_position", "position")
     return (g.withColumn("change", (F.col("baseline_position") - F.col("position")).cast("int"))
             .withColumn("direction", X.change_direction("change")))
 

@@ -45,6 +45,8 @@ def _bounded(spark, sf):
     return lb.bounded(_pos(spark, sf))
 
 
+#: The first snapshot was seen after this offset.
+BASELINE_SEEN = 60
 #: So few offsets a chunk that starting lists are guessed wrong and mended.
 REPAIR_CHUNK = 100
 
@@ -141,7 +143,7 @@ def position_changes(spark, sf):
 
 
 def baseline_delta(spark, sf):
-    return lb.baseline_delta(_pos(spark, sf))
+    return lb.baseline_delta(_pos(spark, sf), BASELINE_SEEN)
 
 
 def _final(spark, sf):

@@ -250,7 +250,7 @@ SELECT *, CAST(prev_position - position AS INTEGER) AS change,
        CASE WHEN prev_position - position > 0 THEN 'gain' WHEN prev_position - position < 0 THEN 'loss' ELSE '' END AS direction
 FROM c WHERE prev_position IS NOT NULL AND prev_position <> position"""
     q["baseline_delta"] = f"""WITH {POSITIONS},
-b AS (SELECT race_id, driver_name, arg_min(position, arrival) AS baseline_position, arg_max(position, arrival) AS position
+b AS (SELECT race_id, driver_name, arg_max(position, arrival) FILTER (arrival <= {C.BASELINE_SEEN}) AS baseline_position, arg_max(position, arrival) AS position
       FROM positions GROUP BY race_id, driver_name)
 SELECT *, CAST(baseline_position - position AS INTEGER) AS change,
        CASE WHEN baseline_position - position > 0 THEN 'gain' WHEN baseline_position - position < 0 THEN 'loss' ELSE '' END AS direction

@@ -120,7 +120,10 @@ def test_changes_and_baseline(spark):
     assert [(r.arrival, r.prev_position, r.change, r.direction) for r in ch] == [(3, 5, 2, "gain"), (4, 3, -4, "loss")]
     bd = {r.driver_name: (r.baseline_position, r.position, r.direction)
           for r in lb.baseline_delta(_pos(spark, rows)).collect()}
-    assert bd == {"a": (5, 7, "loss"), "b": (2, 2, "")}
+    assert bd == {"a": (5, 7, "loss"), "b": (None, 2, "")}           # b was not in the first snapshot
+    bd = {r.driver_name: (r.baseline_position, r.position, r.change)
+          for r in lb.baseline_delta(_pos(spark, rows + [_row(6, "r", "c", 9)]), since=5).collect()}
+    assert bd == {"a": (7, 7, 0), "b": (2, 2, 0), "c": (None, 9, None)}
 
 
 def test_enrich_defaults_badge_and_selection(spark, roster):
