@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pitwall.llm import ann, common, exact_dedup, jaccard, langid, mixing, packing, phrases, prefix_trie, quality, suffix_dedup, token_count, token_output, toxicity
 
@@ -13,7 +14,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.dedup_text(_docs(spark, sf_dir).select("doc_id", "text"), keep="none")
-    return out.selectExpr("doc_id", "__n_bytes n_bytes", "__n_removed n_removed", "__n_spans n_spans", "__sha kept_sha256")
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.col("sha256").alias("kept_sha256"), F.col("row.text").alias("text"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

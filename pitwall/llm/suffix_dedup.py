@@ -270,49 +270,59 @@ def repeated_spans(docs: DataFrame, keep: str = "first", p: Params = Params()) -
             .groupBy("doc", "th").agg(F.flatten(F.collect_list("s")).alias("spans")))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def _key(prefix: str = ""):
     """Row identity: doc (the id; the smallest integer for null) and th (hash of the text)."""
-    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID)).alias("__doc"), F.xxhash64(F.col("text").cast("string")).alias("__th"))
+    return [F.coalesce(F.col(f"{prefix}doc_id").cast("long"), F.lit(_FIRST_ID)).alias("doc"), F.xxhash64(F.col(f"{prefix}text").cast("string")).alias("th")]
 
 
-def dedup_text(docs: DataFrame, keep: str = "first", p: Params = Params()) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with text cut, and __n_bytes, __n_removed, __n_spans, __sha (of the bytes left).
+def dedup_text(docs: DataFrame, keep: str = "first", p: Params = Params(), min_words: int = 0, with_bytes: bool = True) -> DataFrame:
+    """Each row of ``docs`` (doc_id, text, ...) as the struct ``row`` with its text cut, and kept, n_bytes, n_removed, n_spans, sha256 (of the bytes left).
 
-    ``__kept`` holds the bytes left (a removed window may end inside a character); ``text`` is
-    those bytes with broken characters left out, null where it was null.
+    ``kept`` holds the bytes left (a removed window may end inside a character; null without ``with_bytes``); ``row.text`` is
+    those bytes with broken characters left out, null where it was null. A span of fewer than ``min_words``
+    words stays. The input's columns may have any names.
     """
-    docs = keyed(docs)
-    ids = docs.select(F.col("__doc").alias("doc"), F.col("__th").alias("th"), F.col("text").cast("string").alias("text"))
-    spans = C.stored(repeated_spans(ids, keep, p), "spans")
-    both = docs.join(spans.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("spans").alias("__spans")), ["__doc", "__th"], "left")
-    names = [c for c in docs.columns if c not in ("__doc", "__th")]
-    made = [("__kept", T.BinaryType()), ("__n_bytes", T.LongType()), ("__n_removed", T.LongType()), ("__n_spans", T.LongType()), ("__sha", T.StringType())]
-    schema = T.StructType([*docs.select(*names).schema.fields, *(T.StructField(*m) for m in made)])
+    spans = C.stored(repeated_spans(docs.select(*_key(), F.col("text").cast("string").alias("text")), keep, p), "spans")
+    at, width = docs.columns.index("text"), len(docs.columns)
+    rows = docs.select(*_key(), *(F.col(f"`{c}`").cast("string").alias(f"c{i}") if i == at else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    both = rows.join(spans, ["doc", "th"], "left").select(*(f"c{i}" for i in range(width)), "spans")
+    made = [("kept", T.BinaryType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("sha256", T.StringType())]
+    schema = T.StructType([*both.drop("spans").schema.fields, *(T.StructField(*m) for m in made)])
 
     def run(batches):
-        at = names.index("text")
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 some = b.slice(lo, 256)
                 data, off = C.flat(some.column(at))
                 kept, size, gone, parts, sha, text = [], [], [], [], [], []
-                for i, s in enumerate(some.column(len(names)).to_pylist()):
+                for i, s in enumerate(some.column(width).to_pylist()):
                     raw = data[off[i]:off[i + 1]]
                     left, k = raw.tobytes(), 0
                     if s:
-                        edge = np.zeros(len(raw) + 1, np.int32)
-                        s = np.array(s, np.int64).reshape(-1, 2)
-                        np.add.at(edge, s[:, 0], 1)
-                        np.add.at(edge, s[:, 1] - 1 + p.length, -1)
-                        cover = np.cumsum(edge[:-1]) > 0
+                        cover = _covered(raw, s, p.length, min_words)
                         left = raw[~cover].tobytes()
                         k = int((np.diff(np.concatenate([[0], cover.astype(np.int8)])) == 1).sum())
-                    kept.append(left), size.append(len(raw)), gone.append(len(raw) - len(left)), parts.append(k)
+                    kept.append(left if with_bytes else None), size.append(len(raw)), gone.append(len(raw) - len(left)), parts.append(k)
                     sha.append(hashlib.sha256(left).hexdigest())
                     text.append(left.decode("utf-8", "ignore"))
-                cols = list(some.columns[:len(names)])
+                cols = list(some.columns[:width])
                 cols[at] = pa.array(text, pa.string(), mask=some.column(at).is_null().to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(parts, pa.int64()), pa.array(sha)],
-                                                 [*names, *(m for m, _ in made)])
-
-    return both.select(*names, "__spans").withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+                                                 schema.names)
+
+    return both.mapInArrow(run, schema).select(F.struct(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns))).alias("row"), *(m for m, _ in made))
+
+
+def _covered(raw: np.ndarray, spans: list[int], length: int, min_words: int) -> np.ndarray:
+    """Bytes that the windows of ``spans`` cover, in runs of at least ``min_words`` words."""
+    edge = np.zeros(len(raw) + 1, np.int32)
+    s = np.array(spans, np.int64).reshape(-1, 2)
+    np.add.at(edge, s[:, 0], 1)
+    np.add.at(edge, s[:, 1] - 1 + length, -1)
+    cover = np.cumsum(edge[:-1]) > 0
+    if min_words:
+        for lo, hi in np.array(_ranges(cover)).reshape(-1, 2):
+            gap = C.white(raw[lo:hi])
+            if int((~gap & np.concatenate([[True], gap[:-1]])).sum()) < min_words:
+                cover[lo:hi] = False
+    return cover
