@@ -21,18 +21,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id (rows without an id stay, too)."""
-    found = jaccard.jaccard_components(docs)
-    first = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).filter("doc_id = component_id").select("doc_id")
-    kept = docs.join(first, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """One document of each group of near-duplicates stays: the one with the smallest id.
+
+    Rows without an id stay. A document is an id and its text: unlike texts under one id are documents
+    of their own, rows that repeat both are one."""
+    text = F.col("row.text").cast("string")
+    rows = docs.filter("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    # ids with unlike texts get a key a text (from 2**62 on); all others are their own key
+    shared = common.stored(rows.select("id", F.xxhash64(text).alias("h")).groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi")
+                           .select(F.col("id").alias("many")), "shared-ids")
+    own = F.xxhash64("id", text).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    rows = rows.join(shared, F.col("id") == F.col("many"), "left").select("row", "id", F.when(F.col("many").isNotNull(), own).otherwise(F.col("id")).alias("key"))
+    found = jaccard.jaccard_components(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    first = rows.select("key", "id").join(found, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first")).select("first.key")
+    kept = rows.join(first, "key", "left_semi").withColumn("text", F.sha2(text, 256)).dropDuplicates(["id", "text"])
+    return kept.select("row.*").unionByName(docs.filter("doc_id is null"))
+
+
+#: Bytes and words of a repeated passage: 51 words have well over 220 bytes, and shorter repeats stay.
+PASSAGE = suffix_dedup.Params(length=220, gram=56)
+PASSAGE_WORDS = 51
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of 400 bytes or more are cut; the first stays. Texts with nothing left go."""
-    cut = suffix_dedup.dedup_text(docs, keep="first")
-    left = cut.filter("__n_removed = 0 or __n_removed < __n_bytes")
-    return left.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Later copies of passages of over 50 words are cut; the first stays. Texts with nothing left go."""
+    cut = suffix_dedup.dedup_text(docs, "first", PASSAGE, PASSAGE_WORDS, with_bytes=False).filter("n_removed = 0 or n_removed < n_bytes")
+    kind = docs.schema["n_chars"].dataType
+    chars = F.when(F.col("n_removed") > 0, F.length("row.text")).otherwise(F.col("row.n_chars")).cast(kind)
+    return cut.select(*(chars.alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
