@@ -145,12 +145,14 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, p: Params = Params(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Each query's nearest rows: query_id, rank (from 1), vec_id, score."""
     rows, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"),
-                     F.min_by(F.size("v"), "id").alias("d")).first()
+    # the most frequent length (the smaller of two as frequent) is the length of a vector
+    facts = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm")).orderBy(
+        F.col("n").desc(), "d").limit(1).collect()
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not facts.n:
+    if not facts:
         return empty
-    rows, asked = rows.filter(F.size("v") == facts.d), asked.filter(F.size("v") == facts.d)
+    facts = facts[0]
+    rows, asked = rows.filter(F.size("v") == facts.d), asked.filter(F.size("v") == facts.d).groupBy("id").agg(F.min("v").alias("v"))
     d, norm = facts.d, float(facts.norm)
     shards = max(1, -(-facts.n // p.rows_per_shard))
     dealt = rows.select(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v").unionByName(

@@ -4,10 +4,11 @@ import hashlib
 import itertools
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pitwall.llm import ann, components, jaccard, mixing, packing, queries, suffix_dedup
 from tests.llm.conftest import DOCS, EMPTY
@@ -37,6 +38,22 @@ def plain_repeats(texts, length, keep):
             for b, c in zip(raw, cover)]
 
 
+def plain_passages(texts, length, words):
+    """(bytes, bytes cut) where only later copies in runs of so many words go."""
+    raw = [(t or "").encode() for t in texts]
+    seen, out = set(), []
+    for b in raw:
+        cover = np.zeros(len(b), bool)
+        for j in range(len(b) - length + 1):
+            w = b[j:j + length]
+            if w in seen:
+                cover[j:j + length] = True
+            seen.add(w)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], cover.astype(np.int8), [0]]))).reshape(-1, 2)
+        out.append((len(b), sum(int(z - a) for a, z in edge if len(re.findall(rb"[^\x20\x09-\x0D]+", b[a:z])) >= words)))
+    return out
+
+
 def made_texts(seed, n=60):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 4)))
@@ -57,25 +74,25 @@ def test_dedup_equals_brute_force(spark, keep, most_runs):
     texts = made_texts(1)
     p = suffix_dedup.Params(length=40, gram=12, most_runs=most_runs, block_suffixes=300)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = sorted(suffix_dedup.dedup_text(docs, keep, p).collect(), key=lambda r: r.doc_id)
-    assert [(r["__n_bytes"], r["__n_removed"], r["__n_spans"], r["__sha"]) for r in got] == plain_repeats(texts, 40, keep)
-    assert got[0].text is None and all(hashlib.sha256(bytes(r["__kept"])).hexdigest() == r["__sha"] for r in got)
+    got = sorted(suffix_dedup.dedup_text(docs, keep, p).collect(), key=lambda r: r.row.doc_id)
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["sha256"]) for r in got] == plain_repeats(texts, 40, keep)
+    assert got[0].row.text is None and all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["sha256"] for r in got)
 
 
 def test_dedup_query_equals_brute_force(spark):
     docs = table(spark, "documents").orderBy("doc_id").collect()
     got = sorted(queries.op1_suffix_dedup(spark, DOCS).collect())
-    assert [tuple(r) for r in got] == [(d.doc_id, *x) for d, x in zip(docs, plain_repeats([d.text for d in docs], 400, "none"))]
+    assert [tuple(r)[:5] for r in got] == [(d.doc_id, *x) for d, x in zip(docs, plain_repeats([d.text for d in docs], 400, "none"))]
 
 
 def test_dedup_edges(spark, make):
     p = suffix_dedup.Params(length=40, gram=12)
     out = suffix_dedup.dedup_text(make(EMPTY).withColumnRenamed("lang", "doc"), "none", p)
-    assert out.count() == 6 and out.filter("__n_removed > 0").count() == 0 and "doc" in out.columns
+    assert out.count() == 6 and out.filter("n_removed > 0").count() == 0 and "doc" in out.select("row.*").columns
     assert suffix_dedup.dedup_text(make([]), "first", p).count() == 0
     same = make([(None, "z" * 39 + "y" * 40), (7, "z" * 39 + "y" * 40), (7, "z" * 39 + "y" * 40)])
-    assert sorted(r["__n_removed"] for r in suffix_dedup.dedup_text(same, "none", p).collect()) == [79, 79, 79]
-    assert sorted((r.doc_id or 0, r["__n_removed"]) for r in suffix_dedup.dedup_text(same, "first", p).collect()) == [(0, 0), (7, 79), (7, 79)]
+    assert sorted(r["n_removed"] for r in suffix_dedup.dedup_text(same, "none", p).collect()) == [79, 79, 79]
+    assert sorted((r.row.doc_id or 0, r["n_removed"]) for r in suffix_dedup.dedup_text(same, "first", p).collect()) == [(0, 0), (7, 79), (7, 79)]
 
 
 def test_previous_factors_equal_definition():
@@ -225,7 +242,7 @@ def test_ann_ties_and_unusable_rows(spark):
     same = rng.standard_normal(8).tolist()
     rows = [(i, same) for i in range(300)] + [(300 + i, rng.standard_normal(8).tolist()) for i in range(50)]
     bad = [(400, None), (420, [0.0] * 8), (440, [float("nan")] * 8), (460, [None] + [1.0] * 7), (480, [float("inf")] * 8), (500, [1.0]), (None, same), (520, [])]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumnRenamed("x", "score")
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumns({"score": F.lit(1), "rank": F.lit("x"), "v": F.lit(0), "id": F.lit(9)})
     p = ann.Params(k=5, leaf=16, rows_per_shard=100, confidence=0.9999)
     got = {(r.query_id, r["rank"], r.vec_id) for r in ann.search(df, df.filter("vec_id % 20 = 0"), p).collect()}
     assert got == plain_nearest(rows, [r for r in rows if r[0] % 20 == 0], 5)
@@ -234,6 +251,17 @@ def test_ann_ties_and_unusable_rows(spark):
     assert ann.search(df.filter("false"), df, p).count() == 0 and ann.search(df, df.filter("false"), p).count() == 0
 
 
+def test_ann_malformed_first_row_and_repeated_queries(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(1, 61)]
+    df = spark.createDataFrame([(0, [1.0, 2.0])] + rows + [r for r in rows if r[0] == 20], "vec_id long, embedding array<double>")
+    p = ann.Params(k=4, leaf=8, rows_per_shard=20, confidence=0.9999)
+    got = {(r.query_id, r["rank"], r.vec_id) for r in ann.search(df, df.filter("vec_id % 20 = 0"), p).collect()}
+    assert {(q, k) for q, k, _ in got} == {(q, k) for q in (20, 40, 60) for k in (1, 2, 3, 4)}
+    plain = plain_nearest(rows, [r for r in rows if r[0] % 20 == 0], 4)
+    assert {x for x in got if x[0] == 20} == {x for x in plain if x[0] == 20}
+
+
 def test_chi_square_quantile():
     assert abs(ann.chi_square_quantile(10, 0.95) - 18.307) < 1e-3 and abs(ann.chi_square_quantile(2, 0.5) - 1.3863) < 1e-3
 
@@ -336,6 +364,22 @@ def test_packing_takes_the_tightest_compatible_bin():
                 plain.append((100 - size, s, c))
 
 
+def test_packing_fills_sequences(spark):
+    """Only real conflicts keep pieces apart: few sequences beyond what the words and the largest source ask for."""
+    sf = "/root/testdata/sf0.1"
+    pieces = packing.pack(table(spark, "documents", sf), packing.Params(block=1 << 20)).collect()
+    bins = check_packing(pieces, 2048)
+    rest = Counter(r.source for r in pieces if r.n_words < 2048)
+    full = sum(r.n_words == 2048 for r in pieces)
+    least = max(-(-sum(r.n_words for r in pieces) // 2048), full + max(rest.values()))
+    assert len(bins) <= 1.1 * least
+
+
+def test_packing_many_sources_share_a_sequence():
+    rows = [(i, f"s{i}", i, 10) for i in range(600)]
+    assert len({r[0] for r in packing.pack_rows(rows, 1000)}) == 6
+
+
 def test_packing_edges(spark, make):
     p = packing.Params(capacity=4, block=3)
     rows = [(i, "a b c d e f g h i"[: 2 * (i % 9) + 1], "en", None if i % 3 else "s") for i in range(40)]
@@ -360,7 +404,7 @@ def test_pipeline(spark):
             assert sorted(left) == sorted(set(comp.values()))
         if name == "repeated_passages":
             texts = sorted(before, key=lambda r: r.doc_id)
-            want = {r.doc_id: n - k for r, (n, k, _, _) in zip(texts, plain_repeats([r.text for r in texts], 400, "first"))}
+            want = {r.doc_id: n - k for r, (n, k) in zip(texts, plain_passages([r.text for r in texts], 220, 51))}
             assert {r.doc_id: len(r.text.encode()) for r in seen.collect()} == {i: n for i, n in want.items() if n}
         before = seen.collect()
     assert set(r.doc_id for r in before) <= set(first)
@@ -368,6 +412,35 @@ def test_pipeline(spark):
     assert cp.ORACLE_SQL is None and len(cp.STAGES) == 5
 
 
+def test_passages_of_51_words(spark, make):
+    """A passage of 51 short words goes from all texts but the first; one of 48 words stays (a part of a neighbouring word counts)."""
+    import corpus_pipeline as cp
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 5))) for _ in range(n))
+    long, short = say(51), say(48)
+    rows = [(i, f"{say(60)}\n{long}\n{say(40)}") for i in range(3)] + [(i, f"{say(60)}\n{short}\n{say(40)}") for i in range(3, 6)]
+    got = {r.doc_id: r.text for r in cp.repeated_passages(spark, make(rows), DOCS).collect()}
+    assert [long in got[i] for i in range(3)] == [True, False, False]
+    assert all(got[i] == t for i, t in rows if i in (0, 3, 4, 5))
+    assert all(len(t) - len(got[i]) >= len(long) for i, t in rows[1:3])
+
+
+def test_unlike_texts_under_one_id(spark, make):
+    import corpus_pipeline as cp
+    rng = random.Random(9)
+    say = lambda n: " ".join(str(rng.randint(0, 10**6)) for _ in range(n))
+    a, b = say(100), say(100)
+    rows = [(5, a), (5, b), (5, b), (3, a + " tail"), (7, say(50)), (None, a)]
+    left = cp.near_duplicates(spark, make(rows), DOCS).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted([(3, a + " tail"), (5, b), (7, rows[4][1]), (0, a)])
+
+
+def test_dedup_with_the_operators_column_names(spark):
+    docs = spark.createDataFrame([(1, "ab" * 40, 1, 2, "x", "y"), (2, "ab" * 40, 3, 4, "z", None)], "doc_id long, text string, doc long, th long, kept string, `spans` string")
+    out = suffix_dedup.dedup_text(docs, "none", suffix_dedup.Params(length=20, gram=8)).collect()
+    assert sorted(tuple(r.row)[2:] for r in out) == [(1, 2, "x", "y"), (3, 4, "z", None)] and all(r.n_removed == 80 for r in out)
+
+
 def test_pipeline_of_an_empty_table(spark, make):
     import corpus_pipeline as cp
     docs = make([])
