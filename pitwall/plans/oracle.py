@@ -346,6 +346,8 @@ QUALIFY rank <= 5"""
           "WHERE is_anomaly = TRUE QUALIFY row_number() OVER (PARTITION BY key, ts_ms ORDER BY arrival DESC) = 1")
     q["stream_anomaly"] = f"WITH {_gauss_cte()} " + up.format(t="gauss")
     q["stream_anomaly_ar1"] = f"WITH {_ar1_cte()} " + up.format(t="ar1")
+    q["stream_last_n"] = (f"WITH {POSITIONS} SELECT race_id, arrival, driver_name, position FROM positions "
+                          f"QUALIFY row_number() OVER (PARTITION BY race_id ORDER BY arrival DESC) <= {S.LAST_N}")
     q["stream_late_rows"] = f"""WITH {METRICS},
 came AS (SELECT team_name, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000 + (arrival * 7919) % {S.JITTER_MS} AS c FROM metrics),
 span AS (SELECT min(epoch_us(ts) // 1000 + (event_id * 7919) % {S.JITTER_MS}) AS lo, max(epoch_us(ts) // 1000 + (event_id * 7919) % {S.JITTER_MS}) AS hi FROM events),

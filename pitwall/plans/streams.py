@@ -17,7 +17,7 @@ from pitwall import sinks
 from pitwall.operators import commentary, leaderboard as lb
 from pitwall.plans.catalog import RACE_SECONDS, ntz
 from pitwall.sources import tables, topics, views as V
-from pitwall.streaming import alerts, anomaly as sanom, leaderboard as slb, runner
+from pitwall.streaming import alerts, anomaly as sanom, batches, leaderboard as slb, runner
 
 
 def _positions_stream(spark, sf):
@@ -84,6 +84,19 @@ def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("team_name").agg(F.sum("late").cast("long").alias("late_rows"), F.sum(1 - F.col("late")).cast("long").alias("scored_rows"))
 
 
+LAST_N = 7
+
+
+def stream_last_n(spark: SparkSession, sf: str) -> DataFrame:
+    """The last messages of every race, over batches that come out of order."""
+    e = tables.load(spark, sf, "events")
+    stream = V.positions_from(topics.replay(spark, e, F.pmod(F.xxhash64("event_id"), F.lit(REPLAY_SLOTS)), REPLAY_SLOTS, "last-n"), V.roster(spark, sf))
+    base, ck = runner.locations(spark, "last-n")
+    keeper = batches.LastN(spark, base, "race_id string, arrival long, driver_name string, position int", ["race_id"], ["arrival"], LAST_N)
+    runner.finish(runner.start_foreach(stream, lambda batch, batch_id: keeper.process(batch, batch_id), ck, "append"))
+    return keeper.rows()
+
+
 def stream_avg_speed(spark: SparkSession, sf: str) -> DataFrame:
     """G7 running: average speed per (race, driver) as an update-mode aggregation, upserted
     per micro-batch; the final state equals the batch average."""
@@ -112,6 +125,6 @@ def stream_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in [stream_leaderboard, stream_bounded, stream_anomaly, stream_anomaly_ar1, stream_late_rows,
+    f.__name__: f for f in [stream_leaderboard, stream_bounded, stream_anomaly, stream_anomaly_ar1, stream_late_rows, stream_last_n,
                             stream_avg_speed, stream_dedupe, stream_lifecycle]
 }

@@ -23,10 +23,12 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from pitwall.functions import exprs as X
 from pitwall.operators import anomaly
 from pitwall.operators.anomaly import CONFIDENCE_PCT, MIN_TRAINING
+from pitwall.schemas import assert_contract
 from pitwall.session import remove, stored
 from pitwall.streaming import runner
 from pitwall.streaming.batches import Carry
@@ -89,7 +91,8 @@ class Detector:
                 remove(self.spark, f)
 
     def start(self, metrics: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-        """Streaming query over (arrival, key, ts, team_name, engine_temperature)."""
+        """Streaming query over (arrival, key, ts, team_name, engine_temperature); other types are refused before it starts."""
+        assert_contract(metrics, StructType.fromDDL(ROW))
         return runner.start_foreach(metrics, lambda batch, batch_id: self.process(batch, batch_id), checkpoint, "append", trigger)
 
     def drain(self, batch_id: int) -> None:

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pitwall import sinks
 from pitwall.operators import capped, leaderboard as lb
+from pitwall.schemas import assert_contract
 from pitwall.session import stored
 from pitwall.streaming.batches import Carry
 
@@ -69,6 +71,7 @@ class BoundedLists:
 
     def start(self, positions: DataFrame, checkpoint: str, trigger: dict | None = None):
         from pitwall.streaming.runner import start_foreach
+        assert_contract(positions, StructType.fromDDL(ROW))
         return start_foreach(positions, lambda batch, batch_id: self.process(batch, batch_id), checkpoint, "append", trigger)
 
     def lists(self, batch_id: int | None = None) -> DataFrame:

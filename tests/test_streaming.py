@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from pitwall import sinks
 from pitwall.operators import anomaly, leaderboard as lb
+from pitwall.schemas import ContractError
 from pitwall.session import scratch_path
 from pitwall.sources import topics
-from pitwall.streaming import alerts, anomaly as sanom, leaderboard as slb, runner
+from pitwall.streaming import alerts, anomaly as sanom, batches, leaderboard as slb, runner
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 M_SCHEMA = pa.schema([("arrival", pa.int64()), ("key", pa.string()), ("ts", pa.timestamp("us", tz="UTC")),
@@ -187,6 +188,23 @@ def test_bounded_lists_over_batches_equal_batch(spark, tmp_dir, base):
     assert _lists(again.lists()) == _lists(keeper.lists())
 
 
+def test_streams_refuse_other_types(spark, base):
+    stream = spark.readStream.format("rate").load().selectExpr("value arrival", "'k' key", "timestamp ts", "'A' team_name", "'hot' engine_temperature")
+    with pytest.raises(ContractError):
+        sanom.Detector(spark, base).start(stream, f"{base}/checkpoint")
+    with pytest.raises(ContractError):
+        slb.BoundedLists(spark, base).start(stream, f"{base}/checkpoint")
+
+
+def test_last_rows_per_key_over_batches(spark, base):
+    keeper = batches.LastN(spark, base, "k string, i long, v string", ["k"], ["i"], 3)
+    make = lambda rows: spark.createDataFrame(rows, "k string, i long, v string")
+    parts = [make([("a", i, "x") for i in (5, 1, 9)] + [(None, 2, None)]), make([("a", 7, "y"), ("b", 1, None)]), make([])]
+    for batch_id in (0, 1, 1, 2):
+        keeper.process(parts[batch_id], batch_id)
+    assert sorted((r.k or "", r.i) for r in keeper.rows().collect()) == [("", 2), ("a", 5), ("a", 7), ("a", 9), ("b", 1)]
+
+
 def test_idle_races_are_evicted(spark, base):
     make = lambda rows: spark.createDataFrame(rows, slb.ROW)
     row = lambda i, s, race, d: (i, T0 + dt.timedelta(seconds=s), race, d, 1, None, None)
