@@ -5,11 +5,12 @@ duplicate cluster. Longer documents are cut into pieces of ``capacity`` words; w
 sequence each, the rest is packed with the other documents, longest first. Open sequences are
 ordered by what room they have left; each carries a bitmap of its sources and one of its
 clusters. A successor search starts at the tightest sequence that has room and goes on until one is
-compatible; if there is none, a new one opens. Bitmaps are hashed (64 and 256 bits): two sources
-that share a bit are kept apart, too, so the conflicts always hold.
+compatible; if there is none, a new one opens. A block numbers its own sources and clusters, one bit each, so
+only real conflicts keep pieces apart.
 
 Rows are dealt evenly to blocks of about ``block`` rows, each packed by itself: a hot source
-spreads over all blocks, and a block costs at most a few sequences that stay partly empty.
+spreads over all blocks. A source with more pieces in a block than the others can fill up leaves
+sequences partly empty; no order avoids that, as two of its pieces never share one.
 
 Null or blank texts have no words and aren't packed. A null source is a source of its own; equal
 texts (white space and case apart) are one cluster. Repeated rows are packed as rows of their own
@@ -74,18 +75,19 @@ class Bins:
 
 
 def pack_rows(rows: list[tuple], capacity: int) -> list[tuple]:
-    """(doc_id, source, cluster, n, source hash) to (sequence, offset, doc_id, piece, first word, words, source, cluster)."""
+    """(doc_id, source, cluster, n) to (sequence, offset, doc_id, piece, first word, words, source, cluster)."""
     bins, out, rest = Bins(capacity), [], []
-    for doc, source, cluster, n, h in rows:
+    sources, clusters = {}, {}
+    for doc, source, cluster, n in rows:
         whole, left = divmod(n, capacity)
         for i in range(whole):
             bins.used.append(capacity)
             out.append((len(bins.used) - 1, 0, doc, i, i * capacity, capacity, source, cluster))
         if left:
-            rest.append((-left, cluster, doc is not None, doc or 0, doc, source, whole, h))
+            rest.append((-left, cluster, doc is not None, doc or 0, doc, source, whole))
     rest.sort(key=lambda r: r[:4])
-    for minus, cluster, _, _, doc, source, whole, h in rest:
-        number, at = bins.place(-minus, 1 << (h % 64), 1 << (cluster % 256))
+    for minus, cluster, _, _, doc, source, whole in rest:
+        number, at = bins.place(-minus, 1 << sources.setdefault(source, len(sources)), 1 << clusters.setdefault(cluster, len(clusters)))
         out.append((number, at, doc, whole, whole * capacity, -minus, source, cluster))
     return out
 
@@ -96,12 +98,12 @@ def pack(docs: DataFrame, p: Params = Params()) -> DataFrame:
     n = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     cluster = F.xxhash64(F.lower(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))))
     items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"), n.alias("n"),
-                        F.xxhash64(F.lit("source"), "source").alias("h"), F.monotonically_increasing_id().alias("__row"))
+                        F.monotonically_increasing_id().alias("__row"))
     blocks = max(1, -(-docs.count() // p.block))
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        rows = list(zip(*(t.column(c).to_pylist() for c in ("doc_id", "source", "cluster", "n", "h"))))
+        rows = list(zip(*(t.column(c).to_pylist() for c in ("doc_id", "source", "cluster", "n"))))
         rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1] or ""))
         out = pack_rows(rows, p.capacity)
         cols = list(zip(*out)) if out else [[]] * 8
