@@ -22,6 +22,8 @@ SNAPSHOT_RACE = "click"
 SELECTED_DRIVER = "NATION_7"
 RESULT_DRIVER = "NATION_3"
 MENTION_DRIVER = "NATION_2"
+#: A name of three words: only its first and last one must be in the message.
+MENTION_LONG_NAME = "Nation_1 Middle RUNNING"
 RACE_SECONDS = 600
 STATUS_ASOF = "2024-01-01 00:10:00"
 EVICT_ASOF = "2024-01-01 01:12:00"
@@ -253,6 +255,11 @@ def commentary_decode(spark, sf):
     return ntz(_decoded_comments(spark, sf))
 
 
+def commentary_mentions_long_name(spark, sf):
+    """B13 for a name of several words, of which the messages hold the first and the last."""
+    return commentary.with_mentions(_generated(spark, sf), MENTION_LONG_NAME)
+
+
 def commentary_mentions(spark, sf):
     return commentary.with_mentions(_generated(spark, sf), MENTION_DRIVER)
 
@@ -323,7 +330,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         driver_validate_anti, avg_speed, avg_speed_tumbling, anomaly_gaussian, anomaly_ar1,
         anomaly_enriched, anomaly_severity, anomaly_recent100, anomaly_last20, anomaly_dedupe,
         anomaly_feed50, teams_distinct, team_lead, commentary_generate, commentary_decode,
-        commentary_mentions, commentary_recent50, commentary_dedupe, commentary_feed50,
+        commentary_mentions, commentary_mentions_long_name, commentary_recent50, commentary_dedupe, commentary_feed50,
         envelope_json, commentary_envelope, upsert_latest, embed_queries, vector_topk,
         vector_topk_limit5, text_search_topk,
     ]

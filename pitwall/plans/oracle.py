@@ -310,6 +310,9 @@ SELECT * FROM d ORDER BY arrival DESC LIMIT 50"""
     q["commentary_decode"] = f"WITH {COMMENTS} SELECT * FROM decoded"
     mention = f"""CASE WHEN message IS NULL OR message = '' THEN TRUE
        ELSE contains(lower(message), '{C.MENTION_DRIVER.lower()}') END"""
+    first, last = C.MENTION_LONG_NAME.lower().split()[0], C.MENTION_LONG_NAME.lower().split()[-1]
+    q["commentary_mentions_long_name"] = (f"WITH {POSITIONS}, {GENERATED} SELECT *, coalesce(message, '') = '' OR "
+                                          f"(contains(lower(message), '{first}') AND contains(lower(message), '{last}')) AS mentions FROM generated")
     q["commentary_mentions"] = f"WITH {POSITIONS}, {GENERATED} SELECT *, {mention} AS mentions FROM generated"
     q["commentary_recent50"] = f"WITH {COMMENTS} SELECT * FROM decoded ORDER BY conv_id DESC, turn DESC LIMIT 50"
     q["commentary_dedupe"] = (f"WITH {POSITIONS}, {GENERATED} SELECT * FROM generated "
