@@ -351,6 +351,24 @@ QUALIFY rank <= 5"""
     q["stream_anomaly_ar1"] = f"WITH {_ar1_cte()} " + up.format(t="ar1")
     q["stream_last_n"] = (f"WITH {POSITIONS} SELECT race_id, arrival, driver_name, position FROM positions "
                           f"QUALIFY row_number() OVER (PARTITION BY race_id ORDER BY arrival DESC) <= {S.LAST_N}")
+    q["stream_upsert"] = f"""WITH {POSITIONS}, {LATEST}
+SELECT race_id, driver_name, arrival, ts, position FROM latest WHERE position <> {S.RETIRED}"""
+    whole = f"arrival % {S.LOG_EMPTY} <> 0 AND arrival % {S.LOG_CUT} <> 0"
+    q["log_leaderboard"] = f"""WITH {POSITIONS},
+sent AS (SELECT race_id, driver_name, arrival, {MS.format(c='ts')} AS ts, position FROM positions WHERE {whole}),
+l AS (SELECT * FROM sent QUALIFY row_number() OVER (PARTITION BY race_id, driver_name ORDER BY arrival DESC) = 1)
+SELECT *, CAST(row_number() OVER (PARTITION BY race_id ORDER BY position, driver_name) AS INTEGER) AS rank FROM l"""
+    q["log_alerts"] = (f"{_alerts_flagged()} SELECT arrival, team_name, driver_name, metric_name, metric_value, confidence_score, severity "
+                       f"FROM alerts WHERE {whole}")
+    q["log_commentary"] = f"""WITH {POSITIONS}, {GENERATED}
+SELECT id, message, make_timestamp(timestamp * 1000) AS ts, type, arrival FROM generated WHERE {whole}
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrival) = 1"""
+    q["log_dead_letters"] = f"""WITH {_gauss_cte()},
+cut AS (SELECT arrival FROM metrics WHERE arrival % {S.LOG_EMPTY} <> 0 AND arrival % {S.LOG_CUT} = 0),
+r AS (SELECT 'positions' AS topic, 'dead' AS kind, arrival FROM cut UNION ALL SELECT 'commentary', 'dead', arrival FROM cut
+      UNION ALL SELECT 'anomalies', 'dead', arrival FROM cut WHERE arrival IN (SELECT arrival FROM gauss WHERE is_anomaly)
+      UNION ALL SELECT 'audit', 'unrouted', arrival FROM metrics)
+SELECT topic, kind, count(*) AS n, min(arrival) AS first, max(arrival) AS last FROM r GROUP BY topic, kind"""
     q["stream_late_rows"] = f"""WITH {METRICS},
 came AS (SELECT team_name, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000 + (arrival * 7919) % {S.JITTER_MS} AS c FROM metrics),
 span AS (SELECT min(epoch_us(ts) // 1000 + (event_id * 7919) % {S.JITTER_MS}) AS lo, max(epoch_us(ts) // 1000 + (event_id * 7919) % {S.JITTER_MS}) AS hi FROM events),

@@ -13,11 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitwall import sinks
-from pitwall.operators import commentary, leaderboard as lb
+from pitwall import schemas, sinks
+from pitwall.operators import anomaly, commentary, leaderboard as lb
 from pitwall.plans.catalog import RACE_SECONDS, ntz
-from pitwall.sources import tables, topics, views as V
-from pitwall.streaming import alerts, anomaly as sanom, batches, leaderboard as slb, runner
+from pitwall.sources import decode, tables, topics, views as V
+from pitwall.streaming import alerts, anomaly as sanom, batches, fanout, leaderboard as slb, runner
+from pitwall.streaming.upsert import UpsertTable
 
 
 def _positions_stream(spark, sf):
@@ -97,6 +98,90 @@ def stream_last_n(spark: SparkSession, sf: str) -> DataFrame:
     return keeper.rows()
 
 
+#: A position of this value takes the driver out of the table.
+RETIRED = 10
+UPSERT_BUCKETS = 8
+
+
+def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """K3: the current position of every (race, driver) in a table that merges, over batches out of order; a driver whose last message
+    is ``RETIRED`` is removed."""
+    e = tables.load(spark, sf, "events")
+    stream = V.positions_from(topics.replay(spark, e, F.pmod(F.xxhash64("event_id"), F.lit(REPLAY_SLOTS)), REPLAY_SLOTS, "upsert"), V.roster(spark, sf))
+    base, ck = runner.locations(spark, "upsert")
+    table = UpsertTable(spark, base, "race_id string, driver_name string, arrival long, ts timestamp, position int, gone boolean", lb.KEYS,
+                        "arrival", UPSERT_BUCKETS, max_deltas=2, deleted="gone")
+    runner.finish(runner.start_foreach(stream.withColumn("gone", F.col("position") == RETIRED), table.process, ck, "append"))
+    return ntz(table.read())
+
+
+#: Every so many-th record of each topic of the log is cut short; every so many-th is a tombstone.
+LOG_CUT, LOG_EMPTY = 11, 13
+LOG_TOPICS = ("positions", "commentary", "anomalies")
+
+
+def _log(spark: SparkSession, sf: str, race_alerts: DataFrame) -> DataFrame:
+    """Positions, commentary and anomalies as records of one log, some of them damaged, plus a topic that nobody asked for."""
+    positions = V.positions(spark, sf)
+    said = commentary.generate(positions).withColumn("timestamp", F.col("timestamp").cast("double"))
+    flags = race_alerts.select(F.col("key").cast("binary").alias("key"), F.to_json(F.struct("team_name", "engine_temperature", "is_anomaly")).alias("value"), "arrival")
+    records = topics.log({
+        "positions": decode.encode_positions(positions),
+        "commentary": decode.encode_commentary(said.select("id", "message", "timestamp", "type", "arrival")),
+        "anomalies": flags,
+        "audit": decode.encode_metrics(V.metrics(spark, sf), "key", 0),
+    })
+    at = F.col("arrival")
+    return records.withColumn("value", F.when(at % LOG_EMPTY == 0, F.lit(None)).when(at % LOG_CUT == 0, F.expr("left(value, length(value) - 1)"))
+                              .otherwise(F.col("value")))
+
+
+def _subscribed(spark: SparkSession, sf: str) -> tuple[fanout.Fanout, dict]:
+    """The log replayed in batches into: the positions table, the commentary table, the alerts table, dead letters, unrouted."""
+    roster = V.roster(spark, sf)
+    flags = anomaly.flagged(anomaly.gaussian(V.metrics(spark, sf)))
+    log = _log(spark, sf, flags)
+    records = topics.replay(spark, log, F.pmod(F.xxhash64("topic", "arrival"), F.lit(REPLAY_SLOTS)), REPLAY_SLOTS, "log")
+    base, ck = runner.locations(spark, "fanout")
+    board = UpsertTable(spark, f"{base}/board", "race_id string, driver_name string, arrival long, ts timestamp, position int", lb.KEYS, "arrival", UPSERT_BUCKETS)
+    comments = fanout.AppendTable(spark, f"{base}/comments", "id string, message string, ts timestamp, type string, arrival long")
+    notices = fanout.AppendTable(spark, f"{base}/alerts", "arrival long, team_name string, driver_name string, metric_name string, metric_value double, "
+                                                         "confidence_score double, severity string")
+    same = lambda df: df
+    # the consumer doesn't read the alert's time; its place in the log stands for it
+    shaped = lambda df: anomaly.enrich(df.withColumn("ts_ms", F.col("arrival")), roster)
+    both = fanout.Fanout(spark, base, [
+        fanout.Route("positions", schemas.POSITION_WIRE, decode.positions, ((same, board),)),
+        fanout.Route("commentary", schemas.COMMENTARY_WIRE, decode.commentary, ((same, comments),)),
+        fanout.Route("anomalies", schemas.ANOMALY_WIRE, decode.anomalies, ((shaped, notices),)),
+    ])
+    runner.finish(both.start(records, ck))
+    return both, {"board": board, "comments": comments, "alerts": notices}
+
+
+def log_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
+    """Producer, topic, decoder, merged table, ranking."""
+    return ntz(lb.ranked(_subscribed(spark, sf)[1]["board"].read()))
+
+
+def log_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Detector, topic, decoder, enrichment and severity, alerts table."""
+    return _subscribed(spark, sf)[1]["alerts"].read()
+
+
+def log_commentary(spark: SparkSession, sf: str) -> DataFrame:
+    """Generation, topic, decoder with its null rules, commentary table, first message of an id."""
+    return ntz(commentary.dedupe(_subscribed(spark, sf)[1]["comments"].read()))
+
+
+def log_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """A7 and A3 for the whole subscription: records that couldn't be parsed, and those that nobody asked for, by topic."""
+    both, _ = _subscribed(spark, sf)
+    dead = both.dead.read().select("topic", F.lit("dead").alias("kind"), "arrival")
+    other = both.unrouted.read().select("topic", F.lit("unrouted").alias("kind"), "arrival")
+    return dead.unionByName(other).groupBy("topic", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("arrival").alias("first"), F.max("arrival").alias("last"))
+
+
 def stream_avg_speed(spark: SparkSession, sf: str) -> DataFrame:
     """G7 running: average speed per (race, driver) as an update-mode aggregation, upserted
     per micro-batch; the final state equals the batch average."""
@@ -126,5 +211,6 @@ def stream_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in [stream_leaderboard, stream_bounded, stream_anomaly, stream_anomaly_ar1, stream_late_rows, stream_last_n,
+                            stream_upsert, log_leaderboard, log_alerts, log_commentary, log_dead_letters,
                             stream_avg_speed, stream_dedupe, stream_lifecycle]
 }

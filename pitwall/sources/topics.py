@@ -29,11 +29,14 @@ def subscribed_topics(positions: str, commentary: str, anomalies: str | None = N
 
 
 def kafka_options(bootstrap: str, topics: list[str], starting: str = "latest",
-                  max_offsets_per_trigger: int | None = None, extra: dict | None = None) -> dict:
-    """Subscribe options for several topics at once (A1)."""
+                  max_offsets_per_trigger: int | None = None, extra: dict | None = None, group_id: str | None = None) -> dict:
+    """Subscribe options for several topics at once (A1). ``group_id`` is for brokers that grant reads by
+    group; positions are the checkpoint's, so a group id needn't be unique to a restart."""
     o = {"kafka.bootstrap.servers": bootstrap, "subscribe": ",".join(topics), "startingOffsets": starting}
     if max_offsets_per_trigger:
         o["maxOffsetsPerTrigger"] = str(max_offsets_per_trigger)
+    if group_id:
+        o["kafka.group.id"] = group_id
     o.update(extra or {})
     return o
 
@@ -53,6 +56,17 @@ def demux(frames: DataFrame, topic: str) -> DataFrame:
     return frames.where(F.col("topic") == F.lit(topic))
 
 
+def log(frames: dict[str, DataFrame]) -> DataFrame:
+    """Records of several topics as one frame (topic, key, value, arrival), as a subscription to all of them gives."""
+    out = None
+    for name, df in frames.items():
+        one = df.select(F.lit(name).alias("topic"), F.col("key").cast("binary").alias("key"), F.col("value").cast("string").alias("value"), "arrival")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no topic")
+    return out
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """A given table as a file stream (replay of a topic); times cast as in batch."""
     from pitwall.sources.tables import SCHEMAS
