@@ -6,8 +6,9 @@ time (``text_slices``), so a task's memory is bounded by the slice and its longe
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitwall.session import scratch_path
+from pitwall.session import remove, scratch_path
 
 SLICE_BYTES = 1 << 20
 #: White space of a word boundary: space and 0x09-0x0D.
@@ -27,6 +28,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
+#: Paths stored within each ``stored_alone`` that this thread is in.
+_made = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +41,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "llm", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    if getattr(_made, "open", None):
+        _made.open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_alone(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``stored(build(), name)``, after which the tables that ``build`` stored on the way are removed: the result no longer reads them."""
+    if not hasattr(_made, "open"):
+        _made.open = []
+    _made.open.append([])
+    try:
+        df = build()
+        inner = _made.open[-1]
+        path = scratch_path(df.sparkSession, "llm", f"{name}-{uuid.uuid4().hex}")
+        df.write.parquet(path)
+    finally:
+        _made.open.pop()
+    for used in inner:
+        remove(df.sparkSession, used)
+    if _made.open:
+        _made.open[-1].append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def held_out(doc_id="doc_id"):
     """Rows never learned from: crc32 of the id's text, modulo 4, is 2 (a null id is not held out)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

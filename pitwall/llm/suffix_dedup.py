@@ -207,9 +207,12 @@ def repeated_spans(docs: DataFrame, keep: str = "first", p: Params = Params()) -
 
     every = C.stored(docs.select("doc", "th", "text").mapInArrow(cut, _RUN), "runs")
     segs = every.groupBy("anchor", "seg").agg(F.sum(F.size("at").cast("long")).alias("copies"), F.min(F.struct("doc", F.col("at")[0].alias("at"), "th")).alias("first"), F.first("n").alias("n"))
-    segs = C.stored(segs, "segments")
-    anchors = segs.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).filter("total > 1")
-    shared = C.stored(segs.join(anchors.select("anchor", "kinds"), "anchor"), "shared-segments")
+
+    def with_others(segs):
+        """Runs whose anchor is in another place, too."""
+        return segs.join(segs.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).filter("total > 1").select("anchor", "kinds"), "anchor")
+
+    shared = C.stored_alone(lambda: C.stored(segs, "segments").transform(with_others), "shared-segments")
 
     # runs that differ under one anchor: fetch their bytes
     differ = shared.filter("kinds > 1").select("anchor", "seg", "n", "kinds", F.col("first.doc").alias("doc"), F.col("first.th").alias("th"), F.col("first.at").alias("at"))
@@ -282,7 +285,7 @@ def dedup_text(docs: DataFrame, keep: str = "first", p: Params = Params(), min_w
     those bytes with broken characters left out, null where it was null. A span of fewer than ``min_words``
     words stays. The input's columns may have any names.
     """
-    spans = C.stored(repeated_spans(docs.select(*_key(), F.col("text").cast("string").alias("text")), keep, p), "spans")
+    spans = C.stored_alone(lambda: repeated_spans(docs.select(*_key(), F.col("text").cast("string").alias("text")), keep, p), "spans")
     at, width = docs.columns.index("text"), len(docs.columns)
     rows = docs.select(*_key(), *(F.col(f"`{c}`").cast("string").alias(f"c{i}") if i == at else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
     both = rows.join(spans, ["doc", "th"], "left").select(*(f"c{i}" for i in range(width)), "spans")

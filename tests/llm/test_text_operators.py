@@ -308,3 +308,20 @@ def test_rare_insults_stay_beside_many_ordinary_words(spark, make):
     docs = make([(k, f"{everyday} {'zzscoundrel' if i < 7 else ''} {i}") for i, k in enumerate(ids)])
     labels = spark.createDataFrame([(k, 1, int(i < 8)) for i, k in enumerate(ids)], "doc_id long, quality int, toxic int")
     assert "zzscoundrel" in toxicity.fit(docs, labels).terms
+
+
+def test_stored_alone_leaves_its_result_only(spark):
+    import os
+    from pitwall.llm import common as C
+
+    def build():
+        a = C.stored(spark.range(5), "step-a")
+        b = C.stored_alone(lambda: C.stored(a.selectExpr("id * 2 as id"), "step-b").filter("id > 0"), "step-c")
+        paths.extend(x.inputFiles()[0].rsplit("/", 1)[0] for x in (a, b))
+        return b.join(a, "id")
+
+    paths = []
+    out = C.stored_alone(build, "result")
+    assert sorted(r.id for r in out.collect()) == [2, 4]
+    assert not any(os.path.exists(p.replace("file://", "")) for p in paths)
+    assert os.path.exists(out.inputFiles()[0].replace("file://", ""))
