@@ -32,7 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
                            .select(F.col("id").alias("many")), "shared-ids")
     own = F.xxhash64("id", text).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     rows = rows.join(shared, F.col("id") == F.col("many"), "left").select("row", "id", F.when(F.col("many").isNotNull(), own).otherwise(F.col("id")).alias("key"))
-    found = jaccard.jaccard_components(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    texts = rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))
+    found = common.stored_alone(lambda: jaccard.jaccard_components(texts).select(F.col("doc_id").alias("key"), "component_id").distinct(), "components")
     first = rows.select("key", "id").join(found, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first")).select("first.key")
     kept = rows.join(first, "key", "left_semi").withColumn("text", F.sha2(text, 256)).dropDuplicates(["id", "text"])
     return kept.select("row.*").unionByName(docs.filter("doc_id is null"))
