@@ -10,9 +10,11 @@ a one-step forecast is made, and the row is flagged when its value leaves the tw
 * ``ar1``: least squares y_t = a + b*y_{t-1} over the pairs of strictly earlier rows in
   (ts, arrival) order; forecast = a + b*y_prev; band = z * sqrt(SSE / (n - 2)).
 
-The moments are exact: the two-decimal measure is taken as integer cents and all sums
-are integers (decimal(38,0) once they are combined), so every engine derives the same
-doubles from them. Running sums per team use ``sequence.prefix_sums``: the series is cut
+With ``cents`` (the default) the moments are exact: the two-decimal measure is taken as integer
+cents and all sums are integers (decimal(38,0) once they are combined), so every engine derives the
+same doubles from them. With ``cents=False`` the measure is any double, and nothing is rounded: sums run over
+distances from the middle of the team's values, which keeps the squares' digits when the spread is
+small against the values. A value that isn't finite counts as missing. Running sums per team use ``sequence.prefix_sums``: the series is cut
 into event-time chunks sized per team (about ``CHUNK_ROWS`` rows each), so one hot team
 spreads over many tasks.
 """
@@ -43,8 +45,20 @@ def _d(c) -> F.Column:
     return X.col(c).cast("double")
 
 
-def _prepare(metrics: DataFrame, value_col: str) -> DataFrame:
-    return metrics.withColumn("ts_ms", X.ts_to_ms("ts")).withColumn("_v", F.round(F.col(value_col) * 100).cast("long"))
+def _prepare(metrics: DataFrame, value_col: str, team_col: str = "team_name", cents: bool = True) -> DataFrame:
+    timed = metrics.withColumn("ts_ms", X.ts_to_ms("ts"))
+    if cents:
+        return timed.withColumn("_v", F.round(F.col(value_col) * 100).cast("long"))
+    # general doubles: distances from a value in the middle of the team's (its mean as a float, one partial aggregate)
+    v = _d(value_col)
+    finite = F.when(F.abs(v) < F.lit(float("inf")), v)        # false for NaN, too: Spark takes NaN as the largest
+    middle = metrics.groupBy(F.col(team_col).alias("_team")).agg(F.coalesce(F.avg(finite).cast("float").cast("double"), F.lit(0.0)).alias("_mid"))
+    return timed.join(middle, F.col(team_col).eqNullSafe(F.col("_team")), "left").drop("_team").withColumn("_v", finite - F.col("_mid"))
+
+
+def _back(c: F.Column, cents: bool) -> F.Column:
+    """A value of ``_v``'s scale on the measure's."""
+    return c / 100.0 if cents else c + F.col("_mid")
 
 
 def _chunked(df: DataFrame, team_col: str, chunk_ms: int | None, chunk_rows: int):
@@ -66,23 +80,25 @@ def ar1_sums(x, y) -> dict[str, F.Column]:
 
 def gaussian(metrics: DataFrame, value_col: str = "engine_temperature", team_col: str = "team_name",
              confidence_pct: float = CONFIDENCE_PCT, min_training: int = MIN_TRAINING,
-             chunk_ms: int | None = None, chunk_rows: int = CHUNK_ROWS, carry: DataFrame | None = None) -> DataFrame:
-    """``carry`` (team, _n, _s1, _s2): the team's sums over history that is not in ``metrics``."""
+             chunk_ms: int | None = None, chunk_rows: int = CHUNK_ROWS, carry: DataFrame | None = None, cents: bool = True) -> DataFrame:
+    """``carry`` (team, _n, _s1, _s2): the team's sums over history that is not in ``metrics`` (with ``cents`` only)."""
+    if carry is not None and not cents:
+        raise ValueError("carried sums are in cents")
     z = z_value(confidence_pct)
-    df, chunk = _chunked(_prepare(metrics, value_col), team_col, chunk_ms, chunk_rows)
+    df, chunk = _chunked(_prepare(metrics, value_col, team_col, cents), team_col, chunk_ms, chunk_rows)
     v = F.col("_v")
-    s = sequence.prefix_sums(df, [team_col], ["ts_ms"], chunk, gaussian_sums(v), range_order=True, carry=carry)
+    s = sequence.prefix_sums(df, [team_col], ["ts_ms"], chunk, gaussian_sums(v), range_order=True, carry=carry, exact=cents)
     n, s1, s2 = F.col("_n"), F.col("_s1"), F.col("_s2")
     nd = _d(n)
     mean_c = _d(s1) / nd
-    var_c = _d(n * s2 - s1 * s1) / _d(n * (n - 1))
+    var_c = _d(n * s2 - s1 * s1) / _d(n * (n - 1)) if cents else F.greatest(s2 - s1 * (s1 / n), F.lit(0.0)) / (n - 1.0)
     half_c = F.lit(z) * F.sqrt(var_c) * F.sqrt(F.lit(1.0) + F.lit(1.0) / nd)
     ready = n >= min_training
     out = s.select(
         *[c for c in metrics.columns], "ts_ms", n.cast("long").alias("n"),
-        F.when(ready, mean_c / 100.0).alias("forecast"),
-        F.when(ready, (mean_c - half_c) / 100.0).alias("lower"),
-        F.when(ready, (mean_c + half_c) / 100.0).alias("upper"),
+        F.when(ready, _back(mean_c, cents)).alias("forecast"),
+        F.when(ready, _back(mean_c - half_c, cents)).alias("lower"),
+        F.when(ready, _back(mean_c + half_c, cents)).alias("upper"),
         F.when(ready & v.isNotNull(), (_d(v) < mean_c - half_c) | (_d(v) > mean_c + half_c)).alias("is_anomaly"),
         F.when(ready & v.isNotNull(), F.abs(_d(v) - mean_c)).alias("_dev_c"),
         F.when(ready, half_c).alias("_half_c"),
@@ -92,14 +108,16 @@ def gaussian(metrics: DataFrame, value_col: str = "engine_temperature", team_col
 
 def ar1(metrics: DataFrame, value_col: str = "engine_temperature", team_col: str = "team_name",
         confidence_pct: float = CONFIDENCE_PCT, min_training: int = MIN_TRAINING,
-        chunk_ms: int | None = None, chunk_rows: int = CHUNK_ROWS, carry: DataFrame | None = None) -> DataFrame:
-    """``carry`` (team, the six sums, _v): sums and last value of history that is not in ``metrics``."""
+        chunk_ms: int | None = None, chunk_rows: int = CHUNK_ROWS, carry: DataFrame | None = None, cents: bool = True) -> DataFrame:
+    """``carry`` (team, the six sums, _v): sums and last value of history that is not in ``metrics`` (with ``cents`` only)."""
+    if carry is not None and not cents:
+        raise ValueError("carried sums are in cents")
     z = z_value(confidence_pct)
-    df, chunk = _chunked(_prepare(metrics, value_col), team_col, chunk_ms, chunk_rows)
+    df, chunk = _chunked(_prepare(metrics, value_col, team_col, cents), team_col, chunk_ms, chunk_rows)
     order = ["ts_ms", "arrival"]
     df = sequence.previous(df, [team_col], order, chunk, ["_v"], keep_parts=True, carry=carry)
     x, y = F.col("prev__v"), F.col("_v")
-    s = sequence.prefix_sums(df, [team_col], order, chunk, ar1_sums(x, y), carry=carry)
+    s = sequence.prefix_sums(df, [team_col], order, chunk, ar1_sums(x, y), carry=carry, exact=cents)
     n, sx, sy, sxx, syy, sxy = (F.col(c) for c in ("_n", "_sx", "_sy", "_sxx", "_syy", "_sxy"))
     nd = _d(n)
     dxx, dxy, dyy = n * sxx - sx * sx, n * sxy - sx * sy, n * syy - sy * sy
@@ -111,9 +129,9 @@ def ar1(metrics: DataFrame, value_col: str = "engine_temperature", team_col: str
     ready = (n >= min_training) & x.isNotNull()
     return s.select(
         *[c for c in metrics.columns], "ts_ms", n.cast("long").alias("n"),
-        F.when(ready, fc / 100.0).alias("forecast"),
-        F.when(ready, (fc - half_c) / 100.0).alias("lower"),
-        F.when(ready, (fc + half_c) / 100.0).alias("upper"),
+        F.when(ready, _back(fc, cents)).alias("forecast"),
+        F.when(ready, _back(fc - half_c, cents)).alias("lower"),
+        F.when(ready, _back(fc + half_c, cents)).alias("upper"),
         F.when(ready & y.isNotNull(), (_d(y) < fc - half_c) | (_d(y) > fc + half_c)).alias("is_anomaly"),
         F.when(ready & y.isNotNull(), F.abs(_d(y) - fc)).alias("_dev_c"),
         F.when(ready, half_c).alias("_half_c"),

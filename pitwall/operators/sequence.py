@@ -91,8 +91,9 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Co
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
                 sums: dict[str, Column], range_order: bool = False, keep_parts: bool = False,
-                carry: DataFrame | None = None) -> DataFrame:
-    """Add one exact exclusive prefix sum per entry of ``sums`` (name -> integral column).
+                carry: DataFrame | None = None, exact: bool = True) -> DataFrame:
+    """Add one exact exclusive prefix sum per entry of ``sums`` (name -> integral column; with ``exact=False``
+    any number, summed as doubles).
 
     ``range_order=False``: rows strictly before the current row by ``order`` (a total
     order). ``range_order=True``: rows whose single ``order`` value is strictly smaller
@@ -110,7 +111,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
     w = Window.partitionBy(*part).orderBy(*order)
     frame = (w.rangeBetween(Window.unboundedPreceding, -1) if range_order
              else w.rowsBetween(Window.unboundedPreceding, -1))
-    dec = T.DecimalType(38, 0)
+    dec = T.DecimalType(38, 0) if exact else T.DoubleType()
     local = base.select("*", *[F.coalesce(F.sum(c).over(frame), F.lit(0)).cast(dec).alias(f"_l_{n}")
                                for n, c in sums.items()])
     # per-chunk totals by a partial aggregation (one row per (key, chunk) and map task

@@ -211,6 +211,25 @@ def anomaly_ar1(spark, sf):
     return ntz(_public(anomaly.flagged(anomaly.ar1(V.metrics(spark, sf)))))
 
 
+#: A measure whose values have all the digits of a double.
+REAL_DIVISOR = 7.0
+
+
+def _real(spark, sf, method):
+    m = V.metrics(spark, sf).withColumn("engine_temperature", F.col("engine_temperature") / REAL_DIVISOR)
+    d = anomaly.flagged(anomaly.detect(m, method, cents=False))
+    return d.select("arrival", "team_name", "ts_ms", "n", *[F.round(c, 6).alias(c) for c in ("engine_temperature", "forecast", "lower", "upper")])
+
+
+def anomaly_gaussian_real(spark, sf):
+    """W1 over general doubles: nothing is rounded but the output's last digits."""
+    return _real(spark, sf, "gaussian")
+
+
+def anomaly_ar1_real(spark, sf):
+    return _real(spark, sf, "ar1")
+
+
 def anomaly_enriched(spark, sf):
     return ntz(_enriched(spark, sf))
 
@@ -328,7 +347,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         baseline_delta, final_positions, race_winner, driver_result, race_status,
         races_evicted, race_lifecycle, race_lap, race_history, driver_validate_semi,
         driver_validate_anti, avg_speed, avg_speed_tumbling, anomaly_gaussian, anomaly_ar1,
-        anomaly_enriched, anomaly_severity, anomaly_recent100, anomaly_last20, anomaly_dedupe,
+        anomaly_gaussian_real, anomaly_ar1_real, anomaly_enriched, anomaly_severity, anomaly_recent100, anomaly_last20, anomaly_dedupe,
         anomaly_feed50, teams_distinct, team_lead, commentary_generate, commentary_decode,
         commentary_mentions, commentary_mentions_long_name, commentary_recent50, commentary_dedupe, commentary_feed50,
         envelope_json, commentary_envelope, upsert_latest, embed_queries, vector_topk,

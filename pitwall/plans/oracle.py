@@ -286,6 +286,20 @@ SELECT race_id, driver_name, window_start, window_start + INTERVAL 1 DAY AS wind
 FROM b GROUP BY race_id, driver_name, window_start"""
     q["anomaly_gaussian"] = f"WITH {_gauss_cte()} SELECT {GAUSS_COLS} FROM gauss WHERE is_anomaly = TRUE"
     q["anomaly_ar1"] = f"WITH {_ar1_cte()} SELECT {GAUSS_COLS} FROM ar1 WHERE is_anomaly = TRUE"
+    real = f"""{METRICS},
+rd AS (SELECT arrival, team_name, epoch_us(ts) // 1000 AS ts_ms, engine_temperature / {C.REAL_DIVISOR!r}::DOUBLE AS y FROM metrics)"""
+    out = "arrival, team_name, ts_ms, CAST(n AS BIGINT) AS n, round(y, 6) AS engine_temperature, round(fc, 6) AS forecast, round(fc - half, 6) AS lower, round(fc + half, 6) AS upper"
+    q["anomaly_gaussian_real"] = f"""WITH {real},
+w AS (SELECT *, count(y) OVER w AS n, avg(y) OVER w AS fc, stddev_samp(y) OVER w AS sd
+      FROM rd WINDOW w AS (PARTITION BY team_name ORDER BY ts_ms RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, '{Z}'::DOUBLE * sd * sqrt(1.0::DOUBLE + 1.0::DOUBLE / n) AS half FROM w WHERE n >= 16)
+SELECT {out} FROM b WHERE y < fc - half OR y > fc + half"""
+    q["anomaly_ar1_real"] = f"""WITH {real},
+l AS (SELECT *, lag(y) OVER (PARTITION BY team_name ORDER BY ts_ms, arrival) AS x FROM rd),
+w AS (SELECT *, regr_count(y, x) OVER w AS n, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a, regr_syy(y, x) OVER w AS syy, regr_sxy(y, x) OVER w AS sxy
+      FROM l WINDOW w AS (PARTITION BY team_name ORDER BY ts_ms, arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, a + b * x AS fc, '{Z}'::DOUBLE * sqrt(greatest(syy - b * sxy, 0.0::DOUBLE) / (n - 2)) AS half FROM w WHERE n >= 16 AND x IS NOT NULL)
+SELECT {out} FROM f WHERE y < fc - half OR y > fc + half"""
     q["anomaly_enriched"] = f"{_alerts_flagged()} SELECT {ALERT_COLS} FROM alerts"
     q["anomaly_severity"] = ("WITH " + _gauss_cte() + ",\nready AS (SELECT * FROM gauss WHERE forecast IS NOT NULL),\n"
                              + ENRICH.format(cols=_gcols(), conf=REAL_CONF, src="ready")

@@ -151,3 +151,35 @@ def test_balanced_chunks_give_the_same_flags(spark):
         a = {r.arrival: (r.n, r.is_anomaly, r.forecast) for r in fn(df, chunk_rows=37).collect()}
         b = {r.arrival: (r.n, r.is_anomaly, r.forecast) for r in fn(df, chunk_ms=10 ** 12).collect()}
         assert a == b
+
+
+@pytest.mark.parametrize("method", ["gaussian", "ar1"])
+def test_general_doubles_against_plain_statistics(spark, method):
+    """Small spread on a large value, NaN, infinity and null; chunks so small that each holds a few rows."""
+    rng = random.Random(3)
+    values = [1e9 + rng.gauss(0, 1e-3) for _ in range(120)]
+    values[20], values[40], values[41], values[77] = math.nan, None, math.inf, 1e9 + 1
+    rows = [(i, 1000 * i, "T", v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "arrival long, ms long, team_name string, engine_temperature double").withColumn("ts", F.timestamp_millis("ms"))
+    got = {r.arrival: r for r in anomaly.detect(df, method, cents=False, chunk_ms=7000).collect()}
+    clean = [v if v is not None and math.isfinite(v) else None for v in values]
+    z, seen = anomaly.z_value(), 0
+    for i, v in enumerate(clean):
+        if method == "gaussian":
+            past = [c - 1e9 for c in clean[:i] if c is not None]
+            if len(past) < 16 or v is None:
+                assert got[i].is_anomaly is None
+                continue
+            fc, half = statistics.fmean(past), z * statistics.stdev(past) * math.sqrt(1 + 1 / len(past))
+        else:
+            pairs = [(a - 1e9, b - 1e9) for a, b in zip(clean[:i], clean[1:i]) if a is not None and b is not None]
+            if len(pairs) < 16 or v is None or clean[i - 1] is None:
+                assert got[i].is_anomaly is None
+                continue
+            b, a = statistics.linear_regression(*zip(*pairs))
+            sse = sum((y - a - b * x) ** 2 for x, y in pairs)
+            fc, half = a + b * (clean[i - 1] - 1e9), z * math.sqrt(sse / (len(pairs) - 2))
+        assert got[i].is_anomaly == (abs(v - 1e9 - fc) > half), i
+        assert abs(got[i].forecast - 1e9 - fc) < 1e-3 * max(1.0, abs(fc))
+        seen += 1
+    assert seen > 90 and got[77].is_anomaly
