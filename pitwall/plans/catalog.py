@@ -7,6 +7,7 @@ Parameters (selected driver, as-of instants, race length) are fixed per query be
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitwall import schemas, sinks
-from pitwall.operators import anomaly, capped, commentary, dims, leaderboard as lb, races, vector, ai
+from pitwall.operators import anomaly, capped, commentary, dims, index, leaderboard as lb, races, vector, ai
+from pitwall.session import scratch_path
 from pitwall.sources import decode, views as V
 
 # --- Query parameters --------------------------------------------------------------------
@@ -340,6 +342,18 @@ def vector_topk_limit5(spark, sf):
     return vector.limit_overall(_topk(spark, sf), 5)
 
 
+#: Every so many-th vector is a query; the share of exact neighbours that the index is set up to find.
+INDEX_EVERY, INDEX_TARGET = 50, 0.95
+
+
+def vector_topk_indexed(spark, sf):
+    """A10: the nearest vectors by a stored index, probed for as many candidates as the wanted recall asks for."""
+    corpus = V.corpus(spark, sf)
+    queries = corpus.where(F.col("vec_id") % INDEX_EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    built = index.Index.build(corpus, scratch_path(spark, "indexes", f"vectors-{uuid.uuid4().hex}"))
+    return built.search(queries, TOP_K, built.candidates_for(queries, TOP_K, INDEX_TARGET))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in [
         positions_decode, positions_decode_damaged, decode_dead_letters, metrics_decode, leaderboard_latest, leaderboard_snapshot_race,
@@ -351,6 +365,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         anomaly_feed50, teams_distinct, team_lead, commentary_generate, commentary_decode,
         commentary_mentions, commentary_mentions_long_name, commentary_recent50, commentary_dedupe, commentary_feed50,
         envelope_json, commentary_envelope, upsert_latest, embed_queries, vector_topk,
-        vector_topk_limit5, text_search_topk,
+        vector_topk_limit5, text_search_topk, vector_topk_indexed,
     ]
 }
