@@ -107,6 +107,25 @@ def decode_dead_letters(spark, sf):
     return decode.dead_letters(_damaged(spark, sf), schemas.POSITION_WIRE).select("key", "value", "arrival")
 
 
+#: The schema id of framed records grows by one every so many; every so many-th record has another first byte.
+FRAME_IDS, FRAME_BROKEN = 1000, 9
+
+
+def _framed(spark, sf):
+    """The position topic as a schema registry's clients write it, some records with a header that is none."""
+    wire = decode.framed(decode.encode_positions(_pos(spark, sf)), 70_000 + F.floor(F.col("arrival") / FRAME_IDS))
+    broken = F.concat(F.unhex(F.lit("01")), F.substring("value", 2, 2_147_483_647))
+    return decode.unframed(wire.withColumn("value", F.when(F.col("arrival") % FRAME_BROKEN == 0, broken).otherwise(F.col("value"))))
+
+
+def positions_decode_framed(spark, sf):
+    return ntz(decode.positions(_framed(spark, sf)[0]))
+
+
+def decode_broken_frames(spark, sf):
+    return _framed(spark, sf)[1].select(F.col("key").cast("string").alias("key"), "arrival", F.octet_length("value").alias("n_bytes"))
+
+
 def metrics_decode(spark, sf):
     return ntz(decode.metrics(decode.encode_metrics(V.metrics(spark, sf), "key", METRICS_ASOF_MS)))
 
@@ -356,7 +375,7 @@ def vector_topk_indexed(spark, sf):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in [
-        positions_decode, positions_decode_damaged, decode_dead_letters, metrics_decode, leaderboard_latest, leaderboard_snapshot_race,
+        positions_decode, positions_decode_damaged, decode_dead_letters, positions_decode_framed, decode_broken_frames, metrics_decode, leaderboard_latest, leaderboard_snapshot_race,
         leaderboard_no_race, leaderboard_bounded10, leaderboard_bounded_repair, leaderboard_list_log, leaderboard_enriched, position_changes,
         baseline_delta, final_positions, race_winner, driver_result, race_status,
         races_evicted, race_lifecycle, race_lap, race_history, driver_validate_semi,

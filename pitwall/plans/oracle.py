@@ -228,6 +228,12 @@ def build() -> dict[str, str]:
     q["positions_decode_damaged"] = q["positions_decode"] + " WHERE arrival % 7 NOT IN (0, 1, 2)"
     q["decode_dead_letters"] = (f"WITH {POSITIONS} SELECT race_id AS key, arrival, CASE WHEN arrival % 7 = 1 THEN "
                                 f"'{{\"driver_name\": \"cut' || arrival ELSE '' END AS value FROM positions WHERE arrival % 7 IN (1, 2)")
+    q["positions_decode_framed"] = (f"WITH {POSITIONS} SELECT driver_name, position, {MS.format(c='ts')} AS ts, race_id, arrival, "
+                                    f"70000 + arrival // {C.FRAME_IDS} AS schema_id FROM positions WHERE arrival % {C.FRAME_BROKEN} <> 0")
+    wire = """'{"driver_name":"' || driver_name || '","position":' || position || ',"timestamp":' || (epoch_us(ts) // 1000)
+      || CASE WHEN race_id IS NULL THEN '' ELSE ',"race_id":"' || race_id || '"' END || ',"team_name":"' || team_name || '","speed":' || speed || '}'"""
+    q["decode_broken_frames"] = (f"WITH {POSITIONS} SELECT race_id AS key, arrival, CAST(5 + strlen({wire}) AS INTEGER) AS n_bytes "
+                                 f"FROM positions WHERE arrival % {C.FRAME_BROKEN} = 0")
     q["metrics_decode"] = f"WITH {METRICS} SELECT key, team_name, {MS.format(c='ts')} AS ts, engine_temperature, arrival FROM metrics"
     q["leaderboard_latest"] = f"WITH {POSITIONS}, {LATEST}, {RANKED} SELECT * FROM ranked"
     q["leaderboard_snapshot_race"] = (f"WITH {POSITIONS}, {LATEST}, {RANKED} SELECT * FROM ranked "

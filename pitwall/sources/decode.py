@@ -45,6 +45,28 @@ def dead_letters(df: DataFrame, schema: T.StructType) -> DataFrame:
     return bad.withColumn("key", F.col("key").cast("string")).withColumn("value", F.col("value").cast("string"))
 
 
+# --- Fixed values of a registry's framing: one magic byte, then the schema's id as four bytes, highest first ---
+FRAME_MAGIC = "00"
+FRAME_BYTES = 5
+# ---------------------------------------------------------------------------------------------------------------
+
+
+def framed(df: DataFrame, schema_id) -> DataFrame:
+    """The value with a registry's header before it (tombstones stay null)."""
+    header = F.unhex(F.concat(F.lit(FRAME_MAGIC), F.lpad(F.hex(X.col(schema_id).cast("long")), 8, "0")))
+    return df.withColumn("value", F.concat(header, F.col("value").cast("string").cast("binary")))
+
+
+def unframed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A4: (records with ``schema_id`` and their payload as ``value``, records whose value has no such header).
+
+    Tombstones stay among the first, as they carry no payload; a value of fewer than five bytes, or with another first byte, is no frame."""
+    v = F.col("value").cast("binary")
+    ok = v.isNull() | ((F.octet_length(v) >= FRAME_BYTES) & (F.hex(F.substring(v, 1, 1)) == FRAME_MAGIC))
+    good = df.where(ok).withColumn("schema_id", F.conv(F.hex(F.substring(v, 2, FRAME_BYTES - 1)), 16, 10).cast("long"))
+    return good.withColumn("value", F.substring(v, FRAME_BYTES + 1, 2_147_483_647)), df.where(~ok)
+
+
 def _passthrough(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in ("key", "value", "_v")]
 

@@ -87,3 +87,16 @@ def test_encode_metrics_defaults_and_roundtrip(spark):
     back = {r.arrival: r for r in decode.metrics(wire).collect()}
     assert back[1].key == "race-1" and back[1].ts == dt.datetime(2024, 1, 1, 0, 0, 0, 250000)
     assert back[2].team_name == "" and back[2].engine_temperature == 0.0
+
+
+def test_registry_frames(spark):
+    from pitwall.sources import decode
+    rows = [("a", '{"x":1}', 1), ("b", None, 2), ("c", "", 3), ("d", "é" * 50_000, 4)]
+    df = spark.createDataFrame(rows, "key string, value string, arrival long")
+    good, bad = decode.unframed(decode.framed(df, F.lit(70_001)))
+    got = {r.arrival: (r.schema_id, None if r.value is None else bytes(r.value).decode()) for r in good.collect()}
+    assert got == {1: (70_001, '{"x":1}'), 2: (None, None), 3: (70_001, ""), 4: (70_001, "é" * 50_000)} and bad.count() == 0
+    raw = [(bytearray(b"\x01\x00\x00\x00\x01x"), 1), (bytearray(b"\x00\x00\x00"), 2), (bytearray(b""), 3), (bytearray(b"\x00\xff\xff\xff\xff"), 4)]
+    good, bad = decode.unframed(spark.createDataFrame(raw, "value binary, arrival long"))
+    assert [(r.schema_id, bytes(r.value)) for r in good.collect()] == [(2**32 - 1, b"")]
+    assert sorted(r.arrival for r in bad.collect()) == [1, 2, 3]
