@@ -49,13 +49,17 @@ ANOMALY_COLS = ["team_name", "engine_temperature", "is_anomaly", "arrival"]
 REPLAY_SLOTS, JITTER_MS, SHORT_DELAY_MS = 4, 86_400_000, 6 * 3_600_000
 
 
-def _shuffled_metrics(spark, sf):
+def _shuffled(spark, sf):
     """Events in several batches, by event time plus a delay of up to a day that differs from row to row."""
     e = tables.load(spark, sf, "events")
     came = F.unix_millis("ts") + (F.col("event_id") * 7919) % JITTER_MS
     lo, hi = e.agg(F.min(came), F.max(came)).first()
     slot = F.floor((came - F.lit(lo)) * REPLAY_SLOTS / F.lit((hi or 0) - (lo or 0) + 1))
-    return V.metrics_from(topics.replay(spark, e, slot, REPLAY_SLOTS, "events"), V.roster(spark, sf))
+    return topics.replay(spark, e, slot, REPLAY_SLOTS, "events")
+
+
+def _shuffled_metrics(spark, sf):
+    return V.metrics_from(_shuffled(spark, sf), V.roster(spark, sf))
 
 
 def _detector(spark, sf, method, delay_ms) -> sanom.Detector:
@@ -202,9 +206,14 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+#: Messages of a race go on long after its end in the given tables: a year of event time before a finished race is forgotten.
+LIFECYCLE_KEEP_S = 366 * 86_400
+
+
 def stream_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     out, ck = runner.locations(spark, "lifecycle")
-    lc = alerts.lifecycle(_positions_stream(spark, sf), RACE_SECONDS)
+    rows = V.positions_from(_shuffled(spark, sf), V.roster(spark, sf))
+    lc = alerts.lifecycle(rows, RACE_SECONDS, f"{JITTER_MS} milliseconds", settled=True, evict_after_s=LIFECYCLE_KEEP_S)
     runner.finish(runner.start_files(lc, out, ck))
     return ntz(spark.read.parquet(out))
 

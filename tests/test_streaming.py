@@ -253,6 +253,19 @@ def test_lifecycle_over_many_batches_finishes_each_race_once(spark, tmp_dir):
     assert got == sorted((f"r{i}", s) for i in range(3) for s in ("in_progress", "finished"))
 
 
+def test_settled_lifecycle_starts_with_the_earliest_row_of_any_batch(spark, tmp_dir):
+    at = lambda i, s, race: (i, T0 + dt.timedelta(seconds=s), race, "d", 1, None, None)
+    # r1's earliest row comes in the second batch; r2's start is never passed
+    rows = [at(0, 30, "r1"), at(1, 35, "r1"), at(2, 10, "r1"), at(3, 40, "r1"), at(4, 500, "x"), at(5, 501, "r2")]
+    src, out, ck = f"{tmp_dir}/src", f"{tmp_dir}/out", f"{tmp_dir}/ck"
+    _write_files(src, rows, P_SCHEMA, 3)
+    stream = topics.files_stream(spark, src, _spark_schema(spark, src), max_files_per_trigger=1)
+    runner.finish(runner.start_files(alerts.lifecycle(stream, 60, "60 seconds", settled=True), out, ck))
+    got = sorted((r.race_id, r.status, r.at) for r in spark.read.parquet(out).select("race_id", "status", F.unix_seconds("at").alias("at")).collect())
+    base = int(T0.timestamp())
+    assert got == [("r1", "finished", base + 70), ("r1", "in_progress", base + 10)]
+
+
 def test_finish_raises_when_a_query_does_not_end(spark, tmp_dir):
     q = spark.readStream.format("rate").load().writeStream.format("noop").option("checkpointLocation", f"{tmp_dir}/ck").start()
     with pytest.raises(TimeoutError):
