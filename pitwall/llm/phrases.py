@@ -1,18 +1,21 @@
 """Phrase collocation mining (operator 13) with an FM-index per shard over word ids.
 
 Each task cuts its texts into shards of about ``shard_words`` words: a shard is one sequence of local word ids
-with a separator between pieces, and its dictionary with counts. Dictionaries are summed over the
-shards; words below ``min_count`` turn into separators. A shard's index (``index``) is the
+with a separator between pieces, and its dictionary with counts. A shard's index (``index``) is the
 Burrows-Wheeler transform of its sequence and of the reversed sequence, in an order by the
 first ``most_words`` words of each suffix: phrases are no longer, so that order finds their intervals.
 
+Counts are summed across shards in buckets of hashed words (``_count_words``) and of hashed phrases
+(``_count_phrases``). A shard sends every bucket one compressed block: its words or phrases of that bucket in order,
+with counts. The bucket sends back which of them have ``min_count`` in all shards, one bit each, and the ids of those,
+so neither a count nor an answer is a row of its own. Words below ``min_count`` turn into separators.
+
 Phrases grow by one word a level, to the left and to the right in turn. A phrase has an interval in
 both indexes (``extend``): grouping the transform inside it by word gives, for every word that can be put on, the
 count, the interval in the index it extends (the LF mapping of the first place), and the interval in the
 other one (the smaller words before it). A shard reports a longer phrase only if what it has without its other end word
-is frequent, too. Counts are summed across shards, phrases of at least ``min_count`` get an id and
-go back to the shards that hold them; a phrase is known by the id of the shorter one and the added
-word's, so all counts are exact.
+is frequent, too. A phrase is known by the id of the shorter one and the added word's, so all counts are exact.
+The number of buckets follows the bytes of text (``bucket_bytes``), so a bucket holds as much on any input.
 
 Words and pieces: A-Z lower-cased, pieces end at . , ; : ! ? and line ends, words are what spaces and tabs
 separate; phrases don't cross pieces or texts. Null text has no words; a null language is ``und``.
@@ -42,9 +45,18 @@ _STOP[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
 _GAP = _STOP.copy()
 _GAP[list(b" \t")] = True
 _CODEC = "zstd"
-_SHARD = "shard long, local int, lang string, word string, c long, size long, tokens binary"
-_INDEX = "shard long, p long, w long, c long, lo int, other int, size int, gids binary, left binary, right binary"
-_FOUND = "shard long, p long, w long, c long, lo int, other int"
+#: A block of a shard's words has ``n`` of them, from its local id ``first`` on; a shard's sequence is a row of its own.
+_SHARD = "shard long, bucket int, first int, n int, lang string, total long, words binary, sizes binary, c binary, size int, tokens binary"
+#: A block of a shard's phrases; the places of all of them in the indexes (in the blocks' order), and the index, are rows of their own.
+_FOUND = "shard long, bucket int, first int, n int, p binary, w binary, c binary, lo binary, other binary"
+_INDEX = f"{_FOUND}, size int, gids binary, left binary, right binary"
+#: What a bucket answers a block (the first five), and its frequent words or phrases.
+_ANSWER = "shard long, bucket int, first int, n int, mask binary, ranks binary"
+_WORDS = f"{_ANSWER}, id long, f long, lang string, word string"
+_PHRASES = f"{_ANSWER}, id long, f long, p long, w long"
+#: An id is the bucket, shifted by so many bits, and the rank in it.
+_RANK_BITS = 33
+_LEAST_BUCKETS = 16
 
 
 @dataclass(frozen=True)
@@ -54,15 +66,31 @@ class Params:
     shard_words: int = 1 << 21
     top: int = 2000
     most_broadcast: int = 200_000
+    bucket_bytes: int = 1 << 24
 
 
-def _packed(x: np.ndarray) -> bytes:
+def _packed(x: np.ndarray, kind: str = "<i4") -> bytes:
     """Bytes of one weight side by side compress better."""
-    return pa.compress(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec=_CODEC, asbytes=True)
+    return pa.compress(x.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes(), codec=_CODEC, asbytes=True)
+
+
+def _unpacked(raw: bytes, size: int, kind: str = "<i4") -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(raw, size * width, codec=_CODEC, asbytes=True), np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
+
+
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 
-def _unpacked(raw: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, size * 4, codec=_CODEC, asbytes=True), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    n = len(keys[0])
+    new = np.zeros(max(0, n - 1), bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [n]]) if n else np.zeros(1, np.int64)
 
 
 def cut_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +107,7 @@ def cut_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return buf[inside], end - start, row, new
 
 
-def _shards(batches, p: Params) -> Iterator[pa.RecordBatch]:
+def _shards(batches, p: Params, buckets: int) -> Iterator[pa.RecordBatch]:
     part, seq, held = TaskContext.get().partitionId(), 0, []
 
     def flush():
@@ -89,18 +117,26 @@ def _shards(batches, p: Params) -> Iterator[pa.RecordBatch]:
         code = pc.dictionary_encode(arr)
         names = {}
         lang = np.concatenate([np.array([names.setdefault(x, len(names)) for x in h[2]], np.int64)[h[3]] for h in held])
-        kinds, local, count = np.unique(lang * len(code.dictionary) + code.indices.to_numpy(), return_inverse=True, return_counts=True)
+        kinds, found, count = np.unique(lang * len(code.dictionary) + code.indices.to_numpy(), return_inverse=True, return_counts=True)
+        # local ids in order of language, bucket and word
+        rank = np.empty(len(code.dictionary), np.int64)
+        rank[pc.array_sort_indices(code.dictionary).to_numpy()] = np.arange(len(rank))
+        data, at = C.flat(code.dictionary)
+        home = (C.span_hashes(data, at[:-1], at[1:]) % np.uint64(buckets)).astype(np.int32)
+        own, word = np.divmod(kinds, len(code.dictionary))
+        order = np.lexsort((rank[word], home[word], own))
+        local = np.empty(len(kinds), np.int32)
+        local[order] = np.arange(len(kinds))
+        own, word, count = own[order], word[order], count[order]
         new = np.concatenate([h[4] for h in held])
         tokens = np.zeros(len(size) + int(new.sum()), np.int32)
-        tokens[np.arange(len(size)) + np.cumsum(new)] = local + 1
-        shard, m = part << 24 | seq, len(kinds)
-        words = code.dictionary.take(pa.array(kinds % len(code.dictionary))).cast(pa.string())
-        langs = pa.array(list(names)).take(pa.array(kinds // len(code.dictionary)))
-        t = pa.Table.from_arrays([pa.array(np.full(m, shard)), pa.array(np.arange(1, m + 1, dtype=np.int32)), langs, words, pa.array(count.astype(np.int64)),
-                                  pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], ["shard", "local", "lang", "word", "c", "size", "tokens"])
-        yield from t.to_batches(50_000)
-        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()),
-                                          pa.array([len(tokens)]), pa.array([_packed(tokens)])], t.schema.names)
+        tokens[np.arange(len(size)) + np.cumsum(new)] = local[found] + 1
+        shard, langs = part << 24 | seq, list(names)
+        data, at = C.flat(code.dictionary.take(pa.array(word)))
+        cut = _starts(own, home[word])
+        rows = [{"shard": shard, "bucket": int(home[word[lo]]), "first": int(lo) + 1, "n": int(hi - lo), "lang": langs[own[lo]], "total": int(count[lo:hi].sum()),
+                 "words": pa.compress(data[at[lo]:at[hi]].tobytes(), codec=_CODEC, asbytes=True), "sizes": _packed(np.diff(at[lo:hi + 1])), "c": _packed(count[lo:hi])} for lo, hi in zip(cut[:-1], cut[1:])]
+        yield pa.RecordBatch.from_pylist([*rows, {"shard": shard, "size": len(tokens), "tokens": _packed(tokens)}], _schema(_SHARD))
 
     have = 0
     for b in batches:
@@ -163,50 +199,139 @@ def extend(bwt: np.ndarray, lo: np.ndarray, other: np.ndarray, count: np.ndarray
     return which[good], symbol[good], n[good], here[good], there[good]
 
 
-def _build(key, left: pa.Table, right: pa.Table, p: Params) -> pa.Table:
-    """The index of a shard (one row), and its phrases of two words."""
-    names = [x.split()[0] for x in _INDEX.split(", ")]
-    kinds = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]]) for n, x in zip(names, _INDEX.split(", "))])
-    if not left.num_rows or not right.num_rows:
+def _answers(t: dict, rank: np.ndarray) -> list[dict]:
+    """For each block: the bits of what is frequent (rank 0 or more), and its ranks in that order."""
+    out, at = [], 0
+    for shard, bucket, first, n in zip(t["shard"], t["bucket"], t["first"], t["n"]):
+        some = rank[at:at + n]
+        ranks = some[some >= 0]
+        out.append({"shard": shard, "bucket": bucket, "first": first, "n": n, "mask": np.packbits(some >= 0).tobytes(), "ranks": _packed(np.diff(ranks, prepend=0))})
+        at += n
+    return out
+
+
+def _answered(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(which of a shard's words or phrases are frequent, their ids), from all answers to its blocks."""
+    keep, ids = [], []
+    for r in right.sort_by("first").to_pylist():
+        keep.append(np.unpackbits(np.frombuffer(r["mask"], np.uint8), count=r["n"]).astype(bool))
+        ids.append(np.cumsum(_unpacked(r["ranks"], int(keep[-1].sum()))) + (r["bucket"] << _RANK_BITS))
+    return np.flatnonzero(np.concatenate(keep)), np.concatenate(ids).astype(np.int64)
+
+
+def _count_words(key, t: pa.Table, p: Params) -> pa.Table:
+    """Of a bucket: the answers to its blocks, and its frequent words."""
+    out, base = [], 0
+    for lang in dict.fromkeys(t.column("lang").to_pylist()):
+        b = t.filter(pc.equal(t.column("lang"), lang)).to_pydict()
+        size = [_unpacked(x, n) for x, n in zip(b["sizes"], b["n"])]
+        raw = b"".join(pa.decompress(x, int(s.sum()), codec=_CODEC, asbytes=True) for x, s in zip(b["words"], size))
+        off = np.concatenate([[0], np.cumsum(np.concatenate(size), dtype=np.int64)])
+        code = pc.dictionary_encode(pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(raw)))
+        kind, count = code.indices.to_numpy(), np.concatenate([_unpacked(x, n) for x, n in zip(b["c"], b["n"])]).astype(np.int64)
+        order = np.argsort(kind, kind="stable")
+        f = np.add.reduceat(count[order], _starts(kind[order])[:-1])
+        often = np.flatnonzero(f >= p.min_count)
+        words = code.dictionary.take(pa.array(often))
+        turn = pc.array_sort_indices(words).to_numpy()
+        rank = np.full(len(f), -1, np.int64)
+        rank[often[turn]] = base + np.arange(len(often))
+        out += _answers(b, rank[kind])
+        out += [{"id": (key[0].as_py() << _RANK_BITS) + base + i, "f": int(f[often[j]]), "lang": lang, "word": words[int(j)].as_py()} for i, j in enumerate(turn)]
+        base += len(often)
+    return pa.Table.from_pylist(out, _schema(_WORDS))
+
+
+def _count_phrases(key, t: pa.Table, p: Params) -> pa.Table:
+    """Of a bucket: the answers to its blocks, and its frequent phrases."""
+    b = t.to_pydict()
+    head = np.concatenate([np.cumsum(_unpacked(x, n, "<i8")) for x, n in zip(b["p"], b["n"])])
+    word = np.concatenate([_unpacked(x, n, "<i8") for x, n in zip(b["w"], b["n"])])
+    count = np.concatenate([_unpacked(x, n) for x, n in zip(b["c"], b["n"])])
+    order = np.lexsort((word, head))
+    head, word = head[order], word[order]
+    cut = _starts(head, word)
+    f = np.add.reduceat(count[order].astype(np.int64), cut[:-1])
+    often = f >= p.min_count
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.repeat(np.where(often, np.cumsum(often) - 1, -1), np.diff(cut))
+    at, n, kinds = cut[:-1][often], int(often.sum()), _schema(_PHRASES)
+    rows = {"id": pa.array((key[0].as_py() << _RANK_BITS) + np.arange(n)), "f": pa.array(f[often]), "p": pa.array(head[at]), "w": pa.array(word[at])}
+    return pa.concat_tables([pa.Table.from_pylist(_answers(b, rank), kinds), pa.Table.from_arrays([rows.get(x.name, pa.nulls(n, x.type)) for x in kinds], schema=kinds)])
+
+
+def _ordered(head: np.ndarray, word: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of each phrase, order by bucket and phrase)."""
+    with np.errstate(over="ignore"):
+        home = (C.mix(C.mix(head.astype(np.uint64)) + word.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    return home, np.lexsort((word, head, home))
+
+
+def _blocks(shard: int, head: np.ndarray, word: np.ndarray, count: np.ndarray, home: np.ndarray) -> list[dict]:
+    """Blocks of a shard's phrases, in order of bucket and phrase."""
+    cut = _starts(home)
+    return [{"shard": shard, "bucket": int(home[lo]), "first": int(lo), "n": int(hi - lo), "p": _packed(np.diff(head[lo:hi], prepend=0), "<i8"), "w": _packed(word[lo:hi], "<i8"), "c": _packed(count[lo:hi])}
+            for lo, hi in zip(cut[:-1], cut[1:])]
+
+
+def _pairs(fore: np.ndarray, gids: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """(first known word, word before it, count, place, place in the other index, bucket) of a shard's phrases of two words, in order of bucket and phrase."""
+    total = np.bincount(fore, minlength=len(gids) + 1)
+    starts = np.concatenate([[0], np.cumsum(total)])[:-1]
+    which, symbol, n, here, there = extend(fore, starts[1:], starts[1:], total[1:], False)
+    head, word = gids[which], gids[symbol - 1]
+    home, order = _ordered(head, word, buckets)
+    return tuple(x[order] for x in (head, word, n, here, there, home))
+
+
+def _build(key, left: pa.Table, right: pa.Table, p: Params, buckets: int) -> pa.Table:
+    """The index of a shard (one row), and the blocks of its phrases of two words."""
+    kinds = _schema(_INDEX)
+    local, gids = _answered(right) if left.num_rows and right.num_rows else ((), ())
+    if not len(local):
         return kinds.empty_table()
     tokens = _unpacked(left.column("tokens")[0].as_py(), left.column("size")[0].as_py())
-    gids = right.column("gid").to_numpy()
     by = np.argsort(gids)
     dense = np.zeros(int(tokens.max()) + 1, np.int32)
-    dense[right.column("local").to_numpy()[by]] = np.arange(1, len(by) + 1)
+    dense[local[by] + 1] = np.arange(1, len(by) + 1)
     t = dense[tokens]
     t = t[(t > 0) | (np.roll(t, 1) > 0)]
     if not len(t) or t.min() > 0:
         t = np.append(t, np.int32(0))
     fore, back = index(t, p.most_words)
-    total = np.bincount(t, minlength=len(gids) + 1)
-    starts = np.concatenate([[0], np.cumsum(total)])[:-1]
-    which, symbol, n, here, there = extend(fore, starts[1:], starts[1:], total[1:], False)
-    gids, shard, m = gids[by], key[0].as_py(), len(which)
-    rows = pa.Table.from_arrays([pa.array(np.full(m, shard)), pa.array(gids[which]), pa.array(gids[symbol - 1]), pa.array(n), pa.array(here.astype(np.int32)),
-                                 pa.array(there.astype(np.int32)), pa.nulls(m, pa.int32()), *(pa.nulls(m, pa.binary()) for _ in range(3))], names).cast(kinds)
-    own = pa.Table.from_pylist([{"shard": shard, "size": len(t), "gids": pa.compress(gids.tobytes(), codec=_CODEC, asbytes=True), "left": _packed(fore), "right": _packed(back)}], kinds)
-    return pa.concat_tables([own, rows])
-
-
-def _grower(to_left: bool):
-    return lambda key, left, right: _grow(key, left, right, to_left)
-
-
-def _grow(key, left: pa.Table, right: pa.Table, to_left: bool) -> pa.Table:
-    """Longer phrases of a shard."""
-    names = [x.split()[0] for x in _FOUND.split(", ")]
-    if not left.num_rows or not right.num_rows:
-        return pa.table({n: pa.array([], pa.int32() if n in ("lo", "other") else pa.int64()) for n in names})
-    bwt = _unpacked(left.column("bwt")[0].as_py(), left.column("size")[0].as_py())
+    gids, shard = gids[by], key[0].as_py()
+    head, word, n, _, _, home = _pairs(fore, gids, buckets)
+    own = {"shard": shard, "size": len(t), "gids": _packed(np.diff(gids, prepend=0), "<i8"), "left": _packed(fore), "right": _packed(back)}
+    return pa.Table.from_pylist([own, *_blocks(shard, head, word, n, home)], kinds)
+
+
+def _grow(key, left: pa.Table, right: pa.Table, to_left: bool, buckets: int) -> pa.Table:
+    """Longer phrases of a shard: their blocks and places."""
+    kinds = _schema(_FOUND)
+    rows = left.to_pylist()
+    own = next((r for r in rows if r["gids"] is not None), None)
+    if own is None or not right.num_rows:
+        return kinds.empty_table()
+    bwt = _unpacked(own["bwt"], own["size"])
     words = int(bwt.max(initial=0))
-    gids = np.frombuffer(pa.decompress(left.column("gids")[0].as_py(), words * 8, codec=_CODEC, asbytes=True), np.int64)
-    ids, c, lo, other = (right.column(x).to_numpy().astype(np.int64) for x in ("id", "c", "lo", "other"))
+    gids = np.cumsum(_unpacked(own["gids"], words, "<i8"))
+    if own["fore"] is not None:
+        _, _, c, lo, other, _ = _pairs(_unpacked(own["fore"], own["size"]), gids, buckets)
+    else:
+        places = next(r for r in rows if r["lo"] is not None)
+        c, lo, other = (_unpacked(places[x], places["n"]).astype(np.int64) for x in ("c", "lo", "other"))
+    some, ids = _answered(right)
+    c, lo, other = c[some], lo[some], other[some]
     lo, other = (lo, other) if to_left else (other, lo)
     which, symbol, n, here, there = extend(bwt, lo, other, c, True)
     here, there = (here, there) if to_left else (there, here)
-    return pa.table([pa.array(np.full(len(which), key[0].as_py())), pa.array(ids[which]), pa.array(gids[symbol - 1]), pa.array(n),
-                     pa.array(here.astype(np.int32)), pa.array(there.astype(np.int32))], names)
+    head, word = ids[which], gids[symbol - 1]
+    home, order = _ordered(head, word, buckets)
+    if not len(order):
+        return kinds.empty_table()
+    shard, n = key[0].as_py(), n[order]
+    places = {"shard": shard, "n": len(n), "c": _packed(n), "lo": _packed(here[order]), "other": _packed(there[order])}
+    return pa.Table.from_pylist([places, *_blocks(shard, head[order], word[order], n, home[order])], kinds)
 
 
 def _sized(df: DataFrame, rows: int, p: Params) -> DataFrame:
@@ -216,37 +341,45 @@ def _sized(df: DataFrame, rows: int, p: Params) -> DataFrame:
 def ngrams(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """Of ``docs`` (text, lang): (lang, phrase, k, f) of the frequent phrases of one word or more, and (lang, n), all words of a language."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    shards = C.stored(rows.mapInArrow(lambda it: _shards(it, p), _SHARD), "phrase-shards")
-    entries = shards.filter("local is not null")
-    sizes = entries.groupBy("lang").agg(F.sum("c").alias("n"))
-    frequent = entries.groupBy("lang", "word").agg(F.sum("c").alias("f")).filter(F.col("f") >= p.min_count)
-    words = C.stored(frequent.withColumn("id", F.monotonically_increasing_id()), "phrase-words")
+    buckets = max(_LEAST_BUCKETS, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // p.bucket_bytes))
+    shards = C.stored(rows.mapInArrow(lambda it: _shards(it, p, buckets), _SHARD), "phrase-shards")
+    blocks = shards.filter("bucket is not null").drop("size", "tokens")
+    sizes = blocks.groupBy("lang").agg(F.sum("total").alias("n"))
+    counted = C.stored(blocks.groupBy("bucket").applyInArrow(lambda key, t: _count_words(key, t, p), _WORDS), "phrase-words")
+    words = counted.filter("id is not null")
     n_words = words.count()
     level = words.select("id", "lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "f")
     named = words.select(F.col("id").alias("w"), "word")
-    out, hits = level, None
-    known = entries.select("shard", "local", "lang", "word").join(_sized(words.select("lang", "word", F.col("id").alias("gid")), n_words, p), ["lang", "word"]).select(F.col("shard").alias("own"), "local", "gid")
-    built = C.stored(shards.filter("tokens is not null").select("shard", "size", "tokens").groupBy("shard").cogroup(known.groupBy("own"))
-                     .applyInArrow(lambda key, a, b: _build(key, a, b, p), _INDEX), "phrase-index")
-    found, n_level = built.filter("w is not null"), n_words
+    out = level
+    answers = [c.split()[0] for c in _ANSWER.split(", ")]
+    hits = counted.filter("id is null").select(*answers)
+    built = C.stored(shards.filter("tokens is not null").select("shard", "size", "tokens").groupBy("shard").cogroup(hits.groupBy("shard"))
+                     .applyInArrow(lambda key, a, b: _build(key, a, b, p, buckets), _INDEX), "phrase-index")
+    found, n_level = built.filter("bucket is not null"), n_words
     for k in range(2, p.most_words + 1):
         to_left = k % 2 == 0
         if k > 2:
-            side = built.filter("gids is not null").select("shard", "size", "gids", F.col("left" if to_left else "right").alias("bwt"))
-            found = C.stored(side.groupBy("shard").cogroup(hits.groupBy("own")).applyInArrow(_grower(to_left), _FOUND), "phrases-found")
-        more = found.groupBy("p", "w").agg(F.sum("c").alias("f")).filter(F.col("f") >= p.min_count)
-        more = C.stored(more.withColumn("id", F.monotonically_increasing_id()), "phrases-frequent")
+            # with the index, the places of the phrases found last: of two words they are found once more
+            side = built.filter("gids is not null").select("shard", "size", "gids", F.col("left" if to_left else "right").alias("bwt"), (F.col("left") if k == 3 else F.lit(None).cast("binary")).alias("fore"))
+            side = side.unionByName(found.filter("lo is not null").select("shard", "n", "c", "lo", "other"), allowMissingColumns=True)
+            found = C.stored(side.groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(_grower(to_left, buckets), _FOUND), "phrases-found")
+        blocks = found.filter("bucket is not null").select("shard", "bucket", "first", "n", "p", "w", "c")
+        counted = C.stored(blocks.groupBy("bucket").applyInArrow(lambda key, t: _count_phrases(key, t, p), _PHRASES), "phrases-frequent")
+        more, hits = counted.filter("id is not null").select("id", "p", "w", "f"), counted.filter("id is null").select(*answers)
         below, n_below = level, n_level
         n_level = more.count()
         if not n_level:
             break
-        hits = found.select("shard", "p", "w", "c", "lo", "other").join(_sized(more.select("p", "w", "id"), n_level, p), ["p", "w"]).select(F.col("shard").alias("own"), "id", "c", "lo", "other")
         both = more.join(_sized(below.select(F.col("id").alias("p"), "lang", "phrase"), n_below, p), "p").join(_sized(named, n_words, p), "w")
         level = C.stored(both.select("id", "lang", F.concat_ws(" ", *(("word", "phrase") if to_left else ("phrase", "word"))).alias("phrase"), F.lit(k).alias("k"), "f"), "phrases")
         out = out.unionByName(level)
     return out.drop("id"), sizes
 
 
+def _grower(to_left: bool, buckets: int):
+    return lambda key, left, right: _grow(key, left, right, to_left, buckets)
+
+
 def extensions(grams: DataFrame) -> DataFrame:
     """The largest counts of ``grams`` (lang, phrase, k, f) with one word more: lang, phrase, to_left, to_right."""
     w = F.split("phrase", " ")
