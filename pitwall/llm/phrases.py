@@ -10,7 +10,7 @@ Counts are summed across shards in buckets of hashed words (``_count_words``) an
 with counts. The bucket sends back which of them have ``min_count`` in all shards, one bit each, and the ids of those,
 so neither a count nor an answer is a row of its own. Words below ``min_count`` turn into separators.
 
-Phrases grow by one word a level, to the left and to the right in turn. A phrase has an interval in
+Phrases grow by one word a level, up to three words to the left, then to the right. A phrase has an interval in
 both indexes (``extend``): grouping the transform inside it by word gives, for every word that can be put on, the
 count, the interval in the index it extends (the LF mapping of the first place), and the interval in the
 other one (the smaller words before it). A shard reports a longer phrase only if what it has without its other end word
@@ -39,13 +39,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwall.llm import common as C
+from pitwall.session import remove
 
 _STOP = np.zeros(256, bool)
 _STOP[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
 _GAP = _STOP.copy()
 _GAP[list(b" \t")] = True
 _CODEC = "zstd"
-#: A block of a shard's words has ``n`` of them, from its local id ``first`` on; a shard's sequence is a row of its own.
+#: A block of a shard's words has ``n`` of them; a shard's sequence is a row of its own, with the counts of all its words in the blocks' order.
 _SHARD = "shard long, bucket int, first int, n int, lang string, total long, words binary, sizes binary, c binary, size int, tokens binary"
 #: A block of a shard's phrases; the places of all of them in the indexes (in the blocks' order), and the index, are rows of their own.
 _FOUND = "shard long, bucket int, first int, n int, p binary, w binary, c binary, lo binary, other binary"
@@ -84,6 +85,13 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 
+def _by_count(count: np.ndarray) -> np.ndarray:
+    """Numbers from 1 on, the largest count first."""
+    out = np.empty(len(count), np.int32)
+    out[np.argsort(-count, kind="stable")] = np.arange(1, len(count) + 1)
+    return out
+
+
 def _starts(*keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys begin, and the end."""
     n = len(keys[0])
@@ -118,25 +126,25 @@ def _shards(batches, p: Params, buckets: int) -> Iterator[pa.RecordBatch]:
         names = {}
         lang = np.concatenate([np.array([names.setdefault(x, len(names)) for x in h[2]], np.int64)[h[3]] for h in held])
         kinds, found, count = np.unique(lang * len(code.dictionary) + code.indices.to_numpy(), return_inverse=True, return_counts=True)
-        # local ids in order of language, bucket and word
+        # blocks in order of language, bucket and word; local ids by count, as small numbers compress best
         rank = np.empty(len(code.dictionary), np.int64)
         rank[pc.array_sort_indices(code.dictionary).to_numpy()] = np.arange(len(rank))
         data, at = C.flat(code.dictionary)
         home = (C.span_hashes(data, at[:-1], at[1:]) % np.uint64(buckets)).astype(np.int32)
         own, word = np.divmod(kinds, len(code.dictionary))
         order = np.lexsort((rank[word], home[word], own))
-        local = np.empty(len(kinds), np.int32)
-        local[order] = np.arange(len(kinds))
         own, word, count = own[order], word[order], count[order]
+        local = np.empty(len(kinds), np.int32)
+        local[order] = _by_count(count)
         new = np.concatenate([h[4] for h in held])
         tokens = np.zeros(len(size) + int(new.sum()), np.int32)
-        tokens[np.arange(len(size)) + np.cumsum(new)] = local[found] + 1
+        tokens[np.arange(len(size)) + np.cumsum(new)] = local[found]
         shard, langs = part << 24 | seq, list(names)
         data, at = C.flat(code.dictionary.take(pa.array(word)))
         cut = _starts(own, home[word])
-        rows = [{"shard": shard, "bucket": int(home[word[lo]]), "first": int(lo) + 1, "n": int(hi - lo), "lang": langs[own[lo]], "total": int(count[lo:hi].sum()),
+        rows = [{"shard": shard, "bucket": int(home[word[lo]]), "first": int(lo), "n": int(hi - lo), "lang": langs[own[lo]], "total": int(count[lo:hi].sum()),
                  "words": pa.compress(data[at[lo]:at[hi]].tobytes(), codec=_CODEC, asbytes=True), "sizes": _packed(np.diff(at[lo:hi + 1])), "c": _packed(count[lo:hi])} for lo, hi in zip(cut[:-1], cut[1:])]
-        yield pa.RecordBatch.from_pylist([*rows, {"shard": shard, "size": len(tokens), "tokens": _packed(tokens)}], _schema(_SHARD))
+        yield pa.RecordBatch.from_pylist([*rows, {"shard": shard, "n": len(count), "c": _packed(count), "size": len(tokens), "tokens": _packed(tokens)}], _schema(_SHARD))
 
     have = 0
     for b in batches:
@@ -290,18 +298,19 @@ def _build(key, left: pa.Table, right: pa.Table, p: Params, buckets: int) -> pa.
     local, gids = _answered(right) if left.num_rows and right.num_rows else ((), ())
     if not len(local):
         return kinds.empty_table()
-    tokens = _unpacked(left.column("tokens")[0].as_py(), left.column("size")[0].as_py())
-    by = np.argsort(gids)
-    dense = np.zeros(int(tokens.max()) + 1, np.int32)
-    dense[local[by] + 1] = np.arange(1, len(by) + 1)
-    t = dense[tokens]
+    own = left.to_pylist()[0]
+    count = _unpacked(own["c"], own["n"])
+    by = np.argsort(-count[local], kind="stable")
+    dense = np.zeros(len(count) + 1, np.int32)
+    dense[_by_count(count)[local[by]]] = np.arange(1, len(by) + 1)
+    t = dense[_unpacked(own["tokens"], own["size"])]
     t = t[(t > 0) | (np.roll(t, 1) > 0)]
     if not len(t) or t.min() > 0:
         t = np.append(t, np.int32(0))
     fore, back = index(t, p.most_words)
     gids, shard = gids[by], key[0].as_py()
     head, word, n, _, _, home = _pairs(fore, gids, buckets)
-    own = {"shard": shard, "size": len(t), "gids": _packed(np.diff(gids, prepend=0), "<i8"), "left": _packed(fore), "right": _packed(back)}
+    own = {"shard": shard, "size": len(t), "gids": _packed(gids, "<i8"), "left": _packed(fore), "right": _packed(back)}
     return pa.Table.from_pylist([own, *_blocks(shard, head, word, n, home)], kinds)
 
 
@@ -314,11 +323,11 @@ def _grow(key, left: pa.Table, right: pa.Table, to_left: bool, buckets: int) ->
         return kinds.empty_table()
     bwt = _unpacked(own["bwt"], own["size"])
     words = int(bwt.max(initial=0))
-    gids = np.cumsum(_unpacked(own["gids"], words, "<i8"))
-    if own["fore"] is not None:
-        _, _, c, lo, other, _ = _pairs(_unpacked(own["fore"], own["size"]), gids, buckets)
+    gids = _unpacked(own["gids"], words, "<i8")
+    places = next((r for r in rows if r["lo"] is not None), None)
+    if places is None:
+        _, _, c, lo, other, _ = _pairs(bwt, gids, buckets)
     else:
-        places = next(r for r in rows if r["lo"] is not None)
         c, lo, other = (_unpacked(places[x], places["n"]).astype(np.int64) for x in ("c", "lo", "other"))
     some, ids = _answered(right)
     c, lo, other = c[some], lo[some], other[some]
@@ -342,9 +351,9 @@ def ngrams(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]
     """Of ``docs`` (text, lang): (lang, phrase, k, f) of the frequent phrases of one word or more, and (lang, n), all words of a language."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     buckets = max(_LEAST_BUCKETS, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // p.bucket_bytes))
-    shards = C.stored(rows.mapInArrow(lambda it: _shards(it, p, buckets), _SHARD), "phrase-shards")
+    shards, path = C.stored_at(rows.mapInArrow(lambda it: _shards(it, p, buckets), _SHARD), "phrase-shards")
     blocks = shards.filter("bucket is not null").drop("size", "tokens")
-    sizes = blocks.groupBy("lang").agg(F.sum("total").alias("n"))
+    sizes = C.stored(blocks.groupBy("lang").agg(F.sum("total").alias("n")), "phrase-sizes")
     counted = C.stored(blocks.groupBy("bucket").applyInArrow(lambda key, t: _count_words(key, t, p), _WORDS), "phrase-words")
     words = counted.filter("id is not null")
     n_words = words.count()
@@ -353,14 +362,15 @@ def ngrams(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]
     out = level
     answers = [c.split()[0] for c in _ANSWER.split(", ")]
     hits = counted.filter("id is null").select(*answers)
-    built = C.stored(shards.filter("tokens is not null").select("shard", "size", "tokens").groupBy("shard").cogroup(hits.groupBy("shard"))
+    built = C.stored(shards.filter("tokens is not null").select("shard", "n", "c", "size", "tokens").groupBy("shard").cogroup(hits.groupBy("shard"))
                      .applyInArrow(lambda key, a, b: _build(key, a, b, p, buckets), _INDEX), "phrase-index")
+    remove(docs.sparkSession, path)     # the index has all that is read of it
     found, n_level = built.filter("bucket is not null"), n_words
     for k in range(2, p.most_words + 1):
-        to_left = k % 2 == 0
+        to_left = k <= 3
         if k > 2:
-            # with the index, the places of the phrases found last: of two words they are found once more
-            side = built.filter("gids is not null").select("shard", "size", "gids", F.col("left" if to_left else "right").alias("bwt"), (F.col("left") if k == 3 else F.lit(None).cast("binary")).alias("fore"))
+            # with the index, the places of the phrases found last; those of two words are found once more, in the index that grows them to three
+            side = built.filter("gids is not null").select("shard", "size", "gids", F.col("left" if to_left else "right").alias("bwt"))
             side = side.unionByName(found.filter("lo is not null").select("shard", "n", "c", "lo", "other"), allowMissingColumns=True)
             found = C.stored(side.groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(_grower(to_left, buckets), _FOUND), "phrases-found")
         blocks = found.filter("bucket is not null").select("shard", "bucket", "first", "n", "p", "w", "c")

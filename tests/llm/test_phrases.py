@@ -1,5 +1,6 @@
 """Operator 13 against brute force and edge cases."""
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -97,3 +98,34 @@ def test_index_intervals():
             have[(int(s), *names[w]) if left else (*names[w], int(s))] = (int(h), int(o), int(c)) if left else (int(o), int(h), int(c))
         want = Counter(tuple(t[i:i + k].tolist()) for i in range(len(t) - k + 1) if t[i:i + k].all())
         assert {x: v[2] for x, v in have.items()} == dict(want)
+
+
+def test_shards_meet_in_blocks(spark, monkeypatch):
+    """Counts and answers travel as one row a shard and bucket, however many words and phrases a shard has; the shards are removed once indexed."""
+    seen, paths = {}, []
+    kept, kept_at = phrases.C.stored, phrases.C.stored_at
+
+    def stored(df, name):
+        out = kept(df, name)
+        seen.setdefault(name, []).append(out)
+        return out
+
+    def stored_at(df, name):
+        out, path = kept_at(df, name)
+        if name == "phrase-shards":
+            seen[name] = out.count()
+            paths.append(path)
+        return out, path
+
+    monkeypatch.setattr(phrases.C, "stored", stored)
+    monkeypatch.setattr(phrases.C, "stored_at", stored_at)
+    rows = [(" ".join(f"w{(i * 7 + j) % 300}" for j in range(400)), "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(2)
+    p = phrases.Params(min_count=5)
+    assert sorted(tuple(r) for r in phrases.top_collocations(docs, p).collect()) == plain(rows, 5, p.top)
+    shards, buckets = 2, phrases._LEAST_BUCKETS
+    assert seen["phrase-shards"] <= shards * (buckets + 1)
+    assert seen["phrase-index"][0].count() <= shards * (buckets + 1)
+    assert all(x.count() <= shards * (buckets + 1) for x in seen["phrases-found"])
+    assert all(x.filter("id is null").count() <= shards * buckets for x in seen["phrases-frequent"])
+    assert not any(os.path.exists(x.replace("file:", "")) for x in paths)
