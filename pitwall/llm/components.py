@@ -1,7 +1,7 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Nodes are 64-bit ids. Every step is one aggregation and one join, written to the shared folder, so
-no node's links meet in one task's memory and lineage stays short. The steps end when the
+no node's links meet in one task's memory and lineage stays short; a step's table is removed once the next is written. The steps end when the
 edge set no longer changes; each component is then a star around its smallest id.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitwall.llm import common as C
+from pitwall.session import remove
 
 
 def _signature(edges: DataFrame):
@@ -20,18 +21,20 @@ def _signature(edges: DataFrame):
 
 def connected_components(links: DataFrame) -> DataFrame:
     """``links`` (a, b) to (node, component): the smallest id reachable from each linked node."""
-    edges = C.stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links")
+    edges, at = C.stored_at(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links")
     was = _signature(edges)
     while was[0]:
         # large star: larger neighbours move to the node's smallest neighbour (or the node itself)
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        edges = C.stored(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
+        edges, large = C.stored_at(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
+        remove(links.sparkSession, at)
         # small star: a node and its smaller neighbours move to the smallest of them
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         near = edges.join(least, "a")
-        edges = C.stored(near.select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select("a", F.col("m").alias("b")))
-                         .filter("a != b").distinct(), "small-star")
+        edges, at = C.stored_at(near.select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select("a", F.col("m").alias("b")))
+                                .filter("a != b").distinct(), "small-star")
+        remove(links.sparkSession, large)
         now = _signature(edges)
         if now == was:
             break

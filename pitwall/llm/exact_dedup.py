@@ -93,6 +93,20 @@ def flagged(keys: DataFrame, p: Params) -> DataFrame:
     return out.select(*keys.columns, (_is_set(F.col("bitmap0"), F.col("at0")) & _is_set(F.col("bitmap1"), F.col("at1"))).alias("maybe"))
 
 
+def sieve(keys: DataFrame, p: Params = Params()) -> tuple[DataFrame, int]:
+    """A filter of ``keys`` (cell long) for ``sifted``: its stored bitmaps, to be broadcast, and their bits."""
+    bits = max(_BUCKET, min(p.most_bits, _power(p.bits_per_cell * keys.count())))
+    return C.stored(bitmaps(keys, bits), "bitmaps"), bits
+
+
+def sifted(rows: DataFrame, key: str, by: tuple[DataFrame, int], maybe: str) -> DataFrame:
+    """``rows`` with ``maybe``: false only where the filter's keys don't have the row's ``key``. Nothing shuffles."""
+    filters, bits = by
+    at = _position(F.col(key), bits)
+    found = rows.join(F.broadcast(filters.select(F.col("bucket").alias("sieve_bucket"), F.col("bitmap").alias("sieve_bitmap"))), F.floor(at / _BUCKET) == F.col("sieve_bucket"), "left")
+    return found.select(*rows.columns, _is_set(F.col("sieve_bitmap"), at).alias(maybe))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text_sha256 and the input row as struct ``row``."""
     return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))

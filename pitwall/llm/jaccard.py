@@ -10,10 +10,14 @@ one common order, one of the first D + 1 agrees. The order puts segments made of
 shingles (and empty ones) last, so text that many unlinked documents share makes no candidates.
 
 Documents that share a listed segment become candidates by stars, not by all pairs: each is paired
-with the smallest id of the segment's group. Candidates pass the length and Hamming bounds and
+with the smallest id of the segment's group. Candidates pass the length and Hamming bounds (large sets also
+that of a sketch as wide as they are large: 1,024 bits say nothing of sets of many thousands) and
 are verified on their shingle sets; components follow. A second round takes all pairs between
-*different* components that share a listed segment, so no link between components is lost, and
-none inside a component is expanded.
+*different* components that share a listed segment (then one of them is not in the component of the
+segment's smallest id), so no link between components is lost, and none inside a component is expanded.
+
+Only the document that names its class lists segments, and only texts of candidates shuffle: both are told by a broadcast bitmap
+(``exact_dedup.sieve``) of bounded size. Many candidates are verified in rounds. Tables and shuffle files that no later step reads are removed on the way.
 
 Texts null, blank or empty have an empty set, are linked with nothing and are their own
 component; a text with fewer words than a shingle is one shingle. Equal sets form one class
@@ -24,6 +28,7 @@ a null id gets no links and a null component. Extra columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +37,16 @@ from pyspark.sql import functions as F
 
 from pitwall.llm import common as C
 from pitwall.llm.components import connected_components
+from pitwall.llm.exact_dedup import sieve, sifted
+from pitwall.session import remove
 
 BITS = 1024
 #: Of a shingle's hash; a row number of a slice (below 4,096) and the hash sort as one integer.
 HASH_BITS = 52
 _HOT_BUCKETS = 1 << 20
-_SIG = "kind int, doc_id long, n long, s1 long, s2 long, parity array<long>, bucket long, seen long"
+#: A partition of the listed segments holds at most some third of so many rows.
+SHINGLES_PER_PART = 1 << 21
+_SIG = "kind int, doc_id long, n long, s1 long, s2 long, parity array<long>, wide binary, bucket long, seen long"
 
 
 @dataclass(frozen=True)
@@ -85,6 +94,18 @@ def _sums(values: np.ndarray, first: np.ndarray, n: np.ndarray, op) -> np.ndarra
     return out
 
 
+def wide_sketch(h: np.ndarray) -> bytes:
+    """Parities of a set's hashes at their low bits, as many places as the next power of two over its size."""
+    return np.packbits((np.bincount((h % np.uint64(1 << (len(h) - 1).bit_length())).astype(np.int64), minlength=1 << (len(h) - 1).bit_length()) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_distance(x: bytes, y: bytes) -> int:
+    """Hamming distance, the longer sketch folded to the shorter one's places: a lower bound of the symmetric difference."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    k = min(len(x), len(y))
+    return int(np.unpackbits(np.bitwise_xor.reduce(x.reshape(-1, k), axis=0) ^ np.bitwise_xor.reduce(y.reshape(-1, k), axis=0)).sum())
+
+
 def _signatures(batches, p: Params):
     """A row per document (kind 0), and counts of the busiest shingle buckets (kind 1)."""
     seen = np.zeros(_HOT_BUCKETS, np.int64)
@@ -103,17 +124,18 @@ def _signatures(batches, p: Params):
             k = parity.shape[1]
             arrays = pa.ListArray.from_arrays(np.arange(0, (hi - lo + 1) * k, k, dtype=np.int32), parity.ravel())
             none = pa.nulls(hi - lo, pa.int64())
+            wide = pa.array([wide_sketch(h[first[i]:first[i + 1]]) if n[i] > BITS else None for i in range(hi - lo)], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(hi - lo, np.int32)), b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)),
-                 pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), arrays, none, none], _NAMES)
+                 pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), arrays, wide, none, none], _NAMES)
     busy = np.flatnonzero(seen > max(8, 4 * seen.mean()))
     busy = busy[np.argsort(-seen[busy], kind="stable")][:p.hot]
     none = pa.nulls(len(busy), pa.int64())
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.ones(len(busy), np.int32)), none, none, none, none, pa.nulls(len(busy), pa.list_(pa.int64())), pa.array(busy), pa.array(seen[busy])], _NAMES)
+        [pa.array(np.ones(len(busy), np.int32)), none, none, none, none, pa.nulls(len(busy), pa.list_(pa.int64())), pa.nulls(len(busy), pa.binary()), pa.array(busy), pa.array(seen[busy])], _NAMES)
 
 
-_NAMES = ["kind", "doc_id", "n", "s1", "s2", "parity", "bucket", "seen"]
+_NAMES = ["kind", "doc_id", "n", "s1", "s2", "parity", "wide", "bucket", "seen"]
 
 
 def segments_of(band: np.ndarray) -> np.ndarray:
@@ -206,6 +228,20 @@ def _close(p: Params, na: str, nb: str, pa_: str, pb: str):
         (_far(pa_, pb) * (100 + p.threshold) <= sizes * (100 - p.threshold))
 
 
+def _narrowed(pairs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
+    """``pairs`` (a, b) without those of large sets whose wide sketches differ too much: what is left is worth its texts."""
+
+    def run(batches):
+        for b in batches:
+            far = [x is not None and y is not None and wide_distance(x, y) > p.most_different(n)
+                   for n, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array([not x for x in far], pa.bool_()))
+
+    x = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
+    y = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", F.col("na") + F.col("nb"), "wa", "wb").mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """Of ``pairs`` (a, b) those whose shingle sets are similar enough."""
 
@@ -236,7 +272,7 @@ def jaccard_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = C.stored(docs.mapInArrow(lambda it: _signatures(it, p), _SIG), "signatures")
-    rows = found.filter("kind = 0").select("doc_id", "n", "s1", "s2", "parity")
+    rows = found.filter("kind = 0").select("doc_id", "n", "s1", "s2", "parity", "wide")
     known = rows.filter("doc_id is not null and n > 0")
     hot = np.zeros(_HOT_BUCKETS, bool)
     busiest = (found.filter("kind = 1").groupBy("bucket").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= 32)
@@ -244,7 +280,14 @@ def jaccard_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     hot[[r.bucket for r in busiest.select("bucket").collect()]] = True  # at most p.hot of a fixed number of buckets
 
     # a class is all documents of one set, named by its smallest id
-    classes = C.stored(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by("parity", "doc_id").alias("parity")), "classes")
+    classes = C.stored(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("parity", "wide"), "doc_id").alias("sketch"))
+                       .select("n", "s1", "s2", "rep", "sketch.*"), "classes")
+
+    rep_of = known.select("doc_id", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select("doc_id", "rep").distinct()
+    rep_of = C.stored(rep_of, "class-members")
+    sides = classes.select("rep", "n", "parity")
+    a = sides.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    b = sides.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
 
     def listed(batches):
         for b in batches:
@@ -255,39 +298,52 @@ def jaccard_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
                     r = row[i:i + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(key[i:i + (1 << 16)].view(np.int64)), pa.array(ids[lo:hi][r])], ["key", "doc_id"])
 
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = C.stored(docs.filter("doc_id is not null").mapInArrow(listed, "key long, doc_id long")
-                      .repartition(n_parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_groups, "key long, doc_id long, lead long"), "segment-groups")
-
-    rep_of = known.select("doc_id", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select("doc_id", "rep").distinct()
-    rep_of = C.stored(rep_of, "class-members")
-    sides = classes.select("rep", "n", "parity")
-    a = sides.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
-    b = sides.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-
-    stars = (groups.filter("doc_id != lead").select("lead", "doc_id").distinct()
-             .join(rep_of.select(F.col("doc_id"), F.col("rep").alias("x")), "doc_id")
-             .join(rep_of.select(F.col("doc_id").alias("lead"), F.col("rep").alias("y")), "lead")
-             .filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    near = C.stored(stars.join(a, "a").join(b, "b").filter(_close(p, "na", "nb", "pa", "pb")).select("a", "b"), "candidates")
-    in_groups = groups.select("doc_id").distinct().join(rep_of, "doc_id").select(F.col("rep").alias("doc_id")).distinct()
-    texts = C.stored(docs.join(in_groups, "doc_id", "left_semi").dropDuplicates(), "candidate-texts")
+    # the other members of a class list what its name lists; the few that the filter lets through are in no class' name, and fall out where sides join
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (classes.agg(F.sum("n")).first()[0] or 0) // SHINGLES_PER_PART)
+    n_docs = rows.count()
+    names = sifted(docs.filter("doc_id is not null"), "doc_id", sieve(classes.select(F.col("rep").alias("cell"))), "maybe").filter("maybe").select("doc_id", "text")
+    groups, groups_at = C.stored_at(names.mapInArrow(listed, "key long, doc_id long")
+                                    .repartition(n_parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_groups, "key long, doc_id long, lead long"), "segment-groups")
+
+    def verified(pairs, name):
+        """Only texts of the pairs shuffle, in rounds of about as many texts as there are documents."""
+        ids = pairs.select(F.col("a").alias("cell")).union(pairs.select("b")).distinct()
+        rounds = 1 + (ids.count() + pairs.count()) // max(1, n_docs)
+        links = []
+        for i in range(rounds):
+            some = pairs.filter(F.pmod(F.xxhash64("b"), F.lit(rounds)) == i)
+            ids = C.stored(some.select(F.col("a").alias("cell")).union(some.select("b")).distinct(), "candidate-ids")
+            # dealt by id once, for both sides
+            texts = sifted(docs, "doc_id", sieve(ids), "maybe").filter("maybe").select("doc_id", "text").repartition("doc_id").dropDuplicates()
+            links.append(C.stored(_verified(some, texts, p).distinct(), name))
+        return reduce(DataFrame.union, links)
+
+    # the smallest id of a group has no smaller id with its set: it names its class
+    stars = C.stored(groups.filter("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+                     .join(classes.select(F.col("rep").alias("b")).distinct(), "b").select("a", "b"), "stars")
+    near = C.stored(stars.join(a, "a").join(b, "b").filter(_close(p, "na", "nb", "pa", "pb")).select("a", "b"), "pairs")
+    near = C.stored(_narrowed(near, classes, p), "candidates")
     one_id = rep_of.join(rep_of.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").filter("rep != b").select(F.col("rep").alias("a"), "b")
-    links = C.stored(_verified(near, texts, p).union(one_id).distinct(), "verified")
-    comps = C.stored(connected_components(links), "components-1")
-
-    # second round: segments whose documents are in different components
-    placed = (groups.select("key", "doc_id").join(rep_of, "doc_id").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-              .select("key", "rep", F.coalesce("component", "rep").alias("component")).distinct())
-    placed = C.stored(placed, "placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_rows = C.stored(placed.join(split, "key").join(sides, "rep"), "open-groups")
+    comps = C.stored(connected_components(verified(near, "verified").union(one_id)), "components-1")
+
+    # second round: segments with a document in another component than their first; bitmaps find them, so that groups don't shuffle
+    ca = comps.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    cb = comps.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    apart = C.stored(stars.join(ca, "a", "left").join(cb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.xxhash64("a", "b").alias("cell")), "apart")
+    found = sifted(groups.select("key", F.xxhash64("lead", "doc_id").alias("pair")), "pair", sieve(apart), "maybe").filter("maybe")
+    split = C.stored(found.select(F.col("key").alias("cell")).distinct(), "open-keys")
+    rows_of = sifted(groups.select("key", F.col("doc_id").alias("rep")), "key", sieve(split), "maybe").filter("maybe").join(split, F.col("key") == F.col("cell"), "left_semi")
+    open_rows, open_at = C.stored_at(rows_of.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+                                     .join(sides, "rep"), "open-groups")
+    remove(spark, groups_at)
     x = open_rows.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("parity").alias("pa"))
     y = open_rows.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    far = (x.join(y, (x.key == y.key) & (F.col("ca") < F.col("cb")) & _close(p, "na", "nb", "pa", "pb")).select("a", "b").distinct()
-           .join(near.select(F.col("a"), F.col("b")).union(near.select("b", "a")), ["a", "b"], "left_anti"))
-    more = C.stored(_verified(C.stored(far, "cross-candidates"), texts, p), "verified-2")
-    if not more.isEmpty():
+    far = C.stored(x.join(y, (x.key == y.key) & (F.col("ca") < F.col("cb")) & _close(p, "na", "nb", "pa", "pb")).select("a", "b").distinct()
+                   .join(near.select(F.col("a"), F.col("b")).union(near.select("b", "a")), ["a", "b"], "left_anti"), "cross-pairs")
+    far = C.stored(_narrowed(far, classes, p), "cross-candidates")
+    remove(spark, open_at)
+    if not far.isEmpty():
+        more = verified(far, "verified-2")
         comps = C.stored(connected_components(more.union(comps.select("node", "component").filter("node != component"))), "components-2")
 
     home = rep_of.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
