@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitwall.llm import common, jaccard, langid, mixing, packing, suffix_dedup
+from pitwall.llm import common, exact_dedup, jaccard, langid, mixing, packing, suffix_dedup
 from pitwall.session import scratch_path
 
 
@@ -34,9 +34,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = rows.join(shared, F.col("id") == F.col("many"), "left").select("row", "id", F.when(F.col("many").isNotNull(), own).otherwise(F.col("id")).alias("key"))
     texts = rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))
     found = common.stored_alone(lambda: jaccard.jaccard_components(texts).select(F.col("doc_id").alias("key"), "component_id").distinct(), "components")
-    first = rows.select("key", "id").join(found, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first")).select("first.key")
-    kept = rows.join(first, "key", "left_semi").withColumn("text", F.sha2(text, 256)).dropDuplicates(["id", "text"])
-    return kept.select("row.*").unionByName(docs.filter("doc_id is null"))
+    # of each group: the key that stays, and whether that is all it has
+    groups = (rows.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n")).join(found, "key")
+              .groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first"), F.sum("n").alias("n")).select("component_id", F.col("first.key").alias("cell"), (F.col("n") == 1).alias("alone")))
+    groups = common.stored(groups, "near-groups")
+    shared_by = found.join(groups.filter("not alone").select("component_id"), "component_id").select(F.col("key").alias("cell"))
+    # bitmaps tell rows that surely go, and rows that surely are alone; only the others, about a row a group, shuffle
+    rows = exact_dedup.sifted(rows, "key", exact_dedup.sieve(groups.select("cell")), "first").filter("first")
+    rows = exact_dedup.sifted(rows, "key", exact_dedup.sieve(shared_by, most=found.count()), "shared")
+    kept = rows.filter("shared").join(groups, F.col("key") == F.col("cell"), "left_semi").withColumn("text", F.sha2(text, 256)).dropDuplicates(["key", "id", "text"])
+    return rows.filter("not shared").unionByName(kept.select(rows.columns)).select("row.*").unionByName(docs.filter("doc_id is null"))
 
 
 #: Bytes and words of a repeated passage: 51 words have well over 220 bytes, and shorter repeats stay.

@@ -93,10 +93,10 @@ def flagged(keys: DataFrame, p: Params) -> DataFrame:
     return out.select(*keys.columns, (_is_set(F.col("bitmap0"), F.col("at0")) & _is_set(F.col("bitmap1"), F.col("at1"))).alias("maybe"))
 
 
-def sieve(keys: DataFrame, p: Params = Params()) -> tuple[DataFrame, int]:
-    """A filter of ``keys`` (cell long) for ``sifted``: its stored bitmaps, to be broadcast, and their bits."""
-    bits = max(_BUCKET, min(p.most_bits, _power(p.bits_per_cell * keys.count())))
-    return C.stored(bitmaps(keys, bits), "bitmaps"), bits
+def sieve(keys: DataFrame, p: Params = Params(), most: int | None = None) -> tuple[DataFrame, int]:
+    """A filter of ``keys`` (cell long; at most ``most``, which are counted where it isn't known) for ``sifted``: its stored bitmaps, to be broadcast, and their bits."""
+    bits = max(_BUCKET, min(p.most_bits, _power(p.bits_per_cell * (keys.count() if most is None else most))))
+    return C.stored(bitmaps(keys, bits).coalesce(1), "bitmaps"), bits
 
 
 def sifted(rows: DataFrame, key: str, by: tuple[DataFrame, int], maybe: str) -> DataFrame:

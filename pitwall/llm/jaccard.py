@@ -228,8 +228,8 @@ def _close(p: Params, na: str, nb: str, pa_: str, pb: str):
         (_far(pa_, pb) * (100 + p.threshold) <= sizes * (100 - p.threshold))
 
 
-def _narrowed(pairs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
-    """``pairs`` (a, b) without those of large sets whose wide sketches differ too much: what is left is worth its texts."""
+def _narrowed(pairs: DataFrame, p: Params) -> DataFrame:
+    """Of ``pairs`` (a, b, na, nb, wa, wb) all but those of large sets whose wide sketches differ too much: what is left is worth its texts."""
 
     def run(batches):
         for b in batches:
@@ -237,9 +237,7 @@ def _narrowed(pairs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
                    for n, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array([not x for x in far], pa.bool_()))
 
-    x = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
-    y = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", F.col("na") + F.col("nb"), "wa", "wb").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("a", "b", F.col("na") + F.col("nb"), "wa", "wb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
@@ -286,8 +284,8 @@ def jaccard_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     rep_of = known.select("doc_id", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select("doc_id", "rep").distinct()
     rep_of = C.stored(rep_of, "class-members")
     sides = classes.select("rep", "n", "parity")
-    a = sides.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
-    b = sides.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    a = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"), F.col("wide").alias("wa"))
+    b = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"), F.col("wide").alias("wb"))
 
     def listed(batches):
         for b in batches:
@@ -307,30 +305,29 @@ def jaccard_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     def verified(pairs, name):
         """Only texts of the pairs shuffle, in rounds of about as many texts as there are documents."""
-        ids = pairs.select(F.col("a").alias("cell")).union(pairs.select("b")).distinct()
-        rounds = 1 + (ids.count() + pairs.count()) // max(1, n_docs)
+        n = pairs.count()
+        rounds = 1 + 2 * n // max(1, n_docs)
         links = []
         for i in range(rounds):
             some = pairs.filter(F.pmod(F.xxhash64("b"), F.lit(rounds)) == i)
-            ids = C.stored(some.select(F.col("a").alias("cell")).union(some.select("b")).distinct(), "candidate-ids")
+            ids = sieve(some.select(F.col("a").alias("cell")).union(some.select("b")), most=2 * n // rounds)
             # dealt by id once, for both sides
-            texts = sifted(docs, "doc_id", sieve(ids), "maybe").filter("maybe").select("doc_id", "text").repartition("doc_id").dropDuplicates()
+            texts = sifted(docs, "doc_id", ids, "maybe").filter("maybe").select("doc_id", "text").repartition("doc_id").dropDuplicates()
             links.append(C.stored(_verified(some, texts, p).distinct(), name))
         return reduce(DataFrame.union, links)
 
     # the smallest id of a group has no smaller id with its set: it names its class
     stars = C.stored(groups.filter("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
                      .join(classes.select(F.col("rep").alias("b")).distinct(), "b").select("a", "b"), "stars")
-    near = C.stored(stars.join(a, "a").join(b, "b").filter(_close(p, "na", "nb", "pa", "pb")).select("a", "b"), "pairs")
-    near = C.stored(_narrowed(near, classes, p), "candidates")
+    near = C.stored(_narrowed(stars.join(a, "a").join(b, "b").filter(_close(p, "na", "nb", "pa", "pb")), p), "candidates")
     one_id = rep_of.join(rep_of.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").filter("rep != b").select(F.col("rep").alias("a"), "b")
     comps = C.stored(connected_components(verified(near, "verified").union(one_id)), "components-1")
 
     # second round: segments with a document in another component than their first; bitmaps find them, so that groups don't shuffle
     ca = comps.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     cb = comps.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    apart = C.stored(stars.join(ca, "a", "left").join(cb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.xxhash64("a", "b").alias("cell")), "apart")
-    found = sifted(groups.select("key", F.xxhash64("lead", "doc_id").alias("pair")), "pair", sieve(apart), "maybe").filter("maybe")
+    apart = stars.join(ca, "a", "left").join(cb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.xxhash64("a", "b").alias("cell"))
+    found = sifted(groups.select("key", F.xxhash64("lead", "doc_id").alias("pair")), "pair", sieve(apart, most=stars.count()), "maybe").filter("maybe")
     split = C.stored(found.select(F.col("key").alias("cell")).distinct(), "open-keys")
     rows_of = sifted(groups.select("key", F.col("doc_id").alias("rep")), "key", sieve(split), "maybe").filter("maybe").join(split, F.col("key") == F.col("cell"), "left_semi")
     open_rows, open_at = C.stored_at(rows_of.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
@@ -338,9 +335,9 @@ def jaccard_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     remove(spark, groups_at)
     x = open_rows.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("parity").alias("pa"))
     y = open_rows.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    far = C.stored(x.join(y, (x.key == y.key) & (F.col("ca") < F.col("cb")) & _close(p, "na", "nb", "pa", "pb")).select("a", "b").distinct()
-                   .join(near.select(F.col("a"), F.col("b")).union(near.select("b", "a")), ["a", "b"], "left_anti"), "cross-pairs")
-    far = C.stored(_narrowed(far, classes, p), "cross-candidates")
+    far = (x.join(y, (x.key == y.key) & (F.col("ca") < F.col("cb")) & _close(p, "na", "nb", "pa", "pb")).select("a", "b").distinct()
+           .join(near.select(F.col("a"), F.col("b")).union(near.select("b", "a")), ["a", "b"], "left_anti"))
+    far = C.stored(_narrowed(far.join(a, "a").join(b, "b"), p), "cross-candidates")
     remove(spark, open_at)
     if not far.isEmpty():
         more = verified(far, "verified-2")
