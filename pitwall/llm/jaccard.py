@@ -318,7 +318,7 @@ def jaccard_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     # the smallest id of a group has no smaller id with its set: it names its class
     stars = C.stored(groups.filter("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-                     .join(classes.select(F.col("rep").alias("b")).distinct(), "b").select("a", "b"), "stars")
+                     .join(classes.select(F.col("rep").alias("b")), "b", "left_semi").select("a", "b"), "stars")
     near = C.stored(_narrowed(stars.join(a, "a").join(b, "b").filter(_close(p, "na", "nb", "pa", "pb")), p), "candidates")
     one_id = rep_of.join(rep_of.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").filter("rep != b").select(F.col("rep").alias("a"), "b")
     comps = C.stored(connected_components(verified(near, "verified").union(one_id)), "components-1")
